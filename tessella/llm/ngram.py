@@ -12,10 +12,13 @@ word hashes).  Documents link when ``den * |x & y| >= num * |x | y|``.
 2. *Short lists.*  Under one global order (frequency, then hash) two linked
    documents share one of their ``n - T + 1`` rarest shingles, T being the
    least overlap that any partner needs.  Those lists are short; they name the
-   candidates.  In each list two pivots are tried with all members first, and
-   what they link is merged (:mod:`graph`); after that only members of
-   *different* components are paired, so a group of copies costs a multiple of
-   its size, not its square.  Every pair between components is still tried.
+   candidates.  A pair must also fit by length and by bitmap: each set is a
+   bitmap of WORDS_ * 64 bits, a token flipping its bit, and the differing bits
+   never exceed the symmetric difference that a link allows.  In each list a
+   few pivots are tried with all members first, and what they link is merged
+   (:mod:`graph`); after that only members of *different* components are
+   paired, so a group of copies costs a multiple of its size, not its square.
+   Every fitting pair between components is still tried.
 3. *DivideSkip.*  A query and a block of its candidates: inverted lists over
    the block, the longest set aside, the short ones heap-merged, and what
    occurs often enough in them binary-probed in the long ones.  Those that
@@ -42,6 +45,8 @@ from .graph import components
 CHUNK, PART, BLOCK = 2_000_000, 2_000_000, 64
 #: Tokens keep so many bits of the shingle's hash.
 BITS = 48
+#: 64-bit words of a set's bitmap; pivots of a list in a round of stars are the least and greatest by so many hashes; rounds at most.
+WORDS_, SEEDS, ROUNDS = 8, 4, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -200,25 +205,41 @@ def _gather(num: int, den: int):
     return run
 
 
+_LISTS = f"token long, rep long, s struct<n:long,u:long,{','.join(f'b{i}:long' for i in range(WORDS_))}>"
+
+
 def _short_lists(num: int, den: int):
-    """Classes -> (token, rep, n) of the rarest tokens."""
+    """Classes -> (token, rep, s) of the rarest tokens; s: set size, unshared shingles, bitmap."""
 
     def run(batches):
         for batch in batches:
             tokens, reps, sizes = [], [], []
             for rep, n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 t = np.frombuffer(body, dtype="<u8")
-                # the n - len(t) shingles of this document alone come first in the order
-                t = t[: max(0, n - least_overlap(n, num, den) + 1 - (n - len(t)))]
-                tokens.append(t.astype(np.int64))
-                reps.append(np.full(len(t), rep, dtype=np.int64))
-                sizes.append(np.full(len(t), n, dtype=np.int64))
+                alone = n - len(t)
+                # the shingles of this document alone come first in the order
+                short = t[: max(0, n - least_overlap(n, num, den) + 1 - alone)]
+                bits = np.bincount(((t * _ODD[0]) >> np.uint64(55)).astype(np.int64) % (64 * WORDS_), minlength=64 * WORDS_) & 1
+                words = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+                tokens.append(short.astype(np.int64))
+                reps.append(np.full(len(short), rep, dtype=np.int64))
+                sizes.append(np.tile(np.array([n, alone, *words], dtype=np.int64), (len(short), 1)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, reps, sizes)], names=["token", "rep", "n"])
+                size = np.concatenate(sizes)
+                names = ["n", "u", *(f"b{i}" for i in range(WORDS_))]
+                s = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(size[:, i])) for i in range(size.shape[1])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(reps)), s], names=["token", "rep", "s"])
 
     return run
 
 
+def _fits(a: str, b: str, num: int, den: int) -> str:
+    """What two linked sets satisfy: lengths, and differing bits against the symmetric difference allowed."""
+    differ = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(WORDS_))
+    allowed = f"{a}.n + {b}.n - 2 * (({num} * ({a}.n + {b}.n) + {num + den - 1}) div {num + den})"
+    return f"{a}.n * {den} >= {b}.n * {num} and {b}.n * {den} >= {a}.n * {num} and {a}.u + {b}.u + {differ} <= {allowed}"
+
+
 def divide_skip(lists: list, required: dict, mu: float = 0.0085) -> dict:
     """Ids in at least ``required[id]`` of the sorted ``lists``, with their counts."""
     if not lists or not required:
@@ -292,6 +313,28 @@ def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     return table(theirs.unionByName(own).groupBy("query", "salt").applyInArrow(_search(num, den), "a long, b long"), "links")
 
 
+def _apart(lists: DataFrame, joined: DataFrame | None):
+    """The lists that hold two components, and per list its rows, its largest component and that one's rows."""
+    if joined is None:
+        lists = lists.withColumn("component", F.col("rep"))
+    else:
+        lists = lists.drop("component").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = lists.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
+    held = held.agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"), F.count("*").alias("k")).where("k > 1")
+    held = table(held.select("token", F.col("m.component").alias("major"), F.col("m.c").alias("most"), "total"), "held")
+    return table(lists.join(held.select("token"), "token", "left_semi"), "lists-apart"), held
+
+
+def _both(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    now = pairs.unionByName(pairs.select(F.col("other").alias("query"), F.col("query").alias("other")))
+    return table(now if tried is None else tried.unionByName(now), "tried")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    pairs = pairs if tried is None else pairs.join(tried, ["query", "other"], "left_anti")
+    return table(pairs, "candidates")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -308,27 +351,34 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     reps = table(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
     classes = sets.where("tokens is not null").select("key", "n", "tokens").join(reps, "key").where("rep is not null")
     classes = table(classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    lists = table(classes.mapInArrow(_short_lists(num, den), "token long, rep long, n long"), "lists")
-
-    # stars: two pivots of each list with all its members
-    order = F.struct(F.xxhash64("rep"), "rep", "n")
-    pivots = lists.groupBy("token").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi")
-    pivots = pivots.select("token", F.explode(F.array("lo", "hi")).alias("p")).select("token", F.col("p.rep").alias("query"), F.col("p.n").alias("m"))
-    fits = f"n * {den} >= m * {num} and m * {den} >= n * {num}"
-    stars = lists.join(pivots, "token").where(f"rep <> query and {fits}").select("query", F.col("rep").alias("other")).distinct()
-    near = _links(stars, classes, num, den)
-    joined = table(components(near), "components")
-
-    # then every pair of a list that lies in two components
-    lists = table(lists.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "lists-2")
-    held = lists.groupBy("token", "component").agg(F.count("*").alias("c"))
-    major = held.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("major"), F.count("*").alias("k")).where("k > 1")
-    minor = lists.join(major, "token").where("component <> major").select("token", F.col("rep").alias("query"), F.col("n").alias("m"), F.col("component").alias("mine"), "major")
-    apart = f"component <> mine and (component = major or rep > query) and {fits}"
+    lists = table(classes.mapInArrow(_short_lists(num, den), _LISTS), "lists")
+
+    # stars: a few pivots of each list with all its members, then with what is still apart
+    classes_n, tried, near, first = classes.count(), None, None, 0
+    lists, held = _apart(lists, None)
+    for turn in range(ROUNDS):
+        order = [F.struct(F.xxhash64("rep", F.lit(turn * SEEDS + i)).alias("h"), "rep", "s", "component") for i in range(SEEDS)]
+        pivots = lists.groupBy("token").agg(*(f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(order) for f in (F.min, F.max)))
+        pivots = pivots.select("token", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{f}{i}.rep").alias("rep"), F.col(f"{f}{i}.s").alias("s"), F.col(f"{f}{i}.component").alias("component")) for i in range(SEEDS) for f in ("min", "max"))))).alias("p"))
+        pivots = pivots.select("token", F.col("p.rep").alias("query"), F.col("p.s").alias("t"), F.col("p.component").alias("mine"))
+        stars = lists.join(pivots, "token").where(f"component <> mine and {_fits('s', 't', num, den)}").select("query", F.col("rep").alias("other")).distinct()
+        stars = _untried(stars, tried)
+        links = _links(stars, classes, num, den)
+        tried, near = _both(stars, tried), links if near is None else near.unionByName(links)
+        count = links.count()
+        first = first or count
+        if count:
+            lists, held = _apart(lists, table(components(near), f"components-{turn}"))
+        open_pairs = held.agg(F.sum(F.col("total") * (F.col("total") - F.col("most")))).first()[0] or 0
+        if open_pairs <= 20 * classes_n or count <= 0.02 * first:
+            break
+
+    # then every fitting pair of a list that lies in two components
+    minor = lists.join(held.select("token", "major"), "token").where("component <> major").select("token", F.col("rep").alias("query"), F.col("s").alias("t"), F.col("component").alias("mine"), "major")
+    apart = f"component <> mine and (component = major or rep > query) and {_fits('s', 't', num, den)}"
     cross = lists.join(minor, "token").where(apart).select("query", F.col("rep").alias("other")).distinct()
-    cross = cross.join(stars.select(F.col("query").alias("other"), F.col("other").alias("query")), ["query", "other"], "left_anti").join(stars, ["query", "other"], "left_anti")
-    far = _links(cross, classes, num, den)
-    label = table(components(near.unionByName(far)), "components-2")
+    far = _links(_untried(cross, tried), classes, num, den)
+    label = table(components(near.unionByName(far)), "components-all")
 
     found = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(found, "key", "left")
