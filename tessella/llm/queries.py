@@ -76,3 +76,66 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_chat_formatting, op4_bpe, op5_ngram_jaccard, op6_secret_scan, op7_warc, op8_exact_top_k, op9_quality_rules, op10_license_scan)}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '([\[<])(\\*)(/?(?:INST|SYS|ANS|ROLE|TXT|SEP)\]|/?s>)', '\1\\\2\3', 'g') AS x, regexp_replace(role, '([\[<])(\\*)(/?(?:INST|SYS|ANS|ROLE|TXT|SEP)\]|/?s>)', '\1\\\2\3', 'g') AS xr,
+  coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS joined FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(x) + CASE WHEN joined THEN 5 WHEN role = 'user' THEN 15 WHEN role = 'system' THEN 13 WHEN role = 'assistant' THEN 11 ELSE 22 + length(xr) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_OP5 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), u AS (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, m AS component_id FROM n JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = doc_id
+"""
+
+_OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND n >= 1000
+"""
+
+_OP8 = """
+WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS c FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(list_sum(list_transform(range(1, len(b.c) + 1), lambda i: CASE WHEN b.c[i] <> q.c[i] THEN 1 ELSE 0 END)) AS INT) AS distance FROM b JOIN b q ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INT) AS rank FROM d)
+SELECT query_id, neighbor_id, distance, rank FROM r WHERE rank <= 10
+"""
+
+
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{label}', {quoted(words)}, {licenses._least(words, licenses.THRESHOLD)})" for label, words in licenses._template_words(licenses.TEMPLATES).items())
+    phrases = ", ".join(f"('{label}', {quoted(p)})" for p, label in licenses.PHRASES.items())
+    split = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return rf"""
+WITH t(label, words, need) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+w AS (SELECT doc_id, {_LOW} AS low FROM documents), s AS (SELECT doc_id, low, {split.format('low')} AS w FROM w),
+q AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM s),
+f AS (SELECT doc_id, pos, label FROM q, p WHERE w[pos + 1] = p.words[1] AND w[pos + 1:pos + len(p.words)] = p.words),
+b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM f GROUP BY doc_id),
+l AS (SELECT doc_id, list_distinct({split.format('line')}) AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM w)),
+m AS (SELECT doc_id, label, len(list_intersect(l.w, t.words)) AS o, len(t.words) AS size, need FROM l, t),
+x AS (SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(o AS DOUBLE) / size) AS score FROM m WHERE o >= need GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, CAST([] AS VARCHAR[])), coalesce(x.labels, CAST([] AS VARCHAR[]))))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0e0 ELSE coalesce(x.score, 0.0e0) END AS score
+FROM s LEFT JOIN b ON s.doc_id = b.doc_id LEFT JOIN x ON s.doc_id = x.doc_id
+"""
+
+
+#: Operators that SQL can express; the others are tested against brute force.
+ORACLE_SQL = {"op3_chat_formatting": _OP3, "op5_ngram_jaccard": _OP5, "op7_warc": _OP7, "op8_exact_top_k": _OP8, "op10_license_scan": _license_sql()}
