@@ -3,7 +3,7 @@
 Every leaf of the tree holds the merge rank of one symbol and its right
 neighbour; the root is the least (rank, position), so it names the leftmost
 pair of lowest rank.  A merge changes at most three leaves, each updated in
-logarithmic time.  A pretoken of n bytes takes O(n log n), however long it is.
+logarithmic time (nodes have FAN children, so most words need no inner node).  A pretoken of n bytes takes O(n log n), however long it is.
 
 Nulls and empty texts have no ids.  Special tokens of the tokenizer file are
 matched first, leftmost longest, as the library does by default.
@@ -11,6 +11,7 @@ matched first, leftmost longest, as the library does by default.
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from .common import slices, worker_state
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 NO_PAIR = 1 << 62
+#: Children of a node.
+FAN = 16
 #: Pretokens that a worker remembers at most; longer ones than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 600_000, 64
 
 
 def byte_symbols() -> dict:
@@ -36,8 +39,8 @@ def byte_symbols() -> dict:
     return out
 
 
-class SegmentTreeBPE:
-    """Encoder and decoder of a byte-level BPE tokenizer file."""
+class SegmentTreeBPE(dict):
+    """Encoder and decoder of a byte-level BPE tokenizer file; as a dict, the ids of pretokens met lately."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -47,11 +50,12 @@ class SegmentTreeBPE:
         symbols = byte_symbols()
         back = {c: b for b, c in symbols.items()}
         self.byte_ids = [vocab[symbols[b]] for b in range(256)]
-        #: left id * 2**32 + right id -> (rank * 2**32, merged id)
-        self.merges = {}
+        #: left id * 2**32 + right id -> rank * 2**32, and -> merged id
+        self.ranks, self.merged = {}, {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] << 32 | vocab[right]] = (rank << 32, vocab[left + right])
+            key = vocab[left] << 32 | vocab[right]
+            self.ranks[key], self.merged[key] = rank << 32, vocab[left + right]
         self.token_bytes = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token_bytes.update({i: t.encode() for t, i in self.special.items()})
@@ -60,69 +64,64 @@ class SegmentTreeBPE:
         self.split = regex.compile(PRETOKENS)
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.memo = {}
 
     def merge(self, piece: bytes) -> list:
         """Ids of one pretoken: merge the root's pair until none is left."""
-        ids = [self.byte_ids[b] for b in piece]
+        ids = list(map(self.byte_ids.__getitem__, piece))
         n = len(ids)
         if n < 2:
             return ids
-        merges, none = self.merges, (NO_PAIR, 0)
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [NO_PAIR] * (2 * size)
-        for i in range(n - 1):
-            tree[size + i] = merges.get(ids[i] << 32 | ids[i + 1], none)[0] | i
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+        rank, merged = self.ranks.get, self.merged
+        leaves = [rank(ids[i] << 32 | ids[i + 1], NO_PAIR) | i for i in range(n - 1)]
+        leaves.append(NO_PAIR)
+        levels = [leaves]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+        top = levels[-1]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (top := tree[1]) < NO_PAIR:
-            i = top & 0xFFFFFFFF
+        while (root := min(top)) < NO_PAIR:
+            i = root & 0xFFFFFFFF
             j = after[i]
-            ids[i] = merges[ids[i] << 32 | ids[j]][1]
-            ids[j] = -1
             k = after[i] = after[j]
-            changed = [(j, NO_PAIR)]
+            h = before[i]
+            new = ids[i] = merged[ids[i] << 32 | ids[j]]
+            ids[j] = -1
+            leaves[j] = NO_PAIR
             if k < n:
                 before[k] = i
-                changed.append((i, merges.get(ids[i] << 32 | ids[k], none)[0] | i))
+                leaves[i] = rank(new << 32 | ids[k], NO_PAIR) | i
             else:
-                changed.append((i, NO_PAIR))
-            if (h := before[i]) >= 0:
-                changed.append((h, merges.get(ids[h] << 32 | ids[i], none)[0] | h))
-            for leaf, value in changed:
-                leaf += size
-                if leaf >= 2 * size:
-                    continue
-                tree[leaf] = value
-                leaf >>= 1
-                while leaf:
-                    a, b = tree[2 * leaf], tree[2 * leaf + 1]
-                    least = a if a < b else b
-                    if tree[leaf] == least:
-                        break
-                    tree[leaf] = least
-                    leaf >>= 1
+                leaves[i] = NO_PAIR
+            if h >= 0:
+                leaves[h] = rank(ids[h] << 32 | new, NO_PAIR) | h
+            if top is not leaves:
+                for leaf in (j, i, h) if h >= 0 else (j, i):
+                    for low, high in zip(levels, levels[1:]):  # noqa: B905
+                        leaf //= FAN
+                        least = min(low[leaf * FAN : leaf * FAN + FAN])
+                        if high[leaf] == least:
+                            break
+                        high[leaf] = least
         return [x for x in ids if x >= 0]
 
-    def _pretoken(self, word: str) -> bytes:
-        out = np.array(self.merge(word.encode()), dtype="<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        out = array("I", self.merge(word.encode())).tobytes()
         if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = out
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
         return out
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        memo, make, out = self.memo.get, self._pretoken, []
+        out = []
         for part in parts:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             else:
-                out.extend(memo(w) or make(w) for w in self.split.findall(part))
+                out.extend(map(self.__getitem__, self.split.findall(part)))
         return b"".join(out)
 
     def encode(self, text: str) -> list:
