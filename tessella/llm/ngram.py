@@ -42,7 +42,7 @@ from .common import slices, table, utf8
 from .graph import components
 
 #: Shingles that a task sorts at once; shingles that an index part holds on average; candidates in a block.
-CHUNK, PART, BLOCK = 2_000_000, 2_000_000, 64
+CHUNK, PART, BLOCK = 1_000_000, 1_000_000, 64
 #: Tokens keep so many bits of the shingle's hash.
 BITS = 48
 #: 64-bit words of a set's bitmap; pivots of a list in a round of stars are the least and greatest by so many hashes; rounds at most.
