@@ -13,7 +13,7 @@ def shared_signatures(rows: DataFrame, run: str, runs, signature, keys=(), drop_
     otherwise unknowns equal each other.
     """
     if drop_unknown:
-        rows = rows.where(~F.greatest(*(F.col(c).isNull() for c in signature)))
+        rows = rows.dropna("any", subset=list(signature))
     a, b = (F.count_if(F.col(run) == r) for r in runs)
     counts = rows.groupBy(*keys, *signature).agg(a.alias("a"), b.alias("b"))
     zero = lambda c: F.coalesce(c, F.lit(0))

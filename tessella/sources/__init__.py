@@ -46,7 +46,7 @@ def read_export(spark: SparkSession, path: str, job: str, labels: dict, columns=
     raw = spark.read.schema(export_schema(columns)).csv(path, header=True, enforceSchema=False, mode="FAILFAST", encoding="UTF-8")
     rows = raw.select(*(F.col(f"`{h}`").alias(n) for h, n in columns), F.lit(job).alias("job"))
     lookup = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
-    return rows.withColumn("object_type", F.coalesce(F.element_at(lookup, "object_type"), F.concat(F.lit("?"), "object_type")))
+    return rows.withColumn("object_type", F.coalesce(F.element_at(lookup, F.col("object_type")), F.concat(F.lit("?"), "object_type")))
 
 
 def check_rows(rows: DataFrame, classes=("A", "B"), expected: int | None = None) -> dict:
