@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 from ..functions import bin_index
 
 
-def nearest(queries: DataFrame, targets: DataFrame, width: float, keys=("job",), id_column: str = "object_id", rounds: int = 40) -> DataFrame:
-    """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``)."""
+def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) -> float:
+    """A cell width at which a cell of the average group holds about ``occupancy`` targets; from one row per group."""
+    per = targets.groupBy(*keys).agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("a"), F.count("*").alias("n"))
+    area, n = per.agg(F.sum("a"), F.sum("n")).first()
+    return (occupancy * area / n) ** 0.5 if n and area and area > 0 else 1.0
+
+
+def nearest(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",), id_column: str = "object_id", rounds: int = 40) -> DataFrame:
+    """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``); by default the width fits the targets' density."""
+    width = fitting_width(targets, keys) if width is None else width
     cell = lambda df: df.withColumn("cx", bin_index("x", F.lit(0.0), width)).withColumn("cy", bin_index("y", F.lit(0.0), width))
     t = cell(targets.select(*keys, F.col("x"), F.col("y"))).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
     extent = t.groupBy(*keys).agg(F.min("cx").alias("x_lo"), F.max("cx").alias("x_hi"), F.min("cy").alias("y_lo"), F.max("cy").alias("y_hi"))

@@ -457,7 +457,7 @@ def _layout(v):
 @query("nearest_neighbor", f"{_VX} SELECT a.job, a.object_id, {_r('min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))', 'distance')} FROM w a JOIN w b ON a.job = b.job WHERE a.object_type = 'A' AND b.object_type = 'B' GROUP BY a.job, a.object_id")
 def _nearest(v):
     moved = _spread(v)
-    found = neighbors.nearest(moved.where(A), moved.where(B), 200.0)
+    found = neighbors.nearest(moved.where(A), moved.where(B))
     return found.groupBy("job", "object_id").agg(F.min("distance").alias("distance"))
 
 

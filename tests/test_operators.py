@@ -163,9 +163,9 @@ def test_adjusted_rand(spark):
     assert ari([(0, 0), (0, 0), (0, 1), (0, 1)]) == 0
 
 
-@pytest.mark.parametrize("width", [50.0, 250.0, 3000.0])
+@pytest.mark.parametrize("width", [None, 50.0, 250.0, 3000.0])
 def test_nearest_equals_brute_force(spark, width):
-    rng = np.random.default_rng(int(width))
+    rng = np.random.default_rng(int(width or 1))
     q, t = rng.exponential(300, (80, 2)), np.vstack([rng.exponential(200, (40, 2)), [[9000.0, 9000.0]]])
     rows = [(0, i, "q", *map(float, v)) for i, v in enumerate(q)] + [(0, 1000 + i, "t", *map(float, v)) for i, v in enumerate(t)] + [(1, 5, "q", 0.0, 0.0)]
     df = spark.createDataFrame(rows, "job int, object_id long, side string, x double, y double")
