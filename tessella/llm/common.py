@@ -77,3 +77,4 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
