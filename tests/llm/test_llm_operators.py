@@ -195,8 +195,10 @@ def shingle_set(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 50, 100)])
-def test_ngram_join_equals_brute_force(spark, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "chunk", "hot"), [(4, 85, 100, ngram.CHUNK, ngram.HOT), (5, 80, 100, 300, 2), (2, 50, 100, 300, 1)])
+def test_ngram_join_equals_brute_force(spark, k, num, den, chunk, hot, monkeypatch):
+    monkeypatch.setattr(ngram, "CHUNK", chunk)  # small chunks: a shingle is hot in some and not in others
+    monkeypatch.setattr(ngram, "HOT", hot)
     rnd = random.Random(k)
     words = [f"v{i}" for i in range(40)]
     passage = rnd.choices(words, k=30)
@@ -281,6 +283,17 @@ def test_viterbi_shortcut_is_exact(field):
         assert abs(score(field.tags(words).tolist()) - max(s for _, s in paths)) < 1e-9
 
 
+def test_secret_spans_of_a_long_text(field):
+    line = "für 日本 token = 'a8Kd93kfLq02mZxPw7Tn' und ghp_A8kd93kfLq02mZxPw7Tn55aQpe03Ld9sXy1B dazu "
+    text, base = line * 400, secrets.base_spans(line * 400)
+    found = secrets.scan(text, field)
+    extra = [s for s in found if s[2] == 3]
+    assert [s for s in found if s[2] != 3] == sorted(base, key=lambda s: (s[0], s[2], s[1]))
+    inside = lambda a, b: any(s <= a and b <= e for s, e, *_ in base)
+    assert [s[:2] for s in extra] == [s for s in field.spans(text) if not inside(*s)]
+    assert len(extra) >= 400 and all(text[a:b].isascii() and " " not in text[a:b] for a, b, *_ in extra)
+
+
 def test_secret_documents(docs, none, field):
     got = secrets.scan_documents(docs, field).collect()
     assert len(got) == docs.count()
