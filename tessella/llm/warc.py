@@ -7,8 +7,9 @@ index maps each record to its bundle, frame and offset within the frame, so a
 record is read by decompressing one frame.
 
 Records are written where their rows stand, without moving payloads.  A file
-is named for its input partition and put in place by one rename, so a task
-that runs again after a lost executor replaces its own file by the same bytes.
+is named for its partition and task attempt and never written again.  The index
+is committed by Spark with the attempt that wrote it, so it always names whole
+files, whatever executors are lost; files of other attempts are in no index.
 
 Null html is the empty payload, null url the empty target.  Equal payloads of
 at least ``least`` bytes are stored once, in the record with the largest id;
@@ -89,9 +90,8 @@ def _write(folder: str):
         packer, state = zstandard.ZstdCompressor(level=3, write_content_size=True), {}
 
         def begin(seq):
-            state.update(path=f"{base}/bundle-{part:06d}-{seq:04d}.warc.zst", frames=[], size=0, plain=[], plain_size=0, seq=seq)
-            state["part"] = f"{state['path']}.{attempt}"
-            state["out"] = store.open_output_stream(state["part"])
+            state.update(path=f"{base}/bundle-{part:06d}-{seq:04d}-{attempt}.warc.zst", frames=[], size=0, plain=[], plain_size=0, seq=seq)
+            state["out"] = store.open_output_stream(state["path"], compression=None)  # frames are made here
 
         def frame():
             if state["plain"]:
@@ -103,9 +103,7 @@ def _write(folder: str):
         def end():
             frame()
             state["out"].write(seek_table(state["frames"]))
-            state["out"].close()
-            store.move(state["part"], state["path"])
-            state.pop("out")
+            state.pop("out").close()
 
         for batch in slices(batches, 256):
             index = []
