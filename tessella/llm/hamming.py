@@ -42,9 +42,9 @@ def distance(a: str, b: str, segments: int):
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(segments)), F.lit(0)).cast("int")
 
 
-def masks(spark, radius: int) -> DataFrame:
-    """All SEGMENT-bit masks of ``radius`` ones: at most C(16, 8) = 12,870 rows, whatever the data."""
-    return spark.createDataFrame([(sum(1 << i for i in c),) for c in combinations(range(SEGMENT), radius)], "mask int")
+def masks(radius: int):
+    """All SEGMENT-bit masks of ``radius`` ones as a constant array: at most C(16, 8) = 12,870 items, whatever the data."""
+    return F.split(F.lit(",".join(str(sum(1 << i for i in c)) for c in combinations(range(SEGMENT), radius))), ",").cast("array<int>")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, max_radius: int = 5) -> DataFrame:
@@ -70,7 +70,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, max_radius: int = 5
     answer = None
     for radius in range(last + 1):
         probes = segment_rows(open_queries, F.col("id").alias("query_id"), F.col("code").alias("asked"))
-        probes = probes.crossJoin(F.broadcast(masks(spark, radius))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+        probes = probes.withColumn("mask", F.explode(masks(radius))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         found = probes.join(index, ["segment", "value"]).select("query_id", "code", distance("asked", "code", segments).alias("distance")).distinct()
         found = _best(found.join(entries, "code"), k)
         if best is not None:
