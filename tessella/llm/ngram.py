@@ -6,7 +6,10 @@ word hashes).  Documents link when ``den * |x & y| >= num * |x | y|``.
 1. *Inverted index, counted exactly.*  Each task sorts the shingles of about
    CHUNK tokens and deals them by hash range, as packed arrays, to ``parts``
    index parts.  A part counts each shingle over the whole corpus and sends
-   back only those found in two documents or more.  A link needs an overlap
+   back only those found in two documents or more.  A shingle that stands in
+   more than HOT documents of a chunk is counted there: its part is told the
+   count alone and its documents stay with the chunk, so a passage that a third
+   of the corpus shares costs its part a number for each chunk.  A link needs an overlap
    of ``num/den`` of either set, so a document with fewer shared shingles has
    none and leaves the search, whatever its size.
 2. *Short lists.*  Under one global order (frequency, then hash) two linked
@@ -31,6 +34,7 @@ empty, blank) have no set and link with nothing.  Repeated rows are copies.
 import bisect
 import heapq
 import math
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ from .graph import components
 
 #: Shingles that a task sorts at once; shingles that an index part holds on average; candidates in a block.
 CHUNK, PART, BLOCK = 1_000_000, 1_000_000, 64
+#: Documents of a chunk whose shingle is dealt posting by posting, at most.
+HOT = 8
 #: Tokens keep so many bits of the shingle's hash.
 BITS = 48
 #: 64-bit words of a set's bitmap; pivots of a list in a round of stars are the least and greatest by so many hashes; rounds at most.
@@ -84,6 +90,7 @@ def _emit(rows: list, kinds: list, names: list):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
 
+# A row without a head holds postings; with an empty one, tokens and counts of hot shingles; else a chunk's documents and hot postings.
 _FLOW = "part int, chunk long, body binary, extra binary, head binary"
 _FLOW_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 _FLOW_NAMES = ["part", "chunk", "body", "extra", "head"]
@@ -124,18 +131,27 @@ def _chunk(chunk: int, sets: list, ids: list, keys: list, parts: int):
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as out:
         out.write_batch(docs)
-    rows = [(chunk % parts, chunk, None, None, sink.getvalue().to_pybytes())]
+    rows, hot_lists = [], (None, None)
     kept = np.flatnonzero(first)
     if len(kept):
         tokens = np.concatenate([sets[i] for i in kept]) >> np.uint64(64 - BITS)
         owner = np.repeat(kept, n[kept]).astype(np.uint16)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        times = np.diff(np.append(new, len(tokens)))
+        if (hot := times > HOT).any():
+            held, local, mine = tokens[new[hot]], times[hot], np.repeat(hot, times)
+            hot_lists = (_pack(held, "<u8"), _pack(local, "<u2") + _pack(owner[mine], "<u2"))
+            edges = np.searchsorted(held, _edges(parts))
+            rows += [(part, chunk, _pack(held[lo:hi], "<u8"), _pack(local[lo:hi], "<u2"), b"") for part, (lo, hi) in enumerate(pairwise(edges)) if lo < hi]
+            tokens, owner = tokens[~mine], owner[~mine]
         edges = np.searchsorted(tokens, _edges(parts))
         for part in range(parts):
             lo, hi = edges[part], edges[part + 1]
             if lo < hi:
                 rows.append((part, chunk, _gaps(tokens[lo:hi]), _pack(owner[lo:hi], "<u2"), None))
+    rows.append((chunk % parts, chunk, *hot_lists, sink.getvalue().to_pybytes()))
     return _emit(rows, _FLOW_KINDS, _FLOW_NAMES)
 
 
@@ -159,15 +175,26 @@ def _count(group: pa.Table) -> pa.Table:
     """One index part: count its shingles, return the shared ones to their chunks."""
     body, extra, head = (group.column(c).to_pylist() for c in ("body", "extra", "head"))
     chunks, part = group.column("chunk").to_pylist(), group.column("part")[0].as_py()
-    rows = [(part, c, None, None, h) for c, h in zip(chunks, head, strict=True) if h is not None]
-    lists = [(c, _tokens(b), e) for c, b, e in zip(chunks, body, extra, strict=True) if b is not None]
-    if lists:
-        every = np.concatenate([t for _, t, _ in lists])
+    found = list(zip(chunks, body, extra, head, strict=True))
+    rows = [(part, *row) for row in found if row[3]]
+    lists = [(c, _tokens(b), e) for c, b, e, h in found if h is None]
+    told = [(c, np.frombuffer(b, dtype="<u8"), np.frombuffer(e, dtype="<u2")) for c, b, e, h in found if h == b""]
+    if lists or told:
+        every = np.concatenate([np.empty(0, dtype=np.uint64), *(t for _, t, _ in lists)])
         every.sort()
-        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, dtype=np.int64)
         counts, values = np.diff(np.append(new, len(every))), every[new]
+        if told:
+            hot, which = np.unique(np.concatenate([t for _, t, _ in told]), return_inverse=True)
+            times = np.bincount(which, weights=np.concatenate([n for _, _, n in told])).astype(np.int64)
+            at = np.searchsorted(values, hot)
+            old = at < len(values)
+            old[old] = values[at[old]] == hot[old]
+            counts[at[old]] += times[old]
+            values, counts = np.insert(values, at[~old], hot[~old]), np.insert(counts, at[~old], times[~old])
         shared = counts > 1
         values, counts = values[shared], np.minimum(counts[shared], 65535)
+        rows += [(part, c, _pack(t, "<u8"), _pack(counts[np.searchsorted(values, t)], "<u2"), b"") for c, t, _ in told]
         for chunk, tokens, extra_bytes in lists:
             if not len(values):
                 break
@@ -186,11 +213,18 @@ def _gather(num: int, den: int):
     """One chunk: its documents, with shared shingles (rarest first) where there are enough for a link."""
 
     def run(group: pa.Table) -> pa.Table:
-        head = next(h for h in group.column("head").to_pylist() if h is not None)
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("body", "extra", "head")), strict=True))
+        held, hot_lists, head = next(row for row in rows if row[2])
         docs = pa.ipc.open_stream(head).read_all()
         n = docs.column("n").to_numpy()
         out = [None] * len(n)
-        parts = [(_tokens(b), np.frombuffer(e, dtype="<u2").reshape(2, -1)) for b, e in zip(group.column("body").to_pylist(), group.column("extra").to_pylist(), strict=True) if b is not None]
+        parts = [(_tokens(b), np.frombuffer(e, dtype="<u2").reshape(2, -1)) for b, e, h in rows if h is None]
+        if held:
+            tokens, lists = np.frombuffer(held, dtype="<u8"), np.frombuffer(hot_lists, dtype="<u2")
+            told = [(np.frombuffer(b, dtype="<u8"), np.frombuffer(e, dtype="<u2")) for b, e, h in rows if h == b""]
+            order = np.argsort(np.concatenate([t for t, _ in told]))  # the same tokens, by part
+            counts, local = np.concatenate([c for _, c in told])[order], lists[: len(tokens)]
+            parts.append((np.repeat(tokens, local), np.stack([lists[len(tokens) :], np.repeat(counts, local)])))
         if parts:
             tokens, owner = np.concatenate([t for t, _ in parts]), np.concatenate([e[0] for _, e in parts])
             count = np.concatenate([e[1] for _, e in parts])
@@ -339,8 +373,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``).
 
     ``component_id`` is the least doc_id reachable by links, the row's own
-    where it has none.  Rows with a null doc_id take part; their component is
-    null only if no row reachable has an id.
+    where it has none.  Rows with a null doc_id take the component of rows of
+    equal text; a text that only such rows have is not searched, and their
+    component is null.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
