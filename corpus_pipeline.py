@@ -36,8 +36,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that neither a base rule nor a learned rule rejects."""
-    learned = rules.train(docs, _labels(spark, sf_dir), _learnable)
+    """Keep the documents that neither a base rule nor a learned rule rejects.
+
+    The list is learned from the labelled rows of all documents of ``sf_dir``: what the classifier keeps has hardly a bad one left to learn from.
+    """
+    learned = rules.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), _labels(spark, sf_dir), _learnable)
     return rules.apply_rules(_rows(docs), learned, "_row").where("kept").select("_row.*")
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+rules = pytest.importorskip("tessella.llm.rules")
 
 
 @pytest.fixture
@@ -39,6 +40,13 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == seen["best-fit packing"].count()
 
 
+def test_learned_rules_act_after_the_classifier(spark, folder):
+    passed = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 or doc_id = 75")  # of the labelled junk one, as if the classifier had passed it
+    base = rules.apply_rules(passed, [], "doc_id")
+    assert base.where("doc_id = 75").first()["kept"]
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, passed, folder).collect()} == set(range(60))
+
+
 def test_empty(spark, folder, tmp_path):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
