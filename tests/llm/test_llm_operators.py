@@ -294,6 +294,12 @@ def test_secret_spans_of_a_long_text(field):
     assert len(extra) >= 400 and all(text[a:b].isascii() and " " not in text[a:b] for a, b, *_ in extra)
 
 
+def test_secret_file_features_see_the_whole_text():
+    late = [b"word"] * 2000 + [b"key", b"=", b"value"] * 1000
+    assert secrets.file_features(late) == secrets.file_features(late[::-1]) == (1.0, 1.0, 1.0, 0.0)
+    assert secrets.file_features([b"word"] * 5000 + [b"="] * 50)[2] == 0.0
+
+
 def test_secret_documents(docs, none, field):
     got = secrets.scan_documents(docs, field).collect()
     assert len(got) == docs.count()
