@@ -1,5 +1,9 @@
 """Secret scan by a linear-chain conditional random field over words.
 
+A word is a run of value characters with the signs around it (or a run of
+signs alone), so that every value of an unspaced row, query string or minified
+file has a tag of its own.
+
 Words are tagged begin, inside or outside of a secret.  A word's score comes
 from its own shape, the shapes of the two words before and the one after, and
 features of the whole file; tags follow by Viterbi.  A secret's span runs over
@@ -38,6 +42,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 VALUE = re.compile(rb"[A-Za-z0-9+/_.-]+={0,2}")
+_SIGN, _CLOSES = r"[^\sA-Za-z0-9+/_.-]", r"""[^\sA-Za-z0-9+/_.\-"'({\[<]"""
+#: A word: signs, a value, a closing quote and further signs up to those that open the next word; or signs alone.
+_WORD = rf"""{_SIGN}*+[A-Za-z0-9+/_.-]++={{0,2}}(?:["'](?![A-Za-z0-9+/_]))?{_CLOSES}*+|{_SIGN}++"""
+WORD, WORD_OF_TEXT = re.compile(_WORD.encode()), re.compile(_WORD, re.ASCII)
 KEYWORD = re.compile(rb"(?i)password|passwd|secret|token|api_?key|credential|private|auth")
 #: Documents in the sample at most, of each sort; their longest; words on each side of a secret.
 MOST_DOCS, MOST_CHARS, AROUND = 300, 20_000, 12
@@ -62,7 +70,7 @@ def base_spans(text: str) -> list:
 
 def shape(word: bytes) -> tuple:
     """Numbers of the features that a word has."""
-    value = max(VALUE.findall(word), key=len, default=b"")
+    value = max(VALUE.findall(word), key=len, default=b"")  # a word as WORD cuts it has one at most
     n = len(value)
     digits = sum(48 <= c < 58 for c in value)
     upper = sum(65 <= c < 91 for c in value)
@@ -86,7 +94,7 @@ def shape(word: bytes) -> tuple:
         b"=" in word or b":" in word,
         word[:1] in (b'"', b"'") or word[-1:] in (b'"', b"'"),
         b"@" in word,
-        b"://" in word or word.startswith(b"www."),
+        b"://" in word or word.startswith((b"www.", b"//")),
         value.startswith(b"AKIA"),
         value[:4].lower() in (b"ghp_", b"sk-l", b"sk_l", b"xoxb", b"eyjh"),
     )
@@ -181,7 +189,7 @@ class Field:
     def spans(self, text: str) -> list:
         """``(start, end)`` of the secrets in a text, in code points."""
         raw = text.encode()
-        words = raw.split()
+        words = WORD.findall(raw)
         tags = self.tags(words)
         hits = np.flatnonzero(tags != OUTSIDE)
         if not len(hits):
@@ -191,7 +199,7 @@ class Field:
         wanted = set(hits.tolist())
         for k, w in enumerate(words):
             at = raw.index(w, at)
-            if k in wanted and (m := max(VALUE.finditer(w), key=lambda m: m.end() - m.start(), default=None)):
+            if k in wanted and (m := VALUE.search(w)):
                 passed, seen = passed + len(raw[seen : at + m.start()].decode()), at + m.start()
                 lo, hi = passed, passed + len(m[0])  # a value is ASCII
                 if out and tags[k] == INSIDE and out[-1][2] == k - 1:  # goes on
@@ -233,10 +241,11 @@ def synthetic(rng) -> tuple:
     if form == 1:
         return [f"{key}:", f"{quote}{value}{quote}"], [OUTSIDE, BEGIN]
     if form == 2:
-        return [f"{key}={quote}{value}{quote}"], [BEGIN]
+        return [f"{key}=", f"{quote}{value}{quote}"], [OUTSIDE, BEGIN]
     if len(value) < 20:
         return [f"{key}:", value], [OUTSIDE, BEGIN]
-    return [f"{quote}{value}{quote}{rng.choice(['', '.', ','])}"], [BEGIN]
+    words = WORD_OF_TEXT.findall(f"{quote}{value}{quote}{rng.choice(['', '.', ','])}")
+    return words, [BEGIN, *[OUTSIDE] * (len(words) - 1)]
 
 
 def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
@@ -245,7 +254,7 @@ def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
     width = 2 * AROUND + 2
     windows = []
     for text in texts:
-        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+        found = list(WORD_OF_TEXT.finditer(text))
         words, offsets = [m[0] for m in found], [m.start() for m in found]
         if not words:
             continue

@@ -294,6 +294,16 @@ def test_secret_spans_of_a_long_text(field):
     assert len(extra) >= 400 and all(text[a:b].isascii() and " " not in text[a:b] for a, b, *_ in extra)
 
 
+def test_every_secret_of_an_unspaced_word(field):
+    a, b = "ghp_aB3dE5gH7jK9mN1pQ3sT5vX7zA9cD1eF", "sk-live-zY9xW8vU7tS6rQ5pO4nM3lK2jI1hG0fE"
+    assert base_by_hand(a + b) == []
+    for word in (f"A={a};B={b}", f'{{"A":"{a}","B":"{b}"}}', f"7,{a},{b},8", f"https://example.org/a/rather/long/and/harmless/path/to/the/very/last/page?a={a}&b={b}"):
+        text = f"das für {word} and the rest"
+        assert {a, b} <= {text[i:j] for i, j in field.spans(text)}
+        clean = secrets.redact(text, secrets.scan(text, field))
+        assert a not in clean and b not in clean and clean.startswith("das für ") and clean.endswith(" and the rest")
+
+
 def test_secret_file_features_see_the_whole_text():
     late = [b"word"] * 2000 + [b"key", b"=", b"value"] * 1000
     assert secrets.file_features(late) == secrets.file_features(late[::-1]) == (1.0, 1.0, 1.0, 0.0)
