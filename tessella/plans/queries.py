@@ -523,10 +523,11 @@ def _shares(v):
 
 @query("kmeans_fit")
 def _kmeans(v):
-    valid = cluster.prepare(v).where("valid and arm = 'arm1'")
-    model = cluster.fit(cluster.balanced_sample(valid, 500, 20), 3)
-    rows = [(k, *(float(c * s + m) for c, s, m in zip(v_, model.scale, model.center, strict=True)), model.inertia) for k, v_ in enumerate(model.centroids, 1)]
-    return v.sparkSession.createDataFrame(rows, "cluster int, log_area double, shape double, inertia double")
+    valid, rows = cluster.prepare(v).where("valid"), []
+    for arm in sorted(r[0] for r in valid.select("arm").distinct().collect()):  # the design's arms, each fitted alone
+        model = cluster.fit(cluster.balanced_sample(valid.where(F.col("arm") == arm), 3000, 20), 3)
+        rows += [(arm, k, *(float(c * s + m) for c, s, m in zip(v_, model.scale, model.center, strict=True)), model.inertia) for k, v_ in enumerate(model.centroids, 1)]
+    return v.sparkSession.createDataFrame(rows, "arm string, cluster int, log_area double, shape double, inertia double")
 
 
 @query("spread_targets")

@@ -45,3 +45,11 @@ def test_query(spark, sql, name):
     assert len(mine) == len(theirs)
     for a, b in zip(mine, theirs, strict=True):
         assert a == pytest.approx(b, abs=2e-6)
+
+
+def test_kmeans_fit_covers_every_arm_with_the_whole_sample(spark, monkeypatch):
+    caps, sample = [], plans.cluster.balanced_sample
+    monkeypatch.setattr(plans.cluster, "balanced_sample", lambda valid, cap, *more: (caps.append(cap), sample(valid, cap, *more))[1])
+    rows = plans.QUERIES["kmeans_fit"](spark, SF).collect()
+    assert sorted((r.arm, r["cluster"]) for r in rows) == [(arm, k) for arm in ("arm1", "arm2") for k in (1, 2, 3)]
+    assert caps == [3000, 3000]
