@@ -1,8 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-DataFrame and SQL functions only.  A block is a line of a document, a template
-a known notice; both are sets of words.  A block matches a template when it
-holds at least ``threshold`` of the template's words.
+DataFrame and SQL functions only.  A block is a line of a document, or a window
+of consecutive words across line ends, as notices stand wrapped in files; a
+template is a known notice; all are sets of words.  A block matches a template
+when it holds at least ``threshold`` of the template's words.  A window is as
+long as the template with the same share of foreign words: its words, repeats
+counted, over ``threshold``.
 
 Words outside all templates never count, so a block is reduced to template
 words, numbered by their document frequency over the whole corpus, rarest
@@ -16,6 +19,10 @@ first.  With ``t = ceil(threshold * |T|)``:
   sides to reach t;
 * what passes is verified by the size of the intersection.
 
+Windows are joined on the same words of the template: one that matches holds
+one of its first ``|T| - t + 1`` words, so only the words around each such word
+are looked at, in documents of several lines.
+
 Templates are a parameter and small by nature (at most MAX_TEMPLATES), so they
 are broadcast.  Fixed phrases are located besides, word by word.
 
@@ -71,6 +78,13 @@ def _template_words(templates: dict) -> dict:
     return {label: sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))) for label, text in templates.items()}
 
 
+def _window(text: str, threshold: float) -> int:
+    """Words of a window for a template of this text."""
+    import re
+
+    return math.ceil(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) / threshold - 1e-9)
+
+
 def _places(phrase: tuple) -> Column:
     """Word positions where a phrase stands; looked for only where all its words occur."""
     low, words = F.col("low"), F.col("words")
@@ -88,6 +102,32 @@ def _places(phrase: tuple) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)).otherwise(F.array().cast("array<int>"))
 
 
+def _wrapped(scanned: DataFrame, plans: dict) -> DataFrame:
+    """``(doc_id, h, label, containment)`` of the windows across line ends that match.
+
+    ``plans``: for each label the template's words, how many a match holds at
+    least, the words of a window, and the words one of which a match holds.
+    """
+    rows = [(w, label, words, t, width) for label, (words, t, width, anchors) in plans.items() for w in anchors]
+    anchors = scanned.sparkSession.createDataFrame(rows, "word string, label string, template array<string>, t int, width int")
+    reach = max((width for _, _, width, _ in plans.values()), default=1) - 1
+    starters = sorted({w for w, *_ in rows})
+
+    def around(i):
+        lo = F.greatest(i - reach, F.lit(0))
+        return F.struct(F.get("words", i).alias("word"), F.slice("words", lo + 1, i - lo + 1 + reach).alias("near"), (i - lo).alias("at"))
+
+    docs = scanned.where(F.col("low").contains("\n")).select("doc_id", "h", words_of(F.col("low")).alias("words")).where(F.size("words") > 0)
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(starters))
+    probes = docs.select("doc_id", "h", F.explode(F.transform(places, around)).alias("p")).select("doc_id", "h", "p.*")
+    # windows that hold the word start at most width - 1 words before it
+    first = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+    found = probes.join(F.broadcast(anchors), "word").withColumn("near", F.slice("near", first + 1, F.col("at") - first + F.col("width"))).withColumn("starts", F.sequence(F.lit(1), F.col("at") - first + 1))
+    found = found.where(F.size(F.array_intersect("near", "template")) >= F.col("t"))
+    held = F.array_max(F.transform("starts", lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("width")), F.col("template")))))
+    return found.withColumn("held", held).where("held >= t").select("doc_id", "h", "label", (F.col("held") / F.size("template")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for every row of ``docs``.
 
@@ -95,7 +135,8 @@ def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: flo
     of a matched template, 0 without a match.
     """
     spark = docs.sparkSession
-    sets = {k: v for k, v in _template_words(TEMPLATES if templates is None else templates).items() if v}
+    templates = TEMPLATES if templates is None else templates
+    sets = {k: v for k, v in _template_words(templates).items() if v}
     if len(sets) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     vocabulary = sorted({w for v in sets.values() for w in v})
@@ -138,6 +179,7 @@ def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: flo
     )
     overlap = F.size(F.array_intersect("block", "template"))
     matched = found.withColumn("overlap", overlap).where("overlap >= t").select("doc_id", "h", "label", (F.col("overlap") / F.size("template")).alias("containment"))
+    matched = matched.unionByName(_wrapped(scanned, {label: (sets[label], t, _window(templates[label], threshold), [ranked[r] for r in order[: len(order) - t + 1]]) for _, p, t, label, order in plans if p == 0}))
     matched = matched.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
 
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))

@@ -418,6 +418,24 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_wrapped_notices(spark):
+    mit = """/* Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction */
+x = 1"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation"""
+    bsd = """Copyright (c) 2001
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions"""
+    far = "\n".join(f"{w} {'x y z ' * 10}" for w in licenses.TEMPLATES["bsd"].split())
+    texts = {1: mit, 2: gpl, 3: bsd, 4: far, 5: "All\nrights\nreserved", 6: mit.replace("\n", "\r\n"), 7: "\n\n", 8: "pad " * 3000 + bsd}
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: got[i].labels for i in texts} == {1: "mit-text", 2: "gpl,gpl-text", 3: "bsd", 4: "", 5: "reserved", 6: "mit-text", 7: "", 8: "bsd"}
+    assert got[1].score == got[3].score == got[6].score == 1.0 and got[4].score == 0.0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_whole_tables(spark, name):
     sf = "/root/testdata/sf0.001"
