@@ -65,10 +65,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, max_radius: int = 5
     segment_rows = lambda df, *names: df.select(*names, F.posexplode("code").alias("segment", "value"))
     index = segment_rows(entries, "code")
     best, open_queries = None, queries
-    n_codes = entries.count()
-    last = max_radius if n_codes > 2000 else -1
     answer = None
-    for radius in range(last + 1):
+    for radius in range(max_radius + 1):
         probes = segment_rows(open_queries, F.col("id").alias("query_id"), F.col("code").alias("asked"))
         probes = probes.crossJoin(F.broadcast(masks(spark, radius))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         found = probes.join(index, ["segment", "value"]).select("query_id", "code", distance("asked", "code", segments).alias("distance")).distinct()

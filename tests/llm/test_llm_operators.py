@@ -360,6 +360,22 @@ def test_hamming_equals_brute_force(spark, rows):
     assert hamming.top_k(codes.limit(0), codes.limit(0)).count() == 0
 
 
+def test_hamming_radii_answer_small_tables(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "_against_all", lambda *_: pytest.fail("compared with all codes"))
+    rng = np.random.default_rng(3)
+    bits = np.tile(rng.random(32) < 0.5, (300, 1))
+    for row in bits:
+        row[rng.choice(32, rng.integers(1, 4), replace=False)] ^= True
+    codes = hamming.sign_codes(spark.createDataFrame([(i, [1.0 if b else -1.0 for b in r]) for i, r in enumerate(bits)], "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in hamming.top_k(codes, codes.where("id % 100 = 0"), 7).collect():
+        got[r.query_id].append((r["rank"], r.distance, r.neighbor_id))
+    for q in (0, 100, 200):
+        d = (bits != bits[q]).sum(1)
+        assert [(b, c) for _, b, c in sorted(got[q])] == sorted((int(d[i]), i) for i in range(300) if i != q)[:7]
+    assert set(got) == {0, 100, 200}
+
+
 def stats_by_hand(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, dup, seen = (text or "").split("\n"), 0, set()
