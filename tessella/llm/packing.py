@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import PRETOKENS, byte_symbols
+from .bpe import PRETOKENS, SegmentTreeBPE, byte_symbols
 from .common import slices, table, worker_state
 
 CAPACITY, END_ID, BUCKET = 2048, 0, 8192
@@ -157,7 +157,10 @@ def fast_encoder(path: str):
     """text -> ids as the tokenizer file says, special tokens included.
 
     A byte-level BPE file whose ids follow its merges is run by the rank
-    encoder, several times as fast; any other by the tokenizers library.
+    encoder, several times as fast; any other by the tokenizers library.  The
+    rank encoder's expression gives up on about a million blanks in a row; such
+    a text is encoded by :class:`SegmentTreeBPE`, whose splitting has no such
+    bound.
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
@@ -168,7 +171,17 @@ def fast_encoder(path: str):
     if kind == ("ByteLevel", "BPE", None) and merged == sorted(merged) and not spec["pre_tokenizer"]["add_prefix_space"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
         ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         coder = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: coder.encode(text, allowed_special="all")
+        patient = []
+
+        def encode(text):
+            try:
+                return coder.encode(text, allowed_special="all")
+            except ValueError:
+                if not patient:
+                    patient.append(SegmentTreeBPE(path))
+                return patient[0].encode(text)
+
+        return encode
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()

@@ -136,6 +136,15 @@ def test_packing(docs, none, library):
     assert packing.pack(none, FILE).count() == 0
 
 
+def test_packing_of_long_blank_runs(spark, library):
+    texts = [" " * 3_000_000, "a\n" + "\n" * 1_000_000 + "b", "\t" * 1_100_000 + " x"]
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), FILE, keep_ids=True).select("doc_id", "piece", "ids").collect():
+        got[r.doc_id].append((r.piece, r.ids))
+    for i, t in enumerate(texts):
+        assert [x for _, ids in sorted(got[i]) for x in ids] == [*library.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_ranking_learns_and_survives_nothing(spark, docs, none):
     rng = np.random.default_rng(0)
     x = rng.random((400, len(textstats.RATIOS)))
