@@ -21,6 +21,7 @@ begins a secret as well; no transition is forbidden.)
 Null text is empty and has no spans.  Rows stand alone: repeats repeat.
 """
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, table, worker_state
 
 # The base patterns and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -46,9 +47,16 @@ _SIGN, _CLOSES = r"[^\sA-Za-z0-9+/_.-]", r"""[^\sA-Za-z0-9+/_.\-"'({\[<]"""
 #: A word: signs, a value, a closing quote and further signs up to those that open the next word; or signs alone.
 _WORD = rf"""{_SIGN}*+[A-Za-z0-9+/_.-]++={{0,2}}(?:["'](?![A-Za-z0-9+/_]))?{_CLOSES}*+|{_SIGN}++"""
 WORD, WORD_OF_TEXT = re.compile(_WORD.encode()), re.compile(_WORD, re.ASCII)
+_SORTS = bytes(range(48, 58)), bytes(range(65, 91)), bytes(range(97, 123))
+_HEX_DIGITS = b"0123456789abcdef"
 KEYWORD = re.compile(rb"(?i)password|passwd|secret|token|api_?key|credential|private|auth")
-#: Documents in the sample at most, of each sort; their longest; words on each side of a secret.
-MOST_DOCS, MOST_CHARS, AROUND = 300, 20_000, 12
+#: Digits and letters that :func:`shape` looks at; in other words a letter stands for any of its case.
+TELLING = re.compile(rb"(?i)[0-9]|password|passwd|secret|token|api_?key|credential|private|auth|akia|ghp_|sk[-_]l|xoxb|eyjh|www\.")
+_SAME_LETTER = bytes.maketrans(bytes(range(65, 91)) + bytes(range(97, 123)), b"A" * 26 + b"a" * 26)
+#: The fit's bounds: documents in the sample at most, of each sort; their longest; secrets of one document that give a window; words on each side of a secret.
+MOST_DOCS, MOST_CHARS, MOST_HITS, AROUND = 300, 20_000, 8, 12
+#: Words whose shape a worker remembers, at most, and their longest.
+MEMO, MEMO_BYTES = 300_000, 40
 #: Transition weights stay within this bound, so that what a transition can change stays small.
 MOVE = 4.0
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -72,9 +80,7 @@ def shape(word: bytes) -> tuple:
     """Numbers of the features that a word has."""
     value = max(VALUE.findall(word), key=len, default=b"")  # a word as WORD cuts it has one at most
     n = len(value)
-    digits = sum(48 <= c < 58 for c in value)
-    upper = sum(65 <= c < 91 for c in value)
-    lower = sum(97 <= c < 123 for c in value)
+    digits, upper, lower = (n - len(value.translate(None, c)) for c in _SORTS)
     kinds = (digits > 0) + (upper > 0) + (lower > 0)
     on = (
         True,
@@ -83,7 +89,7 @@ def shape(word: bytes) -> tuple:
         n >= 16 and kinds >= 2 and digits > 1,
         n >= 24 and kinds >= 2,
         n >= 20 and not lower and upper > 4 and digits > 0,
-        n >= 16 and digits > 0 and all(48 <= c < 58 or 97 <= c < 103 for c in value),
+        n >= 16 and digits > 0 and not value.translate(None, _HEX_DIGITS),
         n >= 16 and kinds == 3,
         n >= 8 and len(set(value)) >= 0.5 * n and digits > 1,
         n >= 6 and digits == n,
@@ -112,6 +118,30 @@ def file_features(words: list) -> tuple:
     return (1.0, float(n > 200), float(signs > 0.02 * n), float(n < 40))
 
 
+class _Shapes(dict):
+    """word -> number of its shape; the shapes by number.  Long words are not kept."""
+
+    def __init__(self):
+        self.numbers, self.shapes, self.plain = {}, [], {}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(word) > MEMO_BYTES or TELLING.search(word):
+            k = self.number(shape(word))
+        else:  # the shape does not depend on which letters these are
+            like = word.translate(_SAME_LETTER)
+            if (k := self.plain.get(like)) is None:
+                k = self.plain[like] = self.number(shape(like))
+        if len(word) <= MEMO_BYTES:
+            self[word] = k
+        return k
+
+    def number(self, found: tuple) -> int:
+        k = self.numbers.setdefault(found, len(self.shapes))
+        if k == len(self.shapes):
+            self.shapes.append(found)
+        return k
+
+
 @dataclass
 class Field:
     """Weights: shape features by place, file features, and transitions between tags."""
@@ -122,9 +152,8 @@ class Field:
     start: np.ndarray  # tag
 
     def __post_init__(self):
-        self.memo: dict = {}
-        self.numbers: dict = {}
-        self.table = np.zeros((len(PLACES), 0, 3))
+        self.seen, self.table, self.known = _Shapes(), None, 0
+        self.key = hashlib.sha256(b"".join(w.tobytes() for w in (self.shapes, self.files, self.moves, self.start))).hexdigest()
         m = self.moves
         ends = np.concatenate([m, self.start[None]])  # what may stand before: a tag or the start
         # the most that another tag than outside gains by its transitions, over all neighbours (none after the last word)
@@ -133,30 +162,26 @@ class Field:
 
     def classes(self, words: list) -> np.ndarray:
         """A number for each word's shape."""
-        memo = self.memo
-        if len(memo) > 300_000:
-            memo.clear()
-        out = []
-        for w in words:
-            k = memo.get(w)
-            if k is None:
-                found = shape(w)
-                k = self.numbers.get(found)
-                if k is None:
-                    k = self.numbers[found] = len(self.numbers)
-                    row = self.shapes[:, list(found)].sum(axis=1)[:, None]
-                    self.table = np.concatenate([self.table, row], axis=1)
-                if len(w) <= 40:
-                    memo[w] = k
-            out.append(k)
-        return np.array(out, dtype=np.int64)
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+            self.seen.plain.clear()
+        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+
+    def place_scores(self, k: np.ndarray) -> np.ndarray:
+        """Scores (place, word, tag) of words by their shape numbers."""
+        if self.known < len(self.seen.shapes):  # shapes met since
+            on = np.zeros((len(self.seen.shapes), N_SHAPE))
+            for i, found in enumerate(self.seen.shapes):
+                on[i, list(found)] = 1
+            self.table, self.known = on @ self.shapes, len(on)
+        return self.table[:, k]
 
     def emissions(self, words: list) -> np.ndarray:
-        k = self.classes(words)
-        e = self.table[0][k] + np.array(file_features(words)) @ self.files
-        e[1:] += self.table[1][k[:-1]]
-        e[2:] += self.table[2][k[:-2]]
-        e[:-1] += self.table[3][k[1:]]
+        here, before, second, after = self.place_scores(self.classes(words))
+        e = here + np.array(file_features(words)) @ self.files
+        e[1:] += before[:-1]
+        e[2:] += second[:-2]
+        e[:-1] += after[1:]
         return e
 
     def tags(self, words: list) -> np.ndarray:
@@ -260,7 +285,7 @@ def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
             continue
         files = file_features([w.encode() for w in words])
         tags = label_words(words, offsets, base_spans(text))
-        hits = [i for i, t in enumerate(tags) if t == BEGIN][:8]
+        hits = [i for i, t in enumerate(tags) if t == BEGIN][:MOST_HITS]
         for i in hits:
             windows.append((words[max(0, i - AROUND) : i + AROUND], tags[max(0, i - AROUND) : i + AROUND], files))
         for i in rng.integers(0, len(words), 2):
@@ -275,16 +300,18 @@ def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
             more, on = synthetic(rng)
             windows.append((["the", *more, "of"], [OUTSIDE, *on, OUTSIDE], (1.0, 0.0, 0.0, 1.0)))
     n, length = len(windows), max(len(w) for w, _, _ in windows)
-    x = np.zeros((n, length, len(PLACES), N_SHAPE), dtype=np.float32)
+    on = np.zeros((n, length, N_SHAPE), dtype=np.float32)
     y, mask, files = np.full((n, length), OUTSIDE), np.zeros((n, length)), np.array([f for *_, f in windows])
     for s, (words, tags, _) in enumerate(windows):
-        shapes = [shape(w.encode()) for w in words]
         y[s, : len(tags)], mask[s, : len(tags)] = tags, 1
-        for i in range(len(words)):
-            for p, place in enumerate(PLACES):
-                if 0 <= i + place < len(words):
-                    x[s, i, p, list(shapes[i + place])] = 1
+        for i, w in enumerate(words):
+            on[s, i, list(shape(w.encode()))] = 1
+    x = np.zeros((n, length, len(PLACES), N_SHAPE), dtype=np.float32)
+    for p, place in enumerate(PLACES):
+        lo, hi = max(0, -place), length - max(0, place)
+        x[:, lo:hi, p] = on[:, lo + place : hi + place]
     flat = x.reshape(n, length, -1)
+    here = mask[..., None] > 0
     gold = np.eye(3)[y] * mask[..., None]
     weights = [np.zeros((flat.shape[2], 3)), np.zeros((N_FILE, 3)), np.zeros((3, 3)), np.zeros(3)]
     seen = [np.zeros_like(w) for w in weights]
@@ -293,18 +320,19 @@ def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
     for step in range(1, steps + 1):
         e = (flat @ weights[0].astype(np.float32)).astype(float) + (files @ weights[1])[:, None]
         moves, start = weights[2], weights[3]
-        # forward and backward; where the mask ends, states are carried on unchanged
-        alpha, beta = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        alpha[:, 0] = e[:, 0] + start
+        # forward and backward, each position scaled to sum 1; where the mask ends, states are carried on unchanged
+        odds, turn = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(moves)
+        alpha, beta = np.zeros((n, length, 3)), np.full((n, length, 3), 1 / 3)
+        scaled = lambda a: a / a.sum(axis=1, keepdims=True)
+        alpha[:, 0] = scaled(odds[:, 0] * np.exp(start))
         for t in range(1, length):
-            on = mask[:, t, None] > 0
-            alpha[:, t] = np.where(on, np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves, axis=1) + e[:, t], alpha[:, t - 1])
+            alpha[:, t] = np.where(here[:, t], scaled(alpha[:, t - 1] @ turn * odds[:, t]), alpha[:, t - 1])
         for t in range(length - 2, -1, -1):
-            on = mask[:, t + 1, None] > 0
-            beta[:, t] = np.where(on, np.logaddexp.reduce(moves + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), beta[:, t + 1])
-        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + moves + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])) * mask[:, 1:, None, None]
+            beta[:, t] = np.where(here[:, t + 1], scaled((odds[:, t + 1] * beta[:, t + 1]) @ turn.T), beta[:, t + 1])
+        p = alpha * beta
+        p *= mask[..., None] / p.sum(axis=2, keepdims=True)
+        pair = alpha[:, :-1, :, None] * turn * (odds[:, 1:] * beta[:, 1:])[:, :, None, :]
+        pair *= (mask[:, 1:] / pair.sum(axis=(2, 3)))[..., None, None]
         d = gold - p
         gradients = [
             flat.reshape(n * length, -1).T @ d.reshape(n * length, 3).astype(np.float32),
@@ -321,20 +349,39 @@ def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
     return Field(weights[0].reshape(len(PLACES), N_SHAPE, 3), weights[1], weights[2], weights[3])
 
 
+def _least_hashes(marked: DataFrame, likely: bool, most: int, rows: int) -> list:
+    """The distinct texts of least hash, ``most`` at most, of those that are likely to hold a base secret, or of the others.
+
+    The patterns are tried on a share of the hashes only, which grows until it
+    holds enough; what a share holds is written, deduplicated, without the rest.
+    """
+    share = min(1.0, 10 * most / max(1, rows))
+    while True:
+        top = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+        part = table(marked.where(F.col("h") <= top).where(F.col("likely") == likely).select("h", "text").dropDuplicates(["h"]), "secret-sample")
+        found = part.count()
+        if found >= most or share >= 1:
+            return [r["text"] for r in part.orderBy("h").limit(most).collect()]
+        share = min(1.0, share * max(2.0, min(16.0, 1.3 * most / max(1, found))))
+
+
 def train(docs: DataFrame, most: int = MOST_DOCS) -> Field:
-    """A field from at most ``most`` documents that may hold a base secret and as many others, chosen by a hash."""
+    """A field from at most ``most`` documents of up to MOST_CHARS characters that may hold a base secret, and as many others, chosen by a hash of the text."""
     text = docs.select(docs["text"].cast("string").alias("text")).where(F.length("text").between(1, MOST_CHARS))
     low = F.lower("text")
     likely = F.col("text").contains("AKIA") | ((F.col("text").contains("=") | F.col("text").contains(":")) & F.greatest(*(low.contains(k) for k in KEYWORDS))) | F.col("text").rlike("[0-9a-f]{24}")
-    order = F.xxhash64("text")
-    marked = text.select("text", likely.alias("likely"), order.alias("h"))
-    # first the hash up to which texts are taken, so that no text but those of the sample is moved
-    chosen = F.lit(False)
-    for flag in (True, False):
-        cut = marked.where(F.col("likely") == flag).select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        if cut is not None:
-            chosen = chosen | ((F.col("likely") == flag) & (F.col("h") <= cut))
-    return fit(sorted({r["text"] for r in marked.where(chosen).select("text").distinct().collect()}))
+    marked, rows = text.select("text", F.xxhash64("text").alias("h"), likely.alias("likely")), docs.count()
+    return fit(sorted({t for flag in (True, False) for t in _least_hashes(marked, flag, most, rows)}))
+
+
+def own(field: Field | None) -> Field | None:
+    """The worker's copy of a field, so that the words it remembers outlive a task; a worker keeps one."""
+    if field is None:
+        return None
+    held = worker_state("secret-field", dict)
+    if held.get("key") != field.key:
+        held.update(key=field.key, field=field)
+    return held["field"]
 
 
 def scan(text: str, field: Field | None) -> list:
@@ -372,22 +419,26 @@ def listed(spans: list, kinds=range(len(KINDS))) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k, *_ in spans if k in kinds)
 
 
-def scan_documents(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``(id, n_assign, n_access, n_hex, base_spans, spans, redacted)`` of every row."""
+def scan_documents(docs: DataFrame, field: Field | None, redacted: bool = False) -> DataFrame:
+    """``(id, n_assign, n_access, n_hex, base_spans, spans[, redacted])`` of every row; ``redacted``: also the text without its secrets."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    names = ("n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted")
+    width = 6 if redacted else 5
 
     def run(batches):
+        mine = own(field)
         for batch in slices(batches, 128):
             rows = []
             for text in batch.column(1).to_pylist():
-                found = scan(text or "", field)
+                found = scan(text or "", mine)
                 n = Counter(k for _, _, k, *_ in found)
-                rows.append((n[0], n[1], n[2], listed(found, (0, 1, 2)), listed(found), redact(text, found) if text is not None else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted"])
+                row = (n[0], n[1], n[2], listed(found, (0, 1, 2)), listed(found))
+                rows.append((*row, redact(text, found) if text is not None else None) if redacted else row)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[:width], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names[:width]])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, base_spans string, spans string, redacted string")
+    return rows.mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, base_spans string, spans string" + ", redacted string" * redacted)
 
 
 def redact_documents(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -395,8 +446,9 @@ def redact_documents(docs: DataFrame, field: Field | None) -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        mine = own(field)
         for batch in slices(batches, 128):
-            texts = [t if t is None else redact(t, scan(t, field)) for t in batch.column(names.index("text")).to_pylist()]
+            texts = [t if t is None else redact(t, scan(t, mine)) for t in batch.column(names.index("text")).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[names.index("text")] = pa.array(texts, batch.schema.field(names.index("text")).type)
             if "n_chars" in names:

@@ -319,9 +319,40 @@ def test_secret_file_features_see_the_whole_text():
     assert secrets.file_features([b"word"] * 5000 + [b"="] * 50)[2] == 0.0
 
 
+def test_secret_field_on_held_out_secrets():
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t and len(t) <= secrets.MOST_CHARS]
+    learned = secrets.fit(sorted(set(texts[::2])))
+    rng, found, missed, foreign = np.random.default_rng(99), 0, 0, 0
+    for text in sorted({t for t in texts[1::2] if not secrets.base_spans(t)} - set(texts[::2])):
+        words, (more, tags) = text.split(" "), secrets.synthetic(rng)
+        k = int(rng.integers(0, len(words) + 1))
+        value = secrets.VALUE.search(more[tags.index(secrets.BEGIN)].encode())[0].decode()
+        text = " ".join([*words[:k], *more, *words[k:]])
+        at, spans = text.index(value), learned.spans(text)
+        hit = any(a <= at and b >= at + len(value) for a, b in spans)
+        found, missed = found + hit, missed + (not hit)
+        foreign += sum(a >= at + len(value) or b <= at for a, b in spans)
+    assert found + missed > 200 and found >= 0.95 * (found + missed) and found >= 0.95 * (found + foreign)
+
+
+def test_secret_sample_is_the_least_hashes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(secrets, "fit", lambda texts: taken.append(texts))
+    texts = [f"plain text {i}" for i in range(900)] + [f"token = value{i:07d}" for i in range(40)] + ["token = hot0000"] * 500 + [None, "", "x" * (secrets.MOST_CHARS + 1)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    order = [r.text for r in frame.where("text is not null").select("text").distinct().orderBy(F.xxhash64("text")).collect()]
+    secrets.train(frame, 12)
+    want = [t for t in order if t.startswith("token")][:12] + [t for t in order if t.startswith("plain")][:12]
+    assert taken == [sorted(want)]
+
+
 def test_secret_documents(docs, none, field):
     got = secrets.scan_documents(docs, field).collect()
     assert len(got) == docs.count()
+    whole = secrets.scan_documents(docs, field, redacted=True).collect()
+    assert [r[:-1] for r in whole] == [tuple(r) for r in got] and {r.id: r.redacted for r in whole}[3] == "a"
     assert secrets.scan_documents(none, field).count() == 0
     kept = secrets.redact_documents(docs, field)
     assert kept.schema == docs.schema and kept.count() == docs.count()
