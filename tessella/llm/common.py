@@ -5,21 +5,28 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict = {}
+#: Paths of the tables made in each open scratch block, the innermost last.
+_OPEN: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` where it is set; else (tests, one machine) a
-    folder of our own for the life of this process.
+    ``spark.checkpoint.dir`` where it is set; else, on one machine only, a
+    folder of our own for the life of this process.  On a cluster without that
+    setting this is an error: executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that driver and executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.mkdtemp(prefix="tessella-")
             atexit.register(_remove, _OWN["dir"])
@@ -51,14 +58,43 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and reread it.
 
     This cuts lineage as a checkpoint does, but columnar and compressed; the
-    files outlive any executor.
+    files outlive any executor.  Inside :func:`scratch` it goes when the block ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose tables are deleted at its end.
+
+    Gives ``keep(df, name)``, which writes a table that outlives the block (and
+    goes with the block around it, if there is one).
+    """
+    made: list = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = table(df, name)
+        path = made.pop()
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in made:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def worker_state(name: str, make):
     """State that lives as long as the Python worker, made at its first use."""
     store = sys.modules.setdefault("_tessella_worker_state", types.ModuleType("_tessella_worker_state"))
