@@ -29,6 +29,11 @@ word hashes).  Documents link when ``den * |x & y| >= num * |x | y|``.
 
 Identical sets are one class from the start.  Documents without a word (null,
 empty, blank) have no set and link with nothing.  Repeated rows are copies.
+
+Shingles are compared by hash: 64 bits for the set's size, BITS of them in the
+index.  Two different sets of n shingles share a foreign token by chance with
+about ``n * n / 2**BITS`` (for 1,000 shingles, 4e-9), whatever the size of the
+corpus; a token that only seems shared elsewhere prunes less, and no link is lost.
 """
 
 import bisect
@@ -42,11 +47,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import scratch, slices, table, utf8
 from .graph import components
 
-#: Shingles that a task sorts at once; shingles that an index part holds on average; candidates in a block.
-CHUNK, PART, BLOCK = 1_000_000, 1_000_000, 64
+#: Shingles that a task sorts at once, which an index part holds on average as well: at least, and at most on a large corpus (:func:`_spread`).
+CHUNK, MOST_CHUNK = 1_000_000, 2_000_000
+#: Candidates in a block; rows of a list that a task joins.
+BLOCK, SALTED = 64, 512
 #: Documents of a chunk whose shingle is dealt posting by posting, at most.
 HOT = 8
 #: Tokens keep so many bits of the shingle's hash.
@@ -86,103 +93,141 @@ def _pack(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a.astype(kind)).tobytes()
 
 
-def _emit(rows: list, kinds: list, names: list):
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
+def _spread(chars: int) -> tuple:
+    """Shingles of a chunk, and the number of index parts, for a corpus of so many characters.
+
+    A chunk sends a row to each part that it has shingles of, so both grow with
+    the square root of the corpus (within memory) to keep rows long.
+    """
+    tokens = max(1, chars // 6)
+    size = max(CHUNK, min(MOST_CHUNK, math.isqrt(100 * tokens)))
+    return size, max(4, -(-tokens // size))
 
 
 # A row without a head holds postings; with an empty one, tokens and counts of hot shingles; else a chunk's documents and hot postings.
-_FLOW = "part int, chunk long, body binary, extra binary, head binary"
-_FLOW_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-_FLOW_NAMES = ["part", "chunk", "body", "extra", "head"]
+_FLOW = "part int, chunk long, base long, body binary, extra binary, head binary"
+_FLOW_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_FLOW_NAMES = ["part", "chunk", "base", "body", "extra", "head"]
+
+
+def _emit(rows: list):
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_FLOW_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _FLOW_KINDS, strict=True)], names=_FLOW_NAMES)
 
 
-def _deal(k: int, parts: int):
+def _deal(k: int, parts: int, size: int):
     """Documents -> packed postings by index part, and one head for each chunk."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        base, seq, sets, ids, keys = TaskContext.get().partitionId() << 24, 0, [], [], []
-        size = 0
+        base, seq, sets, ids, marks, keys = TaskContext.get().partitionId() << 24, 0, [], [], [], []
+        held = 0
         for batch in slices(batches, 128):
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 s = shingles(text, k)
                 sets.append(s)
                 ids.append(doc)
+                marks.append(mark)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"")
-                size += len(s)
-                if size >= CHUNK or len(ids) >= 60_000:
-                    yield _chunk(base + seq, sets, ids, keys, parts)
-                    seq, sets, ids, keys, size = seq + 1, [], [], [], 0
+                held += len(s)
+                if held >= size or len(ids) >= 60_000:
+                    yield from _chunk(base + seq, sets, ids, marks, keys, parts)
+                    seq, sets, ids, marks, keys, held = seq + 1, [], [], [], [], 0
         if ids:
-            yield _chunk(base + seq, sets, ids, keys, parts)
+            yield from _chunk(base + seq, sets, ids, marks, keys, parts)
 
     return run
 
 
-def _chunk(chunk: int, sets: list, ids: list, keys: list, parts: int):
+def _part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The index part of each token: equal ranges of their upper 32 bits."""
+    return ((tokens >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, dtype=np.int64)
+
+
+def _sliced(data: np.ndarray, kind: str, starts: np.ndarray) -> pa.Array:
+    """One binary value for each run of ``data``, all in one buffer."""
+    offsets = np.append(starts, len(data)) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(_pack(data, kind))])
+
+
+def _postings(chunk: int, tokens: np.ndarray, owner: np.ndarray, parts: int):
+    """Sorted tokens with their owners as one row for each part, however many parts there are; those with a gap of over 32 bits apart."""
+    part = _part_of(tokens, parts)
+    at = _starts(part)
+    gaps = np.diff(tokens, prepend=tokens[:1])
+    gaps[at] = 0
+    wide = np.repeat(np.maximum.reduceat(gaps, at) >= 1 << 32, np.diff(np.append(at, len(tokens))))
+    for kind, chosen in (("<u4", ~wide), ("<u8", wide)):
+        if chosen.any():
+            t, p = tokens[chosen], part[chosen]
+            at = _starts(p)
+            columns = [
+                pa.array(p[at].astype(np.int32)), pa.array(np.full(len(at), chunk)), pa.array(t[at].astype(np.int64)),
+                _sliced(gaps[chosen], kind, at), _sliced(owner[chosen], "<u2", at), pa.nulls(len(at), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=_FLOW_NAMES)
+
+
+def _gap_kind(gaps: np.ndarray) -> str:
+    return "<u4" if not len(gaps) or gaps.max() < 1 << 32 else "<u8"
+
+
+def _tokens(base: int, body: bytes, owners: int) -> np.ndarray:
+    """Tokens from the first and the gaps, which take 4 or 8 bytes each."""
+    gaps = np.frombuffer(body, dtype=f"<u{len(body) // owners}").astype(np.uint64)
+    gaps[0] = base
+    return gaps.cumsum(dtype=np.uint64)
+
+
+def _chunk(chunk: int, sets: list, ids: list, marks: list, keys: list, parts: int):
     n = np.array([len(s) for s in sets], dtype=np.int64)
     first, seen = np.zeros(len(ids), dtype=bool), set()
     for i, key in enumerate(keys):
         if key and key not in seen:
             first[i] = True
             seen.add(key)
-    docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array([x or None for x in keys], pa.binary()), pa.array(first)], names=["doc_id", "n", "key", "first"])
+    docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(n), pa.array([x or None for x in keys], pa.binary())], names=["doc_id", "h", "n", "key"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as out:
         out.write_batch(docs)
-    rows, hot_lists = [], (None, None)
+    hot_lists = (None, None)
     kept = np.flatnonzero(first)
     if len(kept):
         tokens = np.concatenate([sets[i] for i in kept]) >> np.uint64(64 - BITS)
         owner = np.repeat(kept, n[kept]).astype(np.uint16)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        new = _starts(tokens)
         times = np.diff(np.append(new, len(tokens)))
         if (hot := times > HOT).any():
             held, local, mine = tokens[new[hot]], times[hot], np.repeat(hot, times)
             hot_lists = (_pack(held, "<u8"), _pack(local, "<u2") + _pack(owner[mine], "<u2"))
-            edges = np.searchsorted(held, _edges(parts))
-            rows += [(part, chunk, _pack(held[lo:hi], "<u8"), _pack(local[lo:hi], "<u2"), b"") for part, (lo, hi) in enumerate(pairwise(edges)) if lo < hi]
+            part = _part_of(held, parts)
+            cuts = np.append(_starts(part), len(part))
+            yield _emit([(int(part[lo]), chunk, 0, _pack(held[lo:hi], "<u8"), _pack(local[lo:hi], "<u2"), b"") for lo, hi in pairwise(cuts)])
             tokens, owner = tokens[~mine], owner[~mine]
-        edges = np.searchsorted(tokens, _edges(parts))
-        for part in range(parts):
-            lo, hi = edges[part], edges[part + 1]
-            if lo < hi:
-                rows.append((part, chunk, _gaps(tokens[lo:hi]), _pack(owner[lo:hi], "<u2"), None))
-    rows.append((chunk % parts, chunk, *hot_lists, sink.getvalue().to_pybytes()))
-    return _emit(rows, _FLOW_KINDS, _FLOW_NAMES)
-
-
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(p << BITS) // parts for p in range(parts + 1)], dtype=np.uint64)
-
-
-def _gaps(tokens: np.ndarray) -> bytes:
-    """Sorted tokens: the first, then differences in as few bytes as they need."""
-    d = np.diff(tokens)
-    kind = "<u4" if not len(d) or d.max() < 1 << 32 else "<u8"
-    return kind[-1].encode() + _pack(tokens[:1], "<u8") + _pack(d, kind)
-
-
-def _tokens(body: bytes) -> np.ndarray:
-    d = np.frombuffer(body, dtype=f"<u{chr(body[0])}", offset=9).astype(np.uint64)
-    return np.concatenate([np.frombuffer(body, dtype="<u8", count=1, offset=1), d]).cumsum(dtype=np.uint64)
+        if len(tokens):
+            yield from _postings(chunk, tokens, owner, parts)
+    yield _emit([(chunk % parts, chunk, 0, *hot_lists, sink.getvalue().to_pybytes())])
 
 
 def _count(group: pa.Table) -> pa.Table:
     """One index part: count its shingles, return the shared ones to their chunks."""
-    body, extra, head = (group.column(c).to_pylist() for c in ("body", "extra", "head"))
-    chunks, part = group.column("chunk").to_pylist(), group.column("part")[0].as_py()
-    found = list(zip(chunks, body, extra, head, strict=True))
-    rows = [(part, *row) for row in found if row[3]]
-    lists = [(c, _tokens(b), e) for c, b, e, h in found if h is None]
-    told = [(c, np.frombuffer(b, dtype="<u8"), np.frombuffer(e, dtype="<u2")) for c, b, e, h in found if h == b""]
+    part, names = group.column("part")[0].as_py(), _FLOW_NAMES[1:]
+    found = list(zip(*(group.column(c).to_pylist() for c in names), strict=True))
+    rows = [(part, *row) for row in found if row[4]]
+    lists = [(c, _tokens(at, b, len(e) // 2), e) for c, at, b, e, h in found if h is None]
+    told = [(c, np.frombuffer(b, dtype="<u8"), np.frombuffer(e, dtype="<u2")) for c, _, b, e, h in found if h == b""]
     if lists or told:
         every = np.concatenate([np.empty(0, dtype=np.uint64), *(t for _, t, _ in lists)])
         every.sort()
-        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, dtype=np.int64)
+        new = _starts(every)
         counts, values = np.diff(np.append(new, len(every))), every[new]
         if told:
             hot, which = np.unique(np.concatenate([t for _, t, _ in told]), return_inverse=True)
@@ -194,34 +239,39 @@ def _count(group: pa.Table) -> pa.Table:
             values, counts = np.insert(values, at[~old], hot[~old]), np.insert(counts, at[~old], times[~old])
         shared = counts > 1
         values, counts = values[shared], np.minimum(counts[shared], 65535)
-        rows += [(part, c, _pack(t, "<u8"), _pack(counts[np.searchsorted(values, t)], "<u2"), b"") for c, t, _ in told]
-        for chunk, tokens, extra_bytes in lists:
+        rows += [(part, c, 0, _pack(t, "<u8"), _pack(counts[np.searchsorted(values, t)], "<u2"), b"") for c, t, _ in told]
+        for chunk, tokens, extra in lists:
             if not len(values):
                 break
             at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
             hit = values[at] == tokens
             if hit.any():
-                owner = np.frombuffer(extra_bytes, dtype="<u2")[hit]
-                rows.append((part, chunk, _gaps(tokens[hit]), _pack(owner, "<u2") + _pack(counts[at[hit]], "<u2"), None))
-    return pa.Table.from_batches([_emit(rows, _FLOW_KINDS, _FLOW_NAMES)])
+                tokens, owner = tokens[hit], np.frombuffer(extra, dtype="<u2")[hit]
+                gaps = np.diff(tokens, prepend=tokens[:1])
+                rows.append((part, chunk, int(tokens[0]), _pack(gaps, _gap_kind(gaps)), _pack(owner, "<u2") + _pack(counts[at[hit]], "<u2"), None))
+    return pa.Table.from_batches([_emit(rows)])
 
 
-_DOCS = "doc_id long, n long, key binary, tokens binary"
+_DOCS = "docs array<struct<doc_id:long,h:long>>, n long, key binary, tokens binary"
 
 
 def _gather(num: int, den: int):
-    """One chunk: its documents, with shared shingles (rarest first) where there are enough for a link."""
+    """One chunk: a row for each set with its documents, and shared shingles (rarest first) where there are enough for a link.
+
+    Copies stay together, so a text that a third of the corpus repeats is one
+    row of each chunk in what follows.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        rows = list(zip(*(group.column(c).to_pylist() for c in ("body", "extra", "head")), strict=True))
-        held, hot_lists, head = next(row for row in rows if row[2])
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("base", "body", "extra", "head")), strict=True))
+        _, held, hot_lists, head = next(row for row in rows if row[3])
         docs = pa.ipc.open_stream(head).read_all()
         n = docs.column("n").to_numpy()
         out = [None] * len(n)
-        parts = [(_tokens(b), np.frombuffer(e, dtype="<u2").reshape(2, -1)) for b, e, h in rows if h is None]
+        parts = [(_tokens(at, b, len(e) // 4), np.frombuffer(e, dtype="<u2").reshape(2, -1)) for at, b, e, h in rows if h is None]
         if held:
             tokens, lists = np.frombuffer(held, dtype="<u8"), np.frombuffer(hot_lists, dtype="<u2")
-            told = [(np.frombuffer(b, dtype="<u8"), np.frombuffer(e, dtype="<u2")) for b, e, h in rows if h == b""]
+            told = [(np.frombuffer(b, dtype="<u8"), np.frombuffer(e, dtype="<u2")) for _, b, e, h in rows if h == b""]
             order = np.argsort(np.concatenate([t for t, _ in told]))  # the same tokens, by part
             counts, local = np.concatenate([c for _, c in told])[order], lists[: len(tokens)]
             parts.append((np.repeat(tokens, local), np.stack([lists[len(tokens) :], np.repeat(counts, local)])))
@@ -234,7 +284,15 @@ def _gather(num: int, den: int):
             for i in np.flatnonzero(np.diff(at)):
                 if at[i + 1] - at[i] >= least_overlap(int(n[i]), num, den):
                     out[i] = tokens[at[i] : at[i + 1]].tobytes()
-        return pa.table({"doc_id": docs.column("doc_id"), "n": docs.column("n"), "key": docs.column("key"), "tokens": pa.array(out, pa.binary())})
+        key = docs.column("key").to_pylist()
+        numbers: dict = {}
+        of = np.array([numbers.setdefault(x, len(numbers)) for x in key])
+        order = np.argsort(of, kind="stable")
+        at = np.searchsorted(of[order], np.arange(len(numbers) + 1))
+        first = order[at[:-1]]  # the document whose shingles were dealt
+        copies = pa.StructArray.from_arrays([docs.column(c).combine_chunks().take(pa.array(order)) for c in ("doc_id", "h")], names=["doc_id", "h"])
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), copies)
+        return pa.table({"docs": lists, "n": pa.array(n[first]), "key": pa.array(list(numbers), pa.binary()), "tokens": pa.array([out[i] for i in first], pa.binary())})
 
     return run
 
@@ -348,15 +406,24 @@ def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
 
 
 def _apart(lists: DataFrame, joined: DataFrame | None):
-    """The lists that hold two components, and per list its rows, its largest component and that one's rows."""
+    """The lists that hold two components, and per list its rows, its largest component and that one's rows.
+
+    ``salts``: over how many tasks a list is spread when it is joined.
+    """
     if joined is None:
         lists = lists.withColumn("component", F.col("rep"))
     else:
         lists = lists.drop("component").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = lists.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
     held = held.agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"), F.count("*").alias("k")).where("k > 1")
-    held = table(held.select("token", F.col("m.component").alias("major"), F.col("m.c").alias("most"), "total"), "held")
-    return table(lists.join(held.select("token"), "token", "left_semi"), "lists-apart"), held
+    held = table(held.select("token", F.col("m.component").alias("major"), F.col("m.c").alias("most"), "total", F.ceil(F.col("total") / SALTED).alias("salts")), "held")
+    return table(lists.drop("salts").join(held.select("token", "salts"), "token"), "lists-apart"), held
+
+
+def _met(lists: DataFrame, tried: DataFrame) -> DataFrame:
+    """Rows of lists with the few rows (``token``, ``salts``, ...) that each is tried with, a long list in several tasks."""
+    spread = tried.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return lists.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(-1)), "salts")).join(spread, ["token", "salt"])
 
 
 def _both(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -369,34 +436,50 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return table(pairs, "candidates")
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``).
+def linked_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``(doc_id, h, n_shingles, first)`` for every row of ``docs`` (``doc_id``, ``text``).
 
-    ``component_id`` is the least doc_id reachable by links, the row's own
-    where it has none.  Rows with a null doc_id take the component of rows of
-    equal text; a text that only such rows have is not searched, and their
-    component is null.
+    ``h`` is xxhash64 of the text, so that (``doc_id``, ``h``) names a row's id
+    and text.  ``first`` is ``struct<unnamed, doc_id, h>``: the least id (null
+    last), then the least hash, of all rows reachable by links; null for a row
+    without a word, which links with nothing.
     """
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(4, -(-chars // (6 * PART)))
-    flow = docs.mapInArrow(_deal(k, parts), _FLOW)
-    counted = flow.groupBy("part").applyInArrow(_count, _FLOW)
-    sets = table(counted.groupBy("chunk").applyInArrow(_gather(num, den), _DOCS), "sets")
-    reps = table(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
-    classes = sets.where("tokens is not null").select("key", "n", "tokens").join(reps, "key").where("rep is not null")
-    classes = table(classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    lists = table(classes.mapInArrow(_short_lists(num, den), _LISTS), "lists")
+    spark = docs.sparkSession
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    size, parts = _spread(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    with scratch(spark) as keep:
+        flow = docs.mapInArrow(_deal(k, parts, size), _FLOW)
+        counted = flow.groupBy("part").applyInArrow(_count, _FLOW)
+        sets = table(counted.groupBy("chunk").applyInArrow(_gather(num, den), _DOCS), "sets")
+        # a class is a set, not an id: rows of one id may have different texts
+        classes = sets.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        classes = table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+        label = table(components(_all_links(classes, num, den)), "components-all")
+        row = F.array_min(F.transform("docs", lambda d: F.struct(d["doc_id"].isNull().alias("unnamed"), d["doc_id"].alias("doc_id"), d["h"].alias("h"))))
+        firsts = table(sets.where("key is not null").groupBy("key").agg(F.min(row).alias("first")), "firsts")
+        linked = table(classes.select("key", F.col("rep").alias("node")).join(label, "node").join(firsts, "key").select("key", "component", "first"), "linked")
+        best = linked.groupBy("component").agg(F.min("first").alias("best"))
+        best = linked.join(best, "component").select("key", "best")
+        best = table(firsts.join(best, "key", "left").select("key", F.coalesce("best", "first").alias("first")), "best")
+        out = sets.select("docs", F.col("n").alias("n_shingles"), "key").join(best, "key", "left")
+        out = out.select("n_shingles", "first", F.explode("docs").alias("d"))
+        return keep(out.select("d.doc_id", "d.h", "n_shingles", "first"), "linked-rows")
+
+
+def _all_links(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` of ``classes`` (``rep``, ``n``, ``tokens``) enough to join all that are linked."""
+    lists = table(classes.select("rep", "n", "tokens").mapInArrow(_short_lists(num, den), _LISTS), "lists")
 
     # stars: a few pivots of each list with all its members, then with what is still apart
     classes_n, tried, near, first = classes.count(), None, None, 0
     lists, held = _apart(lists, None)
     for turn in range(ROUNDS):
         order = [F.struct(F.xxhash64("rep", F.lit(turn * SEEDS + i)).alias("h"), "rep", "s", "component") for i in range(SEEDS)]
-        pivots = lists.groupBy("token").agg(*(f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(order) for f in (F.min, F.max)))
-        pivots = pivots.select("token", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{f}{i}.rep").alias("rep"), F.col(f"{f}{i}.s").alias("s"), F.col(f"{f}{i}.component").alias("component")) for i in range(SEEDS) for f in ("min", "max"))))).alias("p"))
-        pivots = pivots.select("token", F.col("p.rep").alias("query"), F.col("p.s").alias("t"), F.col("p.component").alias("mine"))
-        stars = lists.join(pivots, "token").where(f"component <> mine and {_fits('s', 't', num, den)}").select("query", F.col("rep").alias("other")).distinct()
+        pivots = lists.groupBy("token").agg(F.max("salts").alias("salts"), *(f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(order) for f in (F.min, F.max)))
+        some = F.array(*(F.struct(F.col(f"{f}{i}.rep").alias("rep"), F.col(f"{f}{i}.s").alias("s"), F.col(f"{f}{i}.component").alias("component")) for i in range(SEEDS) for f in ("min", "max")))
+        pivots = pivots.select("token", "salts", F.explode(F.array_distinct(some)).alias("p"))
+        pivots = pivots.select("token", "salts", F.col("p.rep").alias("query"), F.col("p.s").alias("t"), F.col("p.component").alias("mine"))
+        stars = _met(lists, pivots).where(f"component <> mine and {_fits('s', 't', num, den)}").select("query", F.col("rep").alias("other")).distinct()
         stars = _untried(stars, tried)
         links = _links(stars, classes, num, den)
         tried, near = _both(stars, tried), links if near is None else near.unionByName(links)
@@ -409,12 +492,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             break
 
     # then every fitting pair of a list that lies in two components
-    minor = lists.join(held.select("token", "major"), "token").where("component <> major").select("token", F.col("rep").alias("query"), F.col("s").alias("t"), F.col("component").alias("mine"), "major")
+    minor = lists.join(held.select("token", "major"), "token").where("component <> major").select("token", "salts", F.col("rep").alias("query"), F.col("s").alias("t"), F.col("component").alias("mine"), "major")
     apart = f"component <> mine and (component = major or rep > query) and {_fits('s', 't', num, den)}"
-    cross = lists.join(minor, "token").where(apart).select("query", F.col("rep").alias("other")).distinct()
-    far = _links(_untried(cross, tried), classes, num, den)
-    label = table(components(near.unionByName(far)), "components-all")
+    cross = _met(lists, minor).where(apart).select("query", F.col("rep").alias("other")).distinct()
+    return near.unionByName(_links(_untried(cross, tried), classes, num, den))
 
-    found = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(found, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (``doc_id``, ``text``).
+
+    ``component_id`` is the least doc_id reachable by links, the row's own
+    where it has none; null where only rows without an id are reachable.
+    Repeated rows repeat; rows of one id with different texts are searched each.
+    """
+    rows = linked_rows(docs, k, num, den)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))

@@ -181,6 +181,17 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    import time
+
+    turns = spark.range(40_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("é "), F.col("id").cast("string")).alias("text"))
+    chat.format_conversations(turns.limit(3)).collect()
+    began = time.perf_counter()
+    r = chat.format_conversations(turns).first()
+    assert time.perf_counter() - began < 8
+    assert [r.formatted[m.start : m.start + m.length] for m in r.loss_mask] == [f"é {i}" for i in range(0, 40_000, 3)]
+
+
 def components_by_hand(sets, num, den):
     parent = {i: i for i in sets}
 
@@ -208,6 +219,7 @@ def shingle_set(text, k):
 def test_ngram_join_equals_brute_force(spark, k, num, den, chunk, hot, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK", chunk)  # small chunks: a shingle is hot in some and not in others
     monkeypatch.setattr(ngram, "HOT", hot)
+    monkeypatch.setattr(ngram, "SALTED", 2 if hot < 8 else ngram.SALTED)  # lists spread over many tasks
     rnd = random.Random(k)
     words = [f"v{i}" for i in range(40)]
     passage = rnd.choices(words, k=30)
@@ -235,6 +247,29 @@ def test_ngram_join_odd_input(docs, none):
     assert ngram.jaccard_components(none).count() == 0
 
 
+def test_ngram_rows_of_one_id(spark):
+    near = lambda words, edit: " ".join([*words, edit])
+    one, two = ([f"{c}{i}" for i in range(40)] for c in "xy")
+    rows = [(7, near(one, "a")), (7, near(two, "a")), (5, near(one, "b")), (9, near(two, "b")), (7, near(one, "a")), (None, near(two, "c")), (None, "no other row has this"), (3, ""), (3, None)]
+    got = ngram.linked_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4).withColumn("c", F.col("first.doc_id"))
+    want = [(7, 5), (7, 7), (5, 5), (9, 7), (7, 5), (None, 7), (None, None), (3, None), (3, None)]
+    assert sorted(map(str, ((r.doc_id, r.c) for r in got.collect()))) == sorted(map(str, want))
+    found = ngram.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(str(r.component_id) for r in found) == sorted(map(str, (5, 7, 5, 7, 5, 7, None, 3, 3)))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 5_000, 167_000])
+def test_ngram_postings_round_trip(parts):
+    rng = np.random.default_rng(parts)
+    tokens = np.sort(rng.integers(0, 1 << ngram.BITS, 20_000, dtype=np.uint64))
+    owner = rng.integers(0, 60_000, len(tokens)).astype(np.uint16)
+    rows = sorted((r for batch in ngram._postings(3, tokens, owner, parts) for r in batch.to_pylist()), key=lambda r: r["part"])
+    assert [r["part"] for r in rows] == sorted({r["part"] for r in rows}) and rows[-1]["part"] < parts
+    back = [ngram._tokens(r["base"], r["body"], len(r["extra"]) // 2) for r in rows]
+    assert (np.concatenate(back) == tokens).all() and b"".join(r["extra"] for r in rows) == owner.astype("<u2").tobytes()
+    assert all((ngram._part_of(t, parts) == r["part"]).all() for t, r in zip(back, rows, strict=True))
+
+
 def test_divide_skip_counts():
     rnd = random.Random(3)
     for _ in range(200):
@@ -364,7 +399,8 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "z" * 3000
     rows = [(1, "u", "small"), (2, None, None), (3, "u\r\nv", big), (9, "u", big), (5, "u", big), (6, "u", "small"), (7, "é", "é" * 700), (9, "u", big), (None, "u", big), (11, "u", "y" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    index = warc.write_archives(pages, f"file://{tmp_path}/w")
+    clash = pages.withColumns({c: F.lit("x") for c in ("digest", "keep", "keep_url", "salt", "bundle", "frame", "offset", "folder", "last")})
+    index = warc.write_archives(clash, f"file://{tmp_path}/w")
     got = {(r.page_id, r.payload_digest): r for r in warc.read_archives(index).collect()}
     assert index.count() == len(rows)
     for page, _, html in rows:
@@ -375,22 +411,43 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.payload == ((html or "") if keep == page else None)
     import zstandard
 
+    heads = []
     for file in (tmp_path / "w").glob("*.zst"):  # any Zstandard reader takes a bundle as a plain stream
-        whole = zstandard.ZstdDecompressor().stream_reader(file.read_bytes(), read_across_frames=True).read()
-        assert whole.startswith(b"WARC/1.1")
+        whole, at = zstandard.ZstdDecompressor().stream_reader(file.read_bytes(), read_across_frames=True).read(), 0
+        while at < len(whole):
+            head, _, at = warc.parse(whole, at)
+            heads.append(head)
+    assert len(heads) == len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    for h in heads:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", h["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"])
+        assert h["WARC-Type"] in ("response", "revisit") and h["Content-Length"].isdigit() and h["WARC-Payload-Digest"].startswith("sha1:")
+        if h["WARC-Type"] == "revisit":
+            assert h["WARC-Profile"] and h["WARC-Refers-To-Target-URI"] == "u" and h["WARC-Refers-To-Date"] and h["X-Refers-To-Page-ID"] == "9"
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("rows", [40, 2600])
-def test_hamming_equals_brute_force(spark, rows):
+def test_warc_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 0)
+    monkeypatch.setattr(warc, "READ", 1)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("same "), 400)).otherwise(F.concat(F.lit("page "), F.col("id").cast("string"))).alias("html"))
+    rows = warc.read_archives(warc.write_archives(pages)).collect()
+    assert len(rows) == 400
+    assert all((r.record_type, r.refers_to) == (("response", None) if r.page_id % 3 or r.page_id == 399 else ("revisit", 399)) for r in rows)
+
+
+@pytest.mark.parametrize(("rows", "salted"), [(40, 512), (2600, 3), (6000, 512)])
+def test_hamming_equals_brute_force(spark, rows, salted, monkeypatch):
+    monkeypatch.setattr(hamming, "SALTED", salted)
     rng = np.random.default_rng(rows)
     x = rng.normal(size=(rows, 32))
     x[: rows // 3] = x[0]  # a vector that a third of the rows hold
     x[rows // 3 : rows // 2] = x[-1] + rng.normal(size=(rows // 2 - rows // 3, 32)) * 0.4
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(90_000, None), (90_100, []), (90_200, [1.0])]
-    codes = hamming.sign_codes(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    frame = frame.withColumns({c: F.lit(1) for c in ("id", "code", "value", "salt", "q", "n", "rank", "ids")}).unionByName(frame.where("vec_id % 50 = 0").limit(5), allowMissingColumns=True)  # clashing columns, repeated rows
+    codes = hamming.sign_codes(frame)
     got = defaultdict(list)
-    for r in hamming.top_k(codes, codes.where("id % 100 = 0"), 7).collect():
+    for r in hamming.top_k(codes.withColumn("distance", F.lit(1)), codes.where("id % 100 = 0"), 7).collect():
         got[r.query_id].append((r["rank"], r.distance, r.neighbor_id))
     bits = x > 0
     for q in range(0, rows, 100):
@@ -453,6 +510,79 @@ def test_rules(spark, docs, none):
     assert rules.apply_rules(none, learned, "doc_id").count() == 0
 
 
+SF = "/root/testdata/sf0.01"
+
+
+def read_rows(name):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+def learnable_rows():
+    """Sorted (doc_id, quality, statistics) of the labelled documents that may be learned from."""
+    quality = {r["doc_id"]: r["quality"] for r in read_rows("labels") if r["quality"] is not None}
+    return sorted((r["doc_id"], quality[r["doc_id"]], textstats.statistics((r["text"] or "").encode())) for r in read_rows("documents") if r["doc_id"] in quality and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2)
+
+
+def test_quality_query_equals_a_plain_fit(spark):
+    rows = learnable_rows()
+    plain = [n in ranking.PLAIN for n in textstats.RATIOS]
+    feature = lambda stats: np.array([v if p else min(v, 1) ** 0.5 for v, p in zip(stats[len(textstats.COUNTS) :], plain, strict=True)])
+    x, y = np.array([feature(s) for *_, s in rows]), np.array([q for _, q, _ in rows])
+    model = ranking.fit(np.array([s[len(textstats.COUNTS) :] for *_, s in rows]), y)
+    # the same pairs, by plain gradient descent
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng, scale = np.random.default_rng(7), x.std(axis=0)
+    scale[scale == 0] = 1
+    n = min(ranking.MOST_PAIRS, len(good) * len(bad), 40 * max(len(good), len(bad)))
+    d = (x[rng.choice(good, n)] - x[rng.choice(bad, n)]) / scale
+    w, step = np.zeros(x.shape[1]), 1 / (0.25 * np.linalg.eigvalsh(d.T @ d / n).max() + 1e-3)
+    for _ in range(20_000):
+        w -= step * (1e-3 * w - (d / (1 + np.exp(d @ w))[:, None]).mean(axis=0))
+    assert np.abs(w / scale - model.weights).max() < 1e-2 * np.abs(model.weights).max()
+    raw = np.sort(x @ (w / scale))
+    cut = (raw[len(bad) - 1] + raw[len(bad)]) / 2
+    quality = {r["doc_id"]: r["quality"] for r in read_rows("labels")}
+    texts, right, total = {r["doc_id"]: r["text"] for r in read_rows("documents")}, 0, 0
+    got = queries.op2_quality_classifier(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        z = feature(textstats.statistics((texts[r.doc_id] or "").encode())) @ (w / scale) - cut
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(z + np.log(ranking.CUT / (1 - ranking.CUT))))), abs=0.05)
+        assert r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if r.held_out and quality.get(r.doc_id) is not None:
+            total, right = total + 1, right + (r.predicted == quality[r.doc_id])
+    assert right >= 0.95 * total > 0
+
+
+def test_quality_ties():
+    x = np.tile(np.linspace(0.1, 0.9, len(textstats.RATIOS)), (20, 1))
+    model = ranking.fit(x, np.arange(20) % 2)  # nothing parts the labels
+    assert model.threshold == pytest.approx(float(np.dot([v if n in ranking.PLAIN else v**0.5 for n, v in zip(textstats.RATIOS, x[0], strict=True)], model.weights)))
+    assert rules.learn(x, np.arange(20) % 2) == []
+    x[:, 0] = np.arange(20) // 10  # many ties on each side of one cut
+    for above, y in ((True, (x[:, 0] == 0)), (False, (x[:, 0] == 1))):
+        (rule,) = rules.learn(x, y.astype(int))
+        assert rule == [(textstats.RATIOS[0], above, 0.5)]
+
+
+def test_rules_query_equals_a_plain_interpreter(spark):
+    rows = learnable_rows()
+    learned = rules.learn(np.array([s[len(textstats.COUNTS) :] for *_, s in rows]), np.array([q for _, q, _ in rows]))
+    assert learned
+    texts = {r["doc_id"]: r["text"] for r in read_rows("documents")}
+    got = queries.op9_quality_rules(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        counts, values = stats_by_hand(texts[r.doc_id]), textstats.statistics((texts[r.doc_id] or "").encode())
+        named = dict(zip(textstats.RATIOS, values[len(textstats.COUNTS) :], strict=True))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        base = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+        rejected = any(all(named[n] > cut if above else named[n] <= cut for n, above, cut in rule) for rule in learned)
+        assert (r.base_failed, r.kept) == (base, not base and not rejected)
+
+
 def test_labelled_sample(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (12, 0), (15, 1), (777, 1)], "doc_id long, quality int")
     rows = textstats.labelled_sample(docs, labels, "quality", lambda d: F.lit(True), 10).collect()
@@ -474,6 +604,22 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_many_templates(spark):
+    rnd = random.Random(12)
+    words = [f"t{i}" for i in range(150)]
+    templates = {f"lic-{i:03d}": " ".join(rnd.sample(words, rnd.randint(3, 14))) for i in range(300)}
+    texts = [" ".join(rnd.sample(t.split(), k=max(1, int(len(t.split()) * rnd.choice([0.7, 0.8, 0.9, 1.0]))))) + rnd.choice([" pad", "", "\n", " x y z"]) for t in rnd.sample(sorted(templates.values()), 120)]
+    texts += [None, "", texts[0], texts[0]]
+    rows = [(i if i < 120 else 500, t, "x", "y", "z", 1, 1) for i, t in enumerate(texts)] + [(None, texts[3], "x", "y", "z", 1, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string, words string, low string, h long, score long")
+    got = sorted(((r.doc_id, r.labels) for r in licenses.scan_licenses(frame, templates).collect()), key=str)
+    sets = {k: set(v.split()) for k, v in templates.items()}
+    hits = lambda text: ",".join(sorted(k for k, t in sets.items() if any(len(t & set(line.split())) >= 0.8 * len(t) - 1e-9 for line in (text or "").split("\n"))))
+    assert got == sorted(((i, hits(t)) for i, t, *_ in rows), key=str)
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(frame, {str(i): "a b c" for i in range(licenses.MAX_TEMPLATES + 1)})
+
+
 def test_licenses_of_wrapped_notices(spark):
     mit = """/* Permission is hereby granted, free of charge, to any person obtaining a copy
  * of this software and associated documentation files (the "Software"), to deal
