@@ -30,6 +30,8 @@ MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assi
 OTHER, SEP, TXT = ("[ROLE] ", " [/ROLE]"), "[SEP]", " [TXT] "
 _TAIL = r"/?(?:INST|SYS|ANS|ROLE|TXT|SEP)\]|/?s>"
 LOSS_ROLE = "assistant"
+#: Pieces whose lengths are summed at once.
+STEP = 256
 
 
 def escape(text):
@@ -78,17 +80,32 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         return F.concat(F.array(segment(marks(block["role"], 0), no)), F.flatten(texts), F.array(segment(marks(block["role"], 1), no)))
 
     segments = merged.select("conv_id", F.flatten(F.transform("blocks", render)).alias("segments"))
-    empty = F.from_json(F.lit("[]"), "array<struct<start int, length int>>")
-    mask = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["text"])).alias("at"),
-            F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(s["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return segments.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), mask.alias("loss_mask"))
+    placed = segments.select("conv_id", "segments", _starts(F.transform("segments", lambda s: F.length(s["text"]))).alias("starts"))
+    spans = F.zip_with("segments", "starts", lambda s, at: F.struct(at.alias("start"), F.length(s["text"]).alias("length"), s["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return placed.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), mask.alias("loss_mask"))
+
+
+def _starts(lengths):
+    """Where each of the pieces of these lengths starts, from 0.
+
+    Sums run within STEP pieces, then over the totals of those, so that no
+    array grows piece by piece over a long conversation.
+    """
+    none = F.from_json(F.lit("[]"), "array<int>")
+
+    def running(part):
+        add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("starts")), add)
+
+    def whole(lengths):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STEP).cast("int")), lambda i: running(F.slice(lengths, i * STEP + 1, STEP)))
+        return F.flatten(F.flatten(F.transform(F.array(parts), shifted)))
+
+    def shifted(sums):
+        return F.zip_with(sums, running(F.transform(sums, lambda p: p["at"]))["starts"], lambda p, at: F.transform(p["starts"], lambda x: x + at))
+
+    return F.flatten(F.transform(F.array(lengths), whole))  # an array of one item is mapped, so that its item is made once
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
