@@ -31,6 +31,7 @@ Null and empty texts have no words, labels or places.  Rows that repeat id and
 text have equal results, each in its own row.
 """
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -56,7 +57,7 @@ TEMPLATES = {
     "public-domain": "This work is dedicated to the public domain.",
     "reserved": "All rights reserved.",
 }
-THRESHOLD, MAX_TEMPLATES = 0.8, 10_000
+THRESHOLD, MAX_TEMPLATES = 0.8, 2_000
 
 
 def lowered(text: Column) -> Column:
@@ -85,6 +86,11 @@ def _window(text: str, threshold: float) -> int:
     return math.ceil(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) / threshold - 1e-9)
 
 
+def _literal(value, kind: str) -> Column:
+    """A value from the templates as one literal, however many there are."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _places(phrase: tuple) -> Column:
     """Word positions where a phrase stands; looked for only where all its words occur."""
     low, words = F.col("low"), F.col("words")
@@ -140,7 +146,7 @@ def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: flo
     if len(sets) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     vocabulary = sorted({w for v in sets.values() for w in v})
-    known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    known = _literal(vocabulary, "array<string>")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("h"), lowered(F.col("text")).alias("low"))
 
     def labelled(phrase, label):
@@ -150,9 +156,9 @@ def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: flo
     split = rows.select("doc_id", "h", "low", words_of(F.col("low")).alias("words"))
     scanned = split.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.concat(*places).alias("places"), "low", F.array_intersect("words", known).alias("hits"))
     # a block's words are words of its document: only documents that hold enough of a template keep their text
-    enough = F.lit(False)
-    for words in sets.values():
-        enough = enough | (F.size(F.array_intersect("hits", F.array(*map(F.lit, words)))) >= _least(words, threshold))
+    least = min((_least(v, threshold) for v in sets.values()), default=1)
+    needs = _literal([{"words": v, "least": _least(v, threshold)} for v in sets.values()], "array<struct<words:array<string>,least:int>>")
+    enough = (F.size("hits") >= least) & F.exists(needs, lambda t: F.size(F.array_intersect("hits", t["words"])) >= t["least"])
     scanned = scanned.withColumn("low", F.when(enough, F.col("low")))
     scanned = table(scanned, "license-words")
 
@@ -165,14 +171,11 @@ def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: flo
         t = _least(words, threshold)
         plans += [(rank, p, t, label, order) for p, rank in enumerate(order[: len(order) - t + 1])]
     prefix = spark.createDataFrame(plans, "rank int, p int, t int, label string, template array<int>")
-    least = min((t for _, _, t, _, _ in plans), default=1)
-    starters = sorted({ranked[r] for r, *_ in plans})
-
-    ranks = F.create_map(*(F.lit(x) for w in ranked for x in (w, number[w]))) if ranked else F.create_map(F.lit(""), F.lit(0))
-    starter_list = F.array(*map(F.lit, starters)).cast("array<string>")
+    starter_list = _literal(sorted({ranked[r] for r, *_ in plans}), "array<string>")
+    by_rank = _literal(ranked, "array<string>")
     lines = scanned.where("low is not null").select("doc_id", "h", F.explode(F.split("low", "\n")).alias("line"))
     blocks = lines.select("doc_id", "h", F.array_intersect(words_of(F.col("line")), known).alias("words")).where((F.size("words") >= least) & F.arrays_overlap("words", starter_list))
-    blocks = blocks.select("doc_id", "h", F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w))).alias("block"))
+    blocks = blocks.select("doc_id", "h", F.array_sort(F.transform("words", lambda w: (F.array_position(by_rank, w) - 1).cast("int"))).alias("block"))
     probes = blocks.select("doc_id", "h", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("q", "rank"))
     found = probes.join(F.broadcast(prefix), "rank").where(
         (F.size("block") >= F.col("t")) & (F.col("q") <= F.size("block") - F.col("t")) & (1 + F.least(F.size("template") - F.col("p"), F.size("block") - F.col("q")) - 1 >= F.col("t"))
