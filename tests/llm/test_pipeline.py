@@ -5,6 +5,7 @@ import random
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+common = pytest.importorskip("tessella.llm.common")
 rules = pytest.importorskip("tessella.llm.rules")
 
 
@@ -27,7 +28,7 @@ def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     seen = {}
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.table(stage(spark, docs, folder), f"test-{n}")
+        docs = common.table(stage(spark, docs, folder), f"test-{n}")
         seen[name] = docs
         if n < 4:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,3 +59,36 @@ def test_repeated_and_unnamed_rows(spark, folder):
     odd = docs.unionByName(docs.where("doc_id = 3")).unionByName(spark.createDataFrame([(None, "a text without an id", "en", "s", 20)], docs.schema))
     kept = corpus_pipeline.near_duplicates(spark, odd, folder)
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [0, 1, 2, 3, 4, None]
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 4")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(1, text[2]), (3, text[0] + " tail"), (None, text[1]), (None, "another text without an id"), (None, "another text without an id"), (8, ""), (8, ""), (9, None)]
+    odd = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema))
+    kept = corpus_pipeline.near_duplicates(spark, odd, folder)
+    assert kept.columns == docs.columns
+    want = [(0, text[0]), (1, text[1]), (1, text[2]), (3, text[3]), (None, "another text without an id"), (8, ""), (8, ""), (9, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_scratch_tables_go(spark):
+    import glob
+
+    with common.scratch(spark) as keep:
+        inner = common.table(spark.range(5), "scratch-inner")
+        out = keep(inner.where("id > 2"), "scratch-kept")
+    at = common.shared_dir(spark).removeprefix("file://")
+    assert not glob.glob(f"{at}/tessella/scratch-inner-*") and sorted(r.id for r in out.collect()) == [3, 4]
