@@ -5,11 +5,11 @@ next one's documents.  All but the last return the columns of documents.
 """
 
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import ngram, packing, ranking, rules, secrets
-from tessella.llm.common import table
+from tessella.llm.common import scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Near duplicates: words in a shingle, and the least similarity as a fraction.
@@ -45,16 +45,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group linked by near-duplicate texts.
+    """Keep one row of each group linked by near-duplicate texts: the least id (null last), then the least hash of the text.
 
-    Of rows that repeat an id one stays; rows without an id cannot be named in a group and stay.
+    A row is named by its id and its text, so different texts that share an id
+    are judged apart.  Of rows that repeat both, the least by a hash of all
+    columns stays.  Rows without a word link with nothing and stay.
     """
-    found = ngram.jaccard_components(docs, WORDS, *SIMILARITY)
-    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    found = ngram.linked_rows(docs, WORDS, *SIMILARITY).where("first is not null")
+    gone = found.where("not (first.doc_id <=> doc_id and first.h = h)").select("doc_id", "h").distinct()
+    again = found.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    same = lambda names: F.col("_id").eqNullSafe(names["doc_id"]) & (F.col("_h") == names["h"])
+    kept = rows.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept.select("_row.*")
+    order = Window.partitionBy("_id", "_h").orderBy(F.xxhash64("_row"))
+    once = kept.join(again, same(again), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.join(again, same(again), "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +87,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; what they write in between is deleted at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as last:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as keep:
+                docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return last(STAGES[-1][1](spark, docs, sf_dir), "packed")
