@@ -3,17 +3,21 @@
 Codes are cut into segments.  Two codes at distance d differ by at most
 ``d // m`` bits in one of their m segments, so when all segments have been
 searched to radius r, every code at distance ``m * (r + 1) - 1`` or less has
-been found.  Round r looks up, for each open query, the segment values at
-distance exactly r; a query closes when its k-th verified distance is covered.
-
-Rows of one code are one entry of the index, with their count and their k
-least ids, which is all that any answer can need: a code held by a third of
-the rows is verified once.  Queries whose k-th neighbour lies beyond
-``max_radius`` (or that have fewer than k rows to find) are compared with all
-codes, in blocks, so the answer is exact whatever the data.
+been found.  Round r looks up, for each open code, the segment values at
+distance exactly r; a code closes when its k-th verified distance is covered.
+A pair is taken in one round and one segment only: the first segment of least
+distance, so no pair is verified twice and none has to be made distinct.
+
+Rows of one code are one entry of the index and one question, with their k + 1
+least ids: a code held by a third of the rows is looked up once and verified
+once.  A segment value that many codes share is spread over several tasks.
+Questions whose k-th neighbour lies beyond ``max_radius`` (or that have fewer
+rows to find) are compared with all codes, in blocks, so the answer is exact
+whatever the data.
 
 Null or empty vectors, and vectors of another width than the widest, have no
-code: they neither ask nor answer.  Null and NaN elements count as 0.
+code: they neither ask nor answer.  Null and NaN elements count as 0.  Rows that
+repeat an id are one row, with the least of their codes.
 """
 
 from itertools import combinations
@@ -21,9 +25,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 SEGMENT = 16
+#: Codes of one segment value that a task meets.
+SALTED = 512
 
 
 def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -50,60 +56,90 @@ def masks(spark, radius: int) -> DataFrame:
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, max_radius: int = 5) -> DataFrame:
     """``(query_id, neighbor_id, distance, rank)``: for each query the k other rows nearest in Hamming distance, ties by id.
 
-    ``codes`` and ``queries``: ``(id, code)``.  A query is not its own
-    neighbour.  Fewer than k other rows give fewer answers.
+    ``codes`` and ``queries``: ``(id, code)``; further columns are not read.  A
+    query is not its own neighbour.  Fewer than k other rows give fewer answers.
     """
     spark = codes.sparkSession
-    codes, queries = table(codes, "codes"), table(queries.dropDuplicates(["id"]), "queries")
-    segments = codes.agg(F.max(F.size("code"))).first()[0]
-    if not segments:
-        return spark.createDataFrame([], "query_id long, neighbor_id long, distance int, rank int")
+    with scratch(spark) as keep:
+        codes, queries = (table(df.groupBy("id").agg(F.min("code").alias("code")), name) for df, name in ((codes, "codes"), (queries, "queries")))
+        segments = codes.agg(F.max(F.size("code"))).first()[0]
+        if not segments:
+            return spark.createDataFrame([], "query_id long, neighbor_id long, distance int, rank int")
+        entries = _entries(codes, k)
+        asked = table(queries.select(F.col("code").alias("asked")).distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+        best = _nearest_codes(asked, entries, segments, k, max_radius)
+        # k codes of the least (distance, least id) hold the k nearest rows; one more, as the query may be one of them
+        rows = best.join(entries.select("code", "ids"), "code").select("q", F.explode(F.transform("ids", lambda i: F.struct("distance", i.alias("id")))).alias("n"))
+        near = rows.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("n")), 1, k + 1).alias("near")).join(asked, "q")
+        mine = queries.select(F.col("id").alias("query_id"), F.col("code").alias("asked")).join(near.select("asked", "near"), "asked")
+        others = F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k)
+        out = mine.select("query_id", F.posexplode(others).alias("rank", "n"))
+        return keep(out.select("query_id", F.col("n.id").alias("neighbor_id"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).alias("rank")), "neighbours")
+
+
+def _entries(codes: DataFrame, k: int) -> DataFrame:
+    """``(code, ids, least, n)``: the k + 1 least ids of each code, first within salts, then within the code."""
     ordered = Window.partitionBy("code", "salt").orderBy("id")
-    # k + 1, as the query may be one of them; first within salts, then within the code
     few = codes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(ordered)).where(F.col("r") <= k + 1)
-    entries = table(few.groupBy("code").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")), "entries")
-    segment_rows = lambda df, *names: df.select(*names, F.posexplode("code").alias("segment", "value"))
-    index = segment_rows(entries, "code")
-    best, open_queries = None, queries
-    answer = None
+    few = few.groupBy("code").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
+    return table(few.select("code", "ids", F.get("ids", F.lit(0)).alias("least"), F.size("ids").alias("n")), "entries")
+
+
+def _first_found(radius: int, segments: int):
+    """Whether a pair's first segment of least distance is ``segment``, at this radius."""
+    apart = [F.bit_count(F.get("asked", F.lit(i)).bitwiseXOR(F.get("code", F.lit(i)))) for i in range(segments)]
+    out = F.lit(True)
+    for i, d in enumerate(apart):
+        out = out & ((F.col("segment") <= i) | (d > radius)) & ((F.col("segment") >= i) | (d >= radius))
+    return out
+
+
+def _nearest_codes(asked: DataFrame, entries: DataFrame, segments: int, k: int, max_radius: int) -> DataFrame:
+    """``(q, code, distance, least, n)``: for each of ``asked`` the k + 1 codes of least (distance, least id)."""
+    spark = asked.sparkSession
+    index = entries.select("code", "least", "n", F.posexplode("code").alias("segment", "value"))
+    hot = index.groupBy("segment", "value").agg(F.count("*").alias("m")).where(F.col("m") > SALTED)
+    hot = table(hot.select("segment", "value", F.ceil(F.col("m") / SALTED).alias("salts")), "hot-values")
+    spread = F.coalesce("salts", F.lit(1))
+    index = table(index.join(hot, ["segment", "value"], "left").select("segment", "value", F.pmod(F.xxhash64("code"), spread).alias("salt"), "code", "least", "n"), "index")
+    # a pair beyond the k + 1 nearest so far can change nothing
+    asked, best, closed = asked.withColumn("bound", F.lit(None).cast("int")), None, None
+    nearer = F.col("bound").isNull() | (distance("asked", "code", segments) <= F.col("bound"))
     for radius in range(max_radius + 1):
-        probes = segment_rows(open_queries, F.col("id").alias("query_id"), F.col("code").alias("asked"))
+        probes = asked.select("q", "asked", "bound", F.posexplode("asked").alias("segment", "value"))
         probes = probes.crossJoin(F.broadcast(masks(spark, radius))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-        found = probes.join(index, ["segment", "value"]).select("query_id", "code", distance("asked", "code", segments).alias("distance")).distinct()
-        found = _best(found.join(entries, "code"), k)
-        if best is not None:
-            found = _rank(best.unionByName(found).drop("rank").distinct(), k)
-        best = table(found, f"round-{radius}")
+        probes = probes.join(hot, ["segment", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1))).drop("salts")
+        found = probes.join(index, ["segment", "value", "salt"]).where(_first_found(radius, segments) & nearer)
+        found = found.select("q", "code", distance("asked", "code", segments).alias("distance"), "least", "n")
+        best = table(_nearest(found if best is None else best.unionByName(found), k), f"round-{radius}")
         covered = segments * (radius + 1) - 1
-        closed = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where((F.col("n") >= k) & (F.col("d") <= covered))
-        done = best.join(closed.select("query_id"), "query_id", "left_semi")
-        answer = done if answer is None else answer.unionByName(done)
-        open_queries = table(open_queries.join(closed, open_queries["id"] == closed["query_id"], "left_anti"), "open")
-        best = best.join(closed.select("query_id"), "query_id", "left_anti")
-        if open_queries.isEmpty():
-            return answer
-    rest = open_queries.select(F.col("id").alias("query_id"), F.col("code").alias("asked"))
-    rest = _best(_against_all(rest, entries, segments, k), k)
-    return rest if answer is None else answer.unionByName(rest)
-
-
-def _against_all(asked: DataFrame, entries: DataFrame, segments: int, k: int) -> DataFrame:
-    """Queries in blocks against every code: the stated query set against all rows, for what the index leaves open."""
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked.count() // 64)))).groupBy("block").agg(F.collect_list(F.struct("query_id", "asked")).alias("q"))
-    every = entries.join(blocks).select("code", "ids", F.explode("q").alias("q")).select(F.col("q.query_id").alias("query_id"), F.col("q.asked").alias("asked"), "code", "ids")
-    every = every.select("query_id", "code", "ids", distance("asked", "code", segments).alias("distance"))
-    # two steps, so that no task sorts all codes of a query
-    salted = every.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(64)))
-    near = Window.partitionBy("query_id", "salt").orderBy("distance", F.get("ids", F.lit(0)))
-    return salted.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r", "salt")
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    rows = found.select("query_id", F.explode("ids").alias("neighbor_id"), "distance").where("neighbor_id <> query_id")
-    return _rank(rows, k)
-
-
-def _rank(rows: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    ranked = rows.select("query_id", "neighbor_id", "distance").withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k)
+        held = lambda c: F.coalesce(F.sum(c), F.lit(0)) > k
+        state = best.groupBy("q").agg(held(F.when(F.col("distance") <= covered, F.col("n"))).alias("done"), F.when(held("n"), F.max("distance")).alias("bound"))
+        state = table(state, "state")
+        done = state.where("done").select("q")
+        now = best.join(done, "q", "left_semi")
+        closed = now if closed is None else closed.unionByName(now)
+        asked = table(asked.drop("bound").join(state, "q", "left").where("not coalesce(done, false)").drop("done"), "open")
+        if asked.isEmpty():
+            return closed
+        best = best.join(done, "q", "left_anti")
+    return closed.unionByName(_nearest(_against_all(asked, entries, segments), k))
+
+
+def _against_all(asked: DataFrame, entries: DataFrame, segments: int) -> DataFrame:
+    """Questions in blocks against every code: the stated query set against all rows, for what the index leaves open."""
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, asked.count() // 64)))).groupBy("block").agg(F.collect_list(F.struct("q", "asked", "bound")).alias("each"))
+    # of a block only those that the code is near enough to
+    d = lambda e: sum((F.bit_count(F.get(e["asked"], F.lit(i)).bitwiseXOR(F.get("code", F.lit(i)))) for i in range(segments)), F.lit(0))
+    every = entries.join(blocks).withColumn("each", F.filter("each", lambda e: e["bound"].isNull() | (d(e) <= e["bound"])))
+    every = every.select("code", "least", "n", F.explode("each").alias("each")).select(F.col("each.q").alias("q"), F.col("each.asked").alias("asked"), "code", "least", "n")
+    return every.select("q", "code", distance("asked", "code", segments).alias("distance"), "least", "n")
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The k + 1 codes of least (distance, least id) for each ``q``: first within salts, so that no task sorts all of one."""
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(16)))
+    for keys in (("q", "salt"), ("q",)):
+        order = Window.partitionBy(*keys).orderBy("distance", "least")
+        salted = salted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    return salted.select("q", "code", "distance", "least", "n")
