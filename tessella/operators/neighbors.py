@@ -1,18 +1,23 @@
-"""Exact nearest neighbours by growing rings of cells.
-
-Both sides are bucketed by ``width``.  In round r an open query meets the
-objects in the ``2 r + 1`` squared cells about its own; a distance of at most
-``r * width`` is then final, since anything outside the block is farther.  Open
-queries go on with a doubled r; none is dropped.  A group without targets has
-NULL distances.  Cells hold few objects for a fitting width, so the join is an
-equi-join on cells, spread over them.
+"""Exact nearest neighbours by cells that grow with the distance.
+
+Both sides are bucketed by ``width``.  Queries first meet the objects in the
+nine cells about their own; a distance of at most ``width`` is then final, since
+anything outside is farther.  For the others, in regions without objects, cells
+are coarsened by GROW a level: the level at which one of the nine cells about
+the query is occupied bounds the distance, and only occupied cells within that
+bound are descended to their objects.  So a query far from all objects costs a
+few cells a level, not an area, and every join is an equi-join on cells.  A
+group without targets has NULL distances.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bin_index
 
+#: Cells along each side that make one cell of the next level.
+GROW = 4
+
 
 def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) -> float:
     """A cell width at which a cell of the average group holds about ``occupancy`` targets; from one row per group."""
@@ -21,34 +26,119 @@ def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) ->
     return (occupancy * area / n) ** 0.5 if n and area and area > 0 else 1.0
 
 
-def nearest(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",), id_column: str = "object_id", rounds: int = 40) -> DataFrame:
-    """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``); by default the width fits the targets' density."""
-    width = fitting_width(targets, keys) if width is None else width
-    cell = lambda df: df.withColumn("cx", bin_index("x", F.lit(0.0), width)).withColumn("cy", bin_index("y", F.lit(0.0), width))
-    t = cell(targets.select(*keys, F.col("x"), F.col("y"))).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
-    extent = t.groupBy(*keys).agg(F.min("cx").alias("x_lo"), F.max("cx").alias("x_hi"), F.min("cy").alias("y_lo"), F.max("cy").alias("y_hi"))
-    q = cell(queries.select(*keys, id_column, "x", "y")).join(extent, list(keys), "left")
-    done = q.where("x_lo is null").select(*keys, id_column, F.lit(None).cast("double").alias("distance"))
-    live = q.where("x_lo is not null")
-    r = 1
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
-        span = lambda c: F.sequence(F.greatest(F.col(f"c{c}") - r, F.col(f"{c}_lo")), F.least(F.col(f"c{c}") + r, F.col(f"{c}_hi")))  # noqa: B023, E731
-        meets = (F.col("cx") + r >= F.col("x_lo")) & (F.col("cx") - r <= F.col("x_hi")) & (F.col("cy") + r >= F.col("y_lo")) & (F.col("cy") - r <= F.col("y_hi"))
-        block = live.where(meets).select(*keys, id_column, "x", "y", F.explode(span("x")).alias("cx"), F.col("cy"), "y_lo", "y_hi")
-        block = block.select(*keys, id_column, "x", "y", "cx", F.explode(span("y")).alias("cy"))
-        d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
-        found = block.join(t, [*keys, "cx", "cy"]).groupBy(*keys, id_column).agg(F.min(d).alias("distance")).where(F.col("distance") <= r * width)
-        found = found.persist()
-        done = done.unionByName(found.select(*keys, id_column, "distance"))
-        live = live.join(found.select(*keys, id_column), [*keys, id_column], "left_anti")
-        r *= 2
-    else:
-        raise RuntimeError("rings did not reach all targets")
-    return done
+def _cells(df: DataFrame, width: float) -> DataFrame:
+    return df.withColumn("cx", bin_index("x", F.lit(0.0), width)).withColumn("cy", bin_index("y", F.lit(0.0), width))
+
+
+def _around(rows: DataFrame, reach: int) -> DataFrame:
+    """Each row once for every cell at most ``reach`` away."""
+    span = F.array(*(F.lit(i).cast("long") for i in range(-reach, reach + 1)))
+    rows = rows.withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
+    return rows.withColumn("cx", F.col("cx") + F.col("_i")).withColumn("cy", F.col("cy") + F.col("_j")).drop("_i", "_j")
+
+
+def _distance(dx, dy):
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _scale(level):
+    """Cells along the side of a cell of a level; powers of two, so exact."""
+    return F.pow(F.lit(float(GROW)), level.cast("double"))
+
+
+def _coarse(c, level):
+    return F.floor(F.col(c) / _scale(level)).cast("long")
+
+
+def nearest(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",), id_column: str = "object_id") -> DataFrame:
+    """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``); by default the width fits the targets' density.
+
+    Rows that repeat id and place are one.
+    """
+    keys = list(keys)
+    width = float(fitting_width(targets, keys) if width is None else width)
+    query = [*keys, id_column, "x", "y"]
+    t = _cells(targets.select(*keys, "x", "y"), width).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
+    q = _cells(queries.select(*query), width)
+    near = _around(q, 1).join(t, [*keys, "cx", "cy"], "left").groupBy(*query).agg(F.min(_gap()).alias("distance"))
+    held = F.broadcast(targets.select(*keys).distinct().withColumn("_held", F.lit(True)))  # one row per group
+    near = near.join(held, keys, "left").withColumn("_done", F.coalesce(F.col("distance") <= width, F.col("_held").isNull()))
+    done = near.where("_done").select(*keys, id_column, "distance")
+    levels = _levels(q, t)
+    return done if levels is None else done.unionByName(_far(near.where("not _done").select(*query), t, width, levels, keys, query, id_column))
+
+
+def _gap():
+    return _distance(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+
+
+def _far(left: DataFrame, t: DataFrame, width: float, levels: int, keys: list, query: list, id_column: str) -> DataFrame:
+    """Distances of the queries that no object is near."""
+    at = [*keys, "level", "cx", "cy"]
+    steps = F.array(*(F.lit(k) for k in range(levels + 1)))
+    occupied = t.select(*keys, "cx", "cy").distinct().withColumn("level", F.explode(steps))
+    occupied = occupied.select(*keys, "level", *(_coarse(c, F.col("level")).alias(c) for c in ("cx", "cy"))).distinct()
+    place = lambda rows: rows.select(*query, "level", *(F.floor(F.col(c) / (width * _scale(F.col("level")))).cast("long").alias(f"c{c}") for c in ("x", "y")))
+
+    # the lowest level at which an occupied cell touches the query's own; the nearest object is then less than 3 of its cells away
+    first = _around(place(left.withColumn("level", F.explode(F.slice(steps, 2, levels)))), 1).join(occupied, at).groupBy(*query).agg(F.min("level").alias("level"))
+    cells = _bounded(_around(place(first), 3).join(occupied, at), width, query)
+    for level in range(levels, 0, -1):
+        down = F.col("level") == level
+        children = F.when(down, F.array(*(F.lit(i).cast("long") for i in range(GROW)))).otherwise(F.array(F.lit(0).cast("long")))
+        cells = cells.withColumn("_i", F.explode(children)).withColumn("_j", F.explode(children))
+        inner = lambda c, i: F.when(down, F.col(c) * GROW + F.col(i)).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
+        cells = cells.select(*query, F.when(down, level - 1).otherwise(F.col("level")).alias("level"), inner("cx", "_i"), inner("cy", "_j"))
+        cells = _bounded(cells.join(occupied, at), width, query)
+    return cells.join(t, [*keys, "cx", "cy"]).groupBy(*query).agg(F.min(_gap()).alias("distance")).select(*keys, id_column, "distance")
+
+
+def _bounded(cells: DataFrame, width: float, query: list) -> DataFrame:
+    """Of each query's occupied cells, those that may hold the nearest object: none lies beyond the farthest corner of the best one."""
+    w = width * _scale(F.col("level"))
+    sides = lambda p, c: (F.col(c) * w - F.col(p), F.col(p) - (F.col(c) + 1) * w)
+    (l, r), (b, a) = sides("x", "cx"), sides("y", "cy")
+    outside = lambda u, v: F.greatest(u, v, F.lit(0.0))
+    least, most = _distance(outside(l, r), outside(b, a)), _distance(F.greatest(-l, -r), F.greatest(-b, -a))
+    best = F.min(most).over(Window.partitionBy(*query))
+    return cells.withColumn("_least", least).withColumn("_best", best).where(F.col("_least") * (1 - 1e-9) <= F.col("_best") * (1 + 1e-9)).drop("_least", "_best")  # edges are rounded
+
+
+def _levels(q: DataFrame, t: DataFrame) -> int | None:
+    """Levels until one cell and its neighbours hold all queries and all objects; None without either."""
+    a, b = (df.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first() for df in (q, t))
+    if a[0] is None or b[0] is None:
+        return None
+    levels, extent = 1, max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])) + 1
+    while GROW**levels < extent:
+        levels += 1
+    return levels
 
 
 def interior(distances: DataFrame, clearance: str, buffer: float) -> DataFrame:
     """Distances that the edge of the support cannot have changed."""
     return distances.where((F.col(clearance) >= buffer) & (F.col("distance") <= F.col(clearance)))
+
+
+def with_clearance(distances: DataFrame, clearances: DataFrame, frame: DataFrame, width: float, keys=("job",)) -> DataFrame:
+    """Rows (``x``, ``y``) with the clearance of their cell, those beyond the edge taking the outermost cell's.
+
+    ``clearances``: ``(keys, ix, iy, clearance)`` of supported cells; elsewhere the
+    clearance is that of a cell outside, less than 0.
+    """
+    rows = distances.join(frame, list(keys))
+    for c in ("x", "y"):
+        rows = rows.withColumn(f"i{c}", F.greatest(F.lit(0), F.least(bin_index(c, F.col(f"{c}0"), width), F.col(f"n{c}") - 1)))
+    out = rows.join(clearances.select(*keys, "ix", "iy", "clearance"), [*keys, "ix", "iy"], "left")
+    return out.withColumn("clearance", F.coalesce("clearance", F.lit(-width * 2**0.5 / 2))).drop("x0", "y0", "nx", "ny")
+
+
+def proximity_summary(distances: DataFrame, buffer: float, keys=("job",)) -> DataFrame:
+    """Per group: rows, those whose distance the edge cannot have changed, and exact medians of both; ``distances`` has ``clearance``."""
+    from .distribution import quantile_columns
+
+    kept = (F.col("clearance") >= buffer) & (F.col("distance") <= F.col("clearance"))
+    rows = distances.withColumn("_inner", F.when(kept, F.col("distance")))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_inner").alias("n_interior"))
+    quantiles = quantile_columns(rows, {"median_all": ("distance", 0.5), "q95_all": ("distance", 0.95), "median_interior": ("_inner", 0.5)}, keys)
+    return counts.join(quantiles, list(keys), "left").withColumn("retained_pct", 100.0 * F.col("n_interior") / F.col("n"))
