@@ -1,31 +1,121 @@
-"""Exact distributions and rankings.  Every order is total, so results do not depend on row order."""
+"""Exact distributions and rankings.  Every order is total, so results do not depend on row order.
+
+A group may hold a third of all rows, so no window runs over a whole group:
+values are dealt to buckets between cut points of their group, windows run
+within a bucket, and the totals of the buckets before give the rest.  Equal
+values are counted before they move.  Cut points only balance the work; results
+do not depend on them.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import percent
 
+#: Buckets of a group, and groups whose cut points are fetched at most.
+BUCKETS, MAX_GROUPS = 64, 10_000
+
+
+def cut_points(rows: DataFrame, value: str, keys) -> DataFrame:
+    """``(keys, cuts)``: increasing values that part each group into about equal pieces.
+
+    They are fetched once, so that every use of them agrees; a group is a row of
+    a study's design, and more than MAX_GROUPS of them are an error.
+    """
+    found = rows.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"))
+    got = found.limit(MAX_GROUPS + 1).collect()
+    if len(got) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    cuts = rows.sparkSession.createDataFrame(got, found.schema)
+    return cuts.withColumn("cuts", F.array_distinct(F.coalesce("cuts", F.array().cast("array<double>"))))
+
+
+def bucketed(rows: DataFrame, value: str, keys, cuts: DataFrame) -> DataFrame:
+    """``rows`` with ``_b``: how many of the group's cuts lie below the value."""
+    return rows.join(F.broadcast(cuts), list(keys)).withColumn("_b", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+
+
+def _histogram(rows: DataFrame, value: str, keys) -> DataFrame:
+    """``(keys, value, _n, _b)``: known distinct values with their counts and buckets."""
+    known = rows.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return bucketed(counts, value, keys, cut_points(known, value, keys))
+
+
+def _running(order) -> Window:
+    return order.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def quantiles(rows: DataFrame, value: str, keys, probabilities) -> DataFrame:
+    """``(keys, i, probability, value)``: exact quantiles, linear between ranks; unknown values take no part.
+
+    Only the buckets that hold a wanted rank are sorted.
+    """
+    keys = list(keys)
+    placed = _histogram(rows, value, keys)
+    per, w = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_c")), Window.partitionBy(*keys)
+    per = per.select(*keys, "_b", "_c", (F.sum("_c").over(_running(w.orderBy("_b"))) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_total"))
+    wanted = F.transform(F.array(*(F.lit(float(p)) for p in probabilities)), lambda p, i: F.struct(i.alias("i"), p.alias("p"), ((F.col("_total") - 1) * p).alias("at")))
+    inside = lambda lo, n: lambda q: (F.floor(q["at"]) < lo + n) & (F.ceil(q["at"]) >= lo)
+    need = per.withColumn("_wanted", F.filter(wanted, inside(F.col("_before"), F.col("_c")))).where(F.size("_wanted") > 0).drop("_c", "_total")
+    ranked = placed.join(need, [*keys, "_b"]).withColumn("_lo", F.col("_before") + F.sum("_n").over(_running(Window.partitionBy(*keys, "_b").orderBy(value))) - F.col("_n"))
+    # a row is met by a wanted place if it holds the rank below or above it
+    met = ranked.select(*keys, F.col(value).alias("_v"), F.explode(F.filter("_wanted", inside(F.col("_lo"), F.col("_n")))).alias("_q"))
+    out = met.groupBy(*keys, F.col("_q.i").alias("i"), F.col("_q.p").alias("probability"), F.col("_q.at").alias("_at")).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+    return out.select(*keys, "i", "probability", (F.col("_a") + (F.col("_at") - F.floor("_at")) * (F.col("_z") - F.col("_a"))).alias("value"))
+
+
+def quantile_columns(rows: DataFrame, wanted: dict, keys) -> DataFrame:
+    """``(keys, name...)``: exact quantiles of several columns in one pass; ``wanted``: name -> (column, probability)."""
+    keys, columns = list(keys), sorted({c for c, _ in wanted.values()})
+    probabilities = sorted({p for _, p in wanted.values()})
+    long = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(keys, columns, "_metric", "_value")
+    found = quantiles(long, "_value", [*keys, "_metric"], probabilities)
+    return found.groupBy(*keys).agg(*(F.max(F.when((F.col("_metric") == c) & (F.col("i") == probabilities.index(p)), F.col("value"))).alias(name) for name, (c, p) in wanted.items()))
+
+
+def top_share(rows: DataFrame, keys, value: str, share: float = 0.01) -> DataFrame:
+    """Percent of the group's ``value`` that its largest ``max(1, ceil(share * n))`` rows hold."""
+    keys = list(keys)
+    placed = _histogram(rows, value, keys)
+    per, w = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_c"), F.sum(F.col("_n") * F.col(value)).alias("_s")), Window.partitionBy(*keys)
+    per = per.select(*keys, "_b", "_c", "_s", (F.sum("_c").over(_running(w.orderBy(F.desc("_b")))) - F.col("_c")).alias("_above"), F.sum("_c").over(w).alias("_total"))
+    per = per.withColumn("_top", F.greatest(F.lit(1), F.ceil(share * F.col("_total"))))
+    cut = per.where("_above < _top and _above + _c > _top").select(*keys, "_b", "_above", "_top")  # one bucket of a group
+    upper = F.sum("_n").over(_running(Window.partitionBy(*keys, "_b").orderBy(F.desc(value)))) - F.col("_n")
+    part = placed.join(cut, [*keys, "_b"]).withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_top") - F.col("_above") - upper)))
+    part = part.groupBy(*keys).agg(F.sum(F.col("_taken") * F.col(value)).alias("_part"))
+    whole = per.groupBy(*keys).agg(F.sum(F.when(F.col("_above") + F.col("_c") <= F.col("_top"), F.col("_s"))).alias("_whole"), F.sum("_s").alias("_all"))
+    held = F.coalesce("_whole", F.lit(0.0)) + F.coalesce("_part", F.lit(0.0))
+    return whole.join(part, keys, "left").select(*keys, percent(held, "_all").alias("top_share_pct"))
+
 
 def ecdf(rows: DataFrame, value: str, keys) -> DataFrame:
-    """Distinct values with their counts and the percentage of rows at or below; rows are counted before the window."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    running = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("cumulative_pct", percent(running, F.sum("n").over(w)))
+    """Distinct known values with their counts and the percentage of rows at or below."""
+    keys = list(keys)
+    placed, w = _histogram(rows, value, keys), Window.partitionBy(*keys)
+    per = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_c"))
+    per = per.select(*keys, "_b", (F.sum("_c").over(_running(w.orderBy("_b"))) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_total"))
+    running = F.col("_before") + F.sum("_n").over(_running(Window.partitionBy(*keys, "_b").orderBy(value)))
+    return placed.join(per, [*keys, "_b"]).select(*keys, value, F.col("_n").alias("n"), percent(running, "_total").alias("cumulative_pct"))
 
 
 def concentration(rows: DataFrame, value: str, keys, id_column: str = "object_id") -> DataFrame:
-    """Largest first: rank, percent of rows so far and percent of the value so far."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(F.desc(value), id_column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.select(*keys, id_column, value, F.row_number().over(w.orderBy(F.desc(value), id_column)).alias("rank"), F.sum(value).over(order).alias("_s"), F.count("*").over(w).alias("_n"), F.sum(value).over(w).alias("_t"))
+    """Largest first: rank, percent of rows so far and percent of the value so far; ties by id."""
+    keys = list(keys)
+    known = rows.where(F.col(value).isNotNull()).select(*keys, id_column, value)
+    placed, w = bucketed(known, value, keys, cut_points(known, value, keys)), Window.partitionBy(*keys)
+    per = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.sum(value).alias("_s"))
+    above = lambda c: F.sum(c).over(_running(w.orderBy(F.desc("_b")))) - F.col(c)
+    per = per.select(*keys, "_b", above("_c").alias("_rows"), above("_s").alias("_sum"), F.sum("_c").over(w).alias("_n"), F.sum("_s").over(w).alias("_t"))
+    order = _running(Window.partitionBy(*keys, "_b").orderBy(F.desc(value), id_column))
+    ranked = placed.join(per, [*keys, "_b"]).withColumn("rank", (F.col("_rows") + F.count("*").over(order)).cast("int")).withColumn("_s", F.col("_sum") + F.sum(value).over(order))
     return ranked.select(*keys, id_column, "rank", percent("rank", "_n").alias("objects_pct"), percent("_s", "_t").alias("value_pct"))
 
 
 def quantile_curve(rows: DataFrame, value: str, keys, points: int = 201) -> DataFrame:
     """Exact quantiles at evenly spaced probabilities, one row each."""
-    grid = F.array(*(F.lit(i / (points - 1)) for i in range(points)))
-    return rows.groupBy(*keys).agg(F.percentile(value, grid).alias("q")).select(*keys, F.posexplode("q").alias("i", "value")).withColumn("probability", F.col("i") / (points - 1)).drop("i")
+    return quantiles(rows, value, keys, [i / (points - 1) for i in range(points)]).drop("i")
 
 
 def top_rows(rows: DataFrame, value: str, keys, n: int = 5, id_column: str = "object_id", name: str = "rank") -> DataFrame:
@@ -34,8 +124,8 @@ def top_rows(rows: DataFrame, value: str, keys, n: int = 5, id_column: str = "ob
 
 
 def nearest_to(rows: DataFrame, value: str, target, keys, id_column: str = "object_id") -> DataFrame:
-    """The row whose value is nearest to the group's target aggregate (median, p99, ...), ties by id."""
-    aim = rows.groupBy(*keys).agg(target.alias("target"))
+    """The row whose value is nearest to a quantile of its group (``target``: a probability), ties by id."""
+    aim = quantiles(rows, value, keys, [target]).select(*keys, F.col("value").alias("target"))
     gap = F.abs(F.col(value) - F.col("target"))
     near = rows.join(aim, list(keys)).groupBy(*keys).agg(F.first("target").alias("target"), F.min(F.struct(gap.alias("d"), F.col(id_column).alias("i"), F.col(value).alias("v"))).alias("m"))
     return near.select(*keys, "target", F.col("m.i").alias(id_column), F.col("m.v").alias(value))

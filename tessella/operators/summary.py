@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, complete_mean, complete_sum, flag, percent, ratio, stratum
+from .distribution import quantile_columns, top_share
 
 CLASSES = ("A", "B")
 
@@ -15,22 +16,33 @@ def unique_keys(dim: DataFrame, *keys: str) -> DataFrame:
     return dim
 
 
-def top_share(objects: DataFrame, keys, value: str, share: float = 0.01) -> DataFrame:
-    """Percent of the group's ``value`` that its largest ``max(1, ceil(share * n))`` rows hold."""
-    group = Window.partitionBy(*keys)
-    ranked = objects.select(*keys, value, F.row_number().over(group.orderBy(F.desc(value))).alias("_r"), F.count("*").over(group).alias("_n"))
-    top = F.col("_r") <= F.greatest(F.lit(1), F.ceil(share * F.col("_n")))
-    return ranked.groupBy(*keys).agg(percent(F.sum(F.when(top, F.col(value))), F.sum(value)).alias("top_share_pct"))
+def other_flag():
+    """The marker of the other class."""
+    return F.when(F.col("object_type") == CLASSES[0], F.col("b_present")).otherwise(F.col("a_present"))
+
+
+def zero_box():
+    return (F.col("xmin") == F.col("xmax")) | (F.col("ymin") == F.col("ymax"))
+
+
+def any_diameter(test):
+    """Whether one of the three diameters passes a test."""
+    return test(F.col("min_diameter")) | test(F.col("median_diameter")) | test(F.col("max_diameter"))
+
+
+#: Exact quantiles of a summary: name -> (column, probability).
+QUANTILES = {
+    "median_overlap_pct": ("overlap_pct", 0.5), "area_q25": ("area", 0.25), "area_median": ("area", 0.5), "area_q75": ("area", 0.75), "area_p99": ("area", 0.99),
+    "median_intensity": ("intensity", 0.5), "p99_intensity": ("intensity", 0.99), "median_of_median_diameter": ("median_diameter", 0.5),
+}
 
 
 def object_summary(objects: DataFrame, keys=("job", "object_type")) -> DataFrame:
     """Counts, shares, sums and exact quantiles per group, with the share of the largest 1 %."""
-    other = F.when(F.col("object_type") == CLASSES[0], F.col("b_present")).otherwise(F.col("a_present"))
-    n = F.count("*")
-    base = objects.withColumn("other", other).groupBy(*keys).agg(
+    n, zero = F.count("*"), any_diameter(lambda d: d == 0)
+    base = objects.withColumn("other", other_flag()).groupBy(*keys).agg(
         n.alias("n_objects"),
-        F.count_if("a_present").alias("a_count"),
-        F.count_if("b_present").alias("b_count"),
+        *(x for c in ("a", "b") for x in (F.count_if(f"{c}_present").alias(f"{c}_count"), percent(F.count_if(f"{c}_present"), n).alias(f"{c}_pct"))),
         F.count_if("other").alias("other_count"),
         percent(F.count_if("other"), n).alias("other_pct"),
         F.count_if(F.col("overlap_area") > 0).alias("overlap_count"),
@@ -38,30 +50,43 @@ def object_summary(objects: DataFrame, keys=("job", "object_type")) -> DataFrame
         F.sum("overlap_area").alias("overlap_sum"),
         percent(F.sum("overlap_area"), F.sum("area")).alias("weighted_overlap_pct"),
         F.avg("overlap_pct").alias("mean_overlap_pct"),
-        F.median("overlap_pct").alias("median_overlap_pct"),
-        F.percentile("area", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99)))).alias("q"),
         F.max("area").alias("max_area"),
-        F.count_if(F.col("min_diameter") == 0).alias("zero_min_count"),
-        F.count_if((F.col("min_diameter") == 0) | (F.col("max_diameter") == 0)).alias("any_zero_count"),
+        F.max("intensity").alias("max_intensity"),
+        *(F.count_if(F.col(f"{c}_diameter") == 0).alias(f"zero_{c}_count") for c in ("min", "median", "max")),
+        F.count_if(zero).alias("any_zero_count"),
+        percent(F.count_if(zero), n).alias("any_zero_pct"),
+        F.count_if(zero_box()).alias("zero_box_count"),
+        percent(F.count_if(zero_box()), n).alias("zero_box_pct"),
     )
-    base = base.select("*", *(F.get("q", F.lit(i)).alias(f"area_{name}") for i, name in enumerate(("q25", "median", "q75", "p99")))).drop("q")
-    return base.join(top_share(objects, list(keys), "area"), list(keys))
+    return base.join(quantile_columns(objects, QUANTILES, keys), list(keys)).join(top_share(objects, keys, "area"), list(keys))
 
 
 def quality_control(objects: DataFrame, key: str = "job", id_column: str = "object_id") -> DataFrame:
     """Counters of odd rows; no row is removed."""
-    off = lambda e: F.count_if(F.coalesce(~(e <= 0.001), F.lit(True)))
+    error = F.abs(F.col("overlap_pct") - percent("overlap_area", "area"))
+    odd = lambda e: F.count_if(F.coalesce(e, F.lit(True)))
+    unknown = lambda c: F.col(c).isNull() | F.isnan(c) if dict(objects.dtypes)[c] in ("double", "float") else F.col(c).isNull()
+    lo, mid, hi = (F.col(f"{c}_diameter") for c in ("min", "median", "max"))
+    own = F.when(F.col("object_type") == CLASSES[0], F.col("a_present")).otherwise(F.col("b_present"))
     return objects.groupBy(key).agg(
         F.count("*").alias("n_objects"),
         (F.count("*") - F.countDistinct(id_column)).alias("duplicate_ids"),
+        sum((F.count_if(unknown(c)) for c in objects.columns), F.lit(0)).alias("missing_values"),
         F.count_if(F.col("area") <= 0).alias("nonpositive_area"),
         F.count_if(F.col("overlap_area") < 0).alias("negative_overlap"),
         F.count_if(F.col("overlap_area") > F.col("area") + 1e-6).alias("overlap_exceeds_area"),
-        off(F.abs(F.col("overlap_pct") - percent("overlap_area", "area"))).alias("formula_mismatch"),
+        odd((F.col("overlap_pct") < 0) | (F.col("overlap_pct") > 100)).alias("pct_outside"),
+        odd(~(error <= 0.001)).alias("formula_mismatch"),
+        F.max(error).alias("max_formula_error"),
         F.count_if((F.col("overlap_area") > 0) != (F.col("a_present") & F.col("b_present"))).alias("presence_mismatch"),
-        F.count_if(F.col("min_diameter") == 0).alias("zero_min_diameter"),
-        F.count_if(F.col("min_diameter") > F.col("max_diameter")).alias("reversed_diameter"),
-        F.count_if(F.coalesce((F.col("overlap_pct") < 0) | (F.col("overlap_pct") > 100), F.lit(True))).alias("pct_outside"),
+        F.count_if(~own).alias("own_marker_absent"),
+        F.count_if(any_diameter(lambda d: d == 0)).alias("any_zero_diameter"),
+        F.count_if(any_diameter(lambda d: d < 0)).alias("any_negative_diameter"),
+        F.count_if((lo > mid) | (mid > hi)).alias("diameter_order_mismatch"),
+        F.count_if(zero_box()).alias("zero_box"),
+        F.count_if((F.col("xmin") > F.col("xmax")) | (F.col("ymin") > F.col("ymax"))).alias("reversed_box"),
+        F.count_if(F.col("inner_area") != 0).alias("nonzero_inner_area"),
+        F.count_if(F.abs(F.col("inner_area") + F.col("outer_area") - F.col("area")) > 0.001).alias("area_partition_mismatch"),
     )
 
 
