@@ -31,6 +31,25 @@ def contrast(long: DataFrame, keys=("arm", "metric")) -> DataFrame:
     return out.withColumn("difference", F.col("control_mean") - F.col("treated_mean"))
 
 
+def strict_contrast(long: DataFrame, per_group: int = 3, keys=("arm", "metric")) -> DataFrame:
+    """Treated mean minus control mean with its leave-pair-out range; an error unless every group has ``per_group`` known replicates, each once."""
+    faults = long.groupBy(*keys).agg(
+        *(F.count_if(_side(g)).alias(f"n_{g}") for g in (CONTROL, TREATED)),
+        F.count_if(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))).alias("unknown"),
+        (F.count("*") - F.countDistinct("grp", "animal")).alias("repeated"),
+    )
+    bad = faults.where((F.col(f"n_{CONTROL}") != per_group) | (F.col(f"n_{TREATED}") != per_group) | (F.col("unknown") > 0) | (F.col("repeated") > 0)).limit(10).collect()
+    if bad:
+        raise ValueError(f"{per_group} known replicates a group are needed: {[tuple(r) for r in bad]}")
+    both = contrast(long, keys).join(leave_pair_out(long, keys), list(keys))
+    return both.select(*keys, "control_mean", "treated_mean", (-F.col("difference")).alias("difference"), (-F.col("high")).alias("low"), (-F.col("low")).alias("high"))
+
+
+def cluster_contrasts(composition: DataFrame, keys=("arm", "cluster")) -> DataFrame:
+    """Contrasts of each cluster's share and association, replicates weighing equally (``composition``: one row per replicate and cluster)."""
+    return contrast(long_metrics(composition, ("share_pct", "rate_pct"), (*keys, "grp", "animal")), (*keys, "metric"))
+
+
 def leave_pair_out(long: DataFrame, keys=("arm", "metric")) -> DataFrame:
     """The difference after leaving out one replicate of each group, all combinations; the least and the greatest."""
     w = Window.partitionBy(*keys, "grp")

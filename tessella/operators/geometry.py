@@ -103,15 +103,33 @@ def boundary_cells(occupied):
     return None if body is None else (body & ~erode(body))[2:-2, 2:-2]
 
 
+def squared_distance(outside):
+    """Squared distance, in cells, of each cell to the nearest one of a mask (which has one).
+
+    Separable: first along each column, then the least over the columns at each
+    offset, up to the greatest distance found; every step is one array operation.
+    """
+    h, w = outside.shape
+    far = h + w
+    near = np.where(outside, 0, far)
+    for y in range(1, h):
+        near[y] = np.minimum(near[y], near[y - 1] + 1)
+    for y in range(h - 2, -1, -1):
+        near[y] = np.minimum(near[y], near[y + 1] + 1)
+    column = near.astype(np.int64) ** 2
+    out = column.copy()
+    for d in range(1, w):
+        if d * d >= out.max():
+            break
+        np.minimum(out[:, d:], column[:, :-d] + d * d, out=out[:, d:])
+        np.minimum(out[:, :-d], column[:, d:] + d * d, out=out[:, :-d])
+    return out
+
+
 def clearance(occupied, width: float):
     """Distance of each supported cell's centre to the outside, less half a cell's diagonal; the grid is padded by one cell."""
-    p = np.pad(occupied, 1)
-    outside = np.argwhere(~p)
-    out = np.full(occupied.shape, np.nan)
-    for y, x in np.argwhere(occupied):
-        d2 = ((outside - (y + 1, x + 1)) ** 2).sum(axis=1).min()
-        out[y, x] = math.sqrt(d2) * width - width * math.sqrt(2) / 2
-    return out
+    d2 = squared_distance(~np.pad(occupied, 1))[1:-1, 1:-1]
+    return np.where(occupied, np.sqrt(d2) * width - width * math.sqrt(2) / 2, np.nan)
 
 
 def _mask(pdf: pd.DataFrame):
@@ -121,18 +139,36 @@ def _mask(pdf: pd.DataFrame):
     return mask
 
 
+def centroid_inside(points: list):
+    """The centroid ``(x, y)`` of a polygon; None where it is degenerate or lies outside (even-odd rule)."""
+    x, y = np.array(points, dtype=float).T
+    nx, ny = np.roll(x, -1), np.roll(y, -1)
+    cross = x * ny - nx * y
+    if abs(cross.sum()) < 1e-10:
+        return None
+    cx, cy = ((x + nx) * cross).sum() / (3 * cross.sum()), ((y + ny) * cross).sum() / (3 * cross.sum())
+    rise = np.where(ny == y, 1.0, ny - y)
+    inside = ((y > cy) != (ny > cy)) & (cx < (nx - x) * (cy - y) / rise + x)
+    return (float(cx), float(cy)) if inside.sum() % 2 else None
+
+
 def candidate_voids(grid: DataFrame, width: float, least: int = 6, job: str = "job") -> DataFrame:
-    """``(job, cells, polygon)`` of dense cell counts ``(job, ix, iy, n, x0, y0)``; no row where there is no void."""
+    """``(job, cells, polygon, centroid)`` of dense cell counts ``(job, ix, iy, n, x0, y0)``.
+
+    No row where there is no void, or where its centroid lies outside its outline.
+    """
 
     def run(key, pdf):
-        hole = void_cells(_mask(pdf), least)
-        if hole is None:
-            return pd.DataFrame({"job": [], "cells": [], "polygon": pd.Series([], dtype=object)})
-        x0, y0 = pdf["x0"].iloc[0], pdf["y0"].iloc[0]
-        polygon = [{"x": float(x0 + x * width), "y": float(y0 + y * width)} for x, y in outline(hole)]
-        return pd.DataFrame({"job": [key[0]], "cells": [int(hole.sum())], "polygon": [polygon]})
+        hole, rows = void_cells(_mask(pdf), least), {"job": [], "cells": [], "polygon": [], "centroid": []}
+        if hole is not None:
+            x0, y0 = pdf["x0"].iloc[0], pdf["y0"].iloc[0]
+            points = [(float(x0 + x * width), float(y0 + y * width)) for x, y in outline(hole)]
+            if (centre := centroid_inside(points)) is not None:
+                point = lambda p: {"x": p[0], "y": p[1]}
+                rows = {"job": [key[0]], "cells": [int(hole.sum())], "polygon": [list(map(point, points))], "centroid": [point(centre)]}
+        return pd.DataFrame({k: pd.Series(v, dtype=object if k in ("polygon", "centroid") else None) for k, v in rows.items()})
 
-    return grid.groupBy(job).applyInPandas(run, f"job {dict(grid.dtypes)[job]}, cells long, polygon array<struct<x:double,y:double>>")
+    return grid.groupBy(job).applyInPandas(run, f"job {dict(grid.dtypes)[job]}, cells long, polygon array<struct<x:double,y:double>>, centroid struct<x:double,y:double>")
 
 
 def boundaries(grid: DataFrame, width: float, job: str = "job") -> DataFrame:
@@ -192,9 +228,9 @@ def alignment_proposals(edges: DataFrame, centres: DataFrame, reference, ambiguo
     """The flip of each section whose boundary lies nearest to the reference section's, about their centres.
 
     ``edges``: ``(job, x, y)``; ``centres``: ``(job, cx, cy[, cue_dy])``.  Ties
-    follow the order of FLIPS.  ``margin`` is the relative lead over the next
-    best allowed flip; below ``ambiguous`` the proposal is ambiguous.  It is
-    never an approval.
+    follow the order of FLIPS.  ``margin`` is the lead over the next best allowed
+    flip, relative to that one's score (to 1 at least); below ``ambiguous`` the
+    proposal is ambiguous.  It is never an approval.
     """
     spark = edges.sparkSession
     if "cue_dy" not in centres.columns:
@@ -208,10 +244,11 @@ def alignment_proposals(edges: DataFrame, centres: DataFrame, reference, ambiguo
     scores = boundary_scores(mine, theirs, (job, "orientation"))
     cue = centres.where(F.col(job) == reference).select(F.col("cue_dy").alias("reference_dy"))
     scores = scores.join(centres.select(job, "cue_dy"), job).crossJoin(cue).join(flips, "orientation")
-    best_any = Window.partitionBy(job).orderBy("score", "place")
+    scores = scores.withColumn("_score", F.round("score", 9))  # flips of a symmetric boundary tie, whatever the order of the sums
+    best_any = Window.partitionBy(job).orderBy("_score", "place")
     scores = scores.withColumn("allowed", allowed_flip("orientation", "cue_dy", "reference_dy")).withColumn("any", F.row_number().over(best_any))
-    w = Window.partitionBy(job, "allowed").orderBy("score", "place")
-    ranked = scores.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).withColumn("margin", (F.col("next") - F.col("score")) / F.nullif(F.col("next"), F.lit(0.0)))
+    w = Window.partitionBy(job, "allowed").orderBy("_score", "place")
+    ranked = scores.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).withColumn("margin", (F.col("next") - F.col("score")) / F.greatest(F.col("next"), F.lit(1.0)))
     chosen = ranked.where("allowed and r = 1")
     return chosen.select(job, "orientation", "score", "tail", "margin", F.coalesce(F.col("margin") < ambiguous, F.lit(False)).alias("ambiguous"), (F.col("any") != 1).alias("cue_conflict"), F.lit(False).alias("approved"))
 

@@ -148,29 +148,39 @@ def smoothed_fraction(grid: DataFrame, sigma: float, support: int = 10, keys=("j
 
     ``grid`` is dense.  Weights run to ``truncate * sigma`` in each direction;
     cells beyond the edge take no part in either sum, so a constant stays itself.
+    The kernel is a product, so it is applied along x, then along y: a cell is
+    copied ``2 r + 1`` times in each pass.
     """
     check_parameters(1.0, support, sigma)
     r = int(truncate * sigma + 0.5)
-    spark = grid.sparkSession
-    offsets = [(i, j, math.exp(-(i * i + j * j) / (2 * sigma * sigma)) if sigma else 1.0) for i in range(-r, r + 1) for j in range(-r, r + 1)]
-    near = F.broadcast(spark.createDataFrame(offsets, "dx long, dy long, weight double"))  # (2 r + 1) squared rows
-    held = grid.where("n_a > 0").select(*keys, "ix", "iy", "n_a", "positive")
-    moved = held.crossJoin(near).select(*keys, (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), (F.col("n_a") * F.col("weight")).alias("n"), (F.col("positive") * F.col("weight")).alias("k"))
-    sums = moved.groupBy(*keys, "ix", "iy").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    near = F.array(*(F.struct(F.lit(i).cast("long").alias("d"), F.lit(math.exp(-(i * i) / (2 * sigma * sigma)) if sigma else 1.0).alias("w")) for i in range(-r, r + 1)))
+    sums = grid.where("n_a > 0").select(*keys, "ix", "iy", F.col("n_a").cast("double").alias("n"), F.col("positive").cast("double").alias("k"))
+    for c in ("ix", "iy"):
+        moved = sums.withColumn("_o", F.explode(near)).withColumn(c, F.col(c) + F.col("_o.d"))
+        sums = moved.groupBy(*keys, "ix", "iy").agg(*(F.sum(F.col(v) * F.col("_o.w")).alias(v) for v in ("n", "k")))
     out = grid.select(*keys, "ix", "iy", "n_a").join(sums, [*keys, "ix", "iy"], "left")
     return out.select(*keys, "ix", "iy", "n_a", F.when(F.col("n_a") >= support, percent("k", "n")).alias("smoothed_pct"))
 
 
 def support_sensitivity(objects: DataFrame, widths, thresholds, keys=("job",)) -> DataFrame:
-    """Cells occupied and supported, and objects in supported cells, for each width and threshold."""
-    out = None
+    """Cells occupied and supported, and objects in supported cells, for each width and threshold.
+
+    The objects are read once: a row stands for each width, and the cells of all
+    widths are counted together.
+    """
+    a = objects.where("object_type = 'A'")
+    frame = None
     for width in widths:
-        g = cells(objects.where("object_type = 'A'"), width, {"n": F.count("*")}, "closed", keys, dense=False)
-        t = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-        part = g.select(*keys, "n", t).groupBy(*keys, "threshold").agg(F.count("*").alias("occupied"), F.count_if(F.col("n") >= F.col("threshold")).alias("supported"), F.coalesce(F.sum(F.when(F.col("n") >= F.col("threshold"), F.col("n"))), F.lit(0)).alias("objects_supported"), F.sum("n").alias("objects"))
-        part = part.withColumn("width", F.lit(float(width))).withColumn("objects_pct", percent("objects_supported", "objects"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        check_parameters(width)
+        one = frames(a, width, "closed", keys).withColumn("width", F.lit(float(width)))
+        frame = one if frame is None else frame.unionByName(one)
+    rows = a.select(*keys, "x", "y").withColumn("width", F.explode(F.array(*(F.lit(float(w)) for w in widths)))).join(frame, [*keys, "width"])
+    at = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("width")).cast("long"), F.col(f"n{c}") - 1)
+    g = rows.groupBy(*keys, "width", at("x").alias("ix"), at("y").alias("iy")).agg(F.count("*").alias("n"))
+    g = g.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    enough = F.col("n") >= F.col("threshold")
+    out = g.groupBy(*keys, "threshold", "width").agg(F.count("*").alias("occupied"), F.count_if(enough).alias("supported"), F.coalesce(F.sum(F.when(enough, F.col("n"))), F.lit(0)).alias("objects_supported"), F.sum("n").alias("objects"))
+    return out.select(*keys, "threshold", "occupied", "supported", "objects_supported", "objects", "width", percent("objects_supported", "objects").alias("objects_pct"))
 
 
 def count_scales(grid: DataFrame, counts=("n_a", "n_b")) -> DataFrame:
@@ -246,6 +256,17 @@ def share_grid(objects: DataFrame, cluster: str, clusters, width: float, support
     return g.select(*keys, "ix", "iy", "n_all", "n", "n_excluded", *(F.when(F.col("n") >= support, percent(f"k{c}", "n")).alias(f"pct_{c}") for c in clusters))
 
 
+def points_in_window(objects: DataFrame, x_lo: float, x_hi: float, y_lo: float, y_hi: float) -> DataFrame:
+    """Objects whose midpoint lies in a window, its edges included."""
+    return objects.where(F.col("x").between(x_lo, x_hi) & F.col("y").between(y_lo, y_hi))
+
+
+def supported_share(grid: DataFrame, keys=("job",)) -> DataFrame:
+    """How many occupied cells are supported, and the percentage of them."""
+    g = grid.where("n_a > 0").groupBy(*keys).agg(F.count("*").alias("occupied"), F.count_if("supported").alias("supported"))
+    return g.withColumn("supported_pct", percent("supported", "occupied"))
+
+
 def check_conserved(grid: DataFrame, objects: DataFrame, count: str = "n_all") -> None:
     """Raise unless the cells hold every object once."""
     if (grid.agg(F.sum(count)).first()[0] or 0) != objects.count():

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import percent
+from .distribution import quantile_columns
 
 
 def shared_signatures(rows: DataFrame, run: str, runs, signature, keys=(), drop_unknown: bool = True) -> DataFrame:
@@ -29,6 +30,12 @@ def same_keys(a: DataFrame, b: DataFrame) -> bool:
     return a.distinct().exceptAll(b.distinct()).isEmpty() and b.distinct().exceptAll(a.distinct()).isEmpty()
 
 
+def run_totals(rows: DataFrame, run: str, runs, pair: str) -> DataFrame:
+    """Rows of each class in two runs of a pair, with the change."""
+    a, b = (F.count_if(F.col(run) == r) for r in runs)
+    return rows.groupBy(pair, "object_type").agg(a.alias("n_first"), b.alias("n_second"), (b - a).alias("change"))
+
+
 def paired_metrics(rows: DataFrame, run: str, runs, pair: str) -> DataFrame:
     """Metrics of class A in two runs of a pair, from one conditional aggregate, with their changes."""
     out = []
@@ -40,8 +47,9 @@ def paired_metrics(rows: DataFrame, run: str, runs, pair: str) -> DataFrame:
             percent(F.count_if(on & F.col("b_present")), F.count_if(on)).alias(f"association_{name}"),
             F.avg(value("overlap_pct")).alias(f"mean_overlap_{name}"),
             percent(F.sum(value("overlap_area")), F.sum(value("area"))).alias(f"pooled_overlap_{name}"),
-            F.median(value("area")).alias(f"median_area_{name}"),
         ]
-    wide = rows.groupBy(pair).agg(*out)
+    a = rows.where("object_type = 'A'").withColumns({f"_{name}": F.when(F.col(run) == r, F.col("area")) for name, r in zip(("first", "second"), runs, strict=True)})
+    medians = quantile_columns(a, {f"median_area_{name}": (f"_{name}", 0.5) for name in ("first", "second")}, (pair,))
+    wide = rows.groupBy(pair).agg(*out).join(medians, pair, "left")
     wide = wide.withColumn("n_change_pct", percent(F.col("n_second") - F.col("n_first"), "n_first"))
     return wide.select("*", *((F.col(f"{m}_second") - F.col(f"{m}_first")).alias(f"{m}_change") for m in ("association", "mean_overlap", "pooled_overlap", "median_area")))
