@@ -7,15 +7,17 @@ aggregate per load.
 
 import csv
 import hashlib
+import importlib.metadata
 import json
 import os
+import platform
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import midpoint
+from ..functions import midpoint, polygon_centroid
 
 # Column order of an export (header, name); None is dropped after the checks.
 COLUMNS = (
@@ -38,43 +40,69 @@ def header_of(spark: SparkSession, path: str) -> list:
     return next(csv.reader([line[0].lstrip("\ufeff")])) if line else []
 
 
+def read_exports(spark: SparkSession, jobs: dict, labels: dict, columns=COLUMNS) -> DataFrame:
+    """Exports as one scan of typed rows, ``jobs``: path -> job; ``labels`` maps the files' class labels to ours.  Headers and their order must match."""
+    paths = list(jobs)
+    for path in paths:
+        if header_of(spark, path) != [h for h, _ in columns]:
+            raise ValueError(f"{path}: header differs")
+    raw = spark.read.schema(export_schema(columns)).csv(paths, header=True, enforceSchema=False, mode="FAILFAST", encoding="UTF-8")
+    name = _file_name(F.col("_metadata.file_path"))
+    lookup = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    job = F.lit(next(iter(jobs.values()))) if len(jobs) == 1 else F.element_at(lookup({os.path.basename(p): j for p, j in jobs.items()}), name)
+    rows = raw.select(*(F.col(f"`{h}`").alias(n) for h, n in columns), job.alias("job"))
+    return rows.withColumn("object_type", F.coalesce(F.element_at(lookup(labels), F.col("object_type")), F.concat(F.lit("?"), "object_type")))
+
+
 def read_export(spark: SparkSession, path: str, job: str, labels: dict, columns=COLUMNS) -> DataFrame:
-    """One export as typed rows; ``labels`` maps the file's class labels to ours.  Header and order must match."""
-    header = header_of(spark, path)
-    if header != [h for h, _ in columns]:
-        raise ValueError(f"{path}: header differs")
-    raw = spark.read.schema(export_schema(columns)).csv(path, header=True, enforceSchema=False, mode="FAILFAST", encoding="UTF-8")
-    rows = raw.select(*(F.col(f"`{h}`").alias(n) for h, n in columns), F.lit(job).alias("job"))
-    lookup = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
-    return rows.withColumn("object_type", F.coalesce(F.element_at(lookup, F.col("object_type")), F.concat(F.lit("?"), "object_type")))
+    """One export as typed rows."""
+    return read_exports(spark, {path: job}, labels, columns)
 
 
-def check_rows(rows: DataFrame, classes=("A", "B"), expected: int | None = None) -> dict:
-    """All row checks in one aggregate; raises with the counts of what is wrong.  Returns row count and whether ids are contiguous."""
+def row_faults(rows: DataFrame, classes=("A", "B"), keys=("job",)) -> DataFrame:
+    """All row checks of every export in one aggregate: counts of what is wrong, rows, and whether ids are contiguous."""
     number = [n for n in NUMBERS if n in rows.columns]
-    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
     i = F.col("object_id")
     constant = [c for c in ("region", "image_location", "algorithm") if c in rows.columns]
-    got = rows.agg(
+    flags = F.greatest(*(~F.col(c).cast("int").isin(0, 1) for c in ("a_present", "b_present")))
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.count_if(F.greatest(*map(odd, number))).alias("unknown numbers"),
-        F.count_if((i < 0) | (i >= 2.0**53) | (i != F.floor(i))).alias("bad ids"),
-        (F.count("*") - F.countDistinct("object_id")).alias("repeated ids"),
-        F.count_if(~F.col("a_present").isin(0, 1) | ~F.col("b_present").isin(0, 1)).alias("flags that are not 0 or 1"),
-        F.count_if(~F.coalesce(F.col("object_type").isin(*classes), F.lit(False))).alias("unknown classes"),
-        *(F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias(f"blank {c}") for c in constant),
-        *((F.countDistinct(c) - 1).alias(f"more than one {c}") for c in constant),
-        F.min("object_id").alias("lo"),
-        F.max("object_id").alias("hi"),
-    ).first()
-    faults = [f"{v} {k}" for k, v in got.asDict().items() if k not in ("n", "lo", "hi") and v and v > 0]
+        F.count_if(F.greatest(*map(odd, number))).alias("unknown_numbers"),
+        F.count_if((i < 0) | (i >= 2.0**53) | (i != F.floor(i))).alias("bad_ids"),
+        (F.count("*") - F.countDistinct("object_id")).alias("repeated_ids"),
+        F.count_if(flags).alias("odd_flags"),
+        F.count_if(~F.coalesce(F.col("object_type").isin(*classes), F.lit(False))).alias("unknown_classes"),
+        *(F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias(f"blank_{c}") for c in constant),
+        *((F.countDistinct(c) - 1).alias(f"more_{c}") for c in constant),
+        *(F.min(c).alias(f"first_{c}") for c in constant),
+        ((F.min("object_id") == 0) & (F.max("object_id") == F.count("*") - 1) & (F.countDistinct("object_id") == F.count("*"))).alias("contiguous_ids"),
+    )
+
+
+def check_rows(rows: DataFrame, classes=("A", "B"), expected: int | None = None) -> dict:
+    """Raise with the counts of what is wrong in one export; gives its row count and whether its ids are contiguous."""
+    got = row_faults(rows, classes, ()).first().asDict()
+    _raise_faults(got, expected)
+    return {"rows": got["n"], "contiguous_ids": got["contiguous_ids"]}
+
+
+def _raise_faults(got: dict, expected: int | None, of: str = "") -> None:
+    counts = {k: v for k, v in got.items() if not isinstance(v, bool) and isinstance(v, int) and k not in ("n", "job")}
+    faults = [f"{v} {k.replace('_', ' ')}" for k, v in counts.items() if v > 0]
     if not got["n"]:
         faults.append("no rows")
     if expected is not None and got["n"] != expected:
         faults.append(f"{got['n']} rows, {expected} recorded")
     if faults:
-        raise ValueError("; ".join(faults))
-    return {"rows": got["n"], "contiguous_ids": got["lo"] == 0 and got["hi"] == got["n"] - 1}
+        raise ValueError(of + "; ".join(faults))
+
+
+def cross_file_faults(found: list) -> list:
+    """What exports of one study may not differ in: the image, after normalising its path, and the algorithm.  ``found``: rows of :func:`row_faults`."""
+    images = {re.sub(r"[\\/]+", "/", r["first_image_location"]).lower() for r in found}
+    algorithms = {r["first_algorithm"] for r in found}
+    return [f"{len(x)} {name}" for name, x in (("images", images), ("algorithms", algorithms)) if len(x) > 1]
 
 
 def typed(rows: DataFrame) -> DataFrame:
@@ -85,11 +113,15 @@ def typed(rows: DataFrame) -> DataFrame:
     return out.withColumn("x", midpoint("xmin", "xmax")).withColumn("y", midpoint("ymin", "ymax")).drop("image_location", "algorithm")
 
 
+def _file_name(path):
+    """The name of a file in its URI."""
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """``(name, bytes, sha256)`` of files; names are decoded, with a literal ``+`` kept."""
     files = spark.read.format("binaryFile").load(path)
-    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(_file_name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def identical_files(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -141,31 +173,106 @@ def discover(records: list, replacements: dict) -> list:
     return out
 
 
+#: Exports of a study.
+MAX_EXPORTS = 10_000
+
+
+def _listed(rows: DataFrame) -> list:
+    got = rows.limit(MAX_EXPORTS + 1).collect()
+    if len(got) > MAX_EXPORTS:
+        raise ValueError(f"more than {MAX_EXPORTS} exports")
+    return got
+
+
+def probe(spark: SparkSession, path: str, job: str, image: str, region: str, columns=COLUMNS) -> dict:
+    """What header, first row and name of an export say of it.
+
+    ``job`` and ``image`` are searched in the file's name and in the base name of
+    its image, ``region`` must match the region wholly; named groups become
+    fields, of alternatives the one that matched.  The name must begin with the image.
+    """
+    if header_of(spark, path) != [h for h, _ in columns]:
+        raise ValueError(f"{path}: header differs")
+    at, name = dict(columns[:3]), os.path.basename(path)
+    first = spark.read.csv(path, header=True, schema=export_schema(columns)).limit(1).collect()
+    if not first:
+        raise ValueError(f"{path}: no rows")
+    location, area, algorithm = (first[0][h] or "" for h in list(at)[:3])
+    found = (re.search(job, name), re.search(image, re.split(r"[\\/]", location)[-1]), re.fullmatch(region, area))
+    if not all(found):
+        raise ValueError(f"{path}: unknown job, image or region")
+    if not name.startswith(found[1][0]):
+        raise ValueError(f"{path}: name and image differ")
+    fields: dict = {}
+    for m in found:
+        for k, v in m.groupdict().items():  # key_a, key_b are alternatives of key
+            key = re.sub(r"_[ab]$", "", k)
+            fields[key] = v or fields.get(key)
+    return {**fields, "path": path, "source_file": name, "image_location": location, "region": area, "algorithm": algorithm}
+
+
 def discover_directory(spark: SparkSession, root: str, pattern: str = r"job(?P<job>\d+)(?P<group>.*)\.csv$", replacements: dict | None = None, expected=None) -> list:
-    """Exports of a folder: job and group from the file name, rows by a scan, bytes and digest by a binary scan."""
-    hashes = {r["name"]: r for r in file_hashes(spark, os.path.join(root, "*.csv")).collect()}  # one row per file
+    """Exports of a folder: job and group from the file name; rows, bytes and digests of all files by one scan each."""
+    hashes = {r["name"]: r for r in _listed(file_hashes(spark, os.path.join(root, "*.csv")))}
+    if not hashes:
+        raise FileNotFoundError(f"no exports in {root}")
+    lines = spark.read.option("header", True).csv(os.path.join(root, "*.csv")).groupBy(F.col("_metadata.file_path").alias("path")).count()
+    counts = {r["name"]: r["count"] for r in _listed(lines.select(_file_name(F.col("path")).alias("name"), "count"))}
     records = []
     for name, r in sorted(hashes.items()):
         m = re.search(pattern, name)
         if not m:
             raise ValueError(f"unknown file {name}")
-        path = os.path.join(root, name)
-        records.append({"job": m["job"], "duplicate_group": m["group"], "path": path, "rows": spark.read.csv(path, header=True).count(), "bytes": r["bytes"], "sha256": r["sha256"]})
+        records.append({"job": m["job"], "duplicate_group": m["group"], "path": os.path.join(root, name), "rows": counts.get(name, 0), "bytes": r["bytes"], "sha256": r["sha256"]})
     if expected is not None and {r["job"] for r in records} != set(expected):
         raise ValueError("missing or unknown exports")
     return discover(records, replacements or {})
 
 
-def load_dataset(spark: SparkSession, records: list, labels: dict) -> tuple:
-    """All primary exports as one frame, every export checked; with its manifest."""
-    kept, manifest = None, []
+def load_dataset(spark: SparkSession, records: list, labels: dict, same_study: bool = False) -> tuple:
+    """All primary exports as one frame, every export checked; with its manifest.  One scan, one aggregate for the checks of all files.
+
+    ``same_study``: all exports must agree in image and algorithm.
+    """
+    if not records:
+        return None, None
+    rows = read_exports(spark, {r["path"]: r["job"] for r in records}, labels)
+    found = {r["job"]: r.asDict() for r in _listed(row_faults(rows))}
+    manifest = []
     for r in records:
-        rows = read_export(spark, r["path"], r["job"], labels)
-        found = check_rows(rows, expected=r.get("rows"))
-        manifest.append({**r, **found})
-        if r["duplicate_status"] != "interrupted_superseded":
-            kept = typed(rows) if kept is None else kept.unionByName(typed(rows))
-    return kept, spark.createDataFrame([{k: v for k, v in m.items()} for m in manifest]) if manifest else None
+        got = found.get(r["job"], {"n": 0, "contiguous_ids": False})
+        _raise_faults(got, r.get("rows"), f"{r['job']}: ")
+        manifest.append({**r, "rows": got["n"], "contiguous_ids": got["contiguous_ids"]})
+    if same_study and (faults := cross_file_faults(list(found.values()))):
+        raise ValueError("exports differ: " + ", ".join(faults))
+    kept = [r["job"] for r in records if r["duplicate_status"] != "interrupted_superseded"]
+    return typed(rows.where(F.col("job").isin(*kept))), spark.createDataFrame(manifest)
+
+
+def load_manifest(spark: SparkSession, root: str, entries: list, labels: dict, mode: str = "box", verify_hashes: bool = True) -> tuple:
+    """The exports of a fixed manifest in one region mode (``box``, ``outline`` or ``all``), every file and row checked.
+
+    ``entries``: dicts with ``job``, ``file``, ``mode``, ``pair``, ``region`` and
+    ``rows``, and ``sha256`` where it is recorded.  Files that are missing, or
+    that no entry knows, are errors, and so is a region other than recorded.
+    """
+    if mode not in ("box", "outline", "all"):
+        raise ValueError("mode must be box, outline or all")
+    chosen = [e for e in entries if mode in ("all", e["mode"])]
+    hashes = {r["name"]: r for r in _listed(file_hashes(spark, os.path.join(root, "*.csv")))} if verify_hashes else {}
+    names = set(hashes) if verify_hashes else {r[0] for r in _listed(spark.read.format("binaryFile").load(os.path.join(root, "*.csv")).select(_file_name(F.col("path"))))}
+    if missing := sorted(e["file"] for e in chosen if e["file"] not in names):
+        raise FileNotFoundError(f"missing: {missing}")
+    if unknown := sorted(names - {e["file"] for e in entries}):
+        raise ValueError(f"unknown files: {unknown}")
+    if wrong := [e["file"] for e in chosen if verify_hashes and e.get("sha256") and hashes[e["file"]]["sha256"] != e["sha256"]]:
+        raise ValueError(f"digests differ: {wrong}")
+    records = [{"job": e["job"], "path": os.path.join(root, e["file"]), "rows": e["rows"], "duplicate_status": "primary", "roi_mode": e["mode"], "pair_id": e["pair"], "region": e["region"], "sha256": hashes[e["file"]]["sha256"] if verify_hashes else ""} for e in chosen]
+    objects, manifest = load_dataset(spark, records, labels, same_study=True)
+    regions = {r["job"]: r["region"] for r in _listed(objects.select("job", "region").distinct())}
+    if wrong := [e["job"] for e in chosen if regions.get(e["job"]) != e["region"]]:
+        raise ValueError(f"regions differ from the manifest: {wrong}")
+    return objects.join(F.broadcast(manifest.select("job", "roi_mode", "pair_id")), "job"), manifest
 
 
 def single_mode(objects: DataFrame, column: str = "roi_mode") -> None:
@@ -174,15 +281,38 @@ def single_mode(objects: DataFrame, column: str = "roi_mode") -> None:
         raise ValueError("more than one region mode")
 
 
-def read_reviews(spark: SparkSession, path: str, metadata: DataFrame, schema: T.StructType, same=("animal", "arm", "grp")) -> DataFrame:
-    """Review records of a JSON file; jobs and identity fields must agree with the metadata."""
-    records = spark.read.schema(schema).option("multiLine", True).json(path)
+def _same_identity(records: DataFrame, metadata: DataFrame, same, what: str) -> DataFrame:
+    """``records``, after checking that every section of ``metadata`` has one that agrees with it in ``same``."""
     both = records.select("job", F.struct(*same).alias("r")).join(metadata.select("job", F.struct(*same).alias("m")), "job", "full_outer")
-    if not both.where(~F.col("r").eqNullSafe(F.col("m")) | F.col("r").isNull()).isEmpty():
-        raise ValueError("review records and metadata differ")
+    if not both.where(~F.col("r").eqNullSafe(F.col("m")) | F.col("r").isNull()).isEmpty() or not records.groupBy("job").count().where("count > 1").isEmpty():
+        raise ValueError(f"{what} and metadata differ")
     return records
 
 
+def read_reviews(spark: SparkSession, path: str, metadata: DataFrame, schema: T.StructType, same=("animal", "arm", "grp")) -> DataFrame:
+    """Review records of a JSON file; jobs, identity fields and, where both sides have it, the digest of the source must agree with the metadata."""
+    records = spark.read.schema(schema).option("multiLine", True).json(path)
+    digest = ("sha256",) if "sha256" in records.columns and "sha256" in metadata.columns else ()
+    return _same_identity(records, metadata, (*same, *digest), "review records")
+
+
+def read_landmarks(spark: SparkSession, path: str, metadata: DataFrame, same=("animal", "arm", "sha256")) -> DataFrame:
+    """Annotated landmarks of a JSON file: ``(job, cx, cy, cue_dy)``, the centroid of each polygon and where its cue lies above or below it.
+
+    Records have ``job``, the fields of ``same``, ``polygon`` (a list of x, y
+    pairs) and an optional ``cue`` (x, y); they must agree with the metadata, and
+    every polygon must have its centroid inside.
+    """
+    types = dict(metadata.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("job", *same)) + ", polygon array<array<double>>, cue array<double>"
+    records = _same_identity(spark.read.schema(schema).option("multiLine", True).json(path), metadata, same, "landmarks")
+    points = F.transform("polygon", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    rows = records.withColumn("_points", points).withColumn("_c", polygon_centroid("_points"))
+    if not rows.where("_c is null").isEmpty():
+        raise ValueError("a landmark is degenerate or its centroid lies outside")
+    return rows.select("job", F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"), (F.get("cue", F.lit(1)) - F.col("_c.y")).alias("cue_dy"))
+
+
 def default_reviews(metadata: DataFrame) -> DataFrame:
     """Blank records: nothing is reviewed."""
     no, text = F.lit(False), F.lit("")
@@ -204,6 +334,29 @@ def write_objects(objects: DataFrame, root: str, approved: DataFrame, job: str =
     rows.drop("ready").write.mode("overwrite").partitionBy(job).parquet(root)
 
 
+def write_grids(grids: DataFrame, root: str, key: str = "job") -> None:
+    """Grid layers by section, columnar and compressed."""
+    grids.write.mode("overwrite").partitionBy(key).parquet(root)
+
+
+def write_run_metadata(root: str, parameters: dict, manifest: DataFrame, packages=("pyspark", "pyarrow", "pandas", "numpy")) -> str:
+    """Versions, settings and the input manifest of a run as ``run_metadata.json``, without paths of the machine."""
+    versions = {}
+    for name in packages:
+        try:
+            versions[name] = importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            versions[name] = "not installed"
+    rows = [{k: os.path.basename(v) if k == "path" else v for k, v in r.asDict().items()} for r in _listed(manifest)]
+    document = {"python": platform.python_version(), "packages": versions, "parameters": parameters, "input_manifest": rows}
+    os.makedirs(root, exist_ok=True)
+    path = os.path.join(root, "run_metadata.json")
+    with open(f"{path}.part", "w", encoding="utf-8") as file:
+        file.write(json.dumps(document, indent=1, allow_nan=False) + "\n")
+    os.replace(f"{path}.part", path)
+    return path
+
+
 def payload(rows: DataFrame) -> DataFrame:
     """Each row as strict JSON: numbers that are not finite become null, nulls are written."""
     clean = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
