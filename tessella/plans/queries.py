@@ -8,7 +8,7 @@ the whole table; its SQL says the same in other words.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import flag, flipped, percent
+from ..functions import flag, flipped, midpoint, percent
 from ..operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, summary
 from .design import AREA_THRESHOLDS, SIZE_EDGES
 
@@ -19,18 +19,20 @@ _FIELDS = """CAST(l_partkey % 12 AS INT) AS job, CAST(l_partkey % 6 AS INT) AS a
   CASE WHEN l_linestatus = 'O' THEN 'A' ELSE 'B' END AS object_type,
   l_extendedprice / 100000.0e0 AS area, l_extendedprice / 100000.0e0 * l_discount * 10.0e0 AS overlap_area,
   l_discount * 1000.0e0 AS overlap_pct, l_discount > 0.05e0 AS b_present, l_tax > 0.04e0 AS a_present,
-  l_tax * 10.0e0 AS min_diameter, l_quantity / 50.0e0 AS max_diameter,
-  CAST(l_orderkey AS DOUBLE) AS x, l_quantity * 100.0e0 AS y,
-  CAST(l_orderkey AS DOUBLE) - 40.0e0 AS xmin, CAST(l_orderkey AS DOUBLE) + 40.0e0 AS xmax, l_quantity * 100.0e0 - 40.0e0 AS ymin, l_quantity * 100.0e0 + 40.0e0 AS ymax,
-  l_quantity, l_linenumber"""
-V = f"WITH v AS (SELECT {_FIELDS} FROM lineitem)"
+  l_tax * 10.0e0 AS min_diameter, l_quantity / 50.0e0 AS max_diameter, l_discount * 10.0e0 AS median_diameter,
+  CASE WHEN l_linenumber = 7 THEN l_extendedprice / 400000.0e0 ELSE 0.0e0 END AS inner_area, CASE WHEN l_linenumber >= 6 THEN l_extendedprice / 200000.0e0 ELSE l_extendedprice / 100000.0e0 END AS outer_area,
+  CASE WHEN l_linenumber <> 7 THEN l_quantity * l_tax END AS intensity,
+  CAST(l_orderkey AS DOUBLE) - {h} AS xmin, CAST(l_orderkey AS DOUBLE) + {h} AS xmax, l_quantity * 100.0e0 - 40.0e0 AS ymin, l_quantity * 100.0e0 + 40.0e0 AS ymax,
+  l_quantity, l_linenumber, l_orderkey""".replace("{h}", "CASE WHEN l_linenumber = 5 THEN 0.0e0 WHEN l_linenumber = 6 AND l_quantity <= 2 THEN -40.0e0 ELSE 40.0e0 END")
+V = f"WITH RECURSIVE v AS (SELECT {_FIELDS}, CAST(l_orderkey AS DOUBLE) AS x, l_quantity * 100.0e0 AS y FROM lineitem)"
 WIDTH = 1000.0
 #: Fixed centroids (log area, shape) for the assignment queries.
 CENTROIDS = ((-0.8, 0.2), (-0.4, 0.6), (-0.2, 2.0))
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT {_FIELDS} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    boxes = spark.sql(f"SELECT {_FIELDS} FROM {{t}}", t=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return boxes.withColumn("x", midpoint("xmin", "xmax")).withColumn("y", midpoint("ymin", "ymax"))
 
 
 def _spread(v: DataFrame) -> DataFrame:
@@ -74,20 +76,29 @@ def _r(e: str, name: str) -> str:
 A, B = "object_type = 'A'", "object_type = 'B'"
 _N = lambda c: f"count(*) FILTER (WHERE {c})"
 
+_OTHER = f"CASE WHEN {A} THEN b_present ELSE a_present END"
+_ANY_ZERO, _ZERO_BOX = "(min_diameter = 0 OR median_diameter = 0 OR max_diameter = 0)", "(xmin = xmax OR ymin = ymax)"
+_SHARE = lambda c, name: _r(f"100.0e0 * {_N(c)} / count(*)", name)
+
 query("object_summary", f"""{V}, r AS (SELECT *, row_number() OVER (PARTITION BY job, object_type ORDER BY area DESC) AS k, count(*) OVER (PARTITION BY job, object_type) AS nn FROM v)
-SELECT job, object_type, count(*) AS n_objects, {_N('a_present')} AS a_count, {_N('b_present')} AS b_count,
- {_N(f'CASE WHEN {A} THEN b_present ELSE a_present END')} AS other_count, {_r('100.0e0 * ' + _N(f'CASE WHEN {A} THEN b_present ELSE a_present END') + ' / count(*)', 'other_pct')},
+SELECT job, object_type, count(*) AS n_objects, {_N('a_present')} AS a_count, {_SHARE('a_present', 'a_pct')}, {_N('b_present')} AS b_count, {_SHARE('b_present', 'b_pct')},
+ {_N(_OTHER)} AS other_count, {_SHARE(_OTHER, 'other_pct')},
  {_N('overlap_area > 0')} AS overlap_count, {_r('sum(area)', 'area_sum')}, {_r('sum(overlap_area)', 'overlap_sum')}, {_r(_pct('sum(overlap_area)', 'sum(area)'), 'weighted_overlap_pct')},
- {_r('avg(overlap_pct)', 'mean_overlap_pct')}, {_r('quantile_cont(overlap_pct, 0.5)', 'median_overlap_pct')}, {_r('max(area)', 'max_area')},
- {_N('min_diameter = 0')} AS zero_min_count, {_N('min_diameter = 0 OR max_diameter = 0')} AS any_zero_count,
- {', '.join(_r(f'quantile_cont(area, {q})', f'area_{n}') for n, q in (('q25', 0.25), ('median', 0.5), ('q75', 0.75), ('p99', 0.99)))},
+ {_r('avg(overlap_pct)', 'mean_overlap_pct')}, {_r('max(area)', 'max_area')}, {_r('max(intensity)', 'max_intensity')},
+ {', '.join(f'{_N(f"{c}_diameter = 0")} AS zero_{c}_count' for c in ('min', 'median', 'max'))}, {_N(_ANY_ZERO)} AS any_zero_count, {_SHARE(_ANY_ZERO, 'any_zero_pct')}, {_N(_ZERO_BOX)} AS zero_box_count, {_SHARE(_ZERO_BOX, 'zero_box_pct')},
+ {', '.join(_r(f'quantile_cont({c}, {q})', n) for n, (c, q) in summary.QUANTILES.items())},
  {_r(_pct('sum(area) FILTER (WHERE k <= greatest(1, ceil(0.01e0 * nn)))', 'sum(area)'), 'top_share_pct')}
 FROM r GROUP BY job, object_type""")(summary.object_summary)
 
-query("quality_control", f"""{V} SELECT job, count(*) AS n_objects, count(*) - count(DISTINCT object_id) AS duplicate_ids, {_N('area <= 0')} AS nonpositive_area, {_N('overlap_area < 0')} AS negative_overlap,
- {_N('overlap_area > area + 1e-6')} AS overlap_exceeds_area, {_N('coalesce(NOT (abs(overlap_pct - CASE WHEN area > 0 THEN 100.0e0 * overlap_area / area END) <= 0.001e0), true)')} AS formula_mismatch,
- {_N('(overlap_area > 0) <> (a_present AND b_present)')} AS presence_mismatch, {_N('min_diameter = 0')} AS zero_min_diameter, {_N('min_diameter > max_diameter')} AS reversed_diameter,
- {_N('overlap_pct < 0 OR overlap_pct > 100')} AS pct_outside FROM v GROUP BY job""")(summary.quality_control)
+_QC_COLUMNS = ("job", "animal", "arm", "grp", "object_id", "object_type", "area", "overlap_area", "overlap_pct", "b_present", "a_present", "min_diameter", "max_diameter", "median_diameter", "inner_area", "outer_area", "intensity", "xmin", "xmax", "ymin", "ymax", "l_quantity", "l_linenumber", "l_orderkey", "x", "y")
+_ERROR = "abs(overlap_pct - CASE WHEN area > 0 THEN 100.0e0 * overlap_area / area END)"
+
+query("quality_control", f"""{V} SELECT job, count(*) AS n_objects, count(*) - count(DISTINCT object_id) AS duplicate_ids, {' + '.join(f'count(*) - count({c})' for c in _QC_COLUMNS)} AS missing_values,
+ {_N('area <= 0')} AS nonpositive_area, {_N('overlap_area < 0')} AS negative_overlap, {_N('overlap_area > area + 1e-6')} AS overlap_exceeds_area, {_N('overlap_pct < 0 OR overlap_pct > 100')} AS pct_outside,
+ {_N(f'coalesce(NOT ({_ERROR} <= 0.001e0), true)')} AS formula_mismatch, {_r(f'max({_ERROR})', 'max_formula_error')}, {_N('(overlap_area > 0) <> (a_present AND b_present)')} AS presence_mismatch,
+ {_N(f'NOT CASE WHEN {A} THEN a_present ELSE b_present END')} AS own_marker_absent, {_N(_ANY_ZERO)} AS any_zero_diameter, {_N('least(min_diameter, median_diameter, max_diameter) < 0')} AS any_negative_diameter,
+ {_N('min_diameter > median_diameter OR median_diameter > max_diameter')} AS diameter_order_mismatch, {_N(_ZERO_BOX)} AS zero_box, {_N('xmin > xmax OR ymin > ymax')} AS reversed_box,
+ {_N('inner_area <> 0')} AS nonzero_inner_area, {_N('abs(inner_area + outer_area - area) > 0.001e0')} AS area_partition_mismatch FROM v GROUP BY job""")(summary.quality_control)
 
 query("run_summary", f"""{V} SELECT job, {_N(A)} AS n_a, {_N(B)} AS n_b, {_r(_pct(_N(A + ' AND b_present'), _N(A)), 'association_pct')}, {', '.join(f'{f}({c}) AS {c}_{f}' for c in 'xy' for f in ('min', 'max'))} FROM v GROUP BY job""")(summary.run_summary)
 
@@ -173,7 +184,7 @@ def _top(v):
  r AS (SELECT v.job, target, object_id, area, row_number() OVER (PARTITION BY v.job ORDER BY abs(area - target), object_id) AS k FROM v JOIN t ON v.job = t.job WHERE {A})
 SELECT job, round(target, {DIGITS}) AS target, object_id, round(area, {DIGITS}) AS area FROM r WHERE k = 1""")
 def _nearest_to(v):
-    return distribution.nearest_to(v.where(A), "area", F.median("area"), ("job",))
+    return distribution.nearest_to(v.where(A), "area", 0.5, ("job",))
 
 
 @query("object_review_queue", f"""{V}, r AS (SELECT job, object_id, area, min_diameter, CAST(row_number() OVER (PARTITION BY job ORDER BY md5('7:' || object_id), object_id) AS INT) AS a, CAST(row_number() OVER (PARTITION BY job ORDER BY area DESC, object_id) AS INT) AS b FROM v),
@@ -280,9 +291,9 @@ def _paired_grid(v):
     return grid.paired_grid(_runs(_spread(v)), WIDTH, "run", ("first", "second"))
 
 
-@query("aligned_rerun", f"""{_VX}, q AS (SELECT * FROM w WHERE job < 6), {_grid_sql(WIDTH, 'closed', 'job', 'q')}, {_dense('job', {'n_short': _N('l_linenumber <= 3 AND x BETWEEN 1000 AND 8000 AND y BETWEEN 1000 AND 4000'), 'n_full': 'count(*)'})} SELECT job, ix, iy, n_short, n_full FROM g""")
+@query("aligned_rerun", f"""{_VX}, {_grid_sql(WIDTH, 'closed')}, {_dense('job', {'n_short': _N('l_linenumber <= 3 AND x BETWEEN 1000 AND 8000 AND y BETWEEN 1000 AND 4000'), 'n_full': 'count(*)'})} SELECT job, ix, iy, n_short, n_full FROM g""")
 def _rerun(v):
-    full = _spread(v).where("job < 6")
+    full = _spread(v)
     return grid.aligned_rerun(full.where("l_linenumber <= 3 and x between 1000 and 8000 and y between 1000 and 4000"), full, WIDTH, ("job",))
 
 
@@ -485,19 +496,31 @@ def _composition(v):
     return cluster.composition(_assigned(v), 3)
 
 
-@query("cluster_profiles", f"{V}, {_K} SELECT arm, cluster, count(*) AS n, {_r('quantile_cont(area, 0.5)', 'median_area')}, {_r('quantile_cont(sh, 0.5)', 'median_shape')}, {_r('quantile_cont(min_diameter, 0.5)', 'median_min_diameter')}, {_r('quantile_cont(max_diameter, 0.5)', 'median_max_diameter')} FROM kk WHERE cluster IS NOT NULL GROUP BY arm, cluster")
+@query("cluster_profiles", f"{V}, {_K} SELECT arm, cluster, count(*) AS n, {_r('100.0e0 * avg(CAST(min_diameter = 0 AS INT))', 'zero_min_pct')}, {_r('quantile_cont(area, 0.5)', 'median_area')}, {_r('quantile_cont(sh, 0.5)', 'median_shape')}, {_r('quantile_cont(min_diameter, 0.5)', 'median_min_diameter')}, {_r('quantile_cont(max_diameter, 0.5)', 'median_max_diameter')} FROM kk WHERE cluster IS NOT NULL GROUP BY arm, cluster")
 def _profiles(v):
     return cluster.profiles(_assigned(v))
 
 
-@query("cluster_audit", f"{V}, {_K} SELECT job, count(*) AS n, {_N('valid')} AS n_valid, {_N('NOT valid')} AS n_excluded, {_N('min_diameter = 0 AND max_diameter = 0')} AS both_zero, {_N('valid AND min_diameter = 0')} AS retained_zero_min FROM kk GROUP BY job")
+@query("cluster_audit", f"""{V}, {_K} SELECT job, count(*) AS n, {_N('valid')} AS n_valid, {_N('NOT valid')} AS n_excluded, {_SHARE('valid', 'retained_pct')}, CAST(0 AS BIGINT) AS unknown_morphology, {_N('area <= 0')} AS nonpositive_area, {_N('max_diameter <= 0')} AS nonpositive_max,
+ {_N('min_diameter > max_diameter')} AS min_above_max, {_N('min_diameter < 0')} AS negative_min, {_N('valid AND min_diameter = 0')} AS retained_zero_min, {_N('min_diameter = 0 AND max_diameter = 0')} AS both_zero, {_N('b_present IS NULL')} AS unknown_association, CAST(0 AS BIGINT) AS unknown_places FROM kk GROUP BY job""")
 def _cluster_audit(v):
     return cluster.audit(cluster.prepare(v))
 
 
-@query("exclusions", f"{V}, {_K} SELECT concat_ws('; ', CASE WHEN area <= 0 THEN 'area not positive' END, CASE WHEN max_diameter <= 0 THEN 'largest diameter not positive' END, CASE WHEN min_diameter < 0 THEN 'negative minimum' END, CASE WHEN min_diameter > max_diameter THEN 'minimum above maximum' END) AS excluded, count(*) AS n FROM kk WHERE NOT valid GROUP BY 1")
+#: Exclusion reasons of the odd measurements below, in SQL.
+_ODD = "CASE WHEN l_linenumber = 7 THEN 0.0e0 ELSE max_diameter END AS max_diameter, CASE WHEN l_linenumber = 6 AND l_quantity < 25 THEN -1.0e0 WHEN l_linenumber = 7 AND l_quantity < 25 THEN 0.0e0 WHEN l_linenumber = 5 AND l_quantity < 5 THEN NULL ELSE min_diameter END AS min_diameter, CASE WHEN l_linenumber = 4 AND l_quantity < 9 THEN NULL ELSE area END AS area"
+_WHY = """concat_ws('; ', CASE WHEN area IS NULL THEN 'unknown area' END, CASE WHEN area <= 0 THEN 'area not positive' END, CASE WHEN min_diameter IS NULL OR max_diameter IS NULL THEN 'unknown diameter' END, CASE WHEN min_diameter = 0 AND max_diameter = 0 THEN 'both diameters zero' END,
+  CASE WHEN NOT (min_diameter = 0 AND max_diameter = 0) AND max_diameter <= 0 THEN 'largest diameter not positive' END, CASE WHEN min_diameter < 0 AND max_diameter IS NOT NULL THEN 'negative minimum' END, CASE WHEN min_diameter > max_diameter THEN 'minimum above maximum' END)"""
+_EX = f"od AS (SELECT * REPLACE ({_ODD}) FROM v WHERE {A}), ex AS (SELECT *, {_WHY} AS excluded FROM od WHERE NOT coalesce(area > 0 AND max_diameter > 0 AND min_diameter >= 0 AND min_diameter <= max_diameter, false))"
+
+
+def _odd(v):
+    return v.selectExpr(*(c for c in v.columns if c not in ("max_diameter", "min_diameter", "area")), *_ODD.replace(", CASE", "|CASE").split("|"))
+
+
+@query("exclusions", f"{V}, {_EX} SELECT job, excluded, count(*) AS n FROM ex GROUP BY job, excluded")
 def _exclusions(v):
-    return cluster.prepare(v).where("not valid").groupBy("excluded").agg(F.count("*").alias("n"))
+    return cluster.prepare(_odd(v)).where("not valid").groupBy("job", "excluded").agg(F.count("*").alias("n"))
 
 
 @query("cluster_standardized", f"""{V}, {_K}, s AS (SELECT arm, grp, animal, cluster AS stratum, count(*) AS n, {_N('b_present')} AS k FROM kk WHERE cluster IS NOT NULL GROUP BY ALL), {_CELLS[_CELLS.index('e AS'):].replace('>= 45', '>= 10')}
@@ -521,44 +544,6 @@ def _shares(v):
     return grid.share_grid(_spread(_assigned(v)), "cluster", (1, 2, 3), WIDTH, 10)
 
 
-@query("kmeans_fit")
-def _kmeans(v):
-    valid, rows = cluster.prepare(v).where("valid"), []
-    for arm in sorted(r[0] for r in valid.select("arm").distinct().collect()):  # the design's arms, each fitted alone
-        model = cluster.fit(cluster.balanced_sample(valid.where(F.col("arm") == arm), 3000, 20), 3)
-        rows += [(arm, k, *(float(c * s + m) for c, s, m in zip(v_, model.scale, model.center, strict=True)), model.inertia) for k, v_ in enumerate(model.centroids, 1)]
-    return v.sparkSession.createDataFrame(rows, "arm string, cluster int, log_area double, shape double, inertia double")
-
-
-@query("spread_targets")
-def _targets(v):
-    return cluster.spread_targets(cluster.prepare(_spread(v)))
-
-
-def _support_grid(v, width=250.0):
-    """Dense cells of a disc-like support, so that outlines have a shape."""
-    moved = _spread(v).where("pow((x - 5000) / 5000, 2) + pow((y - 2500) / 2500, 2) <= 1 and (pow(x - 5000 - job * 20, 2) + pow(y - 2500, 2)) > 810000")
-    frame = grid.frames(moved, width)
-    return grid.cells(moved, width, {"n": F.count("*")}, frame=frame).join(frame.select("job", "x0", "y0"), "job")
-
-
-@query("candidate_voids")
-def _voids(v):
-    return geometry.candidate_voids(_support_grid(v), 250.0).select("job", "cells", F.size("polygon").alias("vertices"))
-
-
-@query("clearance")
-def _clearance(v):
-    return geometry.clearances(_support_grid(v), 250.0)
-
-
-@query("alignment_proposals")
-def _alignment(v):
-    g = _support_grid(v)
-    centres = g.select("job").distinct().withColumn("cx", F.lit(5000.0)).withColumn("cy", F.lit(2500.0))
-    return geometry.alignment_proposals(geometry.boundaries(g, 250.0), centres, 0)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice: equal-replicate association, control minus treated, per arm."""
     v = objects(spark, sf_dir).where(A)

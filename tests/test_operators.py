@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella import functions as fn
 from tessella.operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, summary
-from tessella.plans.design import Design, gate, metadata_template, missing_design, review_status
+from tessella.plans.design import Design, check_layout, gate, identity_mismatch, in_display_order, metadata_template, missing_design, review_status
 
 KEYS = ("arm", "metric")
 
@@ -23,8 +23,9 @@ def four_jobs(spark):
     for j in range(4):
         s = 100.0 * j
         for i, (kind, area, overlap, a, b, dx) in enumerate([("A", 1, 1, True, True, 1), ("A", 1, 0, True, False, 3), ("A", 2, 0.5, True, True, 11), ("A", 8, 0, True, False, 21), ("B", 4, 2, True, True, 1), ("B", 10, 0, False, True, 31)]):
-            rows.append((j, i, kind, float(area), float(overlap), 100.0 * overlap / area, a, b, 0.0 if i == 0 else 1.0, 2.0, s + dx, s + 1))
-    return spark.createDataFrame(rows, "job int, object_id long, object_type string, area double, overlap_area double, overlap_pct double, a_present boolean, b_present boolean, min_diameter double, max_diameter double, x double, y double")
+            half = 0.0 if i == 0 else 0.5
+            rows.append((j, i, kind, float(area), float(overlap), 100.0 * overlap / area, a, b, 0.0 if i == 0 else 1.0, 2.0, s + dx, s + 1, 1.5, 0.0, float(area), area / 10, s + dx - half, s + dx + half, s + 0.5, s + 1.5))
+    return spark.createDataFrame(rows, "job int, object_id long, object_type string, area double, overlap_area double, overlap_pct double, a_present boolean, b_present boolean, min_diameter double, max_diameter double, x double, y double, median_diameter double, inner_area double, outer_area double, intensity double, xmin double, xmax double, ymin double, ymax double")
 
 
 def replicates(spark, control, treated, arm="arm1"):
@@ -45,6 +46,8 @@ def test_summary(four_jobs):
     r = summary.object_summary(four_jobs).where("job = 0 and object_type = 'A'").first()
     assert (r.n_objects, r.other_pct, r.mean_overlap_pct, r.weighted_overlap_pct, r.area_median) == (4, 50.0, 31.25, 12.5, 1.5)
     assert r.top_share_pct == pytest.approx(100 * 8 / 12)
+    assert (r.zero_min_count, r.any_zero_count, r.zero_box_count, r.zero_box_pct, r.max_intensity, r.median_of_median_diameter) == (1, 1, 1, 25.0, 0.8, 1.5)
+    assert len(r) == 32  # the keys and 30 measures
     b = summary.object_summary(four_jobs).where("job = 0 and object_type = 'B'").first()
     assert b.weighted_overlap_pct == pytest.approx(100 * 2 / 14)
     got = sorted((x.threshold, x.kept, x.positive, x.rate_pct) for x in summary.area_sensitivity(four_jobs.where("job = 0"), (0, 1, 2, 8, 9)).collect())
@@ -58,7 +61,12 @@ def test_summary(four_jobs):
 def test_quality_control(four_jobs):
     bad = four_jobs.withColumn("overlap_area", F.when((F.col("job") == 1) & (F.col("object_id") == 0), 5.0).otherwise(F.col("overlap_area"))).withColumn("object_id", F.when((F.col("job") == 2) & (F.col("object_id") == 5), 4).otherwise(F.col("object_id")))
     got = {r.job: r for r in summary.quality_control(bad).collect()}
-    assert got[1].overlap_exceeds_area == 1 and got[1].formula_mismatch == 1 and got[2].duplicate_ids == 1 and got[0].zero_min_diameter == 1
+    assert got[1].overlap_exceeds_area == 1 and got[1].formula_mismatch == 1 and got[2].duplicate_ids == 1 and got[0].any_zero_diameter == 1
+    assert got[0].zero_box == 1 and got[0].reversed_box == 0 and got[0].own_marker_absent == 0 and got[0].area_partition_mismatch == 0 and got[0].missing_values == 0
+    odd = four_jobs.withColumns({"xmin": F.col("xmax") + 1, "inner_area": F.lit(2.0), "median_diameter": F.lit(-1.0), "a_present": F.lit(False), "intensity": F.lit(math.nan), "area": F.when(F.col("object_id") == 1, 0.0).otherwise(F.col("area"))})
+    r = summary.quality_control(odd).where("job = 3").first()
+    assert (r.reversed_box, r.nonzero_inner_area, r.area_partition_mismatch, r.any_negative_diameter, r.diameter_order_mismatch, r.own_marker_absent, r.missing_values, r.nonpositive_area) == (6, 6, 6, 6, 6, 4, 6, 1)
+    assert r.max_formula_error == 0.0 and r.formula_mismatch == 1  # an unknown percentage is a mismatch, not an error
 
 
 def test_ecdf_and_ranking(four_jobs):
@@ -143,6 +151,33 @@ def test_contrasts(spark):
     assert (c.control_mean, c.difference, c.control_n) == (None, None, 2) and contrast.exact_allocation(unknown).first().p is None
 
 
+def test_strict_contrast(spark):
+    r = contrast.strict_contrast(replicates(spark, [20.0, 40.0, 60.0], [0.0, 10.0, 20.0])).first()
+    assert (r.difference, r.low, r.high) == (-30.0, -45.0, -15.0)
+    for control, treated in (([20.0, 40.0], [0.0, 10.0, 20.0]), ([20.0, None, 60.0], [0.0, 10.0, 20.0]), ([20.0, math.nan, 60.0], [0.0, 10.0, 20.0])):
+        with pytest.raises(ValueError):
+            contrast.strict_contrast(replicates(spark, control, treated))
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0] * 50, [1.0] * 40 + [2.0, 5.0, 9.0], list(range(200)), [-1.5, 0.0, 0.0, 1e-300, 1e300]])
+def test_quantiles_and_shares(spark, values):
+    rng = np.random.default_rng(len(values))
+    rows = [("a", float(v)) for v in values] + [("b", None), ("c", 7.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(str(k), None if v is None else float(v)) for k, v in rows], "k string, v double").repartition(3)
+    wanted = (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)
+    got = {(r.k, r.probability): r.value for r in distribution.quantiles(df, "v", ("k",), wanted).collect()}
+    assert got == {**{("a", p): pytest.approx(float(np.quantile(values, p))) for p in wanted}, **{("c", p): 7.0 for p in wanted}}
+    if min(values) >= 0:
+        share = {r.k: r.top_share_pct for r in distribution.top_share(df, ("k",), "v", 0.1).collect()}
+        top = sorted(map(float, values))[-max(1, math.ceil(0.1 * len(values))) :]
+        assert share["a"] == pytest.approx(100 * sum(top) / sum(values)) and share["c"] == 100
+    steps = distribution.ecdf(df, "v", ("k",)).where("k = 'a'").orderBy("v").collect()
+    assert [(r.v, r.n) for r in steps] == [(v, list(map(float, values)).count(v)) for v in sorted(set(map(float, values)))] and steps[-1].cumulative_pct == 100
+    ranked = distribution.concentration(df.withColumn("object_id", F.monotonically_increasing_id()), "v", ("k",)).where("k = 'a'").orderBy("rank").collect()
+    assert [r.rank for r in ranked] == list(range(1, len(values) + 1))
+
+
 def test_standardisation(spark):
     rows = []
     for i in range(6):
@@ -200,6 +235,13 @@ def test_grid_morphology():
     assert len(path) == 6 and set(path) == {(0.5, 0.0), (1.5, 0.0), (2.0, 0.5), (1.5, 1.0), (0.5, 1.0), (0.0, 0.5)}
     edge = geometry.boundary_cells(np.ones((4, 4), dtype=bool))
     assert edge.sum() == 12 and not edge[1:3, 1:3].any()
+    assert geometry.centroid_inside([(0, 0), (2, 0), (2, 2), (0, 2)]) == (1.0, 1.0)
+    assert geometry.centroid_inside([(0, 0), (6, 0), (6, 6), (5, 6), (5, 1), (0, 1)]) is None and geometry.centroid_inside([(0, 0), (1, 1), (2, 2)]) is None
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (7, 3), (20, 31)):
+        outside = ~np.pad(rng.random(shape) < 0.7, 1)
+        at = np.argwhere(outside)
+        assert (geometry.squared_distance(outside) == np.array([[((at - (y, x)) ** 2).sum(1).min() for x in range(outside.shape[1])] for y in range(outside.shape[0])])).all()
     assert geometry.clearance(np.ones((3, 3), dtype=bool), 10.0)[1, 1] == pytest.approx(20 - 10 * math.sqrt(2) / 2)
     assert geometry.boundary_cells(np.zeros((3, 3), dtype=bool)) is None
 
@@ -245,17 +287,50 @@ def test_clustering(blobs):
     parts = cluster.composition(assigned, 3)
     assert parts.groupBy("animal").agg(F.sum("share_pct").alias("s")).where("abs(s - 100) > 1e-9").count() == 0
     out = cluster.leave_one_out(valid, model, 60)
-    assert len(out) == 6 and all(r["agreement_pct"] == 100 for r in out)
+    assert len(out) == 6 and all(r["agreement_pct"] == 100 and r["ari"] == 1 and r["n"] == 120 and set(r["jaccard"].values()) == {1.0} for r in out)
+    assert all(r["left_out"] not in {x.animal for x in cluster.balanced_sample(valid.where(F.col("animal") != r["left_out"]), 60, 1).collect()} for r in out[:1])
+    wide = assigned.withColumn("d", cluster.centroid_distance(model))
+    rows = wide.select("job", "cluster", "object_id", "d").collect()
+    for t in cluster.review_targets(wide, "d").collect():
+        mine = sorted((r.d, r.object_id) for r in rows if (r.job, r["cluster"]) == (t.job, t["cluster"]))
+        aim = mine[0][0] if t.selection == "typical" else float(np.quantile([d for d, _ in mine], 0.99))
+        assert (t.d, t.object_id) == min(((abs(d - aim), i, d) for d, i in mine))[:0:-1]
+    assert cluster.display_sample(assigned, 7).groupBy("job").count().where("count <> 7").count() == 0
+    area = cluster.area_only(cluster.prepare(blobs.withColumn("min_diameter", F.lit(None).cast("double"))))
+    only = cluster.fit(cluster.balanced_sample(area, 60, 1), 3, features=("log_area",))
+    assert {r["count"] for r in area.groupBy(only.assign()).count().collect()} == {240}
+    sums = {r["cluster"]: r.difference for r in contrast.cluster_contrasts(parts).where("metric = 'share_pct'").collect()}
+    assert sum(sums.values()) == pytest.approx(0)
 
 
 def test_morphology_exclusions(spark):
-    rows = [(0, 1.0, 0.0, 1.0), (1, 1.0, 0.0, 0.0), (2, math.nan, 1.0, 2.0), (3, 1.0, 2.0, 1.0), (4, None, 1.0, 1.0)]
+    rows = [(0, 1.0, 0.0, 1.0), (1, 1.0, 0.0, 0.0), (2, math.nan, 1.0, 2.0), (3, 1.0, 2.0, 1.0), (4, None, 1.0, 1.0), (5, 0.0, -1.0, -2.0), (6, 1.0, math.inf, 1.0)]
     df = spark.createDataFrame(rows, "object_id long, area double, min_diameter double, max_diameter double").withColumn("object_type", F.lit("A")).withColumn("job", F.lit(0)).withColumn("x", F.col("object_id") * 1.0).withColumn("y", F.lit(0.0))
     got = {r.object_id: (r.valid, r.excluded) for r in cluster.prepare(df).collect()}
-    assert got[0] == (True, None) and got[1] == (False, "largest diameter not positive") and got[2] == got[4] == (False, "non finite") and got[3] == (False, "minimum above maximum")
-    assert cluster.audit(cluster.prepare(df)).first().retained_zero_min == 1
+    assert got[0] == (True, None) and got[1] == (False, "both diameters zero") and got[2] == got[4] == (False, "unknown area") and got[3] == (False, "minimum above maximum")
+    assert got[5] == (False, "area not positive; largest diameter not positive; negative minimum; minimum above maximum") and got[6] == (False, "unknown diameter")
+    r = cluster.audit(cluster.prepare(df.withColumn("b_present", F.lit(None).cast("boolean")))).first()
+    assert (r.n, r.n_valid, r.retained_zero_min, r.both_zero, r.unknown_morphology, r.nonpositive_area, r.unknown_association) == (7, 1, 1, 1, 3, 1, 7)
     chosen = cluster.spread_targets(cluster.prepare(df), 3).orderBy("place").collect()
-    assert {r.excluded for r in chosen} == {"largest diameter not positive", "minimum above maximum", "non finite"}
+    assert [r.excluded for r in chosen] == ["area not positive; largest diameter not positive; negative minimum; minimum above maximum", "both diameters zero", "minimum above maximum"]
+
+
+def test_spread_targets_are_the_farthest(spark):
+    rows = [(i, 0.0 if i % 5 else -1.0, 500.0 * (i * 7 % 13), 500.0 * (i * 3 % 11)) for i in range(60)] + [(100, 0.0, math.nan, 1.0), (101, 0.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "object_id long, min_diameter double, x double, y double").withColumns({"area": F.lit(1.0), "max_diameter": F.lit(0.0), "object_type": F.lit("A"), "job": F.lit(0)})
+    got = [r.object_id for r in cluster.spread_targets(cluster.prepare(df)).orderBy("place").collect()]
+    reason = {i: "both diameters zero" if m == 0 else "largest diameter not positive; negative minimum" for i, m, *_ in rows}
+    bins = {i: (int(y // 500), int(x // 500)) for i, _, x, y in rows[:60]}
+    first: dict = {}
+    for i in sorted(bins, key=lambda i: (*bins[i], i)):
+        first.setdefault((reason[i], bins[i]), i)
+    order, want = list(first.values()), []
+    away = lambda i: min(((bins[i][0] - bins[j][0]) ** 2 + (bins[i][1] - bins[j][1]) ** 2 for j in want), default=math.inf)
+    for text in sorted(set(reason.values())):
+        want.append(max((i for i in order if reason[i] == text), key=away))
+    while len(want) < 6:
+        want.append(max((i for i in order if i not in want), key=away))
+    assert got == want
 
 
 def test_design(spark):
@@ -272,6 +347,27 @@ def test_design(spark):
     for bad in (objects.where("job > 0"), objects.withColumn("object_type", F.lit("C")), objects.withColumn("area", F.lit(-1.0))):
         with pytest.raises(ValueError):
             Design().check_objects(bad, meta)
+    known = {i: "control" if i < 3 else "treated" for i in range(6)}
+    Design(assignment=known).check_metadata(meta)
+    for bad in (Design(assignment={**known, 0: "treated"}), Design(assignment={})):
+        with pytest.raises(ValueError, match="recorded"):
+            bad.check_metadata(meta)
+    with pytest.raises(ValueError, match="unknown identity"):
+        Design().check_metadata(spark.createDataFrame([(*rows[0][:2], None, "arm1"), *rows[1:]], schema))
+    with pytest.raises(ValueError, match="more than"):
+        Design().check_metadata(spark.range(20_000).select(F.col("id").cast("int").alias("job"), F.lit(0).alias("animal"), F.lit("control").alias("grp"), F.lit("arm1").alias("arm")))
+    found = identity_mismatch(meta, meta.where("job > 0").withColumn("grp", F.when(F.col("job") == 5, "control").otherwise(F.col("grp"))), ("animal", "grp")).collect()
+    assert sorted(map(tuple, found)) == [(0, "job"), (5, "grp")]
+    assert [r.display_order for r in in_display_order(spark.createDataFrame([("b",), ("a",), ("z",), (None,)], "k string"), "k", ("a", "b")).collect()] == [1, 0, 2, 2]
+    boxes = objects.withColumns({"xmin": F.lit(0.0), "xmax": F.lit(1.0), "ymin": F.lit(0.0), "ymax": F.lit(1.0)})
+    images = meta.withColumns({"image_id": F.col("animal").cast("string"), "image_label": F.concat(F.lit("Image "), F.col("animal").cast("string"))})
+    check_layout(boxes, images)
+    for o, m in (
+        (boxes.withColumn("xmax", F.lit(-1.0)), images), (boxes.withColumn("ymin", F.lit(math.nan)), images), (boxes.where("job > 0"), images), (boxes, images.where("job > 0")),
+        (boxes, images.withColumn("image_label", F.col("job").cast("string"))), (boxes, images.withColumn("image_label", F.lit(" "))), (boxes, images.withColumn("grp", F.lit("control"))),
+    ):
+        with pytest.raises(ValueError, match="layout"):
+            check_layout(o, m)
     blank = metadata_template(meta)
     assert missing_design(blank, ("animal", "grp")).where("missing = 'animal, grp'").count() == 12
 

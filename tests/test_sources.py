@@ -110,3 +110,70 @@ def test_reviews(spark, tmp_path):
         (tmp_path / "r.json").write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             sources.read_reviews(spark, str(tmp_path / "r.json"), meta, records.schema)
+
+
+def test_probe(spark, tmp_path):
+    name = "img_7 job12PLA.csv"
+    patterns = {"job": r"job(?P<job>\d+)", "image": r"(?P<image>img_\d+)", "region": r"(?P<animal>\d+)_(?:X-(?P<kind_a>\w)|(?P<kind_b>\w)-X)"}
+    path = write(tmp_path / name, rows(2, image_location="C:\\d\\img_7.tif", region="9_Q-X"))
+    got = sources.probe(spark, path, **patterns)
+    assert (got["job"], got["image"], got["animal"], got["kind"], got["region"]) == ("12", "img_7", "9", "Q", "9_Q-X")
+    assert sources.probe(spark, write(tmp_path / name, rows(2, image_location="C:/d/img_7.tif", region="9_X-Q")), **patterns)["kind"] == "Q"
+    for bad in ({"region": "9_Q-X tail", "image_location": "img_7"}, {"region": "9_Q-X", "image_location": "img_8"}, {"region": "9_Q-X", "image_location": "none"}):
+        with pytest.raises(ValueError):
+            sources.probe(spark, write(tmp_path / name, rows(2, **bad)), **patterns)
+    with pytest.raises(ValueError):
+        sources.probe(spark, write(tmp_path / name, []), **patterns)
+
+
+def test_manifest(spark, tmp_path):
+    def export(name, n, **same):
+        body = rows(n)
+        at = [c for _, c in sources.COLUMNS]
+        for r in body:
+            for k, v in same.items():
+                r[at.index(k)] = v
+        return write(tmp_path / name, body)
+
+    export("one.csv", 2, region="left")
+    export("two+b.csv", 3, region="left tight", image_location="c:/IMG")
+    entry = lambda job, file, mode, region, n: {"job": job, "file": file, "mode": mode, "pair": "left", "region": region, "rows": n}
+    entries = [entry("1", "one.csv", "box", "left", 2), entry("2", "two+b.csv", "outline", "left tight", 3)]
+    sizes = {m: sources.load_manifest(spark, str(tmp_path), entries, LABELS, m)[0].count() for m in ("box", "outline", "all")}
+    assert sizes == {"box": 2, "outline": 3, "all": 5}
+    objects, manifest = sources.load_manifest(spark, str(tmp_path), entries, LABELS, "all")
+    assert {(r.job, r.roi_mode, r.pair_id) for r in objects.collect()} == {("1", "box", "left"), ("2", "outline", "left")} and manifest.count() == 2
+    with pytest.raises(ValueError):
+        sources.single_mode(objects)
+    good = {**entries[0], "sha256": sources.sha256_of(tmp_path / "one.csv")}
+    assert sources.load_manifest(spark, str(tmp_path), [good, entries[1]], LABELS)[0].count() == 2
+    for change in ({"rows": 3}, {"region": "right"}, {"sha256": "0" * 64}):
+        with pytest.raises(ValueError):
+            sources.load_manifest(spark, str(tmp_path), [{**good, **change}, entries[1]], LABELS)
+    with pytest.raises(FileNotFoundError):
+        sources.load_manifest(spark, str(tmp_path), [*entries, entry("3", "absent.csv", "box", "x", 1)], LABELS)
+    with pytest.raises(ValueError, match="unknown files"):
+        sources.load_manifest(spark, str(tmp_path), entries[:1], LABELS)
+    with pytest.raises(ValueError):
+        sources.load_manifest(spark, str(tmp_path), entries, LABELS, "tight")
+    export("two+b.csv", 3, region="left tight", image_location="d:/other")
+    with pytest.raises(ValueError, match="exports differ"):
+        sources.load_manifest(spark, str(tmp_path), entries, LABELS, "all")
+
+
+def test_landmarks_and_metadata(spark, tmp_path):
+    meta = spark.createDataFrame([("1", 1, "arm1", "aa"), ("2", 2, "arm1", "bb")], "job string, animal int, arm string, sha256 string")
+    square = [[0, 0], [2, 0], [2, 2], [0, 2]]
+    data = [{"job": "1", "animal": 1, "arm": "arm1", "sha256": "aa", "polygon": square, "cue": [1, 5]}, {"job": "2", "animal": 2, "arm": "arm1", "sha256": "bb", "polygon": square}]
+    file = tmp_path / "marks.json"
+    file.write_text(json.dumps(data))
+    assert sorted(map(tuple, sources.read_landmarks(spark, str(file), meta).collect())) == [("1", 1.0, 1.0, 4.0), ("2", 1.0, 1.0, None)]
+    for bad in (data[:1], [{**data[0], "sha256": "cc"}, data[1]], [*data, data[0]], [{**data[0], "polygon": [[0, 0], [1, 1], [2, 2]]}, data[1]]):
+        file.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            sources.read_landmarks(spark, str(file), meta).collect()
+    path = sources.write_run_metadata(str(tmp_path / "out"), {"width": 1000}, spark.createDataFrame([("1", "/home/x/a.csv")], "job string, path string"))
+    found = json.load(open(path))
+    assert found["input_manifest"] == [{"job": "1", "path": "a.csv"}] and found["packages"]["numpy"] and found["parameters"] == {"width": 1000}
+    sources.write_grids(spark.createDataFrame([(1, 0, 0, 5)], "job int, ix int, iy int, n int"), f"{tmp_path}/grids")
+    assert spark.read.parquet(f"{tmp_path}/grids").count() == 1
