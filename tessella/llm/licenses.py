@@ -1,27 +1,22 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-DataFrame and SQL functions only.  A block is a line of a document, or a window
-of consecutive words across line ends, as notices stand wrapped in files; a
-template is a known notice; all are sets of words.  A block matches a template
-when it holds at least ``threshold`` of the template's words.  A window is as
-long as the template with the same share of foreign words: its words, repeats
-counted, over ``threshold``.
-
-Words outside all templates never count, so a block is reduced to template
-words, numbered by their document frequency over the whole corpus, rarest
+DataFrame and SQL functions only.  A template is a known notice, as a set of
+words; a block is a window of consecutive words of a document, across line ends,
+as notices stand wrapped in files.  A block matches a template when it holds at
+least ``threshold`` of the template's words.  A window is as long as the
+template with the same share of foreign words: its words, repeats counted, over
+``threshold``; so words that are scattered over a long line are no match.
+
+Words are ordered by their document frequency over the whole corpus, rarest
 first.  With ``t = ceil(threshold * |T|)``:
 
-* prefix filter - a match shares one of the template's first ``|T| - t + 1``
-  words with the block's first ``|B| - t + 1``; blocks and templates are joined
-  on those words;
-* length filter - the block has at least t template words;
-* positional filter - behind the shared word enough words are left on both
-  sides to reach t;
-* what passes is verified by the size of the intersection.
-
-Windows are joined on the same words of the template: one that matches holds
-one of its first ``|T| - t + 1`` words, so only the words around each such word
-are looked at, in documents of several lines.
+* prefix filter - the rarest word that a match shares with its template is one
+  of the template's first ``|T| - t + 1`` words; documents are joined with
+  templates on those words, so only the words around each such place are looked at;
+* length filter - the words around the place are t at least;
+* positional filter - of the template's words from the shared one on, in that
+  order, t stand around the place;
+* what passes is verified: the greatest number of them in a window that holds the place.
 
 Templates are a parameter and small by nature (at most MAX_TEMPLATES), so they
 are broadcast.  Fixed phrases are located besides, word by word.
@@ -108,30 +103,33 @@ def _places(phrase: tuple) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)).otherwise(F.array().cast("array<int>"))
 
 
-def _wrapped(scanned: DataFrame, plans: dict) -> DataFrame:
-    """``(doc_id, h, label, containment)`` of the windows across line ends that match.
+def _matches(scanned: DataFrame, plans: list) -> DataFrame:
+    """``(doc_id, h, label, containment)`` of the windows that match.
 
-    ``plans``: for each label the template's words, how many a match holds at
-    least, the words of a window, and the words one of which a match holds.
+    ``plans``: for each word of a template's prefix the word, its place (from 1)
+    in the template, the label, the template's words in order, how many a match
+    holds at least, and the words of a window.
     """
-    rows = [(w, label, words, t, width) for label, (words, t, width, anchors) in plans.items() for w in anchors]
-    anchors = scanned.sparkSession.createDataFrame(rows, "word string, label string, template array<string>, t int, width int")
-    reach = max((width for _, _, width, _ in plans.values()), default=1) - 1
-    starters = sorted({w for w, *_ in rows})
+    prefix = scanned.sparkSession.createDataFrame(plans, "word string, p int, label string, template array<string>, t int, width int")
+    reach = max((width for *_, width in plans), default=1) - 1
+    starters = sorted({w for w, *_ in plans})
 
     def around(i):
         lo = F.greatest(i - reach, F.lit(0))
         return F.struct(F.get("words", i).alias("word"), F.slice("words", lo + 1, i - lo + 1 + reach).alias("near"), (i - lo).alias("at"))
 
-    docs = scanned.where(F.col("low").contains("\n")).select("doc_id", "h", words_of(F.col("low")).alias("words")).where(F.size("words") > 0)
+    docs = scanned.where("low is not null").select("doc_id", "h", words_of(F.col("low")).alias("words")).where(F.size("words") > 0)
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(starters))
     probes = docs.select("doc_id", "h", F.explode(F.transform(places, around)).alias("p")).select("doc_id", "h", "p.*")
-    # windows that hold the word start at most width - 1 words before it
+    # windows that hold the place start at most width - 1 words before it
     first = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
-    found = probes.join(F.broadcast(anchors), "word").withColumn("near", F.slice("near", first + 1, F.col("at") - first + F.col("width"))).withColumn("starts", F.sequence(F.lit(1), F.col("at") - first + 1))
-    found = found.where(F.size(F.array_intersect("near", "template")) >= F.col("t"))
-    held = F.array_max(F.transform("starts", lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("width")), F.col("template")))))
-    return found.withColumn("held", held).where("held >= t").select("doc_id", "h", "label", (F.col("held") / F.size("template")).alias("containment"))
+    found = probes.join(F.broadcast(prefix), "word").withColumn("near", F.slice("near", first + 1, F.col("at") - first + F.col("width"))).withColumn("starts", F.sequence(F.lit(1), F.col("at") - first + 1))
+    found = found.where(F.size("near") >= F.col("t"))
+    shared = F.filter(F.transform("near", lambda w: F.array_position("template", w)), lambda x: x >= F.col("p"))
+    found = found.where(F.size(F.array_distinct(shared)) >= F.col("t"))
+    later = found.withColumn("order", F.transform("near", lambda w: F.array_position("template", w)))
+    held = F.array_max(F.transform("starts", lambda i: F.size(F.array_distinct(F.filter(F.slice("order", i, F.col("width")), lambda x: x >= F.col("p"))))))
+    return later.withColumn("held", held).where("held >= t").select("doc_id", "h", "label", (F.col("held") / F.size("template")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -164,25 +162,12 @@ def scan_licenses(docs: DataFrame, templates: dict | None = None, threshold: flo
 
     counts = {r["w"]: r["n"] for r in scanned.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
     ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    number = {w: i for i, w in enumerate(ranked)}
+    rank = {w: i for i, w in enumerate(ranked)}
     plans = []
     for label, words in sorted(sets.items()):
-        order = sorted(number[w] for w in words)
-        t = _least(words, threshold)
-        plans += [(rank, p, t, label, order) for p, rank in enumerate(order[: len(order) - t + 1])]
-    prefix = spark.createDataFrame(plans, "rank int, p int, t int, label string, template array<int>")
-    starter_list = _literal(sorted({ranked[r] for r, *_ in plans}), "array<string>")
-    by_rank = _literal(ranked, "array<string>")
-    lines = scanned.where("low is not null").select("doc_id", "h", F.explode(F.split("low", "\n")).alias("line"))
-    blocks = lines.select("doc_id", "h", F.array_intersect(words_of(F.col("line")), known).alias("words")).where((F.size("words") >= least) & F.arrays_overlap("words", starter_list))
-    blocks = blocks.select("doc_id", "h", F.array_sort(F.transform("words", lambda w: (F.array_position(by_rank, w) - 1).cast("int"))).alias("block"))
-    probes = blocks.select("doc_id", "h", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("q", "rank"))
-    found = probes.join(F.broadcast(prefix), "rank").where(
-        (F.size("block") >= F.col("t")) & (F.col("q") <= F.size("block") - F.col("t")) & (1 + F.least(F.size("template") - F.col("p"), F.size("block") - F.col("q")) - 1 >= F.col("t"))
-    )
-    overlap = F.size(F.array_intersect("block", "template"))
-    matched = found.withColumn("overlap", overlap).where("overlap >= t").select("doc_id", "h", "label", (F.col("overlap") / F.size("template")).alias("containment"))
-    matched = matched.unionByName(_wrapped(scanned, {label: (sets[label], t, _window(templates[label], threshold), [ranked[r] for r in order[: len(order) - t + 1]]) for _, p, t, label, order in plans if p == 0}))
+        order, t = sorted(words, key=rank.get), _least(words, threshold)
+        plans += [(w, p, label, order, t, _window(templates[label], threshold)) for p, w in enumerate(order[: len(order) - t + 1], 1)]
+    matched = _matches(scanned, plans)
     matched = matched.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
 
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))

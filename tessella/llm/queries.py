@@ -118,17 +118,18 @@ SELECT query_id, neighbor_id, distance, rank FROM r WHERE rank <= 10
 
 def _license_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    templates = ", ".join(f"('{label}', {quoted(words)}, {licenses._least(words, licenses.THRESHOLD)})" for label, words in licenses._template_words(licenses.TEMPLATES).items())
+    templates = ", ".join(f"('{label}', {quoted(words)}, {licenses._least(words, licenses.THRESHOLD)}, {licenses._window(licenses.TEMPLATES[label], licenses.THRESHOLD)})" for label, words in licenses._template_words(licenses.TEMPLATES).items())
     phrases = ", ".join(f"('{label}', {quoted(p)})" for p, label in licenses.PHRASES.items())
     split = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     return rf"""
-WITH t(label, words, need) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+WITH t(label, words, need, width) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
 w AS (SELECT doc_id, {_LOW} AS low FROM documents), s AS (SELECT doc_id, low, {split.format('low')} AS w FROM w),
 q AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM s),
 f AS (SELECT doc_id, pos, label FROM q, p WHERE w[pos + 1] = p.words[1] AND w[pos + 1:pos + len(p.words)] = p.words),
 b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM f GROUP BY doc_id),
-l AS (SELECT doc_id, list_distinct({split.format('line')}) AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM w)),
-m AS (SELECT doc_id, label, len(list_intersect(l.w, t.words)) AS o, len(t.words) AS size, need FROM l, t),
+k AS (SELECT label, need, width, len(words) AS size, unnest(words) AS word FROM t),
+h AS (SELECT doc_id, pos, label, need, width, size, word FROM (SELECT doc_id, pos, w[pos + 1] AS word FROM q) JOIN k USING (word)),
+m AS (SELECT a.doc_id, a.label, a.pos, a.need, a.size, count(DISTINCT z.word) AS o FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.label = z.label AND z.pos BETWEEN a.pos AND a.pos + a.width - 1 GROUP BY ALL),
 x AS (SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(o AS DOUBLE) / size) AS score FROM m WHERE o >= need GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, CAST([] AS VARCHAR[])), coalesce(x.labels, CAST([] AS VARCHAR[]))))), ',') AS labels,

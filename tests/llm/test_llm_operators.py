@@ -620,6 +620,24 @@ def test_licenses_of_many_templates(spark):
         licenses.scan_licenses(frame, {str(i): "a b c" for i in range(licenses.MAX_TEMPLATES + 1)})
 
 
+def test_license_windows_equal_brute_force(spark):
+    rnd = random.Random(31)
+    words = [f"t{i}" for i in range(14)]
+    templates = {f"l{i}": " ".join(rnd.choices(words, k=rnd.randint(2, 9))) for i in range(12)}
+    texts = [" ".join(rnd.choices([*words, "x", "y", "z"], k=rnd.randint(0, 40))).replace(" ", rnd.choice([" ", "\n", " - "])) for _ in range(150)]
+
+    def best(text, template):
+        w, kinds = re.findall(r"\w+", text), set(template.split())
+        width = -(-len(template.split()) * 10 // 8)
+        held = max((len(kinds & set(w[i : i + width])) for i in range(len(w))), default=0)
+        return held / len(kinds) if held >= 0.8 * len(kinds) - 1e-9 else 0
+
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    for i, text in enumerate(texts):
+        want = {label: best(text, t) for label, t in templates.items()}
+        assert got[i].labels == ",".join(sorted(label for label, x in want.items() if x)) and got[i].score == pytest.approx(max(want.values()))
+
+
 def test_licenses_of_wrapped_notices(spark):
     mit = """/* Permission is hereby granted, free of charge, to any person obtaining a copy
  * of this software and associated documentation files (the "Software"), to deal
@@ -632,9 +650,10 @@ x = 1"""
 Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions"""
     far = "\n".join(f"{w} {'x y z ' * 10}" for w in licenses.TEMPLATES["bsd"].split())
-    texts = {1: mit, 2: gpl, 3: bsd, 4: far, 5: "All\nrights\nreserved", 6: mit.replace("\n", "\r\n"), 7: "\n\n", 8: "pad " * 3000 + bsd}
+    scattered = " ".join(f"{w} {'x y z ' * 10}" for w in licenses.TEMPLATES["bsd"].split())  # one line of many words
+    texts = {0: scattered, 1: mit, 2: gpl, 3: bsd, 4: far, 5: "All\nrights\nreserved", 6: mit.replace("\n", "\r\n"), 7: "\n\n", 8: "pad " * 3000 + bsd}
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert {i: got[i].labels for i in texts} == {1: "mit-text", 2: "gpl,gpl-text", 3: "bsd", 4: "", 5: "reserved", 6: "mit-text", 7: "", 8: "bsd"}
+    assert {i: got[i].labels for i in texts} == {0: "", 1: "mit-text", 2: "gpl,gpl-text", 3: "bsd", 4: "", 5: "reserved", 6: "mit-text", 7: "", 8: "bsd"}
     assert got[1].score == got[3].score == got[6].score == 1.0 and got[4].score == 0.0
 
 
