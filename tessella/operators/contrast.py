@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import complete_mean, percent
 
 CONTROL, TREATED = "control", "treated"
+#: Replicates whose allocations are enumerated: 12,870 of 16.
+MAX_ALLOCATED = 16
 
 
 def long_metrics(rows: DataFrame, metrics, keys=("arm", "grp", "animal")) -> DataFrame:
@@ -77,7 +79,9 @@ def exact_allocation(long: DataFrame, keys=("arm", "metric")) -> DataFrame:
     packed = numbered.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("i", "value", (F.col("grp") == CONTROL).alias("c")))).alias("r"), F.count_if(_side(CONTROL)).alias("k"), F.count("*").alias("n"), F.count("value").alias("known")
     )
-    sizes = [(r["n"], r["k"]) for r in packed.select("n", "k").distinct().collect()]  # the design: one row in practice
+    if (most := packed.agg(F.max("n")).first()[0] or 0) > MAX_ALLOCATED:
+        raise ValueError(f"{most} replicates: too many to enumerate their allocations")
+    sizes = [(r["n"], r["k"]) for r in packed.select("n", "k").distinct().collect()]  # at most MAX_ALLOCATED squared
     chosen = long.sparkSession.createDataFrame([(n, k, a, list(c)) for n, k in sizes for a, c in enumerate(combinations(range(n), k))] or [(0, 0, 0, [])], "n long, k long, allocation int, chosen array<int>")
     rows = packed.join(F.broadcast(chosen), ["n", "k"])
     total = F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x["value"])

@@ -30,6 +30,12 @@ def same_keys(a: DataFrame, b: DataFrame) -> bool:
     return a.distinct().exceptAll(b.distinct()).isEmpty() and b.distinct().exceptAll(a.distinct()).isEmpty()
 
 
+def key_differences(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of one side only, by multiplicity: ``side`` is ``missing`` or ``unknown``."""
+    found = found.select(*expected.columns)
+    return expected.exceptAll(found).withColumn("side", F.lit("missing")).unionByName(found.exceptAll(expected).withColumn("side", F.lit("unknown")))
+
+
 def run_totals(rows: DataFrame, run: str, runs, pair: str) -> DataFrame:
     """Rows of each class in two runs of a pair, with the change."""
     a, b = (F.count_if(F.col(run) == r) for r in runs)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import polygon_centroid
 from ..operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, summary
-from ..sources import payload, row_faults
-from .design import Design, identity_mismatch, in_display_order, layout_faults, metadata_template, missing_design, review_status, section_metadata
+from ..sources import normal_path, payload, row_faults
+from .design import Design, gate, identity_mismatch, in_display_order, layout_faults, metadata_template, missing_design, review_status, section_metadata
 from .queries import _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query
 
 # --- clustering -------------------------------------------------------------
@@ -307,6 +307,48 @@ def _metadata(v):
     return v.select("job", "animal", "grp", "arm").distinct()
 
 
+@query("attached_objects", f"{V} SELECT arm, grp, animal, count(*) AS n, {_r('sum(area)', 'area_sum')} FROM v GROUP BY arm, grp, animal")
+def _attached(v):
+    rows = Design().attach(v.select("job", "area"), _metadata(v))
+    return rows.groupBy("arm", "grp", "animal").agg(F.count("*").alias("n"), F.sum("area").alias("area_sum"))
+
+
+_PATHS = (r"C:\Data//Img_", r"c:/DATA\img_")
+
+
+@query("normalized_paths", rf"""{V}, p AS (SELECT CASE WHEN job % 2 = 0 THEN '{_PATHS[0]}' ELSE '{_PATHS[1]}' END || (job % 3) AS p FROM v)
+SELECT regexp_replace(lower(p), '[\\/]+', chr(92) || chr(92), 'g') AS path, count(*) AS n FROM p GROUP BY 1""")
+def _paths(v):
+    p = F.concat(F.when(F.col("job") % 2 == 0, _PATHS[0]).otherwise(_PATHS[1]), (F.col("job") % 3).cast("string"))
+    return v.groupBy(normal_path(p).alias("path")).agg(F.count("*").alias("n"))
+
+
+@query("combined_exports", f"{V} SELECT job, arm, object_type, count(*) AS n FROM v GROUP BY job, arm, object_type")
+def _combined(v):
+    parts = [v.where(F.col("arm") == arm).select("job", "object_type", "object_id") for arm in Design().arms]
+    whole = parts[0].unionByName(parts[1])
+    attributes = summary.unique_keys(v.select("job", "arm").distinct(), "job")
+    return whole.join(F.broadcast(attributes), "job").groupBy("job", "arm", "object_type").agg(F.count("*").alias("n"))
+
+
+@query("design_keys", f"""{V}, {_META}, e AS (SELECT a.animal, m.arm FROM (SELECT DISTINCT animal FROM md) a, (SELECT DISTINCT arm FROM md) m), o AS (SELECT animal, arm FROM md WHERE job <> 4)
+SELECT animal, arm, 'missing' AS side FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM o) UNION ALL SELECT animal, arm, 'unknown' FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM e)""")
+def _design_keys(v):
+    meta = _metadata(v)
+    expected = meta.select("animal").distinct().crossJoin(F.broadcast(meta.select("arm").distinct()))
+    return multiset.key_differences(expected, meta.where("job <> 4").select("animal", "arm"))
+
+
+@query("map_gate", f"""{V}, {_META} SELECT job || ': orientation not reviewed' AS fault FROM md WHERE job % 4 = 1 UNION ALL SELECT '13 records, 12 expected' UNION ALL SELECT 'records and objects name different sections'""")
+def _gate(v):
+    point = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    yes = {c: F.lit(True) for c in ("landmark_reviewed", "scale_common_confirmed", "support_reviewed", "support_qc")}
+    meta = _metadata(v)
+    records = meta.unionByName(meta.where("job = 0").withColumn("job", F.lit(60)))
+    records = records.withColumns({**yes, "orientation_reviewed": F.col("job") % 4 != 1, "reviewed_polygon": point, "reviewer": F.lit("r"), "second_reviewer": F.lit(""), "orientation": F.lit("none")})
+    return v.sparkSession.createDataFrame([(f,) for f in gate(records, v)], "fault string")
+
+
 @query("design_faults", f"""{V}, {_META}, mm AS (SELECT job, animal, CASE WHEN job = 2 THEN 'treated' ELSE grp END AS grp, arm FROM md WHERE job <> 11 UNION ALL SELECT job, 4, grp, arm FROM md WHERE job = 9),
  g AS (SELECT animal, count(DISTINCT grp) AS k FROM mm GROUP BY animal)
 SELECT arm, count(*) AS n_sections, count(*) - count(DISTINCT job) AS repeated_sections, count(*) - count(DISTINCT animal) AS repeated_replicates, {_N("grp = 'control'")} AS n_control, {_N("grp = 'treated'")} AS n_treated, {_N('k > 1')} AS in_two_groups FROM mm JOIN g USING (animal) GROUP BY arm""")

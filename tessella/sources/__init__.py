@@ -140,7 +140,7 @@ def sha256_of(path: str, block: int = 1 << 20) -> str:
 
 def normal_path(c):
     """Windows path, lower-cased, with single separators."""
-    return F.lower(F.regexp_replace(c, r"[\\/]+", r"\\\\"))
+    return F.lower(F.regexp_replace(c, r"[\\/]+", r"\\"))
 
 
 def discover(records: list, replacements: dict) -> list:
@@ -328,7 +328,9 @@ def write_tables(tables: dict, root: str) -> None:
 
 def write_objects(objects: DataFrame, root: str, approved: DataFrame, job: str = "job") -> None:
     """Objects by section; aligned coordinates only where the section is approved (``job, ready``)."""
-    rows = objects.join(F.broadcast(approved.select(job, "ready")), job, "left")
+    status = approved.select(job, "ready")
+    sections = objects.sparkSession.createDataFrame(_listed(status), status.schema)  # checked to be few
+    rows = objects.join(F.broadcast(sections), job, "left")
     for c in ("tx", "ty"):
         rows = rows.withColumn(c, F.when(F.col("ready"), F.col(c)))
     rows.drop("ready").write.mode("overwrite").partitionBy(job).parquet(root)
