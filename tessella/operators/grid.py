@@ -256,6 +256,14 @@ def share_grid(objects: DataFrame, cluster: str, clusters, width: float, support
     return g.select(*keys, "ix", "iy", "n_all", "n", "n_excluded", *(F.when(F.col("n") >= support, percent(f"k{c}", "n")).alias(f"pct_{c}") for c in clusters))
 
 
+def shown_cells(grid: DataFrame, value: str, support: int | None = None, support_column: str = "n_a", log: bool = False, reverse: bool = False) -> DataFrame:
+    """Cells as a viewer shows them: ``shown`` is the value where the support is met, as log(1 + count) or with its sign reversed on demand."""
+    v = F.col(value).cast("double")
+    v = F.log1p(v) if log else v
+    v = -v if reverse else v
+    return grid.withColumn("shown", v if support is None else F.when(F.col(support_column) >= support, v))
+
+
 def points_in_window(objects: DataFrame, x_lo: float, x_hi: float, y_lo: float, y_hi: float) -> DataFrame:
     """Objects whose midpoint lies in a window, its edges included."""
     return objects.where(F.col("x").between(x_lo, x_hi) & F.col("y").between(y_lo, y_hi))

@@ -445,6 +445,12 @@ def _supported(v):
     return grid.supported_share(grid.fraction_grid(_spread(v), WIDTH, 10, "zero"))
 
 
+@query("shown_cells", f"{_VX}, {_grid_sql(WIDTH, 'zero')}, {_dense('job', {'n_a': _N(A), 'n_b': _N(B)})} SELECT job, ix, iy, {_r('CASE WHEN n_a >= 10 THEN -ln(1 + n_b) END', 'shown')} FROM g")
+def _shown(v):
+    g = grid.fraction_grid(_spread(v), WIDTH, 10, "zero")
+    return grid.shown_cells(g, "n_b", 10, log=True, reverse=True).select("job", "ix", "iy", "shown")
+
+
 _PADDED = _grid_sql(WIDTH, "closed").replace("floor(x_lo / 1000.0e0) * 1000.0e0", "(floor(x_lo / 1000.0e0) - 2) * 1000.0e0").replace("floor(y_lo / 1000.0e0) * 1000.0e0", "(floor(y_lo / 1000.0e0) - 2) * 1000.0e0")
 for _c in "xy":
     _PADDED = _PADDED.replace(f"CAST(greatest(ceil({_c}_hi / 1000.0e0) - floor({_c}_lo / 1000.0e0), 1) AS BIGINT)", f"CAST(ceil({_c}_hi / 1000.0e0) - floor({_c}_lo / 1000.0e0) + 4 AS BIGINT)")
