@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, worker_state
+from .common import scratch, slices, table, worker_state
 
 # The base patterns and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -371,7 +371,9 @@ def train(docs: DataFrame, most: int = MOST_DOCS) -> Field:
     low = F.lower("text")
     likely = F.col("text").contains("AKIA") | ((F.col("text").contains("=") | F.col("text").contains(":")) & F.greatest(*(low.contains(k) for k in KEYWORDS))) | F.col("text").rlike("[0-9a-f]{24}")
     marked, rows = text.select("text", F.xxhash64("text").alias("h"), likely.alias("likely")), docs.count()
-    return fit(sorted({t for flag in (True, False) for t in _least_hashes(marked, flag, most, rows)}))
+    with scratch(docs.sparkSession):
+        sample = {t for flag in (True, False) for t in _least_hashes(marked, flag, most, rows)}
+    return fit(sorted(sample))
 
 
 def own(field: Field | None) -> Field | None:

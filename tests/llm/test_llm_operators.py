@@ -657,6 +657,56 @@ modification, are permitted provided that the following conditions"""
     assert got[1].score == got[3].score == got[6].score == 1.0 and got[4].score == 0.0
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def small_texts():
+    import pyarrow.parquet as pq
+
+    return {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+
+
+def test_packing_query(spark, library):
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in small_texts().items()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in queries.op1_best_fit_packing(spark, SMALL).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(ids)
+    for i, found in pieces.items():
+        found.sort()
+        assert [p for p, *_ in found] == list(range(len(found))) and [s for _, s, _ in found] == list(np.cumsum([0, *(n for *_, n in found)]))[:-1]
+        assert sum(n for *_, n in found) == len(ids[i]) and len(found) == -(-len(ids[i]) // 2048) and all(n == 2048 for *_, n in found[1:])
+    for found in sequences.values():
+        assert [o for o, _ in sorted(found)] == list(np.cumsum([0, *(n for _, n in sorted(found))]))[:-1] and sum(n for _, n in found) <= 2048
+    assert len(sequences) <= 1 + -(-sum(map(len, ids.values())) // 2048)
+
+
+def test_bpe_query(spark, library):
+    texts, sha = small_texts(), lambda b: hashlib.sha256(b).hexdigest()
+    got = queries.op4_bpe(spark, SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
+        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False).encode())
+
+
+def test_secret_query(spark):
+    texts = small_texts()
+    got = queries.op6_secret_scan(spark, SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = base_by_hand(texts[r.doc_id])
+        names = ("assign", "access", "hex")
+        listed = [f"{names[k]}:{a}:{b}" for a, k, b in base]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        found = [x for x in r.spans.split(",") if x]
+        assert [x for x in found if not x.startswith("crf")] == listed and [int(x.split(":")[1]) for x in found] == sorted(int(x.split(":")[1]) for x in found)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_whole_tables(spark, name):
     sf = "/root/testdata/sf0.001"

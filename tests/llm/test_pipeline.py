@@ -41,6 +41,58 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == seen["best-fit packing"].count()
 
 
+def test_stages_equal_plain_ones(spark):
+    """Each stage on what the one before kept, against plain Python over the same rows."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    ngram, packing, ranking, secrets, textstats = (pytest.importorskip(f"tessella.llm.{m}") for m in ("ngram", "packing", "ranking", "secrets", "textstats"))
+    sf = "/root/testdata/sf0.001"
+    quality = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stats = {r.doc_id: textstats.statistics((r.text or "").encode()) for r in docs.collect()}
+    import zlib
+
+    train = sorted(i for i in stats if i in quality and zlib.crc32(str(i).encode()) % 4 != 2)
+    x, y = np.array([stats[i][len(textstats.COUNTS) :] for i in train]), np.array([quality[i] for i in train])
+    ranker, learned = ranking.fit(x, y), rules.learn(x, y)
+
+    def good(i):
+        f = [v if n in ranking.PLAIN else min(v, 1) ** 0.5 for n, v in zip(textstats.RATIOS, stats[i][len(textstats.COUNTS) :], strict=True)]
+        return float(np.dot(f, ranker.weights)) >= ranker.threshold
+
+    def rejected(i):
+        named, counts = dict(zip(textstats.RATIOS, stats[i][len(textstats.COUNTS) :], strict=True)), stats[i]
+        return counts[0] < 20 or 100 * counts[4] > 30 * counts[0] or any(all(named[n] > c if above else named[n] <= c for n, above, c in rule) for rule in learned)
+
+    def leaders(rows):
+        sets = {r.doc_id: set(ngram.shingles((r.text or "").encode(), 5).tolist()) for r in rows}
+        parent = {i: i for i in sets}
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a in sorted(sets):
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if a < b and both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    p, q = sorted((find(a), find(b)))
+                    parent[q] = p
+        return {find(i) for i in sets}
+
+    rows = docs.collect()
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (lambda r: {d.doc_id for d in r if good(d.doc_id)}, lambda r: {d.doc_id for d in r if not rejected(d.doc_id)}, leaders), strict=False):
+        want = plain(rows)
+        docs = common.table(stage(spark, docs, sf), "plain-test")
+        rows = docs.collect()
+        assert {d.doc_id for d in rows} == want and len(rows) == len(want), name
+    field = secrets.train(docs)
+    cleaned = corpus_pipeline.secret_scan(spark, docs, sf).collect()
+    assert {d.doc_id: d.text for d in cleaned} == {d.doc_id: secrets.redact(d.text, secrets.scan(d.text, field)) for d in rows}
+
+
 def test_learned_rules_act_after_the_classifier(spark, folder):
     passed = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60 or doc_id = 75")  # of the labelled junk one, as if the classifier had passed it
     base = rules.apply_rules(passed, [], "doc_id")
