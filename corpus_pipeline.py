@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import ngram, packing, ranking, rules, secrets
-from tessella.llm.common import scratch
+from tessella.llm.common import scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Near duplicates: words in a shingle, and the least similarity as a fraction.
@@ -51,12 +51,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are judged apart.  Of rows that repeat both, the least by a hash of all
     columns stays.  Rows without a word link with nothing and stay.
     """
-    found = ngram.linked_rows(docs, WORDS, *SIMILARITY).where("first is not null")
-    gone = found.where("not (first.doc_id <=> doc_id and first.h = h)").select("doc_id", "h").distinct()
-    again = found.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    goes = F.col("first").isNotNull() & ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h")))
+    found = ngram.linked_rows(docs, WORDS, *SIMILARITY).withColumn("goes", goes)
+    per = found.groupBy("doc_id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("some"))
+    # an id whose texts all go is enough to name them; only where some stay the text is looked at too
+    gone = table(per.where("all and doc_id is not null").select("doc_id"), "gone")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    kept = rows.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "_id")
     same = lambda names: F.col("_id").eqNullSafe(names["doc_id"]) & (F.col("_h") == names["h"])
-    kept = rows.join(gone, same(gone), "left_anti")
+    mixed = per.where("some and (not all or doc_id is null)").select(F.col("doc_id").alias("_mixed"))
+    parted = table(found.where("goes").join(mixed, F.col("doc_id").eqNullSafe(F.col("_mixed")), "left_semi").select("doc_id", "h").distinct(), "gone-texts")
+    if not parted.isEmpty():
+        kept = kept.join(parted, same(parted), "left_anti")
+    again = found.where("first is not null").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
     if again.isEmpty():
         return kept.select("_row.*")
     order = Window.partitionBy("_id", "_h").orderBy(F.xxhash64("_row"))
