@@ -7,11 +7,11 @@ where SQL can say it; fits are tested otherwise.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import polygon_centroid
+from ..functions import percent, polygon_centroid
 from ..operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, summary
 from ..sources import normal_path, payload, row_faults
 from .design import Design, gate, identity_mismatch, in_display_order, layout_faults, metadata_template, missing_design, review_status, section_metadata
-from .queries import _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query
+from .queries import _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, QUERIES, SQL, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query, rounded
 
 # --- clustering -------------------------------------------------------------
 
@@ -467,3 +467,39 @@ SELECT CAST(to_json({{'arm': arm, 'grp': grp, 'n': n, 'pct': pct}}) AS VARCHAR)
 def _payload(v):
     rows = v.groupBy("arm", "grp").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if("b_present") / F.count("*"), 2).alias("pct"))
     return payload(rows.withColumn("pct", F.when(F.col("grp") == "control", F.col("pct")).otherwise(F.lit(float("nan")))))
+
+
+# --- another table with the same design ----------------------------------------
+
+_EVENTS = """SELECT CAST(user_id % 12 AS INT) AS job, CAST(user_id % 6 AS INT) AS animal, CASE WHEN user_id % 12 < 6 THEN 'arm1' ELSE 'arm2' END AS arm, CASE WHEN user_id % 6 < 3 THEN 'control' ELSE 'treated' END AS grp,
+  event_id AS object_id, CASE WHEN event_type IN ('view', 'click') THEN 'A' ELSE 'B' END AS object_type, value AS area, value * (event_id % 5) / 5.0e0 AS overlap_area, event_id % 3 = 0 AS b_present FROM {events}"""
+_E = f"WITH v AS ({_EVENTS.format(events='events')})"
+
+
+def _events(spark, sf_dir):
+    return spark.sql(_EVENTS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _event_query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], SQL[name] = lambda spark, sf_dir: rounded(f(_events(spark, sf_dir))), sql
+        return f
+
+    return add
+
+
+@_event_query("event_contrast", f"""{_E}, {_REP}, m AS (SELECT arm, metric, avg(value) FILTER (WHERE grp = 'control') AS a, avg(value) FILTER (WHERE grp = 'treated') AS b, {_N("grp = 'control'")} AS na, {_N("grp = 'treated'")} AS nb FROM l GROUP BY arm, metric)
+SELECT arm, metric, {_r('a', 'control_mean')}, {_r('b', 'treated_mean')}, na AS control_n, nb AS treated_n, {_r('a - b', 'difference')} FROM m""")
+def _event_contrast(v):
+    return contrast.contrast(_long(v))
+
+
+@_event_query("event_quantiles", f"""{_E}, p AS (SELECT unnest([0.0e0, 0.25e0, 0.5e0, 0.75e0, 1.0e0]) AS probability)
+SELECT job, object_type, probability, {_r("quantile_cont(area, [0.0, 0.25, 0.5, 0.75, 1.0])[CAST(probability * 4 AS INT) + 1]", 'value')} FROM v, p GROUP BY job, object_type, probability""")
+def _event_quantiles(v):
+    return distribution.quantile_curve(v, "area", ("job", "object_type"), 5)
+
+
+@_event_query("event_overlap", f"{_E} SELECT job, object_type, count(*) AS n, {_r('100.0e0 * sum(overlap_area) / sum(area)', 'overlap_pct')} FROM v GROUP BY job, object_type")
+def _event_overlap(v):
+    return v.groupBy("job", "object_type").agg(F.count("*").alias("n"), percent(F.sum("overlap_area"), F.sum("area")).alias("overlap_pct"))

@@ -15,8 +15,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def sql():
     c = duckdb.connect()
-    path = f"{SF}/lineitem.parquet"
-    c.sql(f"create view lineitem as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    for table in ("lineitem", "events"):
+        path = f"{SF}/{table}.parquet"
+        c.sql(f"create view {table} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return c
 
 
