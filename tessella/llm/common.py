@@ -1,6 +1,7 @@
 """Shared helpers: durable intermediate tables, worker-wide state, text access."""
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import types
@@ -103,6 +104,14 @@ def worker_state(name: str, make):
     return getattr(store, name)
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the machine, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = worker_state("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column) -> list:
     """The values of a string column as UTF-8 bytes; null is empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
@@ -113,4 +122,4 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-    pa.default_memory_pool().release_unused()
+    release()

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table, utf8
+from .common import release, scratch, slices, table, utf8
 from .graph import components
 
 #: Shingles that a task sorts at once, which an index part holds on average as well: at least, and at most on a large corpus (:func:`_spread`).
@@ -249,6 +249,7 @@ def _count(group: pa.Table) -> pa.Table:
                 tokens, owner = tokens[hit], np.frombuffer(extra, dtype="<u2")[hit]
                 gaps = np.diff(tokens, prepend=tokens[:1])
                 rows.append((part, chunk, int(tokens[0]), _pack(gaps, _gap_kind(gaps)), _pack(owner, "<u2") + _pack(counts[at[hit]], "<u2"), None))
+    release()
     return pa.Table.from_batches([_emit(rows)])
 
 
@@ -292,6 +293,7 @@ def _gather(num: int, den: int):
         first = order[at[:-1]]  # the document whose shingles were dealt
         copies = pa.StructArray.from_arrays([docs.column(c).combine_chunks().take(pa.array(order)) for c in ("doc_id", "h")], names=["doc_id", "h"])
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), copies)
+        release()
         return pa.table({"docs": lists, "n": pa.array(n[first]), "key": pa.array(list(numbers), pa.binary()), "tokens": pa.array([out[i] for i in first], pa.binary())})
 
     return run

@@ -56,7 +56,7 @@ _SAME_LETTER = bytes.maketrans(bytes(range(65, 91)) + bytes(range(97, 123)), b"A
 #: The fit's bounds: documents in the sample at most, of each sort; their longest; secrets of one document that give a window; words on each side of a secret.
 MOST_DOCS, MOST_CHARS, MOST_HITS, AROUND = 300, 20_000, 8, 12
 #: Words whose shape a worker remembers, at most, and their longest.
-MEMO, MEMO_BYTES = 300_000, 40
+MEMO, MEMO_BYTES = 100_000, 40
 #: Transition weights stay within this bound, so that what a transition can change stays small.
 MOVE = 4.0
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
