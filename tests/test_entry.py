@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -54,3 +56,21 @@ def test_kmeans_fit_covers_every_arm_with_the_whole_sample(spark, monkeypatch):
     rows = plans.QUERIES["kmeans_fit"](spark, SF).collect()
     assert sorted((r.arm, r["cluster"]) for r in rows) == [(arm, k) for arm in ("arm1", "arm2") for k in (1, 2, 3)]
     assert caps == [3000, 3000]
+
+
+def test_workers_without_the_package(tmp_path):
+    """Python workers that cannot import the package, as on executors that hold only the libraries, run its functions."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("clearance", "alignment_proposals"):
+    print("rows", __spark_entry__.queries()[name](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("rows ") == 2
