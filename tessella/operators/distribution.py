@@ -36,8 +36,14 @@ def bucketed(rows: DataFrame, value: str, keys, cuts: DataFrame) -> DataFrame:
 
 
 def _histogram(rows: DataFrame, value: str, keys) -> DataFrame:
-    """``(keys, value, _n, _b)``: known distinct values with their counts and buckets."""
-    known = rows.where(F.col(value).isNotNull())
+    """``(keys, value, _n, _b)``: known distinct values with their counts and buckets; a group with an unknown key has none.
+
+    Unknown keys are dropped here, not by the joins, whose own filters would
+    differ from branch to branch: all branches then read one shuffle of counts.
+    """
+    known = rows
+    for c in (value, *keys):
+        known = known.where(F.col(c).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     return bucketed(counts, value, keys, cut_points(known, value, keys))
 
@@ -69,7 +75,8 @@ def quantile_columns(rows: DataFrame, wanted: dict, keys) -> DataFrame:
     """``(keys, name...)``: exact quantiles of several columns in one pass; ``wanted``: name -> (column, probability)."""
     keys, columns = list(keys), sorted({c for c, _ in wanted.values()})
     probabilities = sorted({p for _, p in wanted.values()})
-    long = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(keys, columns, "_metric", "_value")
+    # not unpivot: its copies rename the keys, and filters on them then differ from branch to branch
+    long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_value")) for c in columns))))
     found = quantiles(long, "_value", [*keys, "_metric"], probabilities)
     return found.groupBy(*keys).agg(*(F.max(F.when((F.col("_metric") == c) & (F.col("i") == probabilities.index(p)), F.col("value"))).alias(name) for name, (c, p) in wanted.items()))
 
