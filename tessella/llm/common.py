@@ -90,10 +90,14 @@ def scratch(spark: SparkSession):
         yield keep
     finally:
         _OPEN.pop()
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for path in made:
-            at = hadoop(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, *made)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of any store that Spark reads."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def worker_state(name: str, make):
