@@ -39,7 +39,7 @@ class Design:
     assignment: dict | None = None
 
     def check_metadata(self, metadata: DataFrame) -> None:
-        """Known identities, unique sections, unique (replicate, arm), the arms, replicates per group in each arm, one group per replicate, the recorded groups."""
+        """Known identities, unique sections, unique (replicate, arm), the arms, replicates per group in each arm, every replicate in every arm, one group per replicate, the recorded groups."""
         rows = [r.asDict() for r in fetched(metadata.select(self.section, self.replicate, self.group, self.arm))]
         faults = []
         if any(v is None or not str(v).strip() for r in rows for v in r.values()):
@@ -54,8 +54,11 @@ class Design:
             for group in self.groups:
                 if sum(r[self.arm] == arm and r[self.group] == group for r in rows) != self.per_group:
                     faults.append(f"replicates of {group} in {arm}")
-        if any(len({r[self.group] for r in rows if r[self.replicate] == a}) > 1 for a in {r[self.replicate] for r in rows}):
+        replicates = {r[self.replicate] for r in rows}
+        if any(len({r[self.group] for r in rows if r[self.replicate] == a}) > 1 for a in replicates):
             faults.append("a replicate in two groups")
+        if {(r[self.replicate], r[self.arm]) for r in rows} != {(a, arm) for a in replicates for arm in self.arms}:
+            faults.append("a replicate missing in an arm")
         if self.assignment is not None and any(self.assignment.get(r[self.replicate]) != r[self.group] for r in rows):
             faults.append("groups differ from the recorded assignment")
         if faults:
