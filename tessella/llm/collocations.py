@@ -34,11 +34,13 @@ from .common import scratch, slices, table, utf8, worker_state
 LONGEST = 5
 #: Slots of a slice of the sketch, of a part of it, and patterns of an automaton group at most (in the mean).
 SLICE_BITS, PART_BITS, PATTERNS = 20, 30, 1_000_000
-#: Hashed phrases that a task holds before it counts them, and bytes of text that it cuts at a time.
-HELD, CHUNK = 1 << 23, 1 << 21
+#: Hashed phrases and new candidates that a task holds before it sends them, patterns whose counts are summed together, and bytes of text cut at a time.
+HELD, HELD_PHRASES, SLICE, CHUNK = 1 << 23, 100_000, 1 << 14, 1 << 21
 #: A language table of more rows than this is joined like any other.
 FEW = 10_000
 _END = b"."
+#: A word, wherever pieces end.
+_RUN = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 
 
 def _map() -> bytes:
@@ -178,11 +180,24 @@ def _flags(sketch: DataFrame, bits: int, slice_bits: int, first: int = 0) -> np.
     return out
 
 
-def _candidates(texts: DataFrame, bound, longer, longer_bits: int) -> DataFrame:
-    """Distinct ``(lang, phrase)`` whose upper bounds reach the least count, with the words that they are made of."""
+def _candidates(texts: DataFrame, bound, longer, longer_bits: int, buckets: int) -> DataFrame:
+    """Distinct ``(lang, phrase)`` whose upper bounds reach the least count, with the words that they are made of.
+
+    A task sends what it has not sent before, as one row per bucket of phrases;
+    what tasks send is at most what stands in their texts.
+    """
 
     def run(batches):
         seen: set = set()
+
+        def packed(new):
+            rows: dict = {}
+            for pair in new:
+                rows.setdefault(zlib.crc32(pair[1]) % buckets, []).append(pair)
+            lists = lambda k: pa.array([[p[k] for p in v] for v in rows.values()], pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), lists(0), lists(1)], names=["bucket", "langs", "phrases"])
+
+        fresh: set = set()
         for langs, lists in _chunks(batches):
             words, grams = _hashes(langs, lists)
             ends = np.cumsum([len(x) for x in lists])
@@ -196,20 +211,26 @@ def _candidates(texts: DataFrame, bound, longer, longer_bits: int) -> DataFrame:
                     at, hashes = at[keep], hashes[keep]
                 _, first = np.unique(hashes, return_index=True)
                 at = at[first]
-                new = set()
                 for i, doc in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
-                    part = words[i : i + k]
-                    new.add((langs[doc], b" ".join(part)))
-                    new.update((langs[doc], w) for w in part)
-                new -= seen
-                if new:
-                    seen |= new
-                    rows = list(zip(*new, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["lang", "phrase"])
+                    pair = langs[doc], b" ".join(words[i : i + k])
+                    if pair not in seen:
+                        seen.add(pair)
+                        fresh.add(pair)
+                        fresh.update((langs[doc], w) for w in words[i : i + k])
+            if len(fresh) > HELD_PHRASES:
+                yield packed(fresh)
+                fresh = set()
             if len(seen) > PATTERNS:
                 seen = set()
+        if fresh:
+            yield packed(fresh)
 
-    return texts.mapInArrow(run, "lang binary, phrase binary").distinct()
+    def distinct(group: pa.Table) -> pa.Table:
+        pairs = {p for langs, phrases in zip(group.column("langs").to_pylist(), group.column("phrases").to_pylist(), strict=True) for p in zip(langs, phrases, strict=True)}
+        columns = list(zip(*pairs, strict=True))
+        return pa.table({"lang": pa.array(columns[0], pa.binary()), "phrase": pa.array(columns[1], pa.binary())})
+
+    return texts.mapInArrow(run, "bucket long, langs array<binary>, phrases array<binary>").groupBy("bucket").applyInArrow(distinct, "lang binary, phrase binary")
 
 
 def _automata(patterns) -> dict:
@@ -224,8 +245,8 @@ def _automata(patterns) -> dict:
     return out
 
 
-def _counts(texts: DataFrame, patterns, key: str, with_words: bool) -> DataFrame:
-    """``(lang, phrase, n)`` of each task for one group of patterns; the empty phrase counts all words."""
+def _counts(texts: DataFrame, patterns, key: str) -> DataFrame:
+    """``(lang, phrase, n)`` for one group of patterns: every task counts all of them, the counts of a slice of patterns are summed together."""
 
     def run(batches):
         group = patterns.value
@@ -234,24 +255,32 @@ def _counts(texts: DataFrame, patterns, key: str, with_words: bool) -> DataFrame
             state.clear()  # one group at a time
             state[key] = _automata(group)
         automata = state[key]
-        sums, words = np.zeros(len(group), np.int64), Counter()
+        sums = np.zeros(len(group), np.int64)
         for langs, lists in _chunks(batches):
             joined: dict = {}
             for lang, tokens in zip(langs, lists, strict=True):
-                if with_words:
-                    words[lang] += len(tokens) - tokens.count(_END)
                 if lang in automata:
                     joined.setdefault(lang, []).extend(tokens)
             for lang, tokens in joined.items():
                 text = b" ".join([b"", *tokens, b""]).decode(errors="surrogateescape")
                 found = Counter(map(itemgetter(1), automata[lang].iter(text)))
                 sums[list(found)] += np.fromiter(found.values(), np.int64, len(found))
-        rows = [(*group[i], int(sums[i])) for i in np.flatnonzero(sums)] + [(lang, b"", n) for lang, n in words.items() if n]
-        for i in range(0, len(rows), 65_536):
-            columns = list(zip(*rows[i : i + 65_536], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], names=["lang", "phrase", "n"])
+        for first in range(0, len(sums), SLICE):
+            part = sums[first : first + SLICE]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([first // SLICE]), pa.array([at.astype("<u4").tobytes()]), pa.array([part[at].astype("<i8").tobytes()])], names=["slice", "at", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = np.zeros(SLICE, np.int64)
+        for at, n in zip(group.column("at"), group.column("n"), strict=True):
+            sums[np.frombuffer(at.as_py(), "<u4")] += np.frombuffer(n.as_py(), "<i8")  # places of one row are distinct
+        at = np.flatnonzero(sums)
+        first, named = group.column("slice")[0].as_py() * SLICE, patterns.value
+        langs, phrases = ([named[first + i][k] for i in at] for k in (0, 1))
+        return pa.table({"lang": pa.array(langs, pa.binary()), "phrase": pa.array(phrases, pa.binary()), "n": pa.array(sums[at])})
 
-    return texts.mapInArrow(run, "lang binary, phrase binary, n long")
+    return texts.mapInArrow(run, "slice long, at binary, n binary").groupBy("slice").applyInArrow(add, "lang binary, phrase binary, n long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -279,7 +308,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, part_bits: int = PART_BITS,
     for part in range(parts):
         bound = send((_flags(bigrams, part_bits, slice_bits, part << (part_bits - slice_bits)), bits, part, part_bits))
         longer = send(_flags(table(_sketch(texts, part_bits, slice_bits, least, bound), "phrase-sketch"), part_bits, slice_bits))
-        one = table(_candidates(texts, bound, longer, part_bits), "phrase-candidates")
+        one = table(_candidates(texts, bound, longer, part_bits, max(16, size >> 24)), "phrase-candidates")
         found = one if found is None else found.unionByName(one)
         # The candidates are a table now: nothing recomputes what read these.
         bound.destroy()
@@ -291,11 +320,11 @@ def phrase_counts(docs: DataFrame, least: int = 100, part_bits: int = PART_BITS,
     for group in range(groups):
         rows = found.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == group).toArrow()
         sent = send(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "phrase")), strict=True)))
-        one = table(_counts(texts, sent, uuid.uuid4().hex, group == 0), "phrase-counts")
+        one = table(_counts(texts, sent, uuid.uuid4().hex), "phrase-counts")
         sent.destroy()
         counts = one if counts is None else counts.unionByName(one)
-    total = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return total.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "n")
+    words = texts.groupBy(F.col("lang").cast("binary").alias("lang")).agg(F.sum(F.regexp_count("text", F.lit(_RUN))).alias("n")).where("n > 0").select("lang", F.lit(b"").alias("phrase"), "n")
+    return counts.unionByName(words).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "n")
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, **sizes) -> DataFrame:
