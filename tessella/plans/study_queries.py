@@ -12,6 +12,7 @@ from ..operators import cluster, contrast, distribution, geometry, grid, multise
 from ..sources import normal_path, payload, row_faults
 from .design import Design, gate, identity_mismatch, in_display_order, layout_faults, metadata_template, missing_design, review_status, section_metadata
 from .queries import _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, QUERIES, SQL, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query, rounded
+from .registration import condition_registration
 
 # --- clustering -------------------------------------------------------------
 
@@ -349,6 +350,48 @@ def _gate(v):
     return v.sparkSession.createDataFrame([(f,) for f in gate(records, v)], "fault string")
 
 
+#: Five faulty sets of review records, as SQL conditions on (job, animal, grp), and the good one.
+_CASES = {"good": None, "few": "11 of 12 section reviews", "twice": "a section has several records", "replicates": "records are not every replicate in every arm", "groups": "groups differ from the recorded assignment", "unreviewed": "11 of 12 sections are approved"}
+
+
+def _case_rows() -> str:
+    return ", ".join(f"('{name}', {'true' if why is None else 'false'}, {dict(few=11, unreviewed=11).get(name, 12)}, {11 if name == 'few' else 12}, '{'reviewed maps, control minus treated; cells that not all replicates support are unknown' if why is None else 'group maps withheld: ' + why}')" for name, why in _CASES.items())
+
+
+@query("condition_registration", f"""{_VX}, s(review_set, ready, approved, total, message) AS (VALUES {_case_rows()}),
+ t AS (SELECT arm, grp, job, b_present, CASE WHEN job % 4 IN (1, 3) THEN -1 ELSE 1 END * (x - 5000.0e0) AS tx, CASE WHEN job % 4 IN (2, 3) THEN -1 ELSE 1 END * (y - 2500.0e0) AS ty FROM w WHERE {A}),
+ p AS (SELECT arm, grp, job, CAST(floor((tx + 30000.0e0) / 2000.0e0) AS BIGINT) AS ix, CAST(floor((ty + 30000.0e0) / 2000.0e0) AS BIGINT) AS iy, CASE WHEN count(*) >= 5 THEN 100.0e0 * {_N('b_present')} / count(*) END AS m FROM t GROUP BY ALL),
+ m AS (SELECT arm, ix, iy, count(m) FILTER (WHERE grp = 'control') AS nc, count(m) FILTER (WHERE grp = 'treated') AS nt, avg(m) FILTER (WHERE grp = 'control') AS c, avg(m) FILTER (WHERE grp = 'treated') AS t FROM p GROUP BY ALL),
+ e AS (SELECT arm, x.x AS ix, y.x AS iy FROM (VALUES ('arm1'), ('arm2')) a(arm), (SELECT unnest(range(0, 30)) AS x) x, (SELECT unnest(range(0, 30)) AS x) y),
+ r AS (SELECT e.*, coalesce(nc, 0) AS control_n, coalesce(nt, 0) AS treated_n, CASE WHEN nc = 3 THEN c END AS control_mean, CASE WHEN nt = 3 THEN t END AS treated_mean FROM e LEFT JOIN m USING (arm, ix, iy))
+SELECT s.*, arm, ix, iy, control_n, treated_n, {_r('control_mean', 'control_mean')}, {_r('treated_mean', 'treated_mean')}, {_r('control_mean - treated_mean', 'difference')} FROM s LEFT JOIN r ON ready""")
+def _condition_registration(v):
+    v = _spread(v)
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    yes = {c: F.lit(True) for c in ("landmark_reviewed", "orientation_reviewed", "scale_common_confirmed", "support_reviewed", "support_qc")}
+    turned = F.element_at(F.array(*map(F.lit, ("none", "x", "y", "both"))), (F.col("job") % 4 + 1).cast("int"))
+    good = _metadata(v).withColumns({**yes, "reviewed_polygon": F.array(corner(4000.0, 2000.0), corner(6000.0, 2000.0), corner(6000.0, 3000.0), corner(4000.0, 3000.0)), "reviewer": F.lit("r"), "second_reviewer": F.lit("s"), "orientation": turned})
+    at, col = lambda j: F.col("job") == j, F.col
+    sets = {
+        "good": good,
+        "few": good.where("job <> 7"),
+        "twice": good.withColumn("job", F.when(at(7), 1).otherwise(col("job"))),
+        "replicates": good.withColumn("animal", F.when(at(7), 2).otherwise(col("animal"))),
+        "groups": good.withColumn("grp", F.when(at(7), "treated").otherwise(col("grp"))),
+        "unreviewed": good.withColumn("support_reviewed", ~at(7)),
+    }
+    design, out = Design(assignment={i: "control" if i < 3 else "treated" for i in range(6)}), None
+    for name, records in sets.items():
+        got = condition_registration(v, records, design, 2000.0, 5)
+        status = got.status(v.sparkSession).withColumn("review_set", F.lit(name))
+        if got.maps is None:
+            one = status.withColumns({c: F.lit(None).cast(t) for c, t in (("arm", "string"), *((c, "long") for c in ("ix", "iy", "control_n", "treated_n")), *((c, "double") for c in ("control_mean", "treated_mean", "difference")))})
+        else:
+            one = F.broadcast(status).crossJoin(got.maps)  # a status is one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("design_faults", f"""{V}, {_META}, mm AS (SELECT job, animal, CASE WHEN job = 2 THEN 'treated' ELSE grp END AS grp, arm FROM md WHERE job <> 11 UNION ALL SELECT job, 4, grp, arm FROM md WHERE job = 9),
  g AS (SELECT animal, count(DISTINCT grp) AS k FROM mm GROUP BY animal)
 SELECT arm, count(*) AS n_sections, count(*) - count(DISTINCT job) AS repeated_sections, count(*) - count(DISTINCT animal) AS repeated_replicates, {_N("grp = 'control'")} AS n_control, {_N("grp = 'treated'")} AS n_treated, {_N('k > 1')} AS in_two_groups FROM mm JOIN g USING (animal) GROUP BY arm""")
