@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import percent, polygon_centroid
-from ..operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, summary
+from ..operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, pyramid, summary
 from ..sources import normal_path, payload, row_faults
 from .design import Design, gate, identity_mismatch, in_display_order, layout_faults, metadata_template, missing_design, review_status, section_metadata
-from .queries import _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, QUERIES, SQL, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query, rounded
+from .queries import DIGITS, _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, QUERIES, SQL, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query, rounded
 from .registration import condition_registration
 
 # --- clustering -------------------------------------------------------------
@@ -512,6 +512,41 @@ def _payload(v):
     return payload(rows.withColumn("pct", F.when(F.col("grp") == "control", F.col("pct")).otherwise(F.lit(float("nan")))))
 
 
+def _level_sql(width: int) -> str:
+    """Cells of one width, counted from the objects."""
+    return f"""SELECT job, {width}.0e0 AS width, ix, iy, count(*) FILTER (WHERE object_type = 'A') AS n_a, count(*) FILTER (WHERE object_type = 'B') AS n_b, count(*) FILTER (WHERE object_type = 'A' AND b_present) AS n_positive, count(*) AS n_all,
+ coalesce(sum(area) FILTER (WHERE object_type = 'A'), 0) AS area_a, count(*) FILTER (WHERE object_type = 'A' AND area >= 1) AS n_large, coalesce(sum(overlap_area) FILTER (WHERE object_type = 'A'), 0) AS overlap_area
+ FROM (SELECT w.*, CAST(least(floor((x - x0) / {width}), nx - 1) AS BIGINT) AS ix, CAST(least(floor((y - y0) / {width}), ny - 1) AS BIGINT) AS iy FROM w JOIN f{width} USING (job)) GROUP BY ALL"""
+
+
+def _frame_sql(width: int) -> str:
+    return f"""f{width} AS (SELECT job, floor(min(x) / {width}) * {width} AS x0, floor(min(y) / {width}) * {width} AS y0, CAST(greatest(ceil(max(x) / {width}) - floor(min(x) / {width}), 1) AS BIGINT) AS nx, CAST(greatest(ceil(max(y) / {width}) - floor(min(y) / {width}), 1) AS BIGINT) AS ny FROM w GROUP BY job),
+ s{width} AS (SELECT job, {width}.0e0 AS width, x0, y0, ix, iy FROM (SELECT *, unnest(range(0, nx)) AS ix FROM f{width}) JOIN (SELECT job, unnest(range(0, ny)) AS iy FROM f{width}) USING (job))"""
+
+
+#: Widths of the pyramid; 750 nests in 250 and not in 500.
+_FINE, _LEVELS = 250, (500, 750, 2000)
+
+
+@query("section_payload", f"""{_VX}, {', '.join(_frame_sql(w) for w in (_FINE, *_LEVELS))}, s AS ({' UNION ALL '.join(f'SELECT * FROM s{w}' for w in (_FINE, *_LEVELS))}), c AS ({' UNION ALL '.join(_level_sql(w) for w in (_FINE, *_LEVELS))})
+SELECT job, job < 6 AS ready, CASE WHEN job < 6 THEN 'x' END AS orientation, width, ix, iy, x0 + (ix + 0.5e0) * width AS x, y0 + (iy + 0.5e0) * width AS y, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_positive, 0) AS n_positive,
+ CASE WHEN width > {_FINE} THEN coalesce(n_all, 0) END AS n_all, CASE WHEN width > {_FINE} THEN round(coalesce(area_a, 0), {DIGITS}) END AS area_a, CASE WHEN width > {_FINE} THEN coalesce(n_large, 0) END AS n_large, CASE WHEN width > {_FINE} THEN round(coalesce(overlap_area, 0), {DIGITS}) END AS overlap_area
+FROM s LEFT JOIN c USING (job, width, ix, iy)""")
+def _section_payload(v):
+    meta = _metadata(v)
+    reviews = meta.select("job", (F.col("job") < 6).alias("ready"), F.array(F.lit(1.0), F.lit(2.0)).alias("center"), F.array(F.array(F.lit(0.0), F.lit(1.0))).alias("polygon"), F.lit("x").alias("orientation"))
+    made = pyramid.section_payload(_spread(v), meta, _LEVELS, _FINE, reviews)
+    # Read back from the JSON, cell by cell.
+    matrix = lambda names: ", ".join(f"{n}: ARRAY<ARRAY<{'DOUBLE' if 'area' in n else 'BIGINT'}>>" for n in names)
+    grid_type = lambda names: f"STRUCT<x: ARRAY<DOUBLE>, y: ARRAY<DOUBLE>, width: DOUBLE, {matrix(names)}>"
+    layers = (*pyramid.BASIC, *pyramid.MORE)
+    schema = f"job INT, ready BOOLEAN, reviewed_orientation STRING, fine {grid_type(layers)}, grids STRUCT<{', '.join(f'`{w}`: {grid_type(layers)}' for w in _LEVELS)}>"
+    read = made.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("p")).select("p.job", "p.ready", F.col("p.reviewed_orientation").alias("orientation"), F.explode(F.array("p.fine", *(f"p.grids.`{w}`" for w in _LEVELS))).alias("g"))
+    rows = read.select("job", "ready", "orientation", "g", F.posexplode("g.y").alias("iy", "y")).select("*", F.posexplode("g.x").alias("ix", "x"))
+    at = lambda n: F.get(F.get(F.col(f"g.{n}"), F.col("iy")), F.col("ix")).alias(n)
+    return rows.select("job", "ready", "orientation", "g.width", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "x", "y", *map(at, layers))
+
+
 # --- another table with the same design ----------------------------------------
 
 _EVENTS = """SELECT CAST(user_id % 12 AS INT) AS job, CAST(user_id % 6 AS INT) AS animal, CASE WHEN user_id % 12 < 6 THEN 'arm1' ELSE 'arm2' END AS arm, CASE WHEN user_id % 6 < 3 THEN 'control' ELSE 'treated' END AS grp,
