@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import FLIPS, flipped
+from ..functions import FLIPS
 
 
 def _shifted(mask, fill=False):
@@ -193,25 +193,103 @@ def clearances(grid: DataFrame, width: float, job: str = "job") -> DataFrame:
     return grid.groupBy(job).applyInPandas(run, f"job {dict(grid.dtypes)[job]}, ix long, iy long, clearance double")
 
 
+#: Entries of a table of column distances that is held at a time.
+TABLE = 4_000_000
+
+
+def nearest_distances(points, others):
+    """Distance of each point to the nearest of ``others``, both ``(n, 2)`` arrays; exact.
+
+    Boundaries lie on grids: the others are few columns, the points few rows.
+    The least distance within every column is found once for every row; a point
+    then goes through columns from its own place outwards and stops as soon as
+    the next one alone is farther than what it has.
+    """
+    columns, col = np.unique(others[:, 0], return_inverse=True)
+    rows, row = np.unique(points[:, 1], return_inverse=True)
+    y = others[np.lexsort((others[:, 1], col)), 1]
+    starts = np.searchsorted(np.sort(col), np.arange(len(columns) + 1))
+    n, out = len(columns), np.empty(len(points))
+    per = max(1, TABLE // n)
+    for first in range(0, len(rows), per):
+        part = rows[first : first + per]
+        table = np.empty((len(part), n))
+        for c in range(n):
+            of = y[starts[c] : starts[c + 1]]
+            at = np.searchsorted(of, part)
+            table[:, c] = np.minimum(np.abs(part - of[np.maximum(at - 1, 0)]), np.abs(part - of[np.minimum(at, len(of) - 1)]))
+        table *= table
+        who = np.flatnonzero((row >= first) & (row < first + per))
+        r, x = row[who] - first, points[who, 0]
+        place, best = np.searchsorted(columns, x), np.full(len(who), np.inf)
+        live, step = np.arange(len(who)), 0
+        gap = lambda k, at: np.where((at >= 0) & (at < n), np.abs(columns[np.clip(at, 0, n - 1)] - x[k]), np.inf)  # noqa: B023, E731
+        while len(live):
+            for at in (place[live] + step, place[live] - 1 - step):
+                ok = (at >= 0) & (at < n)
+                k, c = live[ok], at[ok]
+                best[k] = np.minimum(best[k], (columns[c] - x[k]) ** 2 + table[r[k], c])
+            step += 1
+            next_gap = np.minimum(gap(live, place[live] + step), gap(live, place[live] - 1 - step))
+            live = live[next_gap**2 < best[live]]
+        out[who] = np.sqrt(best)
+    return out
+
+
+def _trimmed(distances, retained: float):
+    """The mean of the ``ceil(retained * n)`` least, and the 90th percentile."""
+    kept = np.sort(distances)[: math.ceil(retained * len(distances))]
+    return kept.mean(), np.percentile(distances, 90)
+
+
+def _score(mine, theirs, retained: float):
+    there, back = _trimmed(nearest_distances(mine, theirs), retained), _trimmed(nearest_distances(theirs, mine), retained)
+    return (there[0] + back[0]) / 2, max(there[1], back[1])
+
+
 def boundary_scores(a: DataFrame, b: DataFrame, keys, retained: float = 0.8) -> DataFrame:
     """Symmetric trimmed boundary distance and tail per pair of boundaries ``(keys, x, y)``.
 
     ``score`` averages both ways the mean of the ``ceil(retained * n)`` closest
-    distances; ``tail`` is the greater 90th percentile.  Boundaries are cells of
-    capped grids, so each key's join is small.
+    distances; ``tail`` is the greater 90th percentile.  A pair is two
+    boundaries of capped grids and is one task's; no pairs of their cells are made.
+    """
+    keys = list(keys)
+
+    def run(key, p, q):
+        if not len(p) or not len(q):
+            return pd.DataFrame({c: [] for c in (*keys, "score", "tail")})
+        score, tail = _score(*(np.unique(d[["x", "y"]].to_numpy(float), axis=0) for d in (p, q)), retained)
+        return pd.DataFrame([(*key, score, tail)], columns=[*keys, "score", "tail"])
+
+    kinds = dict(a.dtypes)
+    a, b = (d.select(*keys, "x", "y") for d in (a, b))
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "score double, tail double"]))
+
+
+def flip_scores(edges: DataFrame, reference: DataFrame, retained: float = 0.8, job: str = "job") -> DataFrame:
+    """``(job, orientation, score, tail)``: every flip of each section's boundary against the reference's.
+
+    ``edges``: ``(job, x, y)`` and ``reference``: ``(x, y)``, both about their
+    centres.  A section's boundary is one value of at most the grid cap, the
+    reference's goes to every section once.  A flip is its own inverse and keeps
+    distances, so a section's cells are measured against the reference's under
+    each flip, and the reference's, flipped, against the section's own.
     """
+    point, flips = F.collect_list(F.struct("x", "y")), dict(FLIPS)
+    one = reference.agg(point.alias("_theirs"))
+    both = edges.groupBy(job).agg(point.alias("_mine")).crossJoin(F.broadcast(one))  # one row, of capped size
 
-    def one_way(p, q):
-        other = q.withColumnRenamed("x", "qx").withColumnRenamed("y", "qy")
-        p = p.distinct()
-        d = F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")))
-        near = p.join(other, list(keys)).groupBy(*keys, "x", "y").agg(F.min(d).alias("d"))
-        w = Window.partitionBy(*keys)
-        ranked = near.withColumn("r", F.row_number().over(w.orderBy("d", "x", "y"))).withColumn("n", F.count("*").over(w))
-        return ranked.groupBy(*keys).agg(F.avg(F.when(F.col("r") <= F.ceil(retained * F.col("n")), F.col("d"))).alias("m"), F.percentile("d", F.lit(0.9)).alias("t"))
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, mine, theirs in zip(pdf[job], pdf["_mine"], pdf["_theirs"], strict=True):
+                p, q = (np.unique(np.array([(v["x"], v["y"]) for v in points], float), axis=0) if len(points) else None for points in (mine, theirs))
+                if p is not None and q is not None:
+                    out += [(key, name, *_score(p * np.array(sign), q, retained)) for name, sign in flips.items()]
+            yield pd.DataFrame(out, columns=[job, "orientation", "score", "tail"])
 
-    there, back = one_way(a, b), one_way(b, a).withColumnRenamed("m", "m2").withColumnRenamed("t", "t2")
-    return there.join(back, list(keys)).select(*keys, ((F.col("m") + F.col("m2")) / 2).alias("score"), F.greatest("t", "t2").alias("tail"))
+    return both.mapInPandas(run, f"`{job}` {dict(edges.dtypes)[job]}, orientation string, score double, tail double")
 
 
 def allowed_flip(orientation, dy, reference_dy):
@@ -236,12 +314,8 @@ def alignment_proposals(edges: DataFrame, centres: DataFrame, reference, ambiguo
     if "cue_dy" not in centres.columns:
         centres = centres.withColumn("cue_dy", F.lit(None).cast("double"))
     flips = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(FLIPS)], "orientation string, place int"))
-    moved = edges.join(centres, job).crossJoin(flips)
-    tx, ty = flipped("x", "y", "cx", "cy", "orientation")
-    mine = moved.where(F.col(job) != reference).select(job, "orientation", tx.alias("x"), ty.alias("y"))
-    fixed = edges.where(F.col(job) == reference).join(centres, job).select((F.col("x") - F.col("cx")).alias("x"), (F.col("y") - F.col("cy")).alias("y"))
-    theirs = mine.select(job, "orientation").distinct().crossJoin(fixed)
-    scores = boundary_scores(mine, theirs, (job, "orientation"))
+    about = edges.join(centres, job).select(job, (F.col("x") - F.col("cx")).alias("x"), (F.col("y") - F.col("cy")).alias("y"))
+    scores = flip_scores(about.where(F.col(job) != reference), about.where(F.col(job) == reference).select("x", "y"), job=job)
     cue = centres.where(F.col(job) == reference).select(F.col("cue_dy").alias("reference_dy"))
     scores = scores.join(centres.select(job, "cue_dy"), job).crossJoin(cue).join(flips, "orientation")
     scores = scores.withColumn("_score", F.round("score", 9))  # flips of a symmetric boundary tie, whatever the order of the sums

@@ -157,3 +157,52 @@ def test_section_payload(spark, scattered):
         pyramid.section_payload(objects.withColumn("area", F.lit(-1.0)), meta, (100,), 50).collect()
     with pytest.raises(Exception, match="cells: more than"):
         pyramid.section_payload(objects.withColumn("x", F.col("x") * 1e6), meta, (100,), 50).collect()
+
+
+# --- boundary distances -------------------------------------------------------------
+
+
+def test_nearest_distances():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        grid_like = lambda n, off: np.unique(np.column_stack([rng.integers(0, 30, n) * 2.5 + off, rng.integers(-20, 9, n) * 2.5 - off]), axis=0)  # noqa: B023, E731
+        p, q = (grid_like(rng.integers(1, 80), o) for o in (0.0, rng.uniform(0, 3))) if trial % 2 else (rng.normal(0, 50, (rng.integers(1, 60), 2)) for _ in range(2))
+        plain = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2)).min(axis=1)
+        assert np.allclose(geometry.nearest_distances(p, q), plain, rtol=0, atol=1e-9)
+
+
+def test_nearest_distances_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    p, q = rng.integers(0, 40, (300, 2)) * 1.0, rng.integers(20, 90, (200, 2)) * 1.0
+    whole = geometry.nearest_distances(p, q)
+    monkeypatch.setattr(geometry, "TABLE", 100)
+    assert (geometry.nearest_distances(p, q) == whole).all()
+
+
+def test_long_boundaries_take_seconds():
+    """Two boundaries of 100,000 cells each, wound over a grid."""
+    import time
+
+    t = np.arange(100_000)
+    p = np.unique(np.column_stack([t % 1400, 10 * (t // 1400) + (t % 7)]).astype(float), axis=0)
+    began = time.perf_counter()
+    d = geometry.nearest_distances(p, p[:, ::-1] + 0.25)
+    assert time.perf_counter() - began < 30 and len(d) > 90_000
+    some = np.random.default_rng(0).choice(len(p), 50, replace=False)
+    other = p[:, ::-1] + 0.25
+    assert np.allclose(d[some], [np.sqrt(((other - p[i]) ** 2).sum(axis=1)).min() for i in some])
+
+
+def test_flip_scores_equal_plain(spark):
+    rng = np.random.default_rng(8)
+    mine = {j: np.unique(rng.integers(-15, 15, (60, 2)) + 0.5 * j, axis=0) for j in (1, 2)}
+    theirs = np.unique(rng.integers(-15, 15, (80, 2)) * 1.0, axis=0)
+    edges = spark.createDataFrame([(j, float(x), float(y)) for j, p in mine.items() for x, y in [*p, p[0]]], "job int, x double, y double")
+    got = {(r.job, r.orientation): r for r in geometry.flip_scores(edges, spark.createDataFrame(theirs.tolist(), "x double, y double")).collect()}
+    for j, p in mine.items():
+        for name, sign in (("none", (1, 1)), ("x", (-1, 1)), ("y", (1, -1)), ("both", (-1, -1))):
+            d = np.sqrt(((p * sign)[:, None] - theirs[None]) ** 2 @ np.ones(2))
+            ways = [d.min(axis=1), d.min(axis=0)]
+            score = np.mean([np.sort(w)[: math.ceil(0.8 * len(w))].mean() for w in ways])
+            assert got[j, name].score == pytest.approx(score) and got[j, name].tail == pytest.approx(max(np.percentile(w, 90) for w in ways))
+    assert geometry.flip_scores(edges.limit(0), edges.select("x", "y")).count() == 0 and geometry.flip_scores(edges, edges.select("x", "y").limit(0)).count() == 0
