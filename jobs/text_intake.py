@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import percent, reasons, stratum
-from tessella.operators.distribution import quantile_columns, top_share
+from tessella.operators.distribution import selected
 
 from .common import command_line, log, stored, written
 
@@ -83,8 +83,8 @@ def sections(rows: DataFrame, edges, quantiles) -> DataFrame:
     )
     texts = rows.where("text_sha256 is not null").groupBy(*keys, "text_sha256").agg(F.count("*").alias("n"))
     texts = texts.groupBy(*keys).agg(F.count("*").alias("n_texts"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(F.lit(0))).alias("n_repeated"))
-    exact = quantile_columns(rows, {f"words_p{round(100 * q):02d}": ("n_words", q) for q in quantiles}, keys)
-    out = base.join(texts, keys, "left").join(exact, keys, "left").join(top_share(rows, keys, "n_words"), keys, "left")
+    exact = selected(rows, {f"words_p{round(100 * q):02d}": ("n_words", q) for q in quantiles}, {"top_share_pct": ("n_words", 0.01)}, keys)
+    out = base.join(texts, keys, "left").join(exact, keys, "left")
     of_lang = rows.groupBy("lang").agg(F.sum("n_words").alias("_words"), F.max("batch").alias("through_batch"))
     out = out.join(of_lang, "lang").withColumn("words_pct", percent("n_words", "_words"))
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_texts", "n_repeated")}).drop("_last", "_words")

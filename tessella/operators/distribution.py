@@ -71,30 +71,99 @@ def quantiles(rows: DataFrame, value: str, keys, probabilities) -> DataFrame:
     return out.select(*keys, "i", "probability", (F.col("_a") + (F.col("_at") - F.floor("_at")) * (F.col("_z") - F.col("_a"))).alias("value"))
 
 
-def quantile_columns(rows: DataFrame, wanted: dict, keys) -> DataFrame:
-    """``(keys, name...)``: exact quantiles of several columns in one pass; ``wanted``: name -> (column, probability)."""
-    keys, columns = list(keys), sorted({c for c, _ in wanted.values()})
-    probabilities = sorted({p for _, p in wanted.values()})
+#: Accuracy of the digests that brackets are taken from, how far a bracket reaches beyond its rank on each side
+#: (three times the digests' greatest error), and rows of a group up to which all values are within a bracket.
+ACCURACY, MARGIN, WHOLE = 1000, 0.003, 10_000
+
+
+def _brackets(n: int, marks: list, found: list) -> tuple:
+    """Closed intervals that hold the values of all wanted ranks, as ``(lows, highs)``; ``found``: values at ``marks``, pairs of low and high places."""
+    if n <= WHOLE:
+        return [float("-inf")], [float("inf")]
+    lows, highs = [], []
+    for i in range(0, len(marks), 2):
+        low = found[i] if marks[i] > 0 else float("-inf")
+        high = found[i + 1] if marks[i + 1] < 1 else float("inf")
+        if highs and low <= highs[-1]:
+            highs[-1] = max(highs[-1], high)
+        else:
+            lows.append(low)
+            highs.append(high)
+    return lows, highs
+
+
+def selected(rows: DataFrame, wanted: dict, shares: dict, keys, extra=()) -> DataFrame:
+    """``(keys, extra, name...)``: exact quantiles and top shares of several columns, and any other aggregates, in two readings of the table.
+
+    ``wanted``: name -> (column, probability), linear between ranks; ``shares``:
+    name -> (column, share), the percent of the column's sum that its largest
+    ``max(1, ceil(share * n))`` rows hold; ``extra``: aggregates.  Unknown
+    values take no part, groups with an unknown key are left out.
+
+    The first reading gives ``extra`` and, from digests of known greatest error,
+    brackets that hold the values of all wanted ranks.  The second counts and
+    sums what lies between brackets, and moves single values only within them.
+    """
+    keys, marks = list(keys), {}
+    for column, p in [*wanted.values(), *((c, 1 - share) for c, share in shares.values())]:
+        marks.setdefault(column, set()).add(p)
+    places = {c: [m for p in sorted(ps) for m in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))] for c, ps in marks.items()}
+    columns, number = list(places), lambda c: F.col(c).cast("double")
+    known = rows.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else rows
+    digests = [x for i, c in enumerate(columns) for x in (F.count(c).alias(f"_n{i}"), F.percentile_approx(number(c), [float(m) for m in places[c]], ACCURACY).alias(f"_at{i}"))]
+    first = known.groupBy(*keys).agg(*extra, *digests)
+    got = first.limit(MAX_GROUPS + 1).collect()
+    if len(got) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    spark, kinds = rows.sparkSession, dict(first.dtypes)
+    typed = [f"`{k}` {kinds[k]}" for k in keys]
+    cuts = [(*(r[k] for k in keys), c, *_brackets(r[f"_n{i}"], places[c], r[f"_at{i}"])) for r in got for i, c in enumerate(columns) if r[f"_n{i}"]]
+    cuts = spark.createDataFrame(cuts, ", ".join([*typed, "_metric string, _lows array<double>, _highs array<double>"]))
+
     # not unpivot: its copies rename the keys, and filters on them then differ from branch to branch
-    long = rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_value")) for c in columns))))
-    found = quantiles(long, "_value", [*keys, "_metric"], probabilities)
-    return found.groupBy(*keys).agg(*(F.max(F.when((F.col("_metric") == c) & (F.col("i") == probabilities.index(p)), F.col("value"))).alias(name) for name, (c, p) in wanted.items()))
+    long = known.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("_metric"), number(c).alias("_value")) for c in columns)))).where("_value is not null")
+    keys_m = [*keys, "_metric"]
+    placed = long.join(F.broadcast(cuts), keys_m).withColumn("_i", F.size(F.filter("_lows", lambda v: v <= F.col("_value"))))
+    within = (F.col("_i") > 0) & (F.col("_value") <= F.get("_highs", F.col("_i") - 1))
+    # Never null, and not filtered on below: both branches then read one shuffle.
+    placed = placed.withColumn("_b", F.coalesce(2 * F.col("_i") - F.when(within, 1).otherwise(0), F.lit(0))).withColumn("_v", F.when(within, F.col("_value")))
+    placed = placed.groupBy(*keys_m, "_b", "_v").agg(F.count("*").alias("_n"), F.sum("_value").alias("_s"))
+
+    per, w = placed.groupBy(*keys_m, "_b").agg(F.sum("_n").alias("_c"), F.sum("_s").alias("_t")), Window.partitionBy(*keys_m)
+    per = per.select("*", (F.sum("_c").over(_running(w.orderBy("_b"))) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_total"), (F.sum("_t").over(_running(w.orderBy(F.desc("_b")))) - F.col("_t")).alias("_over"), F.sum("_t").over(w).alias("_all"))
+    ask = lambda kind, c, p: F.struct(F.lit(c).alias("c"), F.lit(kind).alias("kind"), F.lit(float(p)).alias("p"))
+    asked = F.array(*(ask("rank", c, p) for c, p in sorted(set(wanted.values()))), *(ask("top", c, p) for c, p in sorted(set(shares.values()))))
+    mine = F.transform(F.filter(asked, lambda q: q["c"] == F.col("_metric")), lambda q: F.struct(q["kind"].alias("kind"), q["p"].alias("p"), F.when(q["kind"] == "rank", (F.col("_total") - 1) * q["p"]).otherwise(F.col("_total") - F.greatest(F.lit(1), F.ceil(q["p"] * F.col("_total")))).alias("at")))
+    inside = lambda lo, n: lambda q: (F.floor(q["at"]) < lo + n) & (F.ceil(q["at"]) >= lo)
+    need = per.withColumn("_wanted", F.filter(mine, inside(F.col("_before"), F.col("_c")))).where(F.size("_wanted") > 0)
+    # By the digests' bound no wanted rank lies outside the brackets; if one did, that would be an error and not a wrong number.
+    need = need.withColumn("_b", F.when(F.col("_b") % 2 == 0, F.raise_error(F.lit("a wanted rank lies outside its bracket"))).otherwise(F.col("_b"))).drop("_t")
+    run = _running(Window.partitionBy(*keys_m, "_b").orderBy("_v"))
+    ranked = placed.join(need, [*keys_m, "_b"]).withColumn("_lo", F.col("_before") + F.sum("_n").over(run) - F.col("_n")).withColumn("_sum", F.sum("_s").over(run) - F.col("_s"))
+    inner = F.sum("_s").over(Window.partitionBy(*keys_m, "_b"))
+    met = ranked.withColumn("_inner", inner).select(*keys_m, "_v", "_n", "_lo", "_sum", "_inner", "_over", "_all", F.explode(F.filter("_wanted", inside(F.col("_lo"), F.col("_n")))).alias("_q"))
+    # Of the row that holds the first of the top ranks, the copies from that rank on count, and all that is above it.
+    top = F.col("_over") + F.col("_inner") - F.col("_sum") - (F.col("_q.at") - F.col("_lo")) * F.col("_v")
+    at = F.col("_q.at")
+    out = met.groupBy(*keys_m, F.col("_q.kind").alias("_kind"), F.col("_q.p").alias("_p"), at.alias("_at")).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.max(percent(top, "_all")).alias("_share"))
+    value = F.when(F.col("_kind") == "rank", F.col("_a") + (F.col("_at") - F.floor("_at")) * (F.col("_z") - F.col("_a"))).otherwise(F.col("_share"))
+    pick = lambda kind, c, p: F.max(F.when((F.col("_metric") == c) & (F.col("_kind") == kind) & (F.col("_p") == float(p)), F.col("_found")))
+    out = out.withColumn("_found", value).groupBy(*keys).agg(*(pick("rank", c, p).alias(n) for n, (c, p) in wanted.items()), *(pick("top", c, p).alias(n) for n, (c, p) in shares.items()))
+    if not extra:
+        return out
+    plain = first.drop(*(d for i in range(len(columns)) for d in (f"_n{i}", f"_at{i}")))
+    base = spark.createDataFrame([tuple(r[c] for c in plain.columns) for r in got], plain.schema)
+    return base.join(out, keys, "left")
+
+
+def quantile_columns(rows: DataFrame, wanted: dict, keys) -> DataFrame:
+    """``(keys, name...)``: exact quantiles of several columns; ``wanted``: name -> (column, probability)."""
+    return selected(rows, wanted, {}, keys)
 
 
 def top_share(rows: DataFrame, keys, value: str, share: float = 0.01) -> DataFrame:
     """Percent of the group's ``value`` that its largest ``max(1, ceil(share * n))`` rows hold."""
-    keys = list(keys)
-    placed = _histogram(rows, value, keys)
-    per, w = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_c"), F.sum(F.col("_n") * F.col(value)).alias("_s")), Window.partitionBy(*keys)
-    per = per.select(*keys, "_b", "_c", "_s", (F.sum("_c").over(_running(w.orderBy(F.desc("_b")))) - F.col("_c")).alias("_above"), F.sum("_c").over(w).alias("_total"))
-    per = per.withColumn("_top", F.greatest(F.lit(1), F.ceil(share * F.col("_total"))))
-    cut = per.where("_above < _top and _above + _c > _top").select(*keys, "_b", "_above", "_top")  # one bucket of a group
-    upper = F.sum("_n").over(_running(Window.partitionBy(*keys, "_b").orderBy(F.desc(value)))) - F.col("_n")
-    part = placed.join(cut, [*keys, "_b"]).withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_top") - F.col("_above") - upper)))
-    part = part.groupBy(*keys).agg(F.sum(F.col("_taken") * F.col(value)).alias("_part"))
-    whole = per.groupBy(*keys).agg(F.sum(F.when(F.col("_above") + F.col("_c") <= F.col("_top"), F.col("_s"))).alias("_whole"), F.sum("_s").alias("_all"))
-    held = F.coalesce("_whole", F.lit(0.0)) + F.coalesce("_part", F.lit(0.0))
-    return whole.join(part, keys, "left").select(*keys, percent(held, "_all").alias("top_share_pct"))
+    return selected(rows, {}, {"top_share_pct": (value, share)}, keys)
 
 
 def ecdf(rows: DataFrame, value: str, keys) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, complete_mean, complete_sum, flag, percent, ratio, stratum
-from .distribution import quantile_columns, top_share
+from .distribution import selected
 
 CLASSES = ("A", "B")
 
@@ -38,9 +38,9 @@ QUANTILES = {
 
 
 def object_summary(objects: DataFrame, keys=("job", "object_type")) -> DataFrame:
-    """Counts, shares, sums and exact quantiles per group, with the share of the largest 1 %."""
+    """Counts, shares, sums and exact quantiles per group, with the share of the largest 1 %, in two readings of the table."""
     n, zero = F.count("*"), any_diameter(lambda d: d == 0)
-    base = objects.withColumn("other", other_flag()).groupBy(*keys).agg(
+    base = (
         n.alias("n_objects"),
         *(x for c in ("a", "b") for x in (F.count_if(f"{c}_present").alias(f"{c}_count"), percent(F.count_if(f"{c}_present"), n).alias(f"{c}_pct"))),
         F.count_if("other").alias("other_count"),
@@ -58,7 +58,7 @@ def object_summary(objects: DataFrame, keys=("job", "object_type")) -> DataFrame
         F.count_if(zero_box()).alias("zero_box_count"),
         percent(F.count_if(zero_box()), n).alias("zero_box_pct"),
     )
-    return base.join(quantile_columns(objects, QUANTILES, keys), list(keys)).join(top_share(objects, keys, "area"), list(keys))
+    return selected(objects.withColumn("other", other_flag()), QUANTILES, {"top_share_pct": ("area", 0.01)}, keys, base)
 
 
 def quality_control(objects: DataFrame, key: str = "job", id_column: str = "object_id") -> DataFrame:
