@@ -102,8 +102,13 @@ def robust_scale(x: np.ndarray) -> tuple:
 
 
 def fit(sample: DataFrame, k: int, seed: int = 20, starts: int = 8, rounds: int = 60, features=FEATURES, order_by=("animal", "object_id")) -> Model:
-    """Best of several k-means++ starts; a start that empties a cluster is rejected."""
+    """The model of a sample, see :func:`fit_points`."""
     x = np.array([tuple(r) for r in sample.orderBy(*order_by).select(*features).collect()], dtype=float).reshape(-1, len(features))
+    return fit_points(x, k, seed, starts, rounds, features)
+
+
+def fit_points(x: np.ndarray, k: int, seed: int = 20, starts: int = 8, rounds: int = 60, features=FEATURES) -> Model:
+    """Best of several k-means++ starts; a start that empties a cluster is rejected."""
     center, scale = robust_scale(x)
     z, best = (x - center) / scale, None
     for s in range(starts):

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import percent, polygon_centroid
-from ..operators import cluster, contrast, distribution, geometry, grid, multiset, neighbors, pyramid, summary
+from ..operators import cluster, contrast, distribution, geometry, grid, morphology, multiset, neighbors, pyramid, summary
 from ..sources import normal_path, payload, row_faults
 from .design import Design, gate, identity_mismatch, in_display_order, layout_faults, metadata_template, missing_design, review_status, section_metadata
 from .queries import DIGITS, _EX, _K, _MODEL, _N, _REP, _RUNS, _VX, QUERIES, SQL, A, B, V, WIDTH, _assigned, _dense, _grid_sql, _long, _odd, _pct, _r, _runs, _spread, query, rounded
@@ -40,22 +40,71 @@ def _kmeans(v):
     return _centroids(v, {(arm, 3): m for arm, m in _models(v).items()}).drop("k")
 
 
+def _model_rows(v):
+    """The models of all arms and variants from one sample of 3,000 rows a replicate."""
+    return morphology.fit_models(morphology.ranked_sample(cluster.prepare(v)))
+
+
+def _clusters_of(models):
+    rows = models.select("arm", "variant", "k", "inertia", F.posexplode("raw").alias("_i", "_c"))
+    return rows.select("arm", "variant", "k", (F.col("_i") + 1).alias("cluster"), F.get("_c", F.lit(0)).alias("log_area"), F.get("_c", F.lit(1)).alias("shape"), "inertia")
+
+
 @query("k_sensitivity")
 def _k_sensitivity(v):
-    return _centroids(v, {(arm, k): m for k in (2, 3, 4) for arm, m in _models(v, k=k).items()})
+    return _clusters_of(_model_rows(v).where("kind = 'shape' and left_out is null")).drop("variant")
 
 
 @query("area_only_fit")
 def _area_only_fit(v):
-    return _centroids(v, {(arm, 3): m for arm, m in _models(v, ("log_area",), keep="area").items()}).drop("k", "shape")
+    return _clusters_of(_model_rows(v).where("kind = 'area'")).drop("variant", "k", "shape")
 
 
 @query("cluster_stability")
 def _stability(v):
+    got = morphology.run_analysis(v).tables
+    jaccard = got["stability_clusters"].groupBy("arm", "left_out").pivot("cluster", [1, 2, 3]).agg(F.first("jaccard"))
+    rows = got["stability"].join(jaccard, ["arm", "left_out"])
+    return rows.select("arm", F.col("left_out").cast("int").alias("left_out"), "n", "ari", "agreement_pct", *(F.col(str(i)).alias(f"jaccard_{i}") for i in (1, 2, 3)))
+
+
+@query("fit_audit")
+def _fit_audit(v):
+    return morphology.run_analysis(v).tables["fit_audit"]
+
+
+@query("analysis_standardized")
+def _analysis_standardized(v):
+    return morphology.run_analysis(v).tables["standardized"]
+
+
+#: Fixed models as rows of the model table: one of all replicates per arm, one without replicate 2, one of area alone.
+_FIXED = (("arm1", "k3", "shape", None, 0.0), ("arm2", "k3", "shape", None, 0.1), ("arm1", "without 2", "shape", "2", 0.05), ("arm2", "area", "area", None, 0.2))
+
+
+def _fixed_sql() -> str:
+    parts = []
+    for arm, variant, kind, left, move in _FIXED:
+        z = "(la + 0.5e0) / 0.5e0"
+        s = "" if kind == "area" else " + ((sh - 0.4e0) / 0.8e0 - {})  * ((sh - 0.4e0) / 0.8e0 - {})"
+        d = [f"({z} - ({a + move}e0)) * ({z} - ({a + move}e0))" + s.format(f"({b}e0)", f"({b}e0)") for a, b in ((-0.6, -0.2), (0.2, 0.2), (0.6, 2.0))]
+        keep = "area > 0" if kind == "area" else "valid" + (f" AND animal = {left}" if left else "")
+        parts.append(f"SELECT arm, grp, animal, job, '{variant}' AS variant, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END AS cluster, b_present, p FROM (SELECT *, {', '.join(f'{x} AS d{i}' for i, x in enumerate(d, 1))} FROM pp WHERE arm = '{arm}' AND {keep})")
+    return " UNION ALL ".join(parts)
+
+
+@query("model_assign", f"""{V}, pa AS (SELECT *, coalesce(area > 0 AND max_diameter > 0 AND min_diameter >= 0 AND min_diameter <= max_diameter, false) AS valid FROM v WHERE {A}),
+ pb AS (SELECT *, CASE WHEN area > 0 THEN log10(area) END AS la, CASE WHEN valid THEN min_diameter / max_diameter END AS sh FROM pa),
+ pp AS (SELECT *, CASE WHEN valid THEN CASE WHEN e1 <= e2 AND e1 <= e3 THEN 1 WHEN e2 <= e3 THEN 2 ELSE 3 END END AS p FROM (SELECT *, {', '.join(f"((la + 0.5e0) / 0.5e0 - ({a}e0 + CASE WHEN arm = 'arm2' THEN 0.1e0 ELSE 0 END)) * ((la + 0.5e0) / 0.5e0 - ({a}e0 + CASE WHEN arm = 'arm2' THEN 0.1e0 ELSE 0 END)) + ((sh - 0.4e0) / 0.8e0 - ({b}e0)) * ((sh - 0.4e0) / 0.8e0 - ({b}e0)) AS e{i}" for i, (a, b) in enumerate(((-0.6, -0.2), (0.2, 0.2), (0.6, 2.0)), 1))} FROM pb)),
+ u AS ({_fixed_sql()})
+SELECT arm, grp, animal, job, variant, cluster, CASE WHEN variant LIKE 'without%' THEN p END AS reference, count(*) AS n, {_N('b_present')} AS n_positive, count(b_present) AS n_known FROM u GROUP BY ALL""")
+def _model_assign(v):
     rows = []
-    for arm, (valid, model) in _models(v, cap=500).items():
-        rows += [(arm, r["left_out"], r["n"], r["ari"], r["agreement_pct"], *(r["jaccard"][i] for i in (1, 2, 3))) for r in cluster.leave_one_out(valid, model, 500)]
-    return v.sparkSession.createDataFrame(rows, "arm string, left_out int, n long, ari double, agreement_pct double, jaccard_1 double, jaccard_2 double, jaccard_3 double")
+    for arm, variant, kind, left, move in _FIXED:
+        n = 1 if kind == "area" else 2
+        places = [[a + move, b][:n] for a, b in ((-0.6, -0.2), (0.2, 0.2), (0.6, 2.0))]
+        rows.append((arm, variant, kind, 3, left, list(cluster.FEATURES[:n]), [-0.5, 0.4][:n], [0.5, 0.8][:n], places, places, [], 0, 0, 0.0, 0))
+    return morphology.cluster_counts(morphology.assigned(cluster.prepare(v), v.sparkSession.createDataFrame(rows, morphology.MODEL)))
 
 
 @query("area_only_assign", f"""{V}, a AS (SELECT *, (log10(area) + 0.5e0) / 0.5e0 AS z FROM v WHERE {A} AND area > 0), d AS (SELECT *, (z + 0.6e0) * (z + 0.6e0) AS d1, (z - 0.2e0) * (z - 0.2e0) AS d2, (z - 0.6e0) * (z - 0.6e0) AS d3 FROM a)
