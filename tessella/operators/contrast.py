@@ -129,35 +129,36 @@ def support(strata: DataFrame, minimum: int = 10, replicates: int = 6, keys=("ar
     return out.withColumn("eligible", (F.col("present") == replicates) & (F.col("below") == 0)).withColumn("reason", why)
 
 
-def normalization_audit(rows: DataFrame) -> DataFrame:
-    """Four estimands side by side, the pooled one as a diagnostic that needs every replicate's values.
+def normalization_audit(rows: DataFrame, least: int = 3) -> DataFrame:
+    """Four estimands side by side, control minus treated, the pooled one as a diagnostic.
 
-    ``rows``: ``arm, grp, animal, n, k, area_overlap_pct``.
+    ``rows``: ``arm, grp, animal, n, k, standardized, area_overlap_pct``, a row
+    per replicate; ``standardized`` is its rate under the common size mix (of
+    :func:`standardized`).  Replicates weigh equally and must all be known; the
+    pooled rate weighs objects and needs ``least`` known counts in each group.
     """
     side = lambda g, c: F.when(_side(g), c)
-    whole = lambda g, c: F.when(F.count_if(_side(g)) == F.count(side(g, F.col(c))), F.sum(side(g, F.col(c))))
+    pooled = lambda g: F.when(F.count(side(g, F.col("k"))) >= least, percent(F.sum(side(g, F.col("k"))), F.sum(side(g, F.col("n")))))
     mean = lambda g, c: F.when((F.count_if(_side(g)) > 0) & (F.count_if(_side(g)) == F.count(side(g, F.col(c)))), F.avg(side(g, F.col(c))))
-    out = rows.withColumn("rate", percent("k", "n")).groupBy("arm").agg(
-        (mean(CONTROL, "rate") - mean(TREATED, "rate")).alias("equal_rate"),
-        (mean(CONTROL, "area_overlap_pct") - mean(TREATED, "area_overlap_pct")).alias("equal_area_overlap"),
-        (mean(CONTROL, "k") - mean(TREATED, "k")).alias("equal_count"),
-        (percent(whole(CONTROL, "k"), whole(CONTROL, "n")) - percent(whole(TREATED, "k"), whole(TREATED, "n"))).alias("pooled_rate"),
+    equal = lambda c: mean(CONTROL, c) - mean(TREATED, c)
+    return rows.withColumn("rate", percent("k", "n")).groupBy("arm").agg(
+        equal("rate").alias("equal_rate"), equal("standardized").alias("equal_standardized"), equal("area_overlap_pct").alias("equal_area_overlap"), (pooled(CONTROL) - pooled(TREATED)).alias("pooled_rate")
     )
-    return out
 
 
 def directions(long: DataFrame, keys=("arm", "metric")) -> DataFrame:
-    """Each contrast in both directions: difference, relative change, ratio, standard error and difference per error."""
+    """Each contrast in both directions: difference, relative change, ratio, standard error, difference per error, and its leave-pair-out range."""
     per = long.groupBy(*keys, "grp").agg(complete_mean("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n"))
     a = per.where(_side(CONTROL)).select(*keys, F.col("m").alias("a"), (F.col("v") / F.col("n")).alias("ea"))
     b = per.where(_side(TREATED)).select(*keys, F.col("m").alias("b"), (F.col("v") / F.col("n")).alias("eb"))
-    both = a.join(b, list(keys)).withColumn("se", F.sqrt(F.col("ea") + F.col("eb")))
+    both = a.join(b, list(keys)).join(leave_pair_out(long, keys), list(keys), "left").withColumn("se", F.sqrt(F.col("ea") + F.col("eb")))
 
-    def one(name, x, y):
+    def one(name, x, y, low, high):
         d = F.col(x) - F.col(y)
-        return both.select(*keys, F.lit(name).alias("direction"), d.alias("difference"), percent(d, F.col(y)).alias("relative_pct"), F.when(F.col(y) > 0, F.col(x) / F.col(y)).alias("ratio"), "se", F.when(F.col("se") > 0, d / F.col("se")).alias("per_se"))
+        return F.struct(F.lit(name).alias("direction"), d.alias("difference"), percent(d, F.col(y)).alias("relative_pct"), F.when(F.col(y) > 0, F.col(x) / F.col(y)).alias("ratio"), F.col("se").alias("se"), F.when(F.col("se") > 0, d / F.col("se")).alias("per_se"), low.alias("low"), high.alias("high"))
 
-    return one("control - treated", "a", "b").unionByName(one("treated - control", "b", "a"))
+    ways = F.array(one("control - treated", "a", "b", F.col("low"), F.col("high")), one("treated - control", "b", "a", -F.col("high"), -F.col("low")))
+    return both.select(*keys, F.inline(ways))
 
 
 def paired_arms(rows: DataFrame, metric: str, arms=("arm1", "arm2")) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import FLIPS
+from ..functions import FLIPS, percent
 
 
 def _shifted(mask, fill=False):
@@ -346,3 +346,55 @@ def layout_audit(objects: DataFrame, image: str = "arm", job: str = "job") -> Da
     order = F.when(F.col("control_hi") < F.col("treated_lo"), "control lower").when(F.col("treated_hi") < F.col("control_lo"), "treated lower").otherwise("overlap")
     gap = F.greatest(F.col("treated_lo") - F.col("control_hi"), F.col("control_lo") - F.col("treated_hi"))
     return out.withColumn("x_order", order).withColumn("gap", F.when(gap > 0, gap))
+
+
+def section_extents(objects: DataFrame, keys=("arm", "image", "grp", "animal", "job")) -> DataFrame:
+    """Per section the extents of its boxes, both classes together, their mid-points and sizes, counts, and the association of class A.
+
+    An unknown flag, or no object of class A, makes the association unknown.
+    """
+    a = F.col("object_type") == "A"
+    known = (F.count_if(a) > 0) & (F.count_if(a) == F.count_if(a & F.col("b_present").isNotNull()))
+    out = objects.groupBy(*keys).agg(
+        *(f(f"{c}{side}").alias(f"{c}_{side}") for c in ("x", "y") for f, side in ((F.min, "min"), (F.max, "max"))),
+        F.count("*").alias("n_objects"), F.count_if(a).alias("n_a"), F.when(known, F.count_if(a & F.col("b_present"))).alias("n_positive"),
+    )
+    sized = {f"{c}_{name}": e for c in ("x", "y") for name, e in (("mid", (F.col(f"{c}_min") + F.col(f"{c}_max")) / 2), ("size", F.col(f"{c}_max") - F.col(f"{c}_min")))}
+    return out.withColumns(sized | {"association_pct": percent("n_positive", "n_a")})
+
+
+def layout_contrasts(extents: DataFrame, keys=("arm", "image")) -> DataFrame:
+    """Within each image: sections and replicates of both groups, their contrast where all are known, and the order of their x extents.
+
+    ``gap`` is how far the groups lie apart along x, 0 where they meet; it and
+    the order need both groups.
+    """
+    side = lambda g, f, c: f(F.when(F.col("grp") == g, F.col(c)))
+    names = lambda g: F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("grp") == g, F.col("animal").cast("string")))))
+    whole = F.greatest(*(F.count_if(F.col("grp") == g) == 0 for g in ("control", "treated"))) | (F.count("association_pct") < F.count("*"))
+    per = extents.groupBy(*keys).agg(
+        *(x for g in ("control", "treated") for x in (names(g).alias(f"{g}_animals"), F.count_if(F.col("grp") == g).alias(f"n_{g}"), F.when(~whole, side(g, F.avg, "association_pct")).alias(f"{g}_mean"))),
+        *(side(g, f, f"x_{n}").alias(f"_{g}_{n}") for g in ("control", "treated") for f, n in ((F.min, "min"), (F.max, "max"))),
+    )
+    low, high = F.col("_treated_min") - F.col("_control_max"), F.col("_control_min") - F.col("_treated_max")
+    order = F.when(low.isNull() | high.isNull(), "one group").when(low > 0, "control lower").when(high > 0, "treated lower").otherwise("overlap")
+    gap = F.when(low.isNotNull() & high.isNotNull(), F.greatest(low, high, F.lit(0.0)))
+    return per.withColumn("difference", F.col("control_mean") - F.col("treated_mean")).withColumn("x_order", order).withColumn("gap", gap).drop(*(c for c in per.columns if c.startswith("_")))
+
+
+def layout_verdict(extents: DataFrame, keys=("arm", "image")) -> DataFrame:
+    """One row over all images: whether the groups are apart along x in the same order everywhere, and how many contrasts point each way.
+
+    ``order`` is unknown unless it is the same, and strict, in every image.
+    """
+    each = layout_contrasts(extents, keys)
+    apart = F.col("x_order").isin("control lower", "treated lower")
+    same = (F.count("*") > 0) & (F.count_if(apart) == F.count("*")) & (F.min("x_order") == F.max("x_order"))
+    d = F.col("difference")
+    verdict = each.agg(
+        F.count("*").alias("n_comparisons"), F.coalesce(same, F.lit(False)).alias("consistent"), F.when(same, F.min("x_order")).alias("order"), F.count(d).alias("n_known"),
+        F.count_if(d > 0).alias("n_positive_contrasts"), F.count_if(d < 0).alias("n_negative_contrasts"), ((F.count("*") > 0) & (F.count_if(d > 0) == F.count("*"))).alias("all_positive"),
+    )
+    ends = [f(F.when(F.col("grp") == g, F.col(f"x_{n}"))).alias(f"{g}_x_{n}") for g in ("control", "treated") for f, n in ((F.min, "min"), (F.max, "max"))]
+    sections = extents.agg(F.count("*").alias("n_sections"), F.countDistinct(keys[-1]).alias("n_images"), *ends)
+    return sections.crossJoin(F.broadcast(verdict))  # one row each

@@ -433,22 +433,27 @@ def _support_rule(v):
     return contrast.support(_strata_cells(v), 45)
 
 
-@query("normalization_audit", f"""{V}, r AS (SELECT arm, grp, animal, count(*) AS n, {_N('b_present')} AS k, 100.0e0 * sum(overlap_area) / sum(area) AS o FROM v WHERE {A} GROUP BY arm, grp, animal)
-SELECT arm, {_r("avg(100.0e0 * k / n) FILTER (WHERE grp = 'control') - avg(100.0e0 * k / n) FILTER (WHERE grp = 'treated')", 'equal_rate')}, {_r("avg(o) FILTER (WHERE grp = 'control') - avg(o) FILTER (WHERE grp = 'treated')", 'equal_area_overlap')},
- {_r("avg(k) FILTER (WHERE grp = 'control') - avg(k) FILTER (WHERE grp = 'treated')", 'equal_count')}, {_r("100.0e0 * sum(k) FILTER (WHERE grp = 'control') / sum(n) FILTER (WHERE grp = 'control') - 100.0e0 * sum(k) FILTER (WHERE grp = 'treated') / sum(n) FILTER (WHERE grp = 'treated')", 'pooled_rate')} FROM r GROUP BY arm""")
+@query("normalization_audit", f"""{V}, {_CELLS.replace('r AS (', 'z AS (')}, r AS (SELECT arm, grp, animal, count(*) AS n, {_N('b_present')} AS k, 100.0e0 * sum(overlap_area) / sum(area) AS o FROM v WHERE {A} GROUP BY arm, grp, animal),
+ q AS (SELECT r.*, standardized FROM r JOIN z USING (arm, grp, animal))
+SELECT arm, {_r("avg(100.0e0 * k / n) FILTER (WHERE grp = 'control') - avg(100.0e0 * k / n) FILTER (WHERE grp = 'treated')", 'equal_rate')}, {_r("avg(standardized) FILTER (WHERE grp = 'control') - avg(standardized) FILTER (WHERE grp = 'treated')", 'equal_standardized')},
+ {_r("avg(o) FILTER (WHERE grp = 'control') - avg(o) FILTER (WHERE grp = 'treated')", 'equal_area_overlap')}, {_r("100.0e0 * sum(k) FILTER (WHERE grp = 'control') / sum(n) FILTER (WHERE grp = 'control') - 100.0e0 * sum(k) FILTER (WHERE grp = 'treated') / sum(n) FILTER (WHERE grp = 'treated')", 'pooled_rate')} FROM q GROUP BY arm""")
 def _audit(v):
-    rows = summary.replicate_metrics(v)
-    return contrast.normalization_audit(rows.select("arm", "grp", "animal", "n", F.col("positive_count").alias("k"), "area_overlap_pct"))
+    rates = contrast.standardized(_strata_cells(v), 45).select("arm", "grp", "animal", "standardized")
+    rows = summary.replicate_metrics(v).join(rates, ["arm", "grp", "animal"])
+    return contrast.normalization_audit(rows.select("arm", "grp", "animal", "n", F.col("positive_count").alias("k"), "standardized", "area_overlap_pct"))
 
 
 _DIR = f"m AS (SELECT arm, metric, avg(value) FILTER (WHERE grp = 'control') AS a, avg(value) FILTER (WHERE grp = 'treated') AS b, sqrt(var_samp(value) FILTER (WHERE grp = 'control') / 3 + var_samp(value) FILTER (WHERE grp = 'treated') / 3) AS se FROM l GROUP BY arm, metric)"
 
 
-def _direction(name, x, y):
-    return f"SELECT arm, metric, '{name}' AS direction, {_r(f'{x} - {y}', 'difference')}, {_r(_pct(f'({x} - {y})', y), 'relative_pct')}, {_r(f'CASE WHEN {y} > 0 THEN {x} / {y} END', 'ratio')}, {_r('se', 'se')}, {_r(f'CASE WHEN se > 0 THEN ({x} - {y}) / se END', 'per_se')} FROM m"
+def _direction(name, x, y, low, high):
+    return f"SELECT arm, metric, '{name}' AS direction, {_r(f'{x} - {y}', 'difference')}, {_r(_pct(f'({x} - {y})', y), 'relative_pct')}, {_r(f'CASE WHEN {y} > 0 THEN {x} / {y} END', 'ratio')}, {_r('se', 'se')}, {_r(f'CASE WHEN se > 0 THEN ({x} - {y}) / se END', 'per_se')}, {_r(low, 'low')}, {_r(high, 'high')} FROM m JOIN lo USING (arm, metric)"
 
 
-@query("directions", f"{V}, {_REP}, {_DIR} {_direction('control - treated', 'a', 'b')} UNION ALL {_direction('treated - control', 'b', 'a')}")
+_RANGE = f"{_OUT}, lo AS (SELECT a.arm, a.metric, min(a.m - b.m) AS low, max(a.m - b.m) AS high FROM o a JOIN o b ON a.arm = b.arm AND a.metric = b.metric AND a.grp = 'control' AND b.grp = 'treated' GROUP BY a.arm, a.metric)"
+
+
+@query("directions", f"{V}, {_REP}, {_RANGE}, {_DIR} {_direction('control - treated', 'a', 'b', 'low', 'high')} UNION ALL {_direction('treated - control', 'b', 'a', '-high', '-low')}")
 def _directions(v):
     return contrast.directions(_long(v))
 
@@ -465,6 +470,46 @@ def _layout(v):
     return geometry.layout_audit(v)
 
 
+_EXTENTS = f"""{V}, t AS (SELECT arm, 'image ' || (job % 3) AS image, grp, animal, job, min(xmin) AS x_min, max(xmax) AS x_max, min(ymin) AS y_min, max(ymax) AS y_max, count(*) AS n_objects, {_N(A)} AS n_a,
+  CASE WHEN {_N(A)} > 0 AND {_N(A)} = {_N(A + ' AND f IS NOT NULL')} THEN {_N(A + ' AND f')} END AS n_positive FROM (SELECT *, CASE WHEN job <> 4 OR l_linenumber < 7 THEN b_present END AS f FROM v) GROUP BY ALL),
+ e AS (SELECT *, (x_min + x_max) / 2 AS x_mid, (y_min + y_max) / 2 AS y_mid, x_max - x_min AS x_size, y_max - y_min AS y_size, 100.0e0 * n_positive / n_a AS association_pct FROM t),
+ c AS (SELECT arm, image, string_agg(CAST(animal AS VARCHAR), ', ' ORDER BY CAST(animal AS VARCHAR)) FILTER (WHERE grp = 'control') AS control_animals, string_agg(CAST(animal AS VARCHAR), ', ' ORDER BY CAST(animal AS VARCHAR)) FILTER (WHERE grp = 'treated') AS treated_animals,
+  {_N("grp = 'control'")} AS n_control, {_N("grp = 'treated'")} AS n_treated, count(association_pct) = count(*) AS whole, avg(association_pct) FILTER (WHERE grp = 'control') AS a, avg(association_pct) FILTER (WHERE grp = 'treated') AS b,
+  min(x_min) FILTER (WHERE grp = 'treated') - max(x_max) FILTER (WHERE grp = 'control') AS low, min(x_min) FILTER (WHERE grp = 'control') - max(x_max) FILTER (WHERE grp = 'treated') AS high FROM e GROUP BY arm, image),
+ d AS (SELECT *, CASE WHEN whole THEN a - b END AS difference, CASE WHEN low > 0 THEN 'control lower' WHEN high > 0 THEN 'treated lower' ELSE 'overlap' END AS x_order FROM c)"""
+
+
+def _extents(v):
+    """Two sections of an arm share an image; one section has unknown flags."""
+    flags = F.when((F.col("job") != 4) | (F.col("l_linenumber") < 7), F.col("b_present"))
+    return geometry.section_extents(v.withColumn("image", F.concat(F.lit("image "), (F.col("job") % 3).cast("string"))).withColumn("b_present", flags))
+
+
+@query("layout_sections", f"{_EXTENTS} SELECT arm, image, grp, animal, job, x_min, x_max, y_min, y_max, n_objects, n_a, n_positive, x_mid, x_size, y_mid, y_size, {_r('association_pct', 'association_pct')} FROM e")
+def _layout_sections(v):
+    return _extents(v)
+
+
+@query("layout_contrasts", f"{_EXTENTS} SELECT arm, image, control_animals, treated_animals, n_control, n_treated, {_r('CASE WHEN whole THEN a END', 'control_mean')}, {_r('CASE WHEN whole THEN b END', 'treated_mean')}, {_r('difference', 'difference')}, x_order, greatest(low, high, 0) AS gap FROM d")
+def _layout_contrasts(v):
+    return geometry.layout_contrasts(_extents(v))
+
+
+@query("layout_verdict", f"""{_EXTENTS} SELECT * FROM (SELECT count(*) AS n_sections, count(DISTINCT image) AS n_images, {', '.join(f"{f}(x_{f}) FILTER (WHERE grp = '{g}') AS {g}_x_{f}" for g in ('control', 'treated') for f in ('min', 'max'))} FROM e),
+ (SELECT count(*) AS n_comparisons, bool_and(x_order <> 'overlap') AND count(DISTINCT x_order) = 1 AS consistent, CASE WHEN bool_and(x_order <> 'overlap') AND count(DISTINCT x_order) = 1 THEN min(x_order) END AS "order", count(difference) AS n_known, {_N('difference > 0')} AS n_positive_contrasts, {_N('difference < 0')} AS n_negative_contrasts, {_N('difference > 0')} = count(*) AS all_positive FROM d)""")
+def _layout_verdict(v):
+    return geometry.layout_verdict(_extents(v))
+
+
+@query("apart_verdict", f"""{_EXTENTS.replace('min(xmin) AS x_min, max(xmax) AS x_max', "min(xmin + CASE WHEN grp = 'treated' THEN 1e9 ELSE 0 END) AS x_min, max(xmax + CASE WHEN grp = 'treated' THEN 1e9 ELSE 0 END) AS x_max")}
+SELECT count(*) AS n_comparisons, bool_and(x_order = 'control lower') AS consistent, min(x_order) AS "order", min(gap) AS least_gap FROM (SELECT *, greatest(low, high, 0) AS gap FROM d)""")
+def _apart_verdict(v):
+    moved = v.withColumns({c: F.col(c) + F.when(F.col("grp") == "treated", 1e9).otherwise(0) for c in ("xmin", "xmax")})
+    extents = _extents(moved)
+    gap = geometry.layout_contrasts(extents).agg(F.min("gap").alias("least_gap"))
+    return geometry.layout_verdict(extents).select("n_comparisons", "consistent", "order").crossJoin(F.broadcast(gap))
+
+
 @query("nearest_neighbor", f"{_VX} SELECT a.job, a.object_id, {_r('min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))', 'distance')} FROM w a JOIN w b ON a.job = b.job WHERE a.object_type = 'A' AND b.object_type = 'B' GROUP BY a.job, a.object_id")
 def _nearest(v):
     moved = _spread(v)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import midpoint, polygon_centroid
+from ..operators.summary import quality_control
 
 # Column order of an export (header, name); None is dropped after the checks.
 COLUMNS = (
@@ -230,7 +231,10 @@ def discover_directory(spark: SparkSession, root: str, pattern: str = r"job(?P<j
 
 
 def load_dataset(spark: SparkSession, records: list, labels: dict, same_study: bool = False) -> tuple:
-    """All primary exports as one frame, every export checked; with its manifest.  One scan, one aggregate for the checks of all files.
+    """All primary exports as one frame, every export checked; with its manifest.  Two aggregates over all files: the checks, and the counters of odd rows.
+
+    The manifest has a row for each export, superseded ones too, with its
+    counters of :func:`~tessella.operators.summary.quality_control`.
 
     ``same_study``: all exports must agree in image and algorithm.
     """
@@ -238,13 +242,16 @@ def load_dataset(spark: SparkSession, records: list, labels: dict, same_study: b
         return None, None
     rows = read_exports(spark, {r["path"]: r["job"] for r in records}, labels)
     found = {r["job"]: r.asDict() for r in _listed(row_faults(rows))}
-    manifest = []
+    manifest, counters = [], {}
     for r in records:
         got = found.get(r["job"], {"n": 0, "contiguous_ids": False})
         _raise_faults(got, r.get("rows"), f"{r['job']}: ")
         manifest.append({**r, "rows": got["n"], "contiguous_ids": got["contiguous_ids"]})
     if same_study and (faults := cross_file_faults(list(found.values()))):
         raise ValueError("exports differ: " + ", ".join(faults))
+    for r in _listed(quality_control(typed(rows)).drop("n_objects")):
+        counters[r["job"]] = r.asDict()
+    manifest = [{**r, **counters[r["job"]]} for r in manifest]
     kept = [r["job"] for r in records if r["duplicate_status"] != "interrupted_superseded"]
     return typed(rows.where(F.col("job").isin(*kept))), spark.createDataFrame(manifest)
 

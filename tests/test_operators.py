@@ -396,6 +396,40 @@ def test_layout(spark):
     assert geometry.layout_audit(df.withColumn("x", F.lit(1.0))).first().x_order == "overlap"
 
 
+def test_layout_extents_contrasts_and_verdict(spark):
+    """Groups apart in one image, touching in another; an unknown flag; an image with one group."""
+    rows = [("i", "control", 1, 1, "A", True, 0.0, 4.0), ("i", "control", 1, 1, "B", True, 2.0, 9.0), ("i", "treated", 2, 2, "A", False, 10.0, 12.0), ("k", "control", 1, 3, "A", True, 0.0, 5.0), ("k", "treated", 2, 4, "A", None, 5.0, 6.0), ("l", "control", 3, 5, "A", True, 0.0, 1.0)]
+    objects = spark.createDataFrame([(*r, 1.0, 3.0) for r in rows], "image string, grp string, animal int, job int, object_type string, b_present boolean, xmin double, xmax double, ymin double, ymax double").withColumn("arm", F.lit("a"))
+    extents = geometry.section_extents(objects)
+    first = extents.where("job = 1").first()
+    assert (first.x_min, first.x_max, first.x_mid, first.x_size, first.y_size, first.n_objects, first.n_a, first.association_pct) == (0, 9, 4.5, 9, 2, 2, 1, 100)
+    assert extents.where("job = 4").first().association_pct is None
+    got = {r.image: r for r in geometry.layout_contrasts(extents).collect()}
+    assert (got["i"].x_order, got["i"].gap, got["i"].difference, got["i"].treated_animals) == ("control lower", 1.0, 100.0, "2")
+    assert (got["k"].x_order, got["k"].gap, got["k"].difference, got["k"].control_mean) == ("overlap", 0.0, None, None)
+    assert (got["l"].x_order, got["l"].gap, got["l"].difference) == ("one group", None, None)
+    v = geometry.layout_verdict(extents).first()
+    assert (v.n_sections, v.n_images, v.n_comparisons, v.consistent, v.order, v.n_known, v.n_positive_contrasts, v.n_negative_contrasts, v.all_positive) == (5, 3, 3, False, None, 1, 1, 0, False)
+    v = geometry.layout_verdict(extents.where("image = 'i'")).first()
+    assert (v.consistent, v.order, v.all_positive, v.control_x_max, v.treated_x_min) == (True, "control lower", True, 9.0, 10.0)
+    nothing = geometry.layout_verdict(extents.limit(0)).first()
+    assert (nothing.n_sections, nothing.consistent, nothing.all_positive) == (0, False, False)
+
+
+def test_estimands_and_both_directions(spark):
+    rows = [("a", "control" if i < 3 else "treated", i, 10 * (i + 1), 2 * i, 50.0 - i, None if i == 5 else 3.0 * i) for i in range(6)]
+    got = contrast.normalization_audit(spark.createDataFrame(rows, "arm string, grp string, animal int, n long, k long, standardized double, area_overlap_pct double")).first()
+    rate = [100 * r[4] / r[3] for r in rows]
+    assert got.equal_rate == pytest.approx(sum(rate[:3]) / 3 - sum(rate[3:]) / 3) and got.equal_standardized == pytest.approx(3.0)
+    assert got.equal_area_overlap is None and got.pooled_rate == pytest.approx(100 * 6 / 60 - 100 * 24 / 150)
+    few = contrast.normalization_audit(spark.createDataFrame([(*r[:4], None if r[2] == 1 else r[4], *r[5:]) for r in rows], "arm string, grp string, animal int, n long, k long, standardized double, area_overlap_pct double")).first()
+    assert few.pooled_rate is None and few.equal_rate is None and few.equal_standardized is not None
+    long = spark.createDataFrame([("a", "m", g, i, float(v)) for g, values in (("control", (1, 2, 6)), ("treated", (4, 5, 9))) for i, v in enumerate(values)], "arm string, metric string, grp string, animal int, value double")
+    ways = {r.direction: r for r in contrast.directions(long).collect()}
+    one, back = ways["control - treated"], ways["treated - control"]
+    assert (one.difference, one.low, one.high) == (-3.0, 1.5 - 7.0, 4.0 - 4.5) and (back.difference, back.low, back.high) == (3.0, 0.5, 5.5)
+
+
 def test_shuffled_rows_change_nothing(spark, four_jobs):
     rows = four_jobs.collect()
     random.Random(0).shuffle(rows)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import sources
-from tessella.sources import bundle
+from tessella.operators import summary
 
 
 def write(path, rows, header=None):
@@ -72,6 +72,10 @@ def test_directory(spark, tmp_path):
     assert found[0]["sha256"] == sources.sha256_of(tmp_path / "a job1 left+1.csv")
     objects, manifest = sources.load_dataset(spark, found, LABELS)
     assert objects.count() == 4 and manifest.count() == 2
+    # Each export's counters stand beside it, those of the superseded one too.
+    plain = {r.job: r.asDict() for r in summary.quality_control(sources.typed(sources.read_exports(spark, {x["path"]: x["job"] for x in found}, LABELS))).drop("n_objects").collect()}
+    counted = {r.job: r.asDict() for r in manifest.collect()}
+    assert set(plain) == {"1", "2"} and all(counted[j][c] == v for j, row in plain.items() for c, v in row.items()) and counted["2"]["formula_mismatch"] == 0 and counted["2"]["rows"] == 4
     hashes = sources.file_hashes(spark, f"{tmp_path}/*.csv")
     assert sources.identical_files(hashes, hashes).where("identical").count() == 2
     write(tmp_path / "odd.csv", rows(1))
@@ -178,46 +182,3 @@ def test_landmarks_and_metadata(spark, tmp_path):
     assert found["input_manifest"] == [{"job": "1", "path": "a.csv"}] and found["packages"]["numpy"] and found["parameters"] == {"width": 1000}
     sources.write_grids(spark.createDataFrame([(1, 0, 0, 5)], "job int, ix int, iy int, n int"), f"{tmp_path}/grids")
     assert spark.read.parquet(f"{tmp_path}/grids").count() == 1
-
-
-def test_workbook(spark, tmp_path):
-    import xml.etree.ElementTree as ET
-    import zipfile
-
-    df = spark.createDataFrame([(i, f"a<{i}>&", float("nan") if i == 2 else i / 2, i % 2 == 0, None) for i in range(5)], "i long, s string, v double, b boolean, n string").repartition(1).sortWithinPartitions("i")
-    found = bundle.write_workbook({"a long/name" * 4: df, "empty": df.limit(0), "Index": df.limit(1)}, f"{tmp_path}/x/book.xlsx", 2)
-    assert [n for *_, n in found] == [2, 2, 1, 0, 1] and all(len(t) <= 31 for _, t, _ in found) and len({t.lower() for _, t, _ in found} | {"index"}) == 6
-    book, ns = zipfile.ZipFile(f"{tmp_path}/x/book.xlsx"), {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    names = [s.get("name") for s in ET.fromstring(book.read("xl/workbook.xml")).find("m:sheets", ns)]
-    assert names == ["Index", *(t for _, t, _ in found)]
-    cells = [["".join(c.itertext()) for c in row] for row in ET.fromstring(book.read("xl/worksheets/sheet3.xml")).find("m:sheetData", ns)]
-    assert cells == [["i", "s", "v", "b", "n"], ["2", "a<2>&", "", "1", ""], ["3", "a<3>&", "1.5", "0", ""]]
-    for part in book.namelist():
-        ET.fromstring(book.read(part))
-
-
-def test_pages_and_notebooks(spark, tmp_path):
-    import base64
-
-    rows = sources.payload(spark.createDataFrame([("</script><b>", float("inf"))], "k string, v double"))
-    html = bundle.html_fragment("<div id=__ROOT_ID__><script>x=__DATA__</script></div>", {"rows": rows, "none": rows.limit(0)})
-    assert html.count("</script>") == 1 and json.loads(html.split("x=")[1].split("</script>")[0]) == {"rows": [{"k": "</script><b>", "v": None}], "none": []}
-    path = bundle.write_page(f"{tmp_path}/app/index.html", html)
-    assert open(path).read() == html
-    with pytest.raises(ValueError):
-        bundle.write_page(path, "  ")
-    image = base64.b64encode(b"\x89PNG\r\n\x1a\n" + b"0" * 40).decode()
-    cell = lambda source="x = 1", count=1, outputs=(), **meta: {"cell_type": "code", "source": [source], "execution_count": count, "outputs": list(outputs), "metadata": meta}
-    shown = {"output_type": "display_data", "data": {"image/png": [image], "text/plain": ["<Figure size 10x10 with 1 Axes>"]}}
-
-    def check(*cells):
-        (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [{"cell_type": "markdown", "source": "t"}, *cells]}))
-        return bundle.check_notebook(str(tmp_path / "n.ipynb"))
-
-    assert check(cell(), cell("p.show(f)", 2, [shown]), cell("show()", 3, figure_optional=True), cell("%magic", 4)) == {"code_cells": 4, "images": 1}
-    for bad in (
-        cell(count=None), cell(outputs=[{"output_type": "error"}]), cell("show(f)"), cell(outputs=[{"output_type": "display_data", "data": {"text/plain": "<Figure size 1x1 with 1 Axes>"}}]),
-        cell(outputs=[{"output_type": "display_data", "data": {"image/png": "@@"}}]), cell(outputs=[{"output_type": "display_data", "data": {"image/png": base64.b64encode(b"no image").decode()}}]),
-    ):
-        with pytest.raises(ValueError):
-            check(bad)
