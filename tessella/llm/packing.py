@@ -222,19 +222,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     Returns the columns of :func:`pieces` with ``sequence_id`` and ``offset``.
     An empty table gives no rows.
     """
-    cut = table(pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    # The salt is written with the pieces: it tells repeated rows apart, however many there are of one.
+    cut = table(pieces(docs, tokenizer, capacity, end_id, keep_ids).withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(sorted(plan(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     buckets = max(1, sum(histogram.values()) // BUCKET)
-    cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    cut = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt"), F.lit(buckets)))
     keys = ["length", "_bucket"]
     before = (
         cut.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .select(*keys, (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     )
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "piece", "ids_crc32"))).join(before, keys)
-    names = [c for c in cut.columns if c != "_bucket"]
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "piece", "ids_crc32", "_salt"))).join(before, keys)
+    names = [c for c in cut.columns if c not in ("_bucket", "_salt")]
     ranked = ranked.select(*names, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
     first = runs[:, 0] << 44 | runs[:, 1]
 
