@@ -1,25 +1,27 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are cut into segments.  Two codes at distance d differ by at most
-``d // m`` bits in one of their m segments, so when all segments have been
+Codes are cut into segments about as wide as the logarithm of their number, so
+that a segment value has about one code.  Two codes at distance d differ by at
+most ``d // m`` bits in one of their m segments, so when all segments have been
 searched to radius r, every code at distance ``m * (r + 1) - 1`` or less has
-been found.  Round r looks up, for each open code, the segment values at
-distance exactly r; a code closes when its k-th verified distance is covered.
-A pair is taken in one round and one segment only: the first segment of least
-distance, so no pair is verified twice and none has to be made distinct.
+been found.  A round looks up, for each open code, the segment values at some
+radii; a code closes when its k-th verified distance is covered.  Radii grow
+until every code is closed, which is at the width of a segment at the latest:
+then every pair has been met, by the index like all others.  A pair is verified
+once: in the first segment of least distance.
 
 Rows of one code are one entry of the index and one question, with their k + 1
 least ids: a code held by a third of the rows is looked up once and verified
 once.  A segment value that many codes share is spread over several tasks.
-Questions whose k-th neighbour lies beyond ``max_radius`` (or that have fewer
-rows to find) are compared with all codes, in blocks, so the answer is exact
-whatever the data.
 
-Null or empty vectors, and vectors of another width than the widest, have no
-code: they neither ask nor answer.  Null and NaN elements count as 0.  Rows that
-repeat an id are one row, with the least of their codes.
+Null or empty vectors, and vectors of another width than the most frequent one
+(of equally frequent ones the widest), have no code: they neither ask nor
+answer, and a warning tells their number.  Null and NaN elements count as 0.
+Rows that repeat an id are one row, with the least of their codes.
 """
 
+import logging
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -27,15 +29,24 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
+#: Bits of an item of a code, and of a segment at most.
 SEGMENT = 16
 #: Codes of one segment value that a task meets.
 SALTED = 512
+#: Lookups of a question in one segment that may share a round, by expected codes.
+ROUND = 300
+
+log = logging.getLogger(__name__)
 
 
 def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``(id, code array<int>)``: one bit per element (1 if positive), SEGMENT bits per item."""
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].alias("v")).where("id is not null and size(v) > 0")
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"))
+    found = widths.agg(F.max(F.struct("n", "w")).alias("most"), F.sum("n").alias("all")).first()
+    width = found["most"]["w"] if found["most"] else 0
+    if width and found["all"] > found["most"]["n"]:
+        log.warning("%d vectors are not of width %d and have no code", found["all"] - found["most"]["n"], width)
     item = lambda s: sum(
         (F.when((F.get("v", F.lit(i)) > 0) & ~F.isnan(F.get("v", F.lit(i))), F.lit(1 << (i - s))).otherwise(F.lit(0)) for i in range(s, min(s + SEGMENT, width))), F.lit(0)
     )
@@ -48,26 +59,50 @@ def distance(a: str, b: str, segments: int):
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(segments)), F.lit(0)).cast("int")
 
 
-def masks(spark, radius: int) -> DataFrame:
-    """All SEGMENT-bit masks of ``radius`` ones: at most C(16, 8) = 12,870 rows, whatever the data."""
-    return spark.createDataFrame([(sum(1 << i for i in c),) for c in combinations(range(SEGMENT), radius)], "mask int")
+def segment_values(code: str, items: int, width: int) -> list:
+    """The code's segments of ``width`` bits, each an integer column; the last one may be shorter."""
+    out = []
+    for first in range(0, items * SEGMENT, width):
+        item, shift = divmod(first, SEGMENT)
+        value = F.shiftright(F.get(code, F.lit(item)), shift)
+        if shift + width > SEGMENT and item + 1 < items:
+            value = value.bitwiseOR(F.shiftleft(F.get(code, F.lit(item + 1)), SEGMENT - shift))
+        out.append(value.bitwiseAND(F.lit((1 << width) - 1)))
+    return out
+
+
+def masks(spark, radii, width: int = SEGMENT) -> DataFrame:
+    """``(mask, radius)``: all masks of ``width`` bits with as many ones as the radii say; at most 65,536 rows, whatever the data."""
+    return spark.createDataFrame([(sum(1 << i for i in c), r) for r in radii for c in combinations(range(width), r)], "mask int, radius int")
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, max_radius: int = 5) -> DataFrame:
+def rounds(n: int, width: int) -> list:
+    """Radii of each round, from 0 to ``width``: the first ones together while they are few lookups, then one by one."""
+    first, size, each = [], 0, max(1.0, n / 2**width)
+    for r in range(width + 1):
+        size += math.comb(width, r) * each
+        if first and size > ROUND:
+            break
+        first.append(r)
+    return [first, *([r] for r in range(len(first), width + 1))]
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, width: int | None = None) -> DataFrame:
     """``(query_id, neighbor_id, distance, rank)``: for each query the k other rows nearest in Hamming distance, ties by id.
 
     ``codes`` and ``queries``: ``(id, code)``; further columns are not read.  A
     query is not its own neighbour.  Fewer than k other rows give fewer answers.
+    ``width``: bits of a segment, from the number of codes unless given.
     """
     spark = codes.sparkSession
     with scratch(spark) as keep:
         codes, queries = (table(df.groupBy("id").agg(F.min("code").alias("code")), name) for df, name in ((codes, "codes"), (queries, "queries")))
-        segments = codes.agg(F.max(F.size("code"))).first()[0]
-        if not segments:
+        items = codes.agg(F.max(F.size("code"))).first()[0]
+        if not items:
             return spark.createDataFrame([], "query_id long, neighbor_id long, distance int, rank int")
         entries = _entries(codes, k)
         asked = table(queries.select(F.col("code").alias("asked")).distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
-        best = _nearest_codes(asked, entries, segments, k, max_radius)
+        best = _nearest_codes(asked, entries, items, k, width)
         # k codes of the least (distance, least id) hold the k nearest rows; one more, as the query may be one of them
         rows = best.join(entries.select("code", "ids"), "code").select("q", F.explode(F.transform("ids", lambda i: F.struct("distance", i.alias("id")))).alias("n"))
         near = rows.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("n")), 1, k + 1).alias("near")).join(asked, "q")
@@ -85,55 +120,47 @@ def _entries(codes: DataFrame, k: int) -> DataFrame:
     return table(few.select("code", "ids", F.get("ids", F.lit(0)).alias("least"), F.size("ids").alias("n")), "entries")
 
 
-def _first_found(radius: int, segments: int):
-    """Whether a pair's first segment of least distance is ``segment``, at this radius."""
-    apart = [F.bit_count(F.get("asked", F.lit(i)).bitwiseXOR(F.get("code", F.lit(i)))) for i in range(segments)]
+def _first_found(items: int, width: int):
+    """Whether a pair's first segment of least distance is ``segment``, at ``radius``."""
+    apart = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(segment_values("asked", items, width), segment_values("code", items, width), strict=True)]
     out = F.lit(True)
     for i, d in enumerate(apart):
-        out = out & ((F.col("segment") <= i) | (d > radius)) & ((F.col("segment") >= i) | (d >= radius))
+        out = out & ((F.col("segment") <= i) | (d > F.col("radius"))) & ((F.col("segment") >= i) | (d >= F.col("radius")))
     return out
 
 
-def _nearest_codes(asked: DataFrame, entries: DataFrame, segments: int, k: int, max_radius: int) -> DataFrame:
+def _nearest_codes(asked: DataFrame, entries: DataFrame, items: int, k: int, width: int | None = None) -> DataFrame:
     """``(q, code, distance, least, n)``: for each of ``asked`` the k + 1 codes of least (distance, least id)."""
-    spark = asked.sparkSession
-    index = entries.select("code", "least", "n", F.posexplode("code").alias("segment", "value"))
+    spark, n = asked.sparkSession, entries.count()
+    width = min(SEGMENT, max(4, n.bit_length())) if width is None else width
+    segments = -(-items * SEGMENT // width)
+    cut = lambda code: F.posexplode(F.array(*segment_values(code, items, width))).alias("segment", "value")
+    index = entries.select("code", "least", "n", cut("code"))
     hot = index.groupBy("segment", "value").agg(F.count("*").alias("m")).where(F.col("m") > SALTED)
     hot = table(hot.select("segment", "value", F.ceil(F.col("m") / SALTED).alias("salts")), "hot-values")
     spread = F.coalesce("salts", F.lit(1))
     index = table(index.join(hot, ["segment", "value"], "left").select("segment", "value", F.pmod(F.xxhash64("code"), spread).alias("salt"), "code", "least", "n"), "index")
     # a pair beyond the k + 1 nearest so far can change nothing
     asked, best, closed = asked.withColumn("bound", F.lit(None).cast("int")), None, None
-    nearer = F.col("bound").isNull() | (distance("asked", "code", segments) <= F.col("bound"))
-    for radius in range(max_radius + 1):
-        probes = asked.select("q", "asked", "bound", F.posexplode("asked").alias("segment", "value"))
-        probes = probes.crossJoin(F.broadcast(masks(spark, radius))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    nearer = F.col("bound").isNull() | (distance("asked", "code", items) <= F.col("bound"))
+    for radii in rounds(n, width):
+        probes = asked.select("q", "asked", "bound", cut("asked"))
+        probes = probes.crossJoin(F.broadcast(masks(spark, radii, width))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         probes = probes.join(hot, ["segment", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1))).drop("salts")
-        found = probes.join(index, ["segment", "value", "salt"]).where(_first_found(radius, segments) & nearer)
-        found = found.select("q", "code", distance("asked", "code", segments).alias("distance"), "least", "n")
-        best = table(_nearest(found if best is None else best.unionByName(found), k), f"round-{radius}")
-        covered = segments * (radius + 1) - 1
+        found = probes.join(index, ["segment", "value", "salt"]).where(_first_found(items, width) & nearer)
+        found = found.select("q", "code", distance("asked", "code", items).alias("distance"), "least", "n")
+        best = table(_nearest(found if best is None else best.unionByName(found), k), f"round-{radii[-1]}")
+        if radii[-1] == width:  # every pair has been met
+            return best if closed is None else closed.unionByName(best)
+        covered = segments * (radii[-1] + 1) - 1
         held = lambda c: F.coalesce(F.sum(c), F.lit(0)) > k
-        state = best.groupBy("q").agg(held(F.when(F.col("distance") <= covered, F.col("n"))).alias("done"), F.when(held("n"), F.max("distance")).alias("bound"))
-        state = table(state, "state")
-        done = state.where("done").select("q")
-        now = best.join(done, "q", "left_semi")
-        closed = now if closed is None else closed.unionByName(now)
+        state = best.groupBy("q").agg(held(F.when(F.col("distance") <= covered, F.col("n"))).alias("done"), F.when(held("n"), F.max("distance")).alias("bound"))  # noqa: B023
         asked = table(asked.drop("bound").join(state, "q", "left").where("not coalesce(done, false)").drop("done"), "open")
         if asked.isEmpty():
-            return closed
-        best = best.join(done, "q", "left_anti")
-    return closed.unionByName(_nearest(_against_all(asked, entries, segments), k))
-
-
-def _against_all(asked: DataFrame, entries: DataFrame, segments: int) -> DataFrame:
-    """Questions in blocks against every code: the stated query set against all rows, for what the index leaves open."""
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, asked.count() // 64)))).groupBy("block").agg(F.collect_list(F.struct("q", "asked", "bound")).alias("each"))
-    # of a block only those that the code is near enough to
-    d = lambda e: sum((F.bit_count(F.get(e["asked"], F.lit(i)).bitwiseXOR(F.get("code", F.lit(i)))) for i in range(segments)), F.lit(0))
-    every = entries.join(blocks).withColumn("each", F.filter("each", lambda e: e["bound"].isNull() | (d(e) <= e["bound"])))
-    every = every.select("code", "least", "n", F.explode("each").alias("each")).select(F.col("each.q").alias("q"), F.col("each.asked").alias("asked"), "code", "least", "n")
-    return every.select("q", "code", distance("asked", "code", segments).alias("distance"), "least", "n")
+            return best if closed is None else closed.unionByName(best)
+        now = best.join(asked.select("q"), "q", "left_anti")
+        closed = now if closed is None else closed.unionByName(now)
+        best = best.join(asked.select("q"), "q", "left_semi")
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:

@@ -457,20 +457,42 @@ def test_hamming_equals_brute_force(spark, rows, salted, monkeypatch):
     assert hamming.top_k(codes.limit(0), codes.limit(0)).count() == 0
 
 
-def test_hamming_radii_answer_small_tables(spark, monkeypatch):
-    monkeypatch.setattr(hamming, "_against_all", lambda *_: pytest.fail("compared with all codes"))
+@pytest.mark.parametrize("width", [None, 3, 7, 16])
+def test_hamming_goes_on_until_it_is_proven(spark, width, monkeypatch):
+    """Near and far neighbours: radii grow until each question is closed, to the width of a segment where they must; nothing else answers."""
+    monkeypatch.setattr(hamming, "ROUND", 20)
+    used, make = [], hamming.masks
+    monkeypatch.setattr(hamming, "masks", lambda spark, radii, w: (used.append((tuple(radii), w)), make(spark, radii, w))[1])
     rng = np.random.default_rng(3)
-    bits = np.tile(rng.random(32) < 0.5, (300, 1))
-    for row in bits:
-        row[rng.choice(32, rng.integers(1, 4), replace=False)] ^= True
+    bits = np.tile(rng.random(40) < 0.5, (300, 1))
+    for row in bits[:250]:
+        row[rng.choice(40, rng.integers(1, 4), replace=False)] ^= True
+    bits[250:] = rng.random((50, 40)) < 0.5
+    bits[200] = ~bits[0]  # far from nearly all
     codes = hamming.sign_codes(spark.createDataFrame([(i, [1.0 if b else -1.0 for b in r]) for i, r in enumerate(bits)], "vec_id long, embedding array<double>"))
     got = defaultdict(list)
-    for r in hamming.top_k(codes, codes.where("id % 100 = 0"), 7).collect():
+    for r in hamming.top_k(codes, codes.where("id % 100 = 0"), 7, width).collect():
         got[r.query_id].append((r["rank"], r.distance, r.neighbor_id))
     for q in (0, 100, 200):
         d = (bits != bits[q]).sum(1)
         assert [(b, c) for _, b, c in sorted(got[q])] == sorted((int(d[i]), i) for i in range(300) if i != q)[:7]
-    assert set(got) == {0, 100, 200}
+    assert set(got) == {0, 100, 200} and [r for radii, _ in used for r in radii] == list(range(sum(len(radii) for radii, _ in used)))
+    # More neighbours than there are rows: all are found, and every radius was needed.
+    used.clear()
+    few = codes.where("id < 5")
+    assert hamming.top_k(few, few.where("id = 0"), 7, width).count() == 4 and used[-1][0][-1] == used[-1][1]
+
+
+def test_hamming_rounds():
+    assert hamming.rounds(500, 9) == [[0, 1, 2, 3, 4], [5], [6], [7], [8], [9]] and hamming.rounds(2000, 11)[:2] == [[0, 1, 2, 3], [4]]
+    assert hamming.rounds(10**9, 16) == [[r] for r in range(17)]
+
+
+def test_hamming_stray_widths(spark, caplog):
+    """One wide vector does not take the others' codes away."""
+    rows = [(i, [1.0, -1.0, float(i % 2) - 0.5]) for i in range(4)] + [(9, [1.0] * 50), (10, [1.0])]
+    codes = hamming.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.id for r in codes.collect()} == {0, 1, 2, 3} and "2 vectors are not of width 3" in caplog.text
 
 
 def stats_by_hand(text):
