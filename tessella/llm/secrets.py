@@ -10,13 +10,16 @@ features of the whole file; tags follow by Viterbi.  A secret's span runs over
 the value characters of its words.
 
 The field is trained here, on windows of a bounded sample of documents whose
-labels are the fixed base patterns, with synthetic secrets set into windows of
-plain text, so that it also learns forms that the patterns miss.
+labels are the fixed base patterns, with synthetic secrets and ordinary values
+that look like some (ids, paths, dates, versions, names, short hashes, numbers
+with units) set into windows of plain text, so that it learns forms that the
+patterns miss and leaves others alone.
 
 Decoding is exact but skips what is certain: where "outside" leads by more
 than two transitions can ever change, every best path is outside, so only the
 stretches between such words are decoded.  (An "inside" after an "outside"
-begins a secret as well; no transition is forbidden.)
+begins a secret as well; no transition is forbidden.  Of equal paths the one of
+the first tags is taken.)
 
 Null text is empty and has no spans.  Rows stand alone: repeats repeat.
 """
@@ -49,9 +52,17 @@ _WORD = rf"""{_SIGN}*+[A-Za-z0-9+/_.-]++={{0,2}}(?:["'](?![A-Za-z0-9+/_]))?{_CLO
 WORD, WORD_OF_TEXT = re.compile(_WORD.encode()), re.compile(_WORD, re.ASCII)
 _SORTS = bytes(range(48, 58)), bytes(range(65, 91)), bytes(range(97, 123))
 _HEX_DIGITS = b"0123456789abcdef"
-KEYWORD = re.compile(rb"(?i)password|passwd|secret|token|api_?key|credential|private|auth")
+KEYWORD = re.compile(rb"(?i)password|passwd|passphrase|secret|token|api_?key|credential|private|auth|bearer")
+#: Words that name a value which is no secret, and forms of such values.
+NAMING = re.compile(rb"(?i)commit|sha\d|md5|digest|checksum|etag|uuid|guid|version|build|revision|release|hash|request|trace|order|serial|invoice|ticket")
+UUID = re.compile(rb"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+DATED = re.compile(rb"\d{4}[-/.]?\d\d[-/.]?\d\d(?:[T_.-]?\d\d.{0,14})?")
+NUMBERED = re.compile(rb"[vV]?\d+(?:\.\d+)+(?:[-+._]?[a-z0-9]+)*")
+MEASURED = re.compile(rb"\d+(?:\.\d+)?[A-Za-z]{1,4}")
+SUFFIX = re.compile(rb"\.[a-z]{2,5}$")
+WORDY = re.compile(rb"[A-Za-z][a-z]{3,}")
 #: Digits and letters that :func:`shape` looks at; in other words a letter stands for any of its case.
-TELLING = re.compile(rb"(?i)[0-9]|password|passwd|secret|token|api_?key|credential|private|auth|akia|ghp_|sk[-_]l|xoxb|eyjh|www\.")
+TELLING = re.compile(rb"(?i)[0-9]|akia|ghp_|sk[-_]l|xoxb|eyjh|www\.|" + KEYWORD.pattern[4:] + b"|" + NAMING.pattern[4:])
 _SAME_LETTER = bytes.maketrans(bytes(range(65, 91)) + bytes(range(97, 123)), b"A" * 26 + b"a" * 26)
 #: The fit's bounds: documents in the sample at most, of each sort; their longest; secrets of one document that give a window; words on each side of a secret.
 MOST_DOCS, MOST_CHARS, MOST_HITS, AROUND = 300, 20_000, 8, 12
@@ -82,6 +93,7 @@ def shape(word: bytes) -> tuple:
     n = len(value)
     digits, upper, lower = (n - len(value.translate(None, c)) for c in _SORTS)
     kinds = (digits > 0) + (upper > 0) + (lower > 0)
+    wordy = sum(map(len, WORDY.findall(value)))  # of its characters, those that stand as in words
     on = (
         True,
         n >= 6 and digits > 0 and digits < n,
@@ -103,11 +115,21 @@ def shape(word: bytes) -> tuple:
         b"://" in word or word.startswith((b"www.", b"//")),
         value.startswith(b"AKIA"),
         value[:4].lower() in (b"ghp_", b"sk-l", b"sk_l", b"xoxb", b"eyjh"),
+        UUID.fullmatch(value) is not None,
+        value.count(b"/") > 1 or value[:1] == b"/" or value[:2] == b"./",
+        DATED.fullmatch(value) is not None,
+        NUMBERED.fullmatch(value) is not None,
+        MEASURED.fullmatch(value) is not None,
+        SUFFIX.search(value) is not None,
+        n >= 8 and 2 * wordy >= n,
+        bool(NAMING.search(word)),
+        n >= 16 and kinds > 1 and digits > 1 and 5 * wordy <= 2 * n,
+        n >= 24 and kinds == 3 and 5 * wordy <= 2 * n,
     )
     return tuple(i for i, x in enumerate(on) if x)
 
 
-N_SHAPE = 20
+N_SHAPE = 30
 N_FILE = 4
 
 
@@ -248,19 +270,49 @@ def label_words(words: list, offsets: list, spans: list) -> list:
     return tags
 
 
-def synthetic(rng) -> tuple:
+_LETTERS = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+_HEX = np.array(list("0123456789abcdef"))
+_STEMS = ("data", "report", "backup", "image", "render", "worker", "session", "final", "update", "north", "config", "index", "garden", "module", "bridge", "river")
+
+
+def _draw(rng, n, pool=_LETTERS) -> str:
+    return "".join(rng.choice(pool, int(n)))
+
+
+def _stem(rng) -> str:
+    return str(rng.choice(_STEMS))
+
+
+#: Forms of made-up secret values.
+SECRETS = {
+    "mixed": lambda r: _draw(r, r.integers(16, 44)),
+    "hex": lambda r: _draw(r, r.choice([24, 32, 40, 64]), _HEX),
+    "access": lambda r: "AKIA" + _draw(r, 16, _LETTERS[26:]),
+    "prefixed": lambda r: str(r.choice(["ghp_", "sk-live-", "xoxb-"])) + _draw(r, 32),
+    "short": lambda r: _draw(r, r.integers(8, 16)) + str(r.integers(10, 99)),
+}
+#: Forms of ordinary values that look like secrets.
+ORDINARY = {
+    "uuid": lambda r: getattr("-".join(_draw(r, n, _HEX) for n in (8, 4, 4, 4, 12)), str(r.choice(["lower", "upper"])))(),
+    "url": lambda r: f"https://{_stem(r)}.example.org/{_stem(r)}/{_draw(r, 1)}{r.integers(1, 999)}/{_stem(r)}-{_stem(r).title()}_{r.integers(1, 99)}",
+    "path": lambda r: f"/{_stem(r)}/{_stem(r)}_{r.integers(1, 999)}/{_stem(r)}.{r.choice(['py', 'txt', 'json', 'tar'])}",
+    "stamp": lambda r: f"20{r.integers(10, 30)}{r.integers(10, 13)}{r.integers(10, 29)}T{r.integers(10, 24)}{r.integers(10, 60)}00Z",
+    "date": lambda r: f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{r.integers(10, 24)}.{r.integers(10, 60)}",
+    "version": lambda r: f"{r.choice(['v', ''])}{r.integers(0, 20)}.{r.integers(0, 50)}.{r.integers(0, 99)}{r.choice(['', '-rc1', '+build7', '.dev20240101'])}",
+    "name": lambda r: str(r.choice(["-", "_"])).join(_stem(r) for _ in range(int(r.integers(2, 5)))) + f"-{r.integers(1, 9999)}",
+    "camel": lambda r: _stem(r) + "".join(_stem(r).title() for _ in range(int(r.integers(1, 4)))) + str(r.integers(1, 999)),
+    "unit": lambda r: f"{r.integers(1, 99999)}{r.choice(['ms', 'kg', 'px', 'MiB', 'Hz'])}",
+    "short hash": lambda r: _draw(r, r.integers(7, 13), _HEX),
+    "reference": lambda r: f"10.{r.integers(1000, 99999)}/{_stem(r)}.{r.integers(1, 9999)}",
+}
+_KEYS = ("token", "password", "secret", "api_key", "passwd", "apikey", "API_KEY", "Token", "passphrase")
+_NAMES = {"uuid": ("id", "uuid", "trace"), "stamp": ("build", "at"), "date": ("since", "date"), "version": ("version", "release"), "short hash": ("commit", "revision", "hash"), "name": ("name", "build"), "camel": ("call", "field"), "reference": ("doi", "see"), "unit": ("in", "of")}
+
+
+def synthetic(rng, forms=tuple(SECRETS)) -> tuple:
     """Words of a made-up secret with their tags."""
-    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
-    draw = lambda n, pool=letters: "".join(rng.choice(pool, n))
-    value = (
-        lambda: draw(int(rng.integers(16, 44))),
-        lambda: draw(int(rng.choice([24, 32, 40, 64])), np.array(list("0123456789abcdef"))),
-        lambda: "AKIA" + draw(16, letters[26:]),
-        lambda: rng.choice(["ghp_", "sk-live-", "xoxb-"]) + draw(32),
-        lambda: draw(int(rng.integers(8, 16))) + str(rng.integers(10, 99)),
-    )[int(rng.integers(5))]()
-    key, quote = rng.choice(["token", "password", "secret", "api_key", "passwd", "apikey", "API_KEY", "Token"]), rng.choice(["", '"', "'"])
-    form = int(rng.integers(5))
+    value = SECRETS[str(rng.choice(forms))](rng)
+    key, quote, form = str(rng.choice(_KEYS)), str(rng.choice(["", '"', "'"])), int(rng.integers(5))
     if form == 0:
         return [key, "=", f"{quote}{value}{quote}"], [OUTSIDE, OUTSIDE, BEGIN]
     if form == 1:
@@ -273,7 +325,15 @@ def synthetic(rng) -> tuple:
     return words, [BEGIN, *[OUTSIDE] * (len(words) - 1)]
 
 
-def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
+def ordinary(rng, forms=tuple(ORDINARY)) -> list:
+    """Words of a made-up value that is no secret, sometimes after a word that names it."""
+    kind = str(rng.choice(forms))
+    quote, value = str(rng.choice(["", "", '"', "'"])), ORDINARY[kind](rng)
+    named = str(rng.choice(_NAMES[kind])) + str(rng.choice([" ", ": ", "=", " = "])) if kind in _NAMES and rng.random() < 0.7 else ""
+    return WORD_OF_TEXT.findall(f"{named}{quote}{value}{quote}{rng.choice(['', '.', ','])}")
+
+
+def fit(texts: list, seed: int = 11, steps: int = 200, secret_forms=tuple(SECRETS), ordinary_forms=tuple(ORDINARY)) -> Field:
     """Train on texts (labels: the base patterns) by gradient ascent of the conditional likelihood."""
     rng = np.random.default_rng(seed)
     width = 2 * AROUND + 2
@@ -292,13 +352,16 @@ def fit(texts: list, seed: int = 11, steps: int = 200) -> Field:
             piece, mark = words[i : i + 2 * AROUND], tags[i : i + 2 * AROUND]
             windows.append((piece, mark, files))
             if OUTSIDE in mark and all(t == OUTSIDE for t in mark):
-                more, on = synthetic(rng)
-                k = int(rng.integers(0, len(piece) + 1))
-                windows.append(([*piece[:k], *more, *piece[k:]][:width], [*mark[:k], *on, *mark[k:]][:width], files))
+                more, on = synthetic(rng, secret_forms)
+                for words_in, tags_in in ((more, on), (plain := ordinary(rng, ordinary_forms), [OUTSIDE] * len(plain))):
+                    k = int(rng.integers(0, len(piece) + 1))
+                    windows.append(([*piece[:k], *words_in, *piece[k:]][:width], [*mark[:k], *tags_in, *mark[k:]][:width], files))
     if not windows:
         for _ in range(50):
-            more, on = synthetic(rng)
+            more, on = synthetic(rng, secret_forms)
+            plain = ordinary(rng, ordinary_forms)
             windows.append((["the", *more, "of"], [OUTSIDE, *on, OUTSIDE], (1.0, 0.0, 0.0, 1.0)))
+            windows.append((["the", *plain, "of"], [OUTSIDE] * (len(plain) + 2), (1.0, 0.0, 0.0, 1.0)))
     n, length = len(windows), max(len(w) for w, _, _ in windows)
     on = np.zeros((n, length, N_SHAPE), dtype=np.float32)
     y, mask, files = np.full((n, length), OUTSIDE), np.zeros((n, length)), np.array([f for *_, f in windows])

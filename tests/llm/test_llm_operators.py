@@ -354,22 +354,61 @@ def test_secret_file_features_see_the_whole_text():
     assert secrets.file_features([b"word"] * 5000 + [b"="] * 50)[2] == 0.0
 
 
-def test_secret_field_on_held_out_secrets():
+#: Forms that the field below never sees: of secrets, and of ordinary values.
+HELD_SECRETS = {
+    "prefixed": secrets.SECRETS["prefixed"],
+    "deploy key": lambda r: "glpat-" + secrets._draw(r, 20),
+    "base64": lambda r: secrets._draw(r, 43) + "=",
+    "bearer": lambda r: "eyJhbGciOi" + secrets._draw(r, 30) + "." + secrets._draw(r, 60) + "." + secrets._draw(r, 43),
+}
+HELD_ORDINARY = {
+    "path": secrets.ORDINARY["path"],
+    "date": secrets.ORDINARY["date"],
+    "address": lambda r: ".".join(str(x) for x in r.integers(1, 255, 4)),
+    "order": lambda r: f"ORD-{r.integers(10**5, 10**6)}",
+    "file": lambda r: f"{secrets._stem(r)}_{secrets._stem(r)}_{r.integers(1, 99)}.tar.gz",
+    "phone": lambda r: f"+49-30-{r.integers(10**5, 10**6)}",
+    "book": lambda r: f"978-{r.integers(1, 9)}-{r.integers(10, 99)}-{r.integers(10**5, 10**6)}-{r.integers(1, 9)}",
+    "paper": lambda r: f"{r.integers(1000, 2412)}.{r.integers(10**4, 10**5)}v{r.integers(1, 9)}",
+    "words": lambda r: "-".join(secrets._stem(r) for _ in range(5)),
+}
+
+
+@pytest.fixture(scope="module")
+def prose():
+    """Texts that a field may learn from, and texts without a base secret that it has not seen."""
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t and len(t) <= secrets.MOST_CHARS]
-    learned = secrets.fit(sorted(set(texts[::2])))
-    rng, found, missed, foreign = np.random.default_rng(99), 0, 0, 0
-    for text in sorted({t for t in texts[1::2] if not secrets.base_spans(t)} - set(texts[::2])):
-        words, (more, tags) = text.split(" "), secrets.synthetic(rng)
-        k = int(rng.integers(0, len(words) + 1))
-        value = secrets.VALUE.search(more[tags.index(secrets.BEGIN)].encode())[0].decode()
-        text = " ".join([*words[:k], *more, *words[k:]])
-        at, spans = text.index(value), learned.spans(text)
-        hit = any(a <= at and b >= at + len(value) for a, b in spans)
-        found, missed = found + hit, missed + (not hit)
-        foreign += sum(a >= at + len(value) or b <= at for a, b in spans)
-    assert found + missed > 200 and found >= 0.95 * (found + missed) and found >= 0.95 * (found + foreign)
+    return sorted(set(texts[::2])), sorted({t for t in texts[1::2] if not secrets.base_spans(t)} - set(texts[::2]))
+
+
+def test_secret_field_by_form(prose):
+    """Recall and precision on whole forms that are held out, set into texts that are held out."""
+    seen, unseen = prose
+    learned = secrets.fit(seen, secret_forms=("mixed", "hex", "access", "short"), ordinary_forms=tuple(k for k in secrets.ORDINARY if k not in ("path", "date")))
+    rng, share, foreign = np.random.default_rng(99), {}, 0
+    for name, make in {**HELD_SECRETS, **HELD_ORDINARY, "uuid": secrets.ORDINARY["uuid"], "url": secrets.ORDINARY["url"]}.items():
+        hits = 0
+        for text in unseen[:100]:
+            words, value = text.split(" "), make(rng)
+            k, key = int(rng.integers(0, len(words) + 1)), "Authorization: Bearer " if name == "bearer" else str(rng.choice(["", "key: ", "= "]))
+            text = " ".join([*words[:k], key + value, *words[k:]])
+            at, spans = text.index(value), learned.spans(text)
+            hits += any(a < at + len(value) and b > at for a, b in spans)
+            foreign += sum(a >= at + len(value) or b <= at for a, b in spans)
+        share[name] = hits / 100
+    assert all(share[k] >= 0.7 for k in HELD_SECRETS) and sum(share[k] for k in HELD_SECRETS) >= 0.9 * len(HELD_SECRETS), share
+    assert all(v <= 0.05 for k, v in share.items() if k not in HELD_SECRETS) and foreign <= 5, (share, foreign)
+
+
+def test_ordinary_values_stay(prose):
+    learned = secrets.fit(prose[0])
+    for text in ("the id 550e8400-e29b-41d4-a716-446655440000 of it", "see https://example.org/a/b/c123/long-path-Name_45 for more", "build 20240101T120000Z was late", "in /usr/lib/python3.13/site-packages/module_12.py it says", "since 2024-05-17 version v2.10.3-rc1 takes 1500ms", "commit 3f2a9bc1d of numericalLimits32"):
+        assert learned.spans(text) == [] and secrets.redact(text, secrets.scan(text, learned)) == text
+    for value in ("ghp_aB3dE5gH7jK9mN1pQ3sT5vX7zA9cD1eF", "correct-horse-battery-staple9"):
+        text = f"they wrote passphrase: {value} on it"
+        assert value not in secrets.redact(text, secrets.scan(text, learned))
 
 
 def test_secret_sample_is_the_least_hashes(spark, monkeypatch):
@@ -715,8 +754,35 @@ def test_bpe_query(spark, library):
         assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False).encode())
 
 
+def plain_spans(field, text):
+    """The field's spans by Viterbi over every word of a whole text, nothing skipped."""
+    words = list(secrets.WORD_OF_TEXT.finditer(text))
+    if not words:
+        return []
+    e = field.emissions([m[0].encode() for m in words])
+    best, back = e[0] + field.start, []
+    for row in e[1:]:
+        back.append((best[:, None] + field.moves).argmax(axis=0))
+        best = (best[:, None] + field.moves).max(axis=0) + row
+    tags = [int(best.argmax())]
+    for row in reversed(back):
+        tags.append(int(row[tags[-1]]))
+    out, last = [], None
+    for i, (m, tag) in enumerate(zip(words, tags[::-1], strict=True)):
+        value = re.search(r"[A-Za-z0-9+/_.-]+={0,2}", m[0])
+        if tag != secrets.OUTSIDE and value:
+            lo, hi = m.start() + value.start(), m.start() + value.end()
+            if out and tag == secrets.INSIDE and last == i - 1:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+            last = i
+    return out
+
+
 def test_secret_query(spark):
     texts = small_texts()
+    learned = secrets.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
     got = queries.op6_secret_scan(spark, SMALL).collect()
     assert len(got) == len(texts)
     for r in got:
@@ -726,13 +792,14 @@ def test_secret_query(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
         assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
         found = [x for x in r.spans.split(",") if x]
+        assert [x for x in found if x.startswith("crf")] == [f"crf:{a}:{b}" for a, b in plain_spans(learned, texts[r.doc_id]) if not any(s <= a and b <= e for s, _, e in base)]
         assert [x for x in found if not x.startswith("crf")] == listed and [int(x.split(":")[1]) for x in found] == sorted(int(x.split(":")[1]) for x in found)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_whole_tables(spark, name):
     sf = "/root/testdata/sf0.001"
-    table = {"op3_chat_formatting": None, "op7_warc": "pages", "op8_exact_top_k": None}.get(name, "documents")
+    table = {"op3_chat_formatting": None, "op7_warc": "pages", "op8_exact_top_k": None, "op12_phrase_collocations": None}.get(name, "documents")
     got = queries.QUERIES[name](spark, sf)
     key = "page_id" if table == "pages" else "doc_id"
     if table:
