@@ -4,16 +4,19 @@ All inputs have one row per arm and replicate (a dozen rows), already reduced
 by one aggregate over the objects.
 """
 
+import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import complete_mean, percent
 
 CONTROL, TREATED = "control", "treated"
-#: Replicates whose allocations are enumerated: 12,870 of 16.
-MAX_ALLOCATED = 16
+#: Replicates whose allocations are enumerated (12,870 of 16), and whose allocations are counted by halves (2 ** 20 sums each).
+MAX_ALLOCATED, MAX_HALVED = 16, 40
 
 
 def long_metrics(rows: DataFrame, metrics, keys=("arm", "grp", "animal")) -> DataFrame:
@@ -72,15 +75,20 @@ def exact_allocation(long: DataFrame, keys=("arm", "metric")) -> DataFrame:
     """All ways to call as many replicates control as there are; two-sided exact p of the observed difference.
 
     ``p`` is the share of allocations whose absolute difference is at least the
-    observed one (1e-12 slack); unknown if any value is.
+    observed one (1e-12 slack); unknown if any value is.  Up to MAX_ALLOCATED
+    replicates all allocations are rows; up to MAX_HALVED they are counted by
+    :func:`tail_counts`; more are an error.
     """
+    most = long.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_HALVED:
+        raise ValueError(f"{most} replicates: more than {MAX_HALVED}")
+    if most > MAX_ALLOCATED:
+        return _allocation_by_halves(long, list(keys))
     w = Window.partitionBy(*keys)
     numbered = long.withColumn("i", F.row_number().over(w.orderBy("animal")) - 1)
     packed = numbered.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("i", "value", (F.col("grp") == CONTROL).alias("c")))).alias("r"), F.count_if(_side(CONTROL)).alias("k"), F.count("*").alias("n"), F.count("value").alias("known")
     )
-    if (most := packed.agg(F.max("n")).first()[0] or 0) > MAX_ALLOCATED:
-        raise ValueError(f"{most} replicates: too many to enumerate their allocations")
     sizes = [(r["n"], r["k"]) for r in packed.select("n", "k").distinct().collect()]  # at most MAX_ALLOCATED squared
     chosen = long.sparkSession.createDataFrame([(n, k, a, list(c)) for n, k in sizes for a, c in enumerate(combinations(range(n), k))] or [(0, 0, 0, [])], "n long, k long, allocation int, chosen array<int>")
     rows = packed.join(F.broadcast(chosen), ["n", "k"])
@@ -93,6 +101,53 @@ def exact_allocation(long: DataFrame, keys=("arm", "metric")) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n_allocations"), F.max(F.when(F.col("observed"), F.col("difference"))).alias("observed_difference"), F.when(F.count("difference") == F.count("*"), F.avg(F.col("extreme").cast("int"))).alias("p"))
 
 
+def tail_counts(values, k: int, low: float, high: float) -> tuple:
+    """How many of all ``k``-subsets of the values there are, and how many have a sum of ``low`` at most or ``high`` at least.
+
+    The values are cut in two halves: the subset sums of both, by size and
+    sorted, meet in a search, so n values take about 2 ** (n / 2) steps.
+    """
+    values = np.asarray(values, float)
+    halves = []
+    for part in (values[: len(values) // 2], values[len(values) // 2 :]):
+        sums, sizes = np.zeros(1), np.zeros(1, np.int64)
+        for v in part:
+            sums, sizes = np.concatenate([sums, sums + v]), np.concatenate([sizes, sizes + 1])
+        halves.append({j: np.sort(sums[sizes == j]) for j in range(len(part) + 1)})
+    total = tail = 0
+    for j, mine in halves[0].items():
+        other = halves[1].get(k - j)
+        if other is None:
+            continue
+        total += len(mine) * len(other)
+        below = np.searchsorted(other, low - mine, side="right")
+        above = len(other) - np.searchsorted(other, high - mine, side="left")
+        both = np.maximum(below + above - len(other), 0)  # where the two tails meet
+        tail += int((below + above - both).sum())
+    return total, tail
+
+
+def _allocation_by_halves(long: DataFrame, keys: list) -> DataFrame:
+    """:func:`exact_allocation` of up to MAX_HALVED replicates; a group of them is one task's."""
+
+    def run(key, pdf):
+        values, mine = pdf["value"].to_numpy(float), (pdf["grp"] == CONTROL).to_numpy()
+        n, k = len(values), int(mine.sum())
+        total = math.comb(n, k)
+        if np.isnan(values).any() or k in (0, n):
+            row = (*key, total, None, None)
+        else:
+            d = values[mine].mean() - values[~mine].mean()
+            # a subset's difference is its sum times ``unit``, less ``rest``
+            unit, rest = 1 / k + 1 / (n - k), values.sum() / (n - k)
+            reach = abs(d) - 1e-12
+            row = (*key, total, d, 1.0 if reach <= 0 else tail_counts(values, k, (rest - reach) / unit, (rest + reach) / unit)[1] / total)
+        return pd.DataFrame([row], columns=[*keys, "n_allocations", "observed_difference", "p"])
+
+    kinds = dict(long.dtypes)
+    return long.select(*keys, "grp", "value").groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n_allocations long, observed_difference double, p double"]))
+
+
 def standardized(strata: DataFrame, minimum: int = 10, replicates: int = 6, keys=("arm",), layer: str = "stratum") -> DataFrame:
     """Raw, restricted and directly standardised differences.
 

@@ -1,6 +1,9 @@
-"""Exact nearest neighbours by cells that grow with the distance.
+"""Exact nearest neighbours by cells that fit the densest place and grow with the distance.
 
-Both sides are bucketed by ``width``.  Queries first meet the objects in the
+Both sides are bucketed by ``width``, at which no cell holds more than DENSE
+places of targets (targets of one place are one); where objects lie thinner, the
+coarser levels below stand for wider cells, so that every query meets cells that
+fit its surroundings.  Queries first meet the objects in the
 nine cells about their own; a distance of at most ``width`` is then final, since
 anything outside is farther.  For the others, in regions without objects, cells
 are coarsened by GROW a level: the level at which one of the nine cells about
@@ -10,13 +13,15 @@ few cells a level, not an area, and every join is an equi-join on cells.  A
 group without targets has NULL distances.
 """
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bin_index
 
-#: Cells along each side that make one cell of the next level.
-GROW = 4
+#: Cells along each side that make one cell of the next level, and distinct places of targets that a cell may hold.
+GROW, DENSE = 4, 64
 
 
 def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) -> float:
@@ -26,6 +31,17 @@ def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) ->
     return (occupancy * area / n) ** 0.5 if n and area and area > 0 else 1.0
 
 
+def adapted_width(places: DataFrame, keys=("job",)) -> float:
+    """:func:`fitting_width`, divided by GROW until no cell holds more than DENSE of the distinct ``places``."""
+    width = fitting_width(places, keys)
+    for _ in range(40):
+        most = _cells(places, width).groupBy(*keys, "cx", "cy").count().agg(F.max("count")).first()[0] or 0
+        if most <= DENSE:
+            break
+        width /= GROW ** max(1, math.ceil(math.log(most / DENSE, GROW * GROW)))  # as many steps as even a full cell needs
+    return width
+
+
 def _cells(df: DataFrame, width: float) -> DataFrame:
     return df.withColumn("cx", bin_index("x", F.lit(0.0), width)).withColumn("cy", bin_index("y", F.lit(0.0), width))
 
@@ -51,14 +67,15 @@ def _coarse(c, level):
 
 
 def nearest(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",), id_column: str = "object_id") -> DataFrame:
-    """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``); by default the width fits the targets' density.
+    """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``); by default the width fits the targets' densest places.
 
     Rows that repeat id and place are one.
     """
     keys = list(keys)
-    width = float(fitting_width(targets, keys) if width is None else width)
+    places = targets.select(*keys, "x", "y").distinct()
+    width = float(adapted_width(places, keys) if width is None else width)
     query = [*keys, id_column, "x", "y"]
-    t = _cells(targets.select(*keys, "x", "y"), width).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
+    t = _cells(places, width).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
     q = _cells(queries.select(*query), width)
     near = _around(q, 1).join(t, [*keys, "cx", "cy"], "left").groupBy(*query).agg(F.min(_gap()).alias("distance"))
     held = F.broadcast(targets.select(*keys).distinct().withColumn("_held", F.lit(True)))  # one row per group

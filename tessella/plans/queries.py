@@ -215,6 +215,29 @@ def _multiset(v):
     return multiset.shared_signatures(rows, "run", ("first", "second"), ("size", "b_present"), ("pair", "object_type"))
 
 
+#: Every measurement of an object: what two exports of one object agree in.
+SIGNATURE = ("overlap_area", "overlap_pct", "area", "inner_area", "outer_area", "intensity", "min_diameter", "max_diameter", "median_diameter", "a_present", "b_present", "xmin", "xmax", "ymin", "ymax", "l_linenumber")
+
+
+def _identical_sql(drop: bool) -> str:
+    known = "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in SIGNATURE) if drop else ""
+    return f"""SELECT {str(not drop).lower()} AS unknowns_match, job, object_type, CAST(sum(a) AS BIGINT) AS n_first, CAST(sum(b) AS BIGINT) AS n_second, CAST(sum(least(a, b)) AS BIGINT) AS shared, CAST(sum(a) - sum(least(a, b)) AS BIGINT) AS first_only, CAST(sum(b) - sum(least(a, b)) AS BIGINT) AS second_only,
+ {_r('CASE WHEN sum(b) > 0 THEN 100.0e0 * sum(least(a, b)) / sum(b) END', 'identical_pct')} FROM (SELECT job, object_type, {', '.join(SIGNATURE)}, {_N("run = 'first'")} AS a, {_N("run = 'second'")} AS b FROM u {known} GROUP BY ALL) GROUP BY job, object_type"""
+
+
+@query("identical_signatures", f"""{V}, u AS (SELECT *, 'first' AS run FROM v UNION ALL SELECT * REPLACE (CASE WHEN l_linenumber = 3 THEN area + 1 ELSE area END AS area), 'second' FROM v WHERE l_linenumber <> 4 UNION ALL SELECT *, 'second' FROM v WHERE l_linenumber = 2)
+{_identical_sql(True)} UNION ALL {_identical_sql(False)}""")
+def _identical(v):
+    """A second run that lacks some rows, has others twice, and measured some anew."""
+    second = v.where("l_linenumber <> 4").withColumn("area", F.when(F.col("l_linenumber") == 3, F.col("area") + 1).otherwise(F.col("area"))).unionByName(v.where("l_linenumber = 2"))
+    both = v.withColumn("run", F.lit("first")).unionByName(second.withColumn("run", F.lit("second")))
+    out = None
+    for drop in (True, False):
+        one = multiset.identical_signatures(both, "run", ("first", "second"), SIGNATURE, ("job", "object_type"), drop).withColumn("unknowns_match", F.lit(not drop))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("signature_overlap", f"""{V}, c AS (SELECT pair, size, b_present, odd, {_N("run = 'first'")} AS a, {_N("run = 'second'")} AS b FROM (SELECT {_RUNS}, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS odd FROM v) GROUP BY ALL)
 SELECT pair, CAST(sum(least(a, b)) AS BIGINT) AS shared, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS first_only, CAST(sum(greatest(b - a, 0)) AS BIGINT) AS second_only FROM c GROUP BY pair""")
 def _overlap(v):

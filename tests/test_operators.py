@@ -1,5 +1,6 @@
 """Known answers of small fixtures, and properties that hold on any rows."""
 
+import itertools
 import math
 import random
 
@@ -210,6 +211,57 @@ def test_nearest_equals_brute_force(spark, width):
     assert got[1, 5] is None
 
 
+def test_nearest_in_a_dense_place(spark):
+    """Half of both sides in a spot of one cell's size, some targets on one place: no cell stays crowded, distances are exact."""
+    rng = np.random.default_rng(6)
+    q = np.vstack([rng.uniform(0, 1e5, (3000, 2)), 500 + rng.uniform(0, 3, (3000, 2))])
+    t = np.vstack([rng.uniform(0, 1e5, (3000, 2)), 500 + rng.uniform(0, 3, (3000, 2)), np.tile([[501.0, 501.0]], (2000, 1))])
+    frame = lambda p: spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(p)], "job int, object_id long, x double, y double")
+    queries, targets = frame(q), frame(t)
+    places = targets.select("job", "x", "y").distinct()
+    width = neighbors.adapted_width(places)
+    assert width < neighbors.fitting_width(places) / 16
+    assert neighbors._cells(places, width).groupBy("cx", "cy").count().agg(F.max("count")).first()[0] <= neighbors.DENSE
+    got = {r.object_id: r.distance for r in neighbors.nearest(queries, targets).collect()}
+    exact = geometry.nearest_distances(q, np.unique(t, axis=0))
+    assert len(got) == len(q) and all(got[i] == pytest.approx(d) for i, d in enumerate(exact))
+
+
+def test_identical_signatures(spark):
+    rows = [(r, k, x, b, y) for r, k, x, b, y in [("f", 1, 0.5, True, None), ("f", 1, 0.5, True, None), ("s", 1, 0.5, True, None), ("f", 1, 1.0, None, 2.0), ("s", 1, None, None, 2.0), ("f", 1, -0.0, False, 1.0), ("s", 1, 0.0, False, 1.0), ("s", 1, 0.0, False, 1.0), ("f", 2, 3.0, True, 3.0)]]
+    df = spark.createDataFrame(rows, "run string, k int, x double, b boolean, y double")
+    got = {r.k: tuple(r)[1:] for r in multiset.identical_signatures(df, "run", ("f", "s"), ("x", "b", "y"), ("k",), False).collect()}
+    assert got == {1: (4, 4, 2, 2, 2, 50.0), 2: (1, 0, 0, 1, 0, None)}
+    got = {r.k: tuple(r)[1:] for r in multiset.identical_signatures(df, "run", ("f", "s"), ("x", "b", "y"), ("k",)).collect()}
+    assert got == {1: (1, 2, 1, 0, 1, 50.0), 2: (1, 0, 0, 1, 0, None)}
+    assert multiset.identical_signatures(df.limit(0), "run", ("f", "s"), ("x", "b", "y"), ("k",)).count() == 0
+
+
+def test_allocations_by_halves(spark, monkeypatch):
+    """As many replicates as enumeration can take give the same p both ways; 30 are counted in seconds."""
+    rng = np.random.default_rng(12)
+    for n, k in ((6, 3), (9, 4), (12, 6)):
+        for values in (rng.normal(0, 5, n), rng.integers(0, 4, n) * 1.0):
+            low, high = sorted(rng.normal(values.mean() * k, 3, 2))
+            sums = [sum(values[list(c)]) for c in itertools.combinations(range(n), k)]
+            assert contrast.tail_counts(values, k, low, high) == (len(sums), sum(x <= low or x >= high for x in sums))
+            assert contrast.tail_counts(values, k, high, low) == (len(sums), len(sums))
+    rows = [("a", m, "control" if i < n // 2 else "treated", i, None if m == "gap" and i == 2 else float(v)) for m, n in (("six", 6), ("ties", 12), ("gap", 6)) for i, v in enumerate(rng.normal(0, 1, n) if m == "six" else rng.integers(0, 3, n))]
+    long = spark.createDataFrame(rows, "arm string, metric string, grp string, animal int, value double")
+    plain = {r.metric: r for r in contrast.exact_allocation(long).collect()}
+    monkeypatch.setattr(contrast, "MAX_ALLOCATED", 2)
+    halves = {r.metric: r for r in contrast.exact_allocation(long).collect()}
+    assert set(plain) == set(halves)
+    for m, r in plain.items():
+        assert (halves[m].n_allocations, halves[m].p) == (r.n_allocations, None if r.p is None else pytest.approx(r.p))
+    assert plain["gap"].p is None and halves["six"].observed_difference == pytest.approx(plain["six"].observed_difference)
+    thirty = spark.createDataFrame([("a", "m", "control" if i < 15 else "treated", i, float(i % 7) + (i < 15)) for i in range(30)], long.schema)
+    r = contrast.exact_allocation(thirty).first()
+    assert r.n_allocations == math.comb(30, 15) and 0 < r.p < 1
+    with pytest.raises(ValueError):
+        contrast.exact_allocation(spark.createDataFrame([("a", "m", "control", i, 1.0) for i in range(41)], long.schema))
+
+
 def test_polygons(spark):
     shape = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     rows = [(0, shape((0, 0), (1, 0), (2, 0), (2, 2), (0, 2))), (1, shape((0, 0), (1, 1), (2, 2))), (2, shape((0, 0), (1, 0))), (3, shape((0, 0), (6, 0), (6, 6), (5, 6), (5, 1), (0, 1)))]
