@@ -8,16 +8,19 @@ aggregate per load.
 import csv
 import hashlib
 import importlib.metadata
+import io
 import json
 import os
 import platform
 import re
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import midpoint, polygon_centroid
+from ..functions import midpoint, polygon_centroid, reasons
 from ..operators.summary import quality_control
 
 # Column order of an export (header, name); None is dropped after the checks.
@@ -37,16 +40,14 @@ def export_schema(columns=COLUMNS) -> T.StructType:
 
 def header_of(spark: SparkSession, path: str) -> list:
     """The first line's fields, without a byte-order mark."""
-    line = spark.read.text(path).limit(1).first()
-    return next(csv.reader([line[0].lstrip("\ufeff")])) if line else []
+    return list(first_records(spark, [path]).first()["header"] or [])
 
 
 def read_exports(spark: SparkSession, jobs: dict, labels: dict, columns=COLUMNS) -> DataFrame:
     """Exports as one scan of typed rows, ``jobs``: path -> job; ``labels`` maps the files' class labels to ours.  Headers and their order must match."""
-    paths = list(jobs)
-    for path in paths:
-        if header_of(spark, path) != [h for h, _ in columns]:
-            raise ValueError(f"{path}: header differs")
+    paths, expected = list(jobs), F.array(*(F.lit(h) for h, _ in columns))
+    if odd := _listed(first_records(spark, paths).where(~F.col("header").eqNullSafe(expected)).select("path")):
+        raise ValueError(f"{', '.join(sorted(r['path'] for r in odd))}: header differs")
     raw = spark.read.schema(export_schema(columns)).csv(paths, header=True, enforceSchema=False, mode="FAILFAST", encoding="UTF-8")
     name = _file_name(F.col("_metadata.file_path"))
     lookup = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
@@ -119,10 +120,70 @@ def _file_name(path):
     return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
+#: Stores whose files tasks can open themselves, by scheme; files of others are read whole by Spark.
+OPENED = ("", "file", "hdfs", "s3", "s3a", "gs")
+BLOCK = 1 << 20
+
+
+def _opened(path: str):
+    """A stream of a file, in the task that reads it; a path is taken literally, as Spark does."""
+    scheme, sep, rest = path.partition(":")
+    if not sep or "/" in scheme:
+        return fs.LocalFileSystem().open_input_stream(path)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    host, _, at = rest.lstrip("/").partition("/")
+    store, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+    return store.open_input_stream(f"{base.rstrip('/')}/{at}")
+
+
+def _paths(spark: SparkSession, paths: list) -> DataFrame:
+    """One row per path, dealt over as many tasks as there are paths, within reason."""
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1000)), "path")
+
+
+def first_records(spark: SparkSession, paths: list) -> DataFrame:
+    """``(path, header, first)``: the first two CSV records of every file, null where there is none; one pass over all files that reads a block of each.
+
+    Files are UTF-8, with or without a byte-order mark.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                with _opened(path) as stream, io.TextIOWrapper(stream, encoding="utf-8-sig", newline="") as text:
+                    records = csv.reader(text)
+                    rows.append((path, next(records, None), next(records, None)))
+            yield pd.DataFrame(rows, columns=["path", "header", "first"])
+
+    return _paths(spark, list(paths)).mapInPandas(run, "path string, header array<string>, first array<string>")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, bytes, sha256)`` of files; names are decoded, with a literal ``+`` kept."""
+    """``(name, bytes, sha256)`` of files.
+
+    Files are listed by Spark and hashed in tasks, a block of BLOCK bytes at a
+    time, whatever their size.  Those of a store that tasks cannot open are one
+    value each, of 2 GiB at most.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(_file_name(F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    if any(c not in OPENED for c in {r["path"].split(":", 1)[0] for r in _listed(listed)}):
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for at in pdf["path"]:
+                digest = hashlib.sha256()
+                with _opened(at) as stream:
+                    while part := stream.read(BLOCK):
+                        digest.update(part)
+                rows.append(digest.hexdigest())
+            yield pdf.assign(sha256=rows)[["name", "bytes", "sha256"]]
+
+    return listed.repartition("path").mapInPandas(run, "name string, bytes long, sha256 string")
 
 
 def identical_files(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -185,31 +246,37 @@ def _listed(rows: DataFrame) -> list:
     return got
 
 
-def probe(spark: SparkSession, path: str, job: str, image: str, region: str, columns=COLUMNS) -> dict:
-    """What header, first row and name of an export say of it.
+def probes(spark: SparkSession, paths: list, job: str, image: str, region: str, columns=COLUMNS) -> DataFrame:
+    """What headers, first records and names of exports say of them, one row each, from one pass over all.
 
-    ``job`` and ``image`` are searched in the file's name and in the base name of
-    its image, ``region`` must match the region wholly; named groups become
-    fields, of alternatives the one that matched.  The name must begin with the image.
+    ``job`` is searched in the file's name, ``image`` in the base name of its
+    image, ``region`` must match the region wholly.  Named groups of the three
+    are columns (of alternatives, named ``key_a`` and ``key_b``, the one that
+    matched is ``key``).  ``faults`` says what is wrong, and is empty otherwise.
     """
-    if header_of(spark, path) != [h for h, _ in columns]:
-        raise ValueError(f"{path}: header differs")
-    at, name = dict(columns[:3]), os.path.basename(path)
-    first = spark.read.csv(path, header=True, schema=export_schema(columns)).limit(1).collect()
-    if not first:
-        raise ValueError(f"{path}: no rows")
-    location, area, algorithm = (first[0][h] or "" for h in list(at)[:3])
-    found = (re.search(job, name), re.search(image, re.split(r"[\\/]", location)[-1]), re.fullmatch(region, area))
-    if not all(found):
-        raise ValueError(f"{path}: unknown job, image or region")
-    if not name.startswith(found[1][0]):
-        raise ValueError(f"{path}: name and image differ")
-    fields: dict = {}
-    for m in found:
-        for k, v in m.groupdict().items():  # key_a, key_b are alternatives of key
-            key = re.sub(r"_[ab]$", "", k)
-            fields[key] = v or fields.get(key)
-    return {**fields, "path": path, "source_file": name, "image_location": location, "region": area, "algorithm": algorithm}
+    place = {h: i for i, (h, _) in enumerate(columns)}
+    rows = first_records(spark, paths).withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+    for (header, _), name in zip(columns[:3], ("image_location", "region", "algorithm"), strict=True):
+        rows = rows.withColumn(name, F.coalesce(F.get("first", F.lit(place[header])), F.lit("")))
+    looked = ((job, F.col("source_file")), (image, F.element_at(F.split("image_location", r"[\\/]"), -1)), (rf"\A(?:{region})\z", F.col("region")))
+    groups, hit = {}, []
+    for pattern, text in looked:
+        java = re.sub(r"\(\?P<\w+>", "(", pattern)  # by number: names need not be ones that Java takes
+        hit.append(text.rlike(java))
+        for key, i in re.compile(pattern.replace(r"\z", r"\Z")).groupindex.items():
+            groups.setdefault(re.sub(r"_[ab]$", "", key), []).append(F.nullif(F.regexp_extract(text, java, i), F.lit("")))
+    known = F.col("header").eqNullSafe(F.array(*(F.lit(h) for h, _ in columns)))
+    whole = F.regexp_extract(looked[1][1], re.sub(r"\(\?P<\w+>", "(", image), 0)
+    faults = {"header_differs": ~known, "no_rows": F.col("first").isNull(), "unknown_job": ~hit[0], "unknown_image": ~hit[1], "unknown_region": ~hit[2], "name_and_image_differ": hit[1] & ~F.col("source_file").startswith(whole)}
+    return rows.select("path", "source_file", "image_location", "region", "algorithm", *(F.coalesce(*g).alias(k) for k, g in groups.items()), reasons(**faults).alias("faults"))
+
+
+def probe(spark: SparkSession, path: str, job: str, image: str, region: str, columns=COLUMNS) -> dict:
+    """The row of :func:`probes` of one export; a fault is an error."""
+    got = probes(spark, [path], job, image, region, columns).first().asDict()
+    if got["faults"]:
+        raise ValueError(f"{path}: {got['faults']}")
+    return {k: v for k, v in got.items() if k != "faults"}
 
 
 def discover_directory(spark: SparkSession, root: str, pattern: str = r"job(?P<job>\d+)(?P<group>.*)\.csv$", replacements: dict | None = None, expected=None) -> list:
@@ -267,7 +334,7 @@ def load_manifest(spark: SparkSession, root: str, entries: list, labels: dict, m
         raise ValueError("mode must be box, outline or all")
     chosen = [e for e in entries if mode in ("all", e["mode"])]
     hashes = {r["name"]: r for r in _listed(file_hashes(spark, os.path.join(root, "*.csv")))} if verify_hashes else {}
-    names = set(hashes) if verify_hashes else {r[0] for r in _listed(spark.read.format("binaryFile").load(os.path.join(root, "*.csv")).select(_file_name(F.col("path"))))}
+    names = set(hashes) if verify_hashes else {r[0] for r in _listed(spark.read.format("binaryFile").load(os.path.join(root, "*.csv")).select(F.element_at(F.split("path", "/"), -1)))}
     if missing := sorted(e["file"] for e in chosen if e["file"] not in names):
         raise FileNotFoundError(f"missing: {missing}")
     if unknown := sorted(names - {e["file"] for e in entries}):

@@ -182,3 +182,61 @@ def test_landmarks_and_metadata(spark, tmp_path):
     assert found["input_manifest"] == [{"job": "1", "path": "a.csv"}] and found["packages"]["numpy"] and found["parameters"] == {"width": 1000}
     sources.write_grids(spark.createDataFrame([(1, 0, 0, 5)], "job int, ix int, iy int, n int"), f"{tmp_path}/grids")
     assert spark.read.parquet(f"{tmp_path}/grids").count() == 1
+
+
+def jobs_of(spark, name, work):
+    """How many Spark jobs some work starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_first_lines_of_all_files_take_no_job_each(spark, tmp_path):
+    patterns = {"job": r"job(?P<job>\d+)", "image": r"(?P<image>img_\d+)", "region": r"(?P<animal>\d+)_(?:X-(?P<kind_a>\w)|(?P<kind_b>\w)-X)"}
+    paths = [write(tmp_path / f"img_{i} job{i} a+b%20.csv", rows(2, image_location=f"C:\\d\\img_{i}.tif", region=f"{i}_{'Q-X' if i % 2 else 'X-R'}")) for i in range(12)]
+    counts = []
+    for n in (2, 12):
+        got, jobs = jobs_of(spark, f"probe {n}", lambda n=n: {r.job: r for r in sources.probes(spark, paths[:n], **patterns).collect()})
+        counts.append(jobs)
+        assert {k: (r.image, r.animal, r.kind, r.faults) for k, r in got.items()} == {str(i): (f"img_{i}", str(i), "Q" if i % 2 else "R", "") for i in range(n)}
+    assert counts[0] == counts[1] <= 2
+    loads = [jobs_of(spark, f"load {n}", lambda n=n: sources.read_exports(spark, {p: str(i) for i, p in enumerate(paths[:n])}, LABELS))[1] for n in (2, 12)]
+    assert loads[0] == loads[1]
+    odd = {
+        "header differs; unknown job": write(tmp_path / "img_1 other.csv", rows(1, image_location="img_1", region="1_Q-X"), ["x"]),
+        "no rows; unknown image; unknown region": write(tmp_path / "job1 empty.csv", []),
+        "unknown region": write(tmp_path / "img_1 job1.csv", rows(1, image_location="img_1", region="1_Q-X tail")),
+        "name and image differ": write(tmp_path / "img_2 job2.csv", rows(1, image_location="img_3", region="1_Q-X")),
+    }
+    got = {r.path: r.faults for r in sources.probes(spark, list(odd.values()), **patterns).collect()}
+    assert got == {path: why for why, path in odd.items()}
+
+
+def test_quoted_first_record(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('\ufeffa,"b\nc"\r\n"x, y",2\r\n', encoding="utf-8")
+    r = sources.first_records(spark, [str(path)]).first()
+    assert (r.header, r.first) == (["a", "b\nc"], ["x, y", "2"])
+    (tmp_path / "none.csv").write_bytes(b"")
+    r = sources.first_records(spark, [f"file://{tmp_path}/none.csv"]).first()
+    assert (r.header, r.first) == (None, None) and sources.header_of(spark, str(tmp_path / "none.csv")) == []
+
+
+def test_digest_of_a_file_beyond_one_value(spark, tmp_path):
+    """A sparse file of more than 2 GiB, beside a small one with signs in its name."""
+    import hashlib
+
+    size, block = (1 << 31) + 12345, bytes(1 << 20)
+    with open(tmp_path / "large.csv", "wb") as file:
+        file.truncate(size)
+    (tmp_path / "a +%41 é.csv").write_bytes(b"abc")
+    digest = hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(block)
+    digest.update(bytes(size & ((1 << 20) - 1)))
+    got = {r.name: (r.bytes, r.sha256) for r in sources.file_hashes(spark, f"{tmp_path}/*.csv").collect()}
+    assert got == {"large.csv": (size, digest.hexdigest()), "a +%41 é.csv": (3, hashlib.sha256(b"abc").hexdigest())}
+    (tmp_path / "large.csv").unlink()
