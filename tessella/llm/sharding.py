@@ -1,9 +1,9 @@
 """Resharding by minimum-cost flow: from old shards to new ones, moving the fewest bytes.
 
 1. Sizes of the old shards are summed (one row each, at most MOST_SHARDS).
-   Documents larger than a 64th of a new shard - fewer than 64 per new shard,
-   whatever the corpus - are placed one by one, largest first: at home where
-   there is room, else in the emptiest shard.
+   Documents larger than a 256th of a new shard - fewer than 256 per new
+   shard, whatever the corpus - are placed one by one, largest first: at home
+   where there is room, else in the emptiest shard.
 2. What is left of each capacity and the old shards' other bytes are a
    transport problem: :func:`transfers` solves it exactly by successive
    shortest paths.  A byte that stays at home costs nothing, any other one.
@@ -11,17 +11,20 @@
    the old shard's order.  Documents are put in order by a hash of their text
    within blocks whose sizes are summed first, so no task orders a whole shard.
    Equal texts of one old shard lie together and are not parted where all of
-   them together are below a 64th of a shard; more of them than that are.
+   them together are below a 256th of a shard (large ones: an eighth); more of
+   them than that are.
 4. :func:`rewrite` writes only the partitions that change.
 """
 
+from itertools import groupby
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import delete, scratch, table
 
-MOST_SHARDS, ROW_BYTES, FINE = 10_000, 16, 64
+MOST_SHARDS, ROW_BYTES, FINE = 10_000, 16, 256
 #: Rows of a block, and blocks at most (a block grows beyond that).
 BLOCK, BLOCKS = 1024, 100_000
 
@@ -130,17 +133,23 @@ def reshard(docs: DataFrame, old_shard, shards: int) -> DataFrame:
         n_rows, fine = sum(r["n"] for r in old), max(1, total // shards // FINE)
 
         # Large documents, fewer than FINE * (shards + 1): the same row as often as it is repeated.
-        large = rows.where(F.col("size") > fine).select("doc_id", "_salt", "old_shard", "size").orderBy(F.desc("size"), "doc_id", "_salt").collect()
+        large = rows.where(F.col("size") > fine).select("doc_id", "_salt", "_hash", "old_shard", "size").orderBy("_hash", "size", "old_shard", "doc_id", "_salt").collect()
         load, mean = np.zeros(shards, np.int64), -(-total // shards)
-        placed = []
-        for r in large:
-            home = r["old_shard"]
-            at = home if home < shards and load[home] + r["size"] <= mean else int(load.argmin())
-            load[at] += r["size"]
-            placed.append((r["_salt"], r["doc_id"], at))
-        supply = np.array([next(r["size"] for r in old if r["old_shard"] == o) for o in names] or [0], np.int64)
+        placed, units = [], []
+        for _, equal in groupby(large, key=lambda r: (r["_hash"], r["size"], r["old_shard"])):
+            equal = list(equal)
+            together = sum(r["size"] for r in equal) <= mean // 8
+            units += [equal] if together else [[r] for r in equal]
+        for unit in sorted(units, key=lambda u: -sum(r["size"] for r in u)):
+            home, size = unit[0]["old_shard"], sum(r["size"] for r in unit)
+            at = home if home < shards and load[home] + size <= mean else int(load.argmin())
+            load[at] += size
+            placed += [(r["_salt"], r["doc_id"], at) for r in unit]
+        sizes = {r["old_shard"]: r["size"] for r in old}
+        supply = np.array([sizes[o] for o in names] or [0], np.int64)
+        number = {o: i for i, o in enumerate(names)}
         for r in large:
-            supply[names.index(r["old_shard"])] -= r["size"]
+            supply[number[r["old_shard"]]] -= r["size"]
         cost = np.ones((len(supply), shards))
         for i, o in enumerate(names):
             if o < shards:

@@ -82,7 +82,7 @@ def test_reshard(spark):
     for shards in (1, 5, 11):
         rows = sharding.reshard(frame, frame["shard"], shards).collect()
         by = check_law(rows, docs, shards)
-        fine = sum(by.values()) // shards // 64
+        fine = sum(by.values()) // shards // sharding.FINE
         places = defaultdict(set)
         for r in rows:
             places[r.text_crc32].add(r.shard)
