@@ -176,16 +176,63 @@ def ecdf(rows: DataFrame, value: str, keys) -> DataFrame:
     return placed.join(per, [*keys, "_b"]).select(*keys, value, F.col("_n").alias("n"), percent(running, "_total").alias("cumulative_pct"))
 
 
+def _ties(known: DataFrame, value: str, keys, id_column: str, cuts: DataFrame):
+    """``(per, ties)``: counts and sums of the buckets, and ``(keys, _b, _ids)`` for values that hold two buckets' worth of a group or more (None without such).
+
+    Such a value is a cut point, the greatest value of its bucket.  ``_ids``
+    parts its rows by id into pieces as large as a bucket; the ids come from a
+    sample by their hash, of about 64 per piece, so they too only balance the work.
+    """
+    at = known.join(F.broadcast(cuts), keys).withColumn("_b", F.size(F.filter("cuts", lambda c: c < F.col(value)))).withColumn("_cut", F.get("cuts", F.col("_b"))).drop("cuts")
+    equal = F.col(value).cast("double") == F.col("_cut")
+    found = at.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.sum(value).alias("_s"), F.count_if(equal).alias("_tied"), (F.min(F.when(equal, F.col(value))) == F.max(F.when(equal, F.col(value)))).alias("_one"))
+    got = found.collect()  # at most BUCKETS rows for each of MAX_GROUPS groups
+    spark, of = known.sparkSession, lambda r: tuple(r[k] for k in keys)
+    per = spark.createDataFrame([(*of(r), r["_b"], r["_c"], r["_s"]) for r in got], found.select(*keys, "_b", "_c", "_s").schema)
+    total: dict = {}
+    for r in got:
+        total[of(r)] = total.get(of(r), 0) + r["_c"]
+    pieces = [(*of(r), r["_b"], r["_tied"] * BUCKETS // total[of(r)], r["_tied"]) for r in got if r["_one"] and r["_tied"] * BUCKETS >= 2 * total[of(r)]]
+    if not pieces:
+        return per, None
+    typed = ", ".join(f"`{k}` {dict(found.dtypes)[k]}" for k in keys)
+    wanted = spark.createDataFrame(pieces, f"{typed}, _b int, _p long, _tied long")
+    step = F.greatest(F.lit(1), F.floor(F.col("_tied") / (64 * F.col("_p"))))
+    drawn = at.where(equal).join(F.broadcast(wanted), [*keys, "_b"]).where(F.pmod(F.xxhash64(id_column), step) == 0)
+    sample = drawn.groupBy(*keys, "_b", "_p").agg(F.sort_array(F.collect_set(id_column)).alias("_ids"))
+    place = lambda j: F.floor(F.size("_ids") * j / F.col("_p")).cast("int")
+    ids = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_p") - 1), lambda j: F.get("_ids", place(j))))
+    ties = sample.where(F.size("_ids") > 0).select(*keys, "_b", ids.alias("_ids"))
+    return per, spark.createDataFrame(ties.collect(), ties.schema)  # at most 2 * BUCKETS ids for each group
+
+
 def concentration(rows: DataFrame, value: str, keys, id_column: str = "object_id") -> DataFrame:
-    """Largest first: rank, percent of rows so far and percent of the value so far; ties by id."""
+    """Largest first: rank, percent of rows so far and percent of the value so far; ties by id (unknown first).
+
+    Unknown values take no part; a group with an unknown key has no rows.  A
+    value that very many rows of a group hold is ranked in pieces by id; only
+    rows equal in value and id, which are true ties, stay in one piece.
+    """
     keys = list(keys)
     known = rows.where(F.col(value).isNotNull()).select(*keys, id_column, value)
-    placed, w = bucketed(known, value, keys, cut_points(known, value, keys)), Window.partitionBy(*keys)
-    per = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.sum(value).alias("_s"))
-    above = lambda c: F.sum(c).over(_running(w.orderBy(F.desc("_b")))) - F.col(c)
-    per = per.select(*keys, "_b", above("_c").alias("_rows"), above("_s").alias("_sum"), F.sum("_c").over(w).alias("_n"), F.sum("_s").over(w).alias("_t"))
-    order = _running(Window.partitionBy(*keys, "_b").orderBy(F.desc(value), id_column))
-    ranked = placed.join(per, [*keys, "_b"]).withColumn("rank", (F.col("_rows") + F.count("*").over(order)).cast("int")).withColumn("_s", F.col("_sum") + F.sum(value).over(order))
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    cuts = cut_points(known, value, keys)
+    per, ties = _ties(known, value, keys, id_column, cuts)
+    w, section = Window.partitionBy(*keys), [*keys, "_b", "_part"]
+    if ties is None:
+        placed, per = bucketed(known, value, keys, cuts).withColumn("_part", F.lit(0)), per.withColumn("_part", F.lit(0))
+    else:
+        # The tied value is the greatest of its bucket: its pieces come first.
+        of = F.size(F.filter("_ids", lambda c: c < F.col(id_column)))
+        placed = known.join(F.broadcast(cuts), keys).withColumn("_b", F.size(F.filter("cuts", lambda c: c < F.col(value)))).withColumn("_cut", F.get("cuts", F.col("_b"))).drop("cuts")
+        placed = placed.join(F.broadcast(ties), [*keys, "_b"], "left")
+        placed = placed.withColumn("_part", F.when(F.col("_ids").isNull() | (F.col(value).cast("double") != F.col("_cut")), BUCKETS).otherwise(F.when(F.col(id_column).isNull(), 0).otherwise(of))).drop("_cut", "_ids")
+        per = placed.groupBy(*section).agg(F.count("*").alias("_c"), F.sum(value).alias("_s"))
+    above = lambda c: F.sum(c).over(_running(w.orderBy(F.desc("_b"), "_part"))) - F.col(c)
+    per = per.select(*section, above("_c").alias("_rows"), above("_s").alias("_sum"), F.sum("_c").over(w).alias("_n"), F.sum("_s").over(w).alias("_t"))
+    order = _running(Window.partitionBy(*section).orderBy(F.desc(value), id_column))
+    ranked = placed.join(per, section).withColumn("rank", (F.col("_rows") + F.count("*").over(order)).cast("int")).withColumn("_s", F.col("_sum") + F.sum(value).over(order))
     return ranked.select(*keys, id_column, "rank", percent("rank", "_n").alias("objects_pct"), percent("_s", "_t").alias("value_pct"))
 
 

@@ -57,3 +57,48 @@ def test_only_brackets_move(spark, monkeypatch):
     assert text.count("Range (0, 200000") == 1  # the first reading was the brackets' own job
     exact = {r.k: (r.m, r.q) for r in frame.groupBy("k").agg(F.percentile("a", F.lit(0.5)).alias("m"), F.percentile("b", F.lit(0.9)).alias("q")).collect()}
     assert {r.k: (r.m, r.q) for r in out.collect()} == exact
+
+
+def plain_concentration(rows):
+    out = {}
+    for k in {r[0] for r in rows if r[0] is not None}:
+        mine = sorted(((-v, i is not None, i) for g, i, v in rows if g == k and v is not None))
+        total, so_far = sum(-v for v, _, _ in mine), 0.0
+        for rank, (v, _, i) in enumerate(mine, 1):
+            so_far -= v
+            out[k, i, rank] = 100 * rank / len(mine), 100 * so_far / total if total > 0 else None
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_concentration_of_tied_values(spark, kind):
+    """A value held by a third of a group, by two thirds, by all; two such values; one id that repeats; unknown ids, values and keys."""
+    rnd = random.Random(6)
+    groups = {"third": [5.0] * 1000 + [rnd.uniform(0, 10) for _ in range(2000)], "two": [2.0] * 900 + [7.5] * 900 + [rnd.uniform(0, 10) for _ in range(500)], "all": [1.0] * 1500, "top": [9.0] * 700 + [1.0] * 3, "few": [3.0, 3.0, 8.0], "none": [None, None]}
+    number = iter(rnd.sample(range(100_000), 12_000))
+    rows = [(k, next(number), v) for k, vs in groups.items() for v in vs]
+    rows += [("third", None, 5.0), (None, 1, 5.0)]
+    if kind == "string":
+        rows = [(k, None if i is None else f"id {i}", v) for k, i, v in rows]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, f"k string, object_id {kind}, v double").repartition(5)
+    got = distribution.concentration(frame, "v", ["k"]).collect()
+    expected = plain_concentration(rows)
+    assert len(got) == len(expected) == len({(r.k, r.object_id, r["rank"]) for r in got})
+    for r in got:
+        assert (r.objects_pct, r.value_pct) == pytest.approx(expected[r.k, r.object_id, r["rank"]])
+    same = spark.range(3000).selectExpr("'a' as k", "7L as object_id", "1.0D as v")
+    assert sorted(r["rank"] for r in distribution.concentration(same, "v", ["k"]).collect()) == list(range(1, 3001))
+
+
+def test_tied_values_are_many_pieces(spark):
+    """One value held by a third of 200,000 rows: no piece is much larger than a bucket."""
+    frame = spark.range(200_000).selectExpr("'a' as k", "pmod(id * 7919, 200003) as object_id", "if(id % 3 = 0, 5.0D, cast(id as double)) as v")
+    per, ties = distribution._ties(frame, "v", ["k"], "object_id", distribution.cut_points(frame, "v", ["k"]))
+    (tie,) = ties.collect()
+    ids = sorted(r.object_id for r in frame.where("v = 5").collect())
+    edges = [-1, *tie._ids, 10**9]
+    sizes = [sum(a < i <= b for i in ids) for a, b in zip(edges, edges[1:], strict=False)]
+    assert len(sizes) >= 20 and sum(sizes) == len(ids) and max(sizes) < 2 * 200_000 / distribution.BUCKETS
+    assert sum(r._c for r in per.collect()) == 200_000
+    assert distribution._ties(frame.where("v <> 5"), "v", ["k"], "object_id", distribution.cut_points(frame.where("v <> 5"), "v", ["k"]))[1] is None
