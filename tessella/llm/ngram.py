@@ -54,6 +54,8 @@ from .graph import components
 CHUNK, MOST_CHUNK = 1_000_000, 2_000_000
 #: Candidates in a block; rows of a list that a task joins.
 BLOCK, SALTED = 64, 512
+#: A class in more pairs than HUB is spread over SPREAD tasks where pairs meet its row.
+HUB, SPREAD = 20_000, 64
 #: Documents of a chunk whose shingle is dealt posting by posting, at most.
 HOT = 8
 #: Tokens keep so many bits of the shingle's hash.
@@ -397,13 +399,36 @@ def _search(num: int, den: int):
     return run
 
 
+def _met_by(rows: DataFrame, key: str, by: str, one: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``rows`` with the row of ``one`` that has their ``key``; a hub's rows meet copies of it in SPREAD tasks, by a hash of ``by``."""
+    if hubs is None:
+        return rows.join(one, key)
+    hubs, parts = hubs.select(F.col("node").alias(key)), F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    part = F.pmod(F.xxhash64(by, F.lit(-2)), F.lit(SPREAD)).cast("int")
+    # whether a row's key is a hub is asked by parts too, so no task gets all rows of one
+    marks = hubs.select(key, F.explode(parts).alias("_part"), F.lit(True).alias("_hub"))
+    marked = rows.withColumn("_part", part).join(marks, [key, "_part"], "left").withColumn("_part", F.when(F.col("_hub"), F.col("_part")).otherwise(0)).drop("_hub")
+    copies = one.join(hubs.withColumn("_hub", F.lit(True)), key, "left").withColumn("_part", F.explode(F.when(F.col("_hub"), parts).otherwise(F.array(F.lit(0))))).drop("_hub")
+    return marked.join(copies, [key, "_part"]).drop("_part")
+
+
+def _hubs(pairs: DataFrame) -> dict:
+    """side -> the classes that more than HUB pairs have on that side; sides without one are left out.  One for every HUB pairs at most."""
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("node")) for c in ("query", "other"))))
+    found = table(pairs.select(sides.alias("s")).select("s.*").groupBy("side", "node").agg(F.count("*").alias("m")).where(F.col("m") > HUB), "hubs")
+    return {r["side"]: found.where(F.col("side") == r["side"]) for r in found.select("side").distinct().collect()}
+
+
 def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (query, other) that link, written out."""
+    hubs = _hubs(pairs)
+    queries, others = hubs.get("query"), hubs.get("other")
     salt = F.pmod(F.xxhash64("other"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK))).alias("salt")
-    sized = pairs.join(pairs.groupBy("query").agg(F.count("*").alias("m")), "query").select("query", "other", salt)
+    sized = _met_by(pairs, "query", "other", pairs.groupBy("query").agg(F.count("*").alias("m")), queries).select("query", "other", salt)
     sized = table(sized, "pairs")
-    theirs = sized.join(classes.withColumnRenamed("rep", "other"), "other").select("query", "salt", "other", "n", "tokens")
-    own = sized.select("query", "salt").distinct().join(classes.withColumnRenamed("rep", "query"), "query").select("query", "salt", F.lit(None).cast("long").alias("other"), "n", "tokens")
+    theirs = _met_by(sized, "other", "query", classes.withColumnRenamed("rep", "other"), others).select("query", "salt", "other", "n", "tokens")
+    own = _met_by(sized.select("query", "salt").distinct(), "query", "salt", classes.withColumnRenamed("rep", "query"), queries)
+    own = own.select("query", "salt", F.lit(None).cast("long").alias("other"), "n", "tokens")
     return table(theirs.unionByName(own).groupBy("query", "salt").applyInArrow(_search(num, den), "a long, b long"), "links")
 
 

@@ -220,6 +220,7 @@ def test_ngram_join_equals_brute_force(spark, k, num, den, chunk, hot, monkeypat
     monkeypatch.setattr(ngram, "CHUNK", chunk)  # small chunks: a shingle is hot in some and not in others
     monkeypatch.setattr(ngram, "HOT", hot)
     monkeypatch.setattr(ngram, "SALTED", 2 if hot < 8 else ngram.SALTED)  # lists spread over many tasks
+    monkeypatch.setattr(ngram, "HUB", 3 if hot < 8 else ngram.HUB)  # classes of many candidates spread over many tasks
     rnd = random.Random(k)
     words = [f"v{i}" for i in range(40)]
     passage = rnd.choices(words, k=30)
@@ -806,3 +807,20 @@ def test_query_runs_over_whole_tables(spark, name):
         assert got.select(key).distinct().count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
     else:
         assert got.count() > 0
+
+
+def test_hubs_are_spread_over_tasks(spark, monkeypatch):
+    """One class that a third of all pairs have on either side: no key of a join holds much more than its part, and no pair is lost."""
+    monkeypatch.setattr(ngram, "HUB", 1000)
+    pairs = spark.range(120_000).selectExpr("if(id % 3 = 0, -1, id div 5) as query", "if(id % 3 = 1, -2, id) as other")
+    hubs = ngram._hubs(pairs)
+    assert {side: [r.node for r in found.collect()] for side, found in hubs.items()} == {"query": [-1], "other": [-2]}
+    for key, by in (("query", "other"), ("other", "query")):
+        one = pairs.select(key).distinct().withColumn("n", F.xxhash64(key))
+        plain = pairs.join(one, key).select("query", "other", "n")
+        spread = ngram._met_by(pairs, key, by, one, hubs[key])
+        assert sorted(spread.columns) == sorted(plain.columns) and spread.select("query", "other", "n").exceptAll(plain).isEmpty() and spread.count() == 120_000
+        part = pairs.where(f"{key} < 0").groupBy(F.pmod(F.xxhash64(by, F.lit(-2)), F.lit(ngram.SPREAD))).count()
+        sizes = [r["count"] for r in part.collect()]
+        assert len(sizes) == ngram.SPREAD and max(sizes) < 2 * 40_000 / ngram.SPREAD
+    assert ngram._hubs(pairs.where("query >= 0 and other >= 0")) == {}
