@@ -1,16 +1,19 @@
 """Exact nearest neighbours by cells that fit the densest place and grow with the distance.
 
-Both sides are bucketed by ``width``, at which no cell holds more than DENSE
-places of targets (targets of one place are one); where objects lie thinner, the
-coarser levels below stand for wider cells, so that every query meets cells that
-fit its surroundings.  Queries first meet the objects in the
-nine cells about their own; a distance of at most ``width`` is then final, since
+Rows of one place are one question and one answer: distances are found for the
+distinct places of the queries and joined to their rows at the end, so that
+neither ids nor repeated places move with the cells.  Both sides are bucketed
+by ``width``, at which no cell holds more than DENSE places of targets; where
+objects lie thinner, the coarser levels below stand for wider cells, so that
+every query meets cells that fit its surroundings.  Queries first meet the
+objects in the cells that lie within REACH of a width (a place that is itself a
+target's: in its own cell); a distance of at most that is then final, since
 anything outside is farther.  For the others, in regions without objects, cells
 are coarsened by GROW a level: the level at which one of the nine cells about
 the query is occupied bounds the distance, and only occupied cells within that
 bound are descended to their objects.  So a query far from all objects costs a
 few cells a level, not an area, and every join is an equi-join on cells.  A
-group without targets has NULL distances.
+group without targets has NULL distances, and so has a query without a place.
 """
 
 import math
@@ -22,6 +25,9 @@ from ..functions import bin_index
 
 #: Cells along each side that make one cell of the next level, and distinct places of targets that a cell may hold.
 GROW, DENSE = 4, 64
+#: Targets in an average cell, and the share of a width within which other cells are looked at first.  A query goes to
+#: about (1 + 2 * REACH) ** 2 cells; where targets are spread evenly, one in 500 finds none within that distance.
+OCCUPANCY, REACH = 8.0, 0.5
 
 
 def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) -> float:
@@ -33,7 +39,7 @@ def fitting_width(targets: DataFrame, keys=("job",), occupancy: float = 2.0) ->
 
 def adapted_width(places: DataFrame, keys=("job",)) -> float:
     """:func:`fitting_width`, divided by GROW until no cell holds more than DENSE of the distinct ``places``."""
-    width = fitting_width(places, keys)
+    width = fitting_width(places, keys, OCCUPANCY)
     for _ in range(40):
         most = _cells(places, width).groupBy(*keys, "cx", "cy").count().agg(F.max("count")).first()[0] or 0
         if most <= DENSE:
@@ -66,31 +72,56 @@ def _coarse(c, level):
     return F.floor(F.col(c) / _scale(level)).cast("long")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",), id_column: str = "object_id") -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",), id_column: str = "object_id", places: bool = False) -> DataFrame:
     """``(keys, id, distance)`` for every row of ``queries`` (``x``, ``y``); by default the width fits the targets' densest places.
 
-    Rows that repeat id and place are one.
+    Rows that repeat id and place are one.  ``places``: with ``x`` and ``y``.
     """
     keys = list(keys)
-    places = targets.select(*keys, "x", "y").distinct()
-    width = float(adapted_width(places, keys) if width is None else width)
-    query = [*keys, id_column, "x", "y"]
-    t = _cells(places, width).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
-    q = _cells(queries.select(*query), width)
-    near = _around(q, 1).join(t, [*keys, "cx", "cy"], "left").groupBy(*query).agg(F.min(_gap()).alias("distance"))
-    held = F.broadcast(targets.select(*keys).distinct().withColumn("_held", F.lit(True)))  # one row per group
-    near = near.join(held, keys, "left").withColumn("_done", F.coalesce(F.col("distance") <= width, F.col("_held").isNull()))
-    done = near.where("_done").select(*keys, id_column, "distance")
-    levels = _levels(q, t)
-    return done if levels is None else done.unionByName(_far(near.where("not _done").select(*query), t, width, levels, keys, query, id_column))
+    rows = queries.select(*keys, id_column, "x", "y").distinct()
+    found = place_distances(queries, targets, width, keys)
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in (*keys, "x", "y")), "distance")
+    # null-safe, though places are known: else filters on them move below and work the places out once more
+    same = [*(F.col(k) == F.col(f"_{k}") for k in keys), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("x", "y"))]
+    return rows.join(found, same, "left").select(*keys, id_column, *(("x", "y") if places else ()), "distance")
+
+
+def place_distances(queries: DataFrame, targets: DataFrame, width: float | None = None, keys=("job",)) -> DataFrame:
+    """``(keys, x, y, distance)`` of the distinct places of ``queries`` in groups that have targets; computed here, once."""
+    keys = list(keys)
+    at = [*keys, "x", "y"]
+    held = _kept(targets.select(*at).distinct()).where("x is not null and y is not null")  # filtered here, not where the places are computed
+    width = float(adapted_width(held, keys) if width is None else width)
+    t = _cells(held, width).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
+    asked = queries.select(*at).distinct().join(held.withColumn("_same", F.lit(True)), at, "left")
+    reach = REACH * width
+    q = _reached(asked.withColumn("_reach", F.when(F.col("_same"), 0.0).otherwise(reach)), width)
+    near = _kept(q.join(t, [*keys, "cx", "cy"], "left").groupBy(*at).agg(F.min(_gap()).alias("distance")))
+    final = F.coalesce(F.col("distance") <= reach * (1 - 1e-9), F.lit(False))  # edges are rounded
+    done, left = near.where(final), near.where(~final).select(*at).join(F.broadcast(held.select(*keys).distinct()), keys)  # one row per group
+    levels = _levels(_cells(left, width), t)
+    return done if levels is None else done.unionByName(_kept(_far(left, t, width, levels, keys, at)))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once and read from there by all that follows: a checkpoint in ``spark.checkpoint.dir``, or beside the executors where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _reached(rows: DataFrame, width: float) -> DataFrame:
+    """Each row once for every cell that is not farther than its ``_reach`` along either side; a row without a place has no cell."""
+    for c in ("x", "y"):
+        ends = (bin_index(F.col(c) + sign * F.col("_reach"), F.lit(0.0), width) for sign in (-1, 1))
+        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(*ends)))
+    return rows.drop("_reach", "_same")
 
 
 def _gap():
     return _distance(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
 
 
-def _far(left: DataFrame, t: DataFrame, width: float, levels: int, keys: list, query: list, id_column: str) -> DataFrame:
-    """Distances of the queries that no object is near."""
+def _far(left: DataFrame, t: DataFrame, width: float, levels: int, keys: list, query: list) -> DataFrame:
+    """Distances of the places that no object is near."""
     at = [*keys, "level", "cx", "cy"]
     steps = F.array(*(F.lit(k) for k in range(levels + 1)))
     occupied = t.select(*keys, "cx", "cy").distinct().withColumn("level", F.explode(steps))
@@ -107,7 +138,7 @@ def _far(left: DataFrame, t: DataFrame, width: float, levels: int, keys: list, q
         inner = lambda c, i: F.when(down, F.col(c) * GROW + F.col(i)).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
         cells = cells.select(*query, F.when(down, level - 1).otherwise(F.col("level")).alias("level"), inner("cx", "_i"), inner("cy", "_j"))
         cells = _bounded(cells.join(occupied, at), width, query)
-    return cells.join(t, [*keys, "cx", "cy"]).groupBy(*query).agg(F.min(_gap()).alias("distance")).select(*keys, id_column, "distance")
+    return cells.join(t, [*keys, "cx", "cy"]).groupBy(*query).agg(F.min(_gap()).alias("distance"))
 
 
 def _bounded(cells: DataFrame, width: float, query: list) -> DataFrame:
@@ -143,7 +174,7 @@ def with_clearance(distances: DataFrame, clearances: DataFrame, frame: DataFrame
     ``clearances``: ``(keys, ix, iy, clearance)`` of supported cells; elsewhere the
     clearance is that of a cell outside, less than 0.
     """
-    rows = distances.join(frame, list(keys))
+    rows = distances.join(F.broadcast(frame), list(keys))  # one row per section
     for c in ("x", "y"):
         rows = rows.withColumn(f"i{c}", F.greatest(F.lit(0), F.least(bin_index(c, F.col(f"{c}0"), width), F.col(f"n{c}") - 1)))
     out = rows.join(clearances.select(*keys, "ix", "iy", "clearance"), [*keys, "ix", "iy"], "left")
@@ -151,11 +182,14 @@ def with_clearance(distances: DataFrame, clearances: DataFrame, frame: DataFrame
 
 
 def proximity_summary(distances: DataFrame, buffer: float, keys=("job",)) -> DataFrame:
-    """Per group: rows, those whose distance the edge cannot have changed, and exact medians of both; ``distances`` has ``clearance``."""
-    from .distribution import quantile_columns
+    """Per group: rows, those whose distance the edge cannot have changed, and exact medians of both, in two readings; ``distances`` has ``clearance``.
+
+    A group with an unknown key is left out.
+    """
+    from .distribution import selected
 
     kept = (F.col("clearance") >= buffer) & (F.col("distance") <= F.col("clearance"))
     rows = distances.withColumn("_inner", F.when(kept, F.col("distance")))
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_inner").alias("n_interior"))
-    quantiles = quantile_columns(rows, {"median_all": ("distance", 0.5), "q95_all": ("distance", 0.95), "median_interior": ("_inner", 0.5)}, keys)
-    return counts.join(quantiles, list(keys), "left").withColumn("retained_pct", 100.0 * F.col("n_interior") / F.col("n"))
+    counts = (F.count("*").alias("n"), F.count("_inner").alias("n_interior"))
+    wanted = {"median_all": ("distance", 0.5), "q95_all": ("distance", 0.95), "median_interior": ("_inner", 0.5)}
+    return selected(rows, wanted, {}, keys, counts).withColumn("retained_pct", 100.0 * F.col("n_interior") / F.col("n"))

@@ -227,6 +227,24 @@ def test_nearest_in_a_dense_place(spark):
     assert len(got) == len(q) and all(got[i] == pytest.approx(d) for i, d in enumerate(exact))
 
 
+def test_nearest_asks_once_for_each_place(spark):
+    """Rows of one place are one question, which goes to few cells; rows without a place stay, with no distance."""
+    rng = np.random.default_rng(3)
+    p, q = np.round(rng.uniform(0, 100, (400, 2)), 1), np.round(rng.uniform(0, 100, (300, 2)), 1)
+    q = np.vstack([q, p[:100]])
+    rows = [(0, f"{i}-{c}", *map(float, v)) for i, v in enumerate(q) for c in range(5)] + [(0, "unplaced", None, 1.0), (1, "alone", 1.0, 1.0)]
+    queries = spark.createDataFrame(rows, "job int, object_id string, x double, y double")
+    targets = spark.createDataFrame([(0, *map(float, v)) for v in p] + [(0, None, 1.0)], "job int, x double, y double")
+    once = neighbors.place_distances(queries, targets).collect()
+    assert len(once) == len(np.unique(q, axis=0))
+    cells = neighbors._reached(queries.where("x is not null").withColumn("_reach", F.lit(5.0)), 10.0)
+    assert 3.5 < cells.count() / (len(rows) - 1) < 4.5
+    got = {r.object_id: r.distance for r in neighbors.nearest(queries, targets).collect()}
+    exact = geometry.nearest_distances(q, np.unique(p, axis=0))
+    assert len(got) == len(rows) and got["unplaced"] is None and got["alone"] is None
+    assert all(got[f"{i}-{c}"] == pytest.approx(d) for i, d in enumerate(exact) for c in range(5))
+
+
 def test_identical_signatures(spark):
     rows = [(r, k, x, b, y) for r, k, x, b, y in [("f", 1, 0.5, True, None), ("f", 1, 0.5, True, None), ("s", 1, 0.5, True, None), ("f", 1, 1.0, None, 2.0), ("s", 1, None, None, 2.0), ("f", 1, -0.0, False, 1.0), ("s", 1, 0.0, False, 1.0), ("s", 1, 0.0, False, 1.0), ("f", 2, 3.0, True, 3.0)]]
     df = spark.createDataFrame(rows, "run string, k int, x double, b boolean, y double")
