@@ -95,6 +95,18 @@ def text_statistics(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select(*(docs[c] for c in carry), docs["text"].cast("string").alias("_text")).mapInArrow(run, ", ".join(schema))
 
 
+def named_labels(labels: DataFrame, label: str, keep) -> DataFrame:
+    """``(doc_id, y)`` of the ids for which ``keep(doc_id)`` holds.  Documents labelled twice take their largest label; a null label or id is no label."""
+    named = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y is not null")
+    return named.where(keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, keep) -> DataFrame:
+    """``(doc_id, y, RATIOS)`` of all labelled rows of ``docs`` for which ``keep(doc_id)`` holds; statistics meet their labels, texts do not move."""
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("doc_id").isNotNull()).where(keep(F.col("doc_id")))
+    return text_statistics(ids, "doc_id").select("doc_id", *RATIOS).join(named_labels(labels, label, keep), "doc_id").select("doc_id", "y", *RATIOS)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, most: int) -> DataFrame:
     """At most ``most`` labelled rows of ``docs``: ``(doc_id, y, text)``, those least by a hash of doc_id.
 
@@ -102,8 +114,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, most:
     largest label; a null label or id is no label.  Only ids and labels, at
     most ``most`` of them, are broadcast.
     """
-    named = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y is not null")
-    named = named.where(keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = named_labels(labels, label, keep).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return text.join(F.broadcast(chosen), "doc_id")

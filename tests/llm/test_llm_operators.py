@@ -618,6 +618,24 @@ def test_quality_query_equals_a_plain_fit(spark):
     assert right >= 0.95 * total > 0
 
 
+def test_ranking_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Many groups, few rows of one label: every labelled row is in a group, groups have both labels, the threshold parts all rows."""
+    rng, words = np.random.default_rng(4), ["stone", "river", "quiet", "lamp", "orchard", "winter", "of", "the"]
+    text = lambda bad: " ".join(rng.choice(words, 40)) + (" !!! ### $$$ " * 5 if bad else ".")
+    bad = {i for i in range(0, 600, 40)}
+    docs = spark.createDataFrame([(i, text(i in bad)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(600)], "doc_id long, quality int")
+    monkeypatch.setattr(ranking, "GROUP", 50)
+    monkeypatch.setattr(ranking, "RARE", 5)
+    grouped = ranking._grouped(labels.withColumnRenamed("quality", "y"), 600 - len(bad), len(bad))
+    assert {r.doc_id for r in grouped.collect()} == set(range(600))
+    per = grouped.groupBy("group").agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).collect()
+    assert len(per) == 12 and all(r.good for r in per) and sum(r.good for r in per) == 600 - len(bad) and sum(r.bad for r in per) >= 60
+    ranker = ranking.train(docs, labels, lambda d: F.lit(True))
+    got = {r.doc_id: r.predicted for r in ranking.score_documents(docs, ranker, "doc_id").collect()}
+    assert {i for i, p in got.items() if not p} == bad
+
+
 def test_quality_ties():
     x = np.tile(np.linspace(0.1, 0.9, len(textstats.RATIOS)), (20, 1))
     model = ranking.fit(x, np.arange(20) % 2)  # nothing parts the labels
