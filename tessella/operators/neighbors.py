@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bin_index
+from .distribution import kept
 
 #: Cells along each side that make one cell of the next level, and distinct places of targets that a cell may hold.
 GROW, DENSE = 4, 64
@@ -90,22 +91,17 @@ def place_distances(queries: DataFrame, targets: DataFrame, width: float | None
     """``(keys, x, y, distance)`` of the distinct places of ``queries`` in groups that have targets; computed here, once."""
     keys = list(keys)
     at = [*keys, "x", "y"]
-    held = _kept(targets.select(*at).distinct()).where("x is not null and y is not null")  # filtered here, not where the places are computed
+    held = kept(targets.select(*at).distinct()).where("x is not null and y is not null")  # filtered here, not where the places are computed
     width = float(adapted_width(held, keys) if width is None else width)
     t = _cells(held, width).withColumnRenamed("x", "tx").withColumnRenamed("y", "ty")
     asked = queries.select(*at).distinct().join(held.withColumn("_same", F.lit(True)), at, "left")
     reach = REACH * width
     q = _reached(asked.withColumn("_reach", F.when(F.col("_same"), 0.0).otherwise(reach)), width)
-    near = _kept(q.join(t, [*keys, "cx", "cy"], "left").groupBy(*at).agg(F.min(_gap()).alias("distance")))
+    near = kept(q.join(t, [*keys, "cx", "cy"], "left").groupBy(*at).agg(F.min(_gap()).alias("distance")))
     final = F.coalesce(F.col("distance") <= reach * (1 - 1e-9), F.lit(False))  # edges are rounded
     done, left = near.where(final), near.where(~final).select(*at).join(F.broadcast(held.select(*keys).distinct()), keys)  # one row per group
     levels = _levels(_cells(left, width), t)
-    return done if levels is None else done.unionByName(_kept(_far(left, t, width, levels, keys, at)))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once and read from there by all that follows: a checkpoint in ``spark.checkpoint.dir``, or beside the executors where that is unset."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    return done if levels is None else done.unionByName(kept(_far(left, t, width, levels, keys, at)))
 
 
 def _reached(rows: DataFrame, width: float) -> DataFrame:
@@ -188,8 +184,8 @@ def proximity_summary(distances: DataFrame, buffer: float, keys=("job",)) -> Dat
     """
     from .distribution import selected
 
-    kept = (F.col("clearance") >= buffer) & (F.col("distance") <= F.col("clearance"))
-    rows = distances.withColumn("_inner", F.when(kept, F.col("distance")))
+    inner = (F.col("clearance") >= buffer) & (F.col("distance") <= F.col("clearance"))
+    rows = distances.withColumn("_inner", F.when(inner, F.col("distance")))
     counts = (F.count("*").alias("n"), F.count("_inner").alias("n_interior"))
     wanted = {"median_all": ("distance", 0.5), "q95_all": ("distance", 0.95), "median_interior": ("_inner", 0.5)}
     return selected(rows, wanted, {}, keys, counts).withColumn("retained_pct", 100.0 * F.col("n_interior") / F.col("n"))

@@ -245,6 +245,12 @@ def test_nearest_asks_once_for_each_place(spark):
     assert all(got[f"{i}-{c}"] == pytest.approx(d) for i, d in enumerate(exact) for c in range(5))
 
 
+def test_nearest_to_passes_over_unknown_values(spark):
+    rows = [(1, "z", 1.0), (1, "b", 2.0), (1, "a", 2.0), (1, "c", 9.0), (1, "0", None), (2, "u", None)]
+    df = spark.createDataFrame(rows, "job int, object_id string, v double")
+    assert [tuple(r) for r in distribution.nearest_to(df, "v", 0.5, ("job",)).collect()] == [(1, 2.0, "a", 2.0)]
+
+
 def test_identical_signatures(spark):
     rows = [(r, k, x, b, y) for r, k, x, b, y in [("f", 1, 0.5, True, None), ("f", 1, 0.5, True, None), ("s", 1, 0.5, True, None), ("f", 1, 1.0, None, 2.0), ("s", 1, None, None, 2.0), ("f", 1, -0.0, False, 1.0), ("s", 1, 0.0, False, 1.0), ("s", 1, 0.0, False, 1.0), ("f", 2, 3.0, True, 3.0)]]
     df = spark.createDataFrame(rows, "run string, k int, x double, b boolean, y double")
