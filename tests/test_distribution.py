@@ -102,3 +102,33 @@ def test_tied_values_are_many_pieces(spark):
     assert len(sizes) >= 20 and sum(sizes) == len(ids) and max(sizes) < 2 * 200_000 / distribution.BUCKETS
     assert sum(r._c for r in per.collect()) == 200_000
     assert distribution._ties(frame.where("v <> 5"), "v", ["k"], "object_id", distribution.cut_points(frame.where("v <> 5"), "v", ["k"]))[1] is None
+
+
+def test_numbered(spark, monkeypatch):
+    """Places by id over pieces of a group; unknown keys and ids, repeated ids; no window holds a whole group."""
+    monkeypatch.setattr(distribution, "PIECE", 256)
+    ids = [f"{i * 7919 % 5000}-{i % 7}" for i in range(5000)]
+    rows = [("one", i) for i in ids] + [("few", "b"), ("few", None), ("few", "a"), ("few", "a"), (None, "y"), (None, "x")]
+    got = distribution.numbered(spark.createDataFrame(rows, "k string, object_id string"), "object_id", ("k",))
+    assert got.columns == ["k", "object_id", "number"]
+    for k in ("one", "few", None):
+        mine = sorted((r.number, r.object_id) for r in got.where(F.col("k").eqNullSafe(F.lit(k))).collect())
+        assert mine == list(enumerate(sorted((i for key, i in rows if key == k), key=lambda i: (i is not None, i or ""))))
+    pieces = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(pieces) > 4 and max(r["count"] for r in pieces) < 2500
+    empty = distribution.numbered(spark.createDataFrame([], "k string, object_id string"), "object_id", ("k",))
+    assert empty.count() == 0
+
+
+def test_export_checks_parts_a_section(spark, monkeypatch):
+    """The rows of a section are numbered by many tasks, with the same report."""
+    from tessella.plans import study_queries  # noqa: F401  registers its queries
+    from tessella.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(str, QUERIES["export_checks"](spark, sf).collect()))
+    pieces, made = [], distribution.numbered
+    monkeypatch.setattr(distribution, "PIECE", 64)
+    monkeypatch.setattr(distribution, "numbered", lambda *a, **k: pieces.append(made(*a, **k)) or pieces[-1])
+    assert sorted(map(str, QUERIES["export_checks"](spark, sf).collect())) == whole
+    assert pieces[0].rdd.getNumPartitions() > 2 * len(whole)
