@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import midpoint, stratum
 from tessella.operators import contrast, summary
+from tessella.operators.distribution import kept
 from tessella.plans.design import Design
 
 from .common import command_line, log, written
@@ -37,14 +38,18 @@ def objects_of(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def tables(objects: DataFrame, metadata: DataFrame, config: dict) -> dict:
-    """The report's tables.  ``metadata``: one row per section, checked to be few."""
+    """The report's tables.  ``metadata``: one row per section, checked to be few.
+
+    The exports are read for sections, their quality and their replicates; the
+    replicates' rows are kept, so contrasts read those and not the exports again.
+    """
     arm_of = F.broadcast(metadata.select("job", "arm"))
-    quality = summary.quality_control(objects.drop("arm", "grp", "animal")).join(summary.run_summary(objects), "job").join(arm_of, "job")
+    quality = summary.quality_control(objects.drop("arm", "grp", "animal"), extra=summary.run_columns()).join(arm_of, "job")
     metrics = summary.replicate_metrics(objects)
     strata = objects.where(F.col("object_type") == config["classes"][0])
     strata = strata.groupBy("arm", "grp", "animal", stratum("area", config["size_edges"]).alias("stratum")).agg(F.count("*").alias("n"), F.count_if("b_present").alias("k"))
     shares = contrast.standardized(strata, config["least_per_stratum"], 2 * config["per_group"])
-    replicates = metrics.join(shares, ["arm", "grp", "animal"])
+    replicates = kept(metrics.join(shares, ["arm", "grp", "animal"]))
     long = contrast.long_metrics(replicates, (*config["metrics"], "restricted", "standardized"))
     keys = ["arm", "metric"]
     contrasts = contrast.contrast(long).join(contrast.leave_pair_out(long), keys).join(contrast.exact_allocation(long).drop("observed_difference"), keys)
@@ -56,7 +61,7 @@ def run(spark: SparkSession, config: dict) -> dict:
     design = Design(groups=tuple(config["groups"]), arms=tuple(config["arms"]), classes=tuple(config["classes"]), per_group=config["per_group"])
     objects = objects_of(spark, config)
     log.info("reading %s", config["input"])
-    metadata = objects.select("job", "animal", "grp", "arm").distinct()
+    metadata = kept(objects.select("job", "animal", "grp", "arm").distinct())
     design.check_metadata(metadata)
     design.check_objects(objects, metadata)
     log.info("the design holds: %d arms, %d replicates a group", len(config["arms"]), config["per_group"])

@@ -61,16 +61,20 @@ def object_summary(objects: DataFrame, keys=("job", "object_type")) -> DataFrame
     return selected(objects.withColumn("other", other_flag()), QUANTILES, {"top_share_pct": ("area", 0.01)}, keys, base)
 
 
-def quality_control(objects: DataFrame, key: str = "job", id_column: str = "object_id") -> DataFrame:
-    """Counters of odd rows; no row is removed."""
+def distinct_ids(rows: DataFrame, key: str, id_column: str) -> DataFrame:
+    """``(key, n_ids)``: known ids of each group.  An aggregate of its own: beside others, every row's share of those would move with its id."""
+    return rows.groupBy(key, id_column).agg(F.count("*").alias("_n")).groupBy(key).agg(F.count(id_column).alias("n_ids"))
+
+
+def quality_control(objects: DataFrame, key: str = "job", id_column: str = "object_id", extra=()) -> DataFrame:
+    """Counters of odd rows, and any other aggregates; no row is removed."""
     error = F.abs(F.col("overlap_pct") - percent("overlap_area", "area"))
     odd = lambda e: F.count_if(F.coalesce(e, F.lit(True)))
     unknown = lambda c: F.col(c).isNull() | F.isnan(c) if dict(objects.dtypes)[c] in ("double", "float") else F.col(c).isNull()
     lo, mid, hi = (F.col(f"{c}_diameter") for c in ("min", "median", "max"))
     own = F.when(F.col("object_type") == CLASSES[0], F.col("a_present")).otherwise(F.col("b_present"))
-    return objects.groupBy(key).agg(
+    counters = objects.groupBy(key).agg(
         F.count("*").alias("n_objects"),
-        (F.count("*") - F.countDistinct(id_column)).alias("duplicate_ids"),
         sum((F.count_if(unknown(c)) for c in objects.columns), F.lit(0)).alias("missing_values"),
         F.count_if(F.col("area") <= 0).alias("nonpositive_area"),
         F.count_if(F.col("overlap_area") < 0).alias("negative_overlap"),
@@ -87,13 +91,18 @@ def quality_control(objects: DataFrame, key: str = "job", id_column: str = "obje
         F.count_if((F.col("xmin") > F.col("xmax")) | (F.col("ymin") > F.col("ymax"))).alias("reversed_box"),
         F.count_if(F.col("inner_area") != 0).alias("nonzero_inner_area"),
         F.count_if(F.abs(F.col("inner_area") + F.col("outer_area") - F.col("area")) > 0.001).alias("area_partition_mismatch"),
+        *extra,
     )
+    ids = distinct_ids(objects, key, id_column).withColumnRenamed(key, "_of")
+    both = counters.join(ids, F.col(key).eqNullSafe(F.col("_of")))
+    rest = [c for c in counters.columns if c not in (key, "n_objects")]
+    return both.select(key, "n_objects", (F.col("n_objects") - F.col("n_ids")).alias("duplicate_ids"), *rest)
 
 
-def run_summary(objects: DataFrame, key: str = "job") -> DataFrame:
-    """One row per export: class counts, association of class A, and extents over all rows."""
+def run_columns() -> tuple:
+    """The aggregates of :func:`run_summary`."""
     a = F.col("object_type") == CLASSES[0]
-    return objects.groupBy(key).agg(
+    return (
         F.count_if(a).alias("n_a"),
         F.count_if(~a).alias("n_b"),
         percent(F.count_if(a & F.col("b_present")), F.count_if(a)).alias("association_pct"),
@@ -101,6 +110,11 @@ def run_summary(objects: DataFrame, key: str = "job") -> DataFrame:
     )
 
 
+def run_summary(objects: DataFrame, key: str = "job") -> DataFrame:
+    """One row per export: class counts, association of class A, and extents over all rows."""
+    return objects.groupBy(key).agg(*run_columns())
+
+
 def type_weighting(objects: DataFrame, key: str = "job") -> DataFrame:
     """Per class: the mean of the exports' percentages beside the pooled one."""
     per = objects.groupBy(key, "object_type").agg(F.count("*").alias("n"), F.count_if("b_present").alias("k"))

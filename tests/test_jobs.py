@@ -144,3 +144,11 @@ def test_command_line(tmp_path):
         done = run("--config", str(own), "--set", f"input={SF}/documents.parquet", f"checkpoint={tmp_path}/check", "quantiles=[0.5]")
         assert done.returncode == 0 and rows in done.stderr, done.stderr[-2000:]
         assert "wrote 200 rows" in done.stderr or "took 0 rows" in done.stderr
+
+
+def test_report_contrasts_read_no_exports(spark, tmp_path):
+    """What is made of the replicates' rows does not read the exports again."""
+    config = config_of(condition_report.CONFIG, input=f"{SF}/lineitem.parquet", output=f"{tmp_path}/out")
+    objects = condition_report.objects_of(spark, config)
+    made = condition_report.tables(objects, objects.select("job", "animal", "grp", "arm").distinct(), config)
+    assert objects.inputFiles() and not made["replicates"].inputFiles() and not made["contrasts"].inputFiles()

@@ -70,6 +70,17 @@ def test_quality_control(four_jobs):
     assert r.max_formula_error == 0.0 and r.formula_mismatch == 1  # an unknown percentage is a mismatch, not an error
 
 
+def test_quality_control_moves_ids_alone(spark, four_jobs):
+    """Ids are counted by an aggregate of their own; sections and ids may be unknown."""
+    rows = four_jobs.withColumn("object_id", F.when((F.col("job") == 1) & (F.col("object_id") < 2), None).otherwise(F.col("object_id"))).withColumn("job", F.when(F.col("job") == 3, None).otherwise(F.col("job")))
+    frame = summary.quality_control(rows)
+    got = {r.job: (r.n_objects, r.duplicate_ids) for r in frame.collect()}
+    assert got == {0: (6, 0), 1: (6, 2), 2: (6, 0), None: (6, 0)}
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    by_id = [line for line in plan.splitlines() if "Aggregate(keys=[" in line and "object_id" in line.split("keys=[")[1].split("]")[0]]
+    assert by_id and all(line.split("functions=[")[1].count("count(") <= 1 for line in by_id)
+
+
 def test_ecdf_and_ranking(four_jobs):
     a = four_jobs.where("job = 0 and object_type = 'A'")
     assert [(r.area, r.n, r.cumulative_pct) for r in distribution.ecdf(a, "area", ("job",)).orderBy("area").collect()] == [(1.0, 2, 50.0), (2.0, 1, 75.0), (8.0, 1, 100.0)]
